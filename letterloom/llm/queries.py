@@ -6,13 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash
+from . import bpe, minhash, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file; the library that knows it is only needed here."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return decoded.select(
+        F.col("id").alias("doc_id"),
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
     return found.withColumnRenamed("id", "doc_id")
@@ -20,6 +45,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_bpe": op6_bpe,
+        "op7_packing": op7_packing,
         "op10_minhash": op10_minhash,
     }
 
