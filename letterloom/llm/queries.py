@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, minhash, near_vectors, packing, suffix_dedup
+from . import ann, bpe, minhash, near_vectors, packing, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file; the library that knows it is only needed here."""
     import public_tokenizers
@@ -57,6 +61,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_vectors": op1_near_vectors,
+        "op3_cross_polytope": op3_cross_polytope,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
         "op8_suffix_array": op8_suffix_array,
