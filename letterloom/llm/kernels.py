@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.compute as pc
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
@@ -115,6 +116,20 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
+def text_blocks(column, most: int) -> Iterator[tuple[int, int, list[str]]]:
+    """An Arrow string column in ranges of rows with ``most`` bytes or less (or one longer text); null is empty."""
+    length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for start, end in groups_of(length + 1, most):
+        yield start, end, [x or "" for x in column.slice(start, end - start).to_pylist()]
+
+
+def parts_of(batch, column: int, most: int) -> Iterator:
+    """An Arrow batch in slices whose texts (or binaries) in ``column`` have ``most`` bytes or less, or one longer."""
+    length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    for start, end in groups_of(length + 1, most):
+        yield batch.slice(start, end - start)
+
+
 def as_bytes(column) -> list[bytes]:
     """UTF-8 of an Arrow string column; null is empty."""
     return [x or b"" for x in column.cast("binary").to_pylist()]
