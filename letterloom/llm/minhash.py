@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .kernels import U, as_bytes, groups_of, mix64, shingle_sets
+from .kernels import U, as_bytes, mix64, parts_of, shingle_sets
 from .scratch import drop, written
 
 #: Text bytes that are worked on at once in a task.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Documents of a block whose sets a task compares with those of another.
+PER_BLOCK = 512
 
 
 def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -64,10 +66,9 @@ def _band_hashes(ranks: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _blocks(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    column = batch.column(batch.schema.get_field_index(text))
-    data = as_bytes(column)
-    for start, end in groups_of(np.array([len(x) for x in data]), BLOCK):
-        yield batch.slice(start, end - start), data[start:end]
+    at = batch.schema.get_field_index(text)
+    for part in parts_of(batch, at, BLOCK):
+        yield part, as_bytes(part.column(at))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
@@ -122,6 +123,78 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return with_b.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _block_links(rows: list[tuple[int, int, int, np.ndarray]], two_blocks: bool, percent: int) -> list[tuple[int, int]]:
+    """Links between rows (side, id, part, set) of different parts, of different sides if there are two blocks. A row
+    gets one link at most to each part: others would join nothing more."""
+    ids, parts = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+    side = np.array([r[0] for r in rows])
+    size = np.array([len(r[3]) for r in rows])
+    value, count = np.unique(parts, return_counts=True)
+    main = value[np.argmax(count)]
+    out = []
+    asking = side == 1 if two_blocks else np.ones(len(rows), bool)
+    asked = side == 0 if two_blocks else np.ones(len(rows), bool)
+    for askers, held in ((parts != main, asked), (parts == main, asked & (parts != main)))[: 1 + two_blocks]:
+        held, askers = np.flatnonzero(held), np.flatnonzero(askers & asking)
+        if not len(held) or not len(askers):
+            continue
+        tokens, owner = np.concatenate([rows[i][3] for i in held]), np.repeat(held, size[held])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        for i in askers:
+            low, high = np.searchsorted(tokens, rows[i][3], "left"), np.searchsorted(tokens, rows[i][3], "right")
+            n = high - low
+            both = np.bincount(owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(rows))
+            hit = np.flatnonzero((both > 0) & (parts != parts[i]) & (100 * both >= percent * (size + size[i] - both)))
+            _, first = np.unique(parts[hit], return_index=True)
+            out += [(int(ids[i]), int(ids[k])) for k in hit[first]]
+    return out
+
+
+def _linked_apart(ties: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between documents of one candidate cluster that are in different parts so far.
+
+    ``ties`` holds ``id``, ``part`` and a ``leader`` with which the id shares a band. A cluster (ids joined by shared
+    bands) is cut into blocks, each pair of blocks is compared in one task, and only links leave the task.
+    """
+    cluster = connected_components(ties.select("id", "leader"))
+    placed = ties.select("id", "part").distinct().join(cluster.withColumnRenamed("node", "id"), "id")
+    sized = placed.groupBy("component").agg(F.ceil(F.count("*") / PER_BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(sized, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = other.select(
+        "id",
+        "part",
+        F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"),
+        (F.col("own") != F.col("other")).alias("two"),
+    )
+    sets = _sets(texts.join(placed.select("id").distinct(), "id", "left_semi"), words)
+    rows = keyed.join(sets.groupBy("id").agg(F.min("shingles").alias("shingles")), "id")
+
+    def run(batches):
+        held, task = [], None
+
+        def links():
+            found = _block_links([r[2:] for r in held], held[0][1], percent)
+            a, b = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            sets = batch.column(5)
+            for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)))):
+                if key[0] != task and held:
+                    yield links()
+                    held = []
+                task = key[0]
+                held.append((*key, sets[i].values.to_numpy().view(U).copy()))
+        if held:
+            yield links()
+
+    rows = rows.select("task", "two", "side", "id", "part", "shingles")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -140,9 +213,9 @@ def near_duplicates(
     Candidates share a band of ``rows`` SuperMinHash slots in one of ``bands`` bands; at a similarity of 0.85 the
     default misses a link with a probability below 1e-6, at 0.80 below 1e-4. Every candidate link is confirmed on the
     full sets. Documents with equal sets are one class and are compared once. In a bucket each class is first compared
-    with one leader, which differs from band to band; only classes that are in different components after that are
-    compared with each other, so a bucket of n near copies costs about n comparisons and no link between components
-    is skipped.
+    with one leader, which differs from band to band. Classes that share a bucket but are still in different components
+    are then compared with each other in pairs of blocks, which only emit links; no link between components is
+    skipped, and no task holds more than two blocks.
 
     Null and empty texts, and texts of white space alone, have an empty set and link with nothing. A row without id
     links with nothing; its component is null and it is kept. Rows that repeat an id are one node. An empty table
@@ -170,14 +243,13 @@ def near_duplicates(
         "band", "id", F.coalesce("component", "id").alias("part")
     )
     apart = placed.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
-    placed = written(placed.join(apart.select("band"), "band", "left_semi"), "apart")
-    other = placed.select("band", F.col("id").alias("b"), F.col("part").alias("part_b"))
-    rest = placed.withColumnRenamed("id", "a").join(other, "band").where("a < b and part <> part_b").select("a", "b")
-    tried = stars.distinct().select("a", "b")
-    more = written(_verified(rest.distinct().join(tried, ["a", "b"], "left_anti"), texts, words, percent), "links")
+    ties = placed.join(apart.select("band"), "band", "left_semi")
+    ties = ties.join(shared.select("band", "leader"), "band").select("id", "part", "leader")
+    ties = written(ties.distinct(), "apart")
+    more = written(_linked_apart(ties, texts, words, percent), "links")
 
     found = written(connected_components(links.union(more).union(copies)), "components")
-    for x in (classes, members, links, parts, placed, more):
+    for x in (classes, members, links, parts, ties, more):
         drop(x)
     return (
         table.select("id", F.col("n").alias("n_shingles"))
