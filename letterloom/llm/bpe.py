@@ -17,11 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .kernels import U, groups_of, mix64
+from .kernels import U, groups_of, mix64, text_blocks
 from .pretokens import Pretokens
 
-#: Characters that are cut into pre-tokens at once, characters of a chunk, and buckets of words.
-BLOCK, CHUNK, BUCKETS = 1 << 19, 32 << 20, 1 << 12
+#: Bytes that are cut into pre-tokens at once, characters of a chunk, and buckets of words.
+BLOCK, CHUNK, BUCKETS = 1 << 18, 16 << 20, 1 << 12
 
 
 @lru_cache(4)
@@ -94,7 +94,7 @@ class _Chunk:
                 if h not in self.words:
                     self.words[h] = cut.word(i)
 
-    def numbered(self) -> tuple[np.ndarray, list[np.ndarray]]:
+    def numbered(self) -> tuple[np.ndarray, Iterator[np.ndarray]]:
         """Hashes by falling frequency, and each block's words as numbers in that order."""
         distinct, inverse = np.unique(np.concatenate([b[0] for b in self.blocks]), return_inverse=True)
         count = np.bincount(inverse, np.concatenate([b[2] for b in self.blocks]), len(distinct))
@@ -102,7 +102,7 @@ class _Chunk:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         cuts = np.cumsum([len(b[0]) for b in self.blocks])[:-1]
-        return distinct[order], [rank[part][b[1]] for part, b in zip(np.split(inverse, cuts), self.blocks)]
+        return distinct[order], (rank[part][b[1]] for part, b in zip(np.split(inverse, cuts), self.blocks))
 
     @property
     def key(self) -> int:
@@ -112,10 +112,9 @@ class _Chunk:
 def _chunks(batches: Iterator[pa.RecordBatch], keep_words: bool) -> Iterator[_Chunk]:
     chunk = _Chunk()
     for batch in batches:
-        texts = [x or "" for x in batch.column(1).to_pylist()]
         rows = batch.column(0).to_pylist()
-        for start, end in groups_of(np.array([len(t) + 1 for t in texts]), BLOCK):
-            chunk.add(rows[start:end], texts[start:end], keep_words)
+        for start, end, texts in text_blocks(batch.column(1), BLOCK):
+            chunk.add(rows[start:end], texts, keep_words)
             if chunk.chars >= CHUNK:
                 yield chunk
                 chunk = _Chunk()
@@ -200,11 +199,16 @@ class _Dictionary:
         self.parts = []
 
 
+def _ids_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["id", "n_tokens", "ids"])
+
+
 def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     current, words = None, _Dictionary()
     for batch in batches:
         chunk, part, rows, codes, ids = (batch.column(i).to_pylist() for i in range(5))
-        out = []
+        out, size = [], 0
         for i, c in enumerate(chunk):
             if c != current:
                 current, words = c, _Dictionary()
@@ -222,8 +226,12 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 found = np.empty(0, "<u4")
             out.append((rows[i], len(found), found.tobytes()))
+            size += len(found)
+            if size > BLOCK:
+                yield _ids_batch(out)
+                out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["id", "n_tokens", "ids"])
+            yield _ids_batch(out)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,13 +256,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         data, first = _token_bytes(path)
         for batch in batches:
-            out = []
-            for ids in batch.column(2).to_pylist():
-                if ids is None:
-                    out.append(None)
-                    continue
-                ids = np.frombuffer(ids, "<u4").astype(np.int64)
-                out.append(gathered(data, first[ids], first[ids + 1] - first[ids]).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["id", "n_tokens", "ids", "bytes"])
+            length = np.array([n or 0 for n in batch.column(1).to_pylist()], np.int64)
+            for low, high in groups_of(length + 1, BLOCK):
+                part, out = batch.slice(low, high - low), []
+                for ids in part.column(2).to_pylist():
+                    if ids is None:
+                        out.append(None)
+                        continue
+                    ids = np.frombuffer(ids, "<u4").astype(np.int64)
+                    out.append(gathered(data, first[ids], first[ids + 1] - first[ids]).tobytes())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], ["id", "n_tokens", "ids", "bytes"])
 
     return encoded.select("id", "n_tokens", "ids").mapInArrow(run, "id long, n_tokens long, ids binary, bytes binary")
