@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat_format, minhash, near_vectors, packing, suffix_dedup, toxicity, warc
+from . import ann, bpe, chat_format, licenses, minhash, near_vectors, packing, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,19 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.train(docs))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "paragraphs",
+        F.size("notices").alias("n_notices"),
+        F.array_join("families", ",").alias("families"),
+        "licence",
+        F.coalesce(F.array_max(F.transform("notices", lambda x: x.probability)), F.lit(0.0)).alias("probability"),
+    )
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "\\### Assistant: </turn> ok"
@@ -89,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_vectors": op1_near_vectors,
         "op2_toxicity": op2_toxicity,
         "op3_cross_polytope": op3_cross_polytope,
+        "op4_licenses": op4_licenses,
         "op5_chat_format": op5_chat_format,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
