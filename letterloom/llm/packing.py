@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import gathered
-from .kernels import groups_of
+from .kernels import text_blocks
 from .pretokens import Pretokens
 from .scratch import written
 
-#: Characters that are cut at once; words that a worker remembers.
+#: Bytes that are cut at once; words that a worker remembers.
 BLOCK, REMEMBERED = 1 << 19, 1 << 20
 
 
@@ -29,10 +29,17 @@ class _Words:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # A word is one match of the tokenizer's pattern already, so its model is all that is asked.
+        self.model = Tokenizer.from_file(path).model
+        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.letters = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.clear()
 
+    def _encode(self, word: str) -> list[int]:
+        written = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return [token.id for token in self.model.tokenize(written)]
+
     def clear(self) -> None:
         self.hash = np.empty(0, np.uint64)
         self.start = self.size = np.empty(0, np.int64)
@@ -50,7 +57,7 @@ class _Words:
             known = self.hash[np.minimum(place, len(self.hash) - 1)] == distinct
         new = np.flatnonzero(~known)
         if len(new):
-            found = [e.ids for e in self.tokenizer.encode_batch([cut.word(i) for i in at[new]], add_special_tokens=False)]
+            found = [self._encode(cut.word(i)) for i in at[new]]
             size = np.fromiter(map(len, found), np.int64, len(found))
             start = len(self.flat) + np.cumsum(size) - size
             self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), "<u4", size.sum())])
@@ -80,10 +87,9 @@ def pieces(docs: DataFrame, path: str, longest: int, end_id: int, id_col: str, t
             _workers[path] = _Words(path)
         words = _workers[path]
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
             rows = batch.column(0).to_pylist()
-            for begin, stop in groups_of(np.array([len(t) + 1 for t in texts]), BLOCK):
-                ids, per_text = words.ids(texts[begin:stop])
+            for begin, stop, texts in text_blocks(batch.column(1), BLOCK):
+                ids, per_text = words.ids(texts)
                 out, at = [], 0
                 for row, n in zip(rows[begin:stop], per_text.tolist()):
                     own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
