@@ -14,7 +14,6 @@ have their anchors at the same place, so windows are compared only where anchors
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +21,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .kernels import U, SpanHash, as_bytes, byte_values, groups_of, mix64
+from .kernels import U, SpanHash, as_bytes, byte_values, groups_of, mix64, parts_of
 from .scratch import drop, written
 
 #: Text bytes worked on at once; rows of a bucket; spans with one core that one task compares; bits of the id filter.
-BLOCK, BUCKET_ROWS, TOGETHER, FILTER = 1 << 20, 1 << 19, 2000, 1 << 24
+BLOCK, BUCKET_ROWS, TOGETHER, FILTER = 1 << 18, 1 << 18, 2000, 1 << 24
 _NO_ID = -(1 << 63)
 _LOW = U((1 << 24) - 1)
 
@@ -78,11 +77,9 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _suffixes(texts: DataFrame, least: int, core: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            data = as_bytes(batch.column(2))
-            ids, hs = (batch.column(i).to_numpy() for i in (0, 1))
-            for low, high in groups_of(np.array([len(x) for x in data]), BLOCK):
-                row, start, count, ahead, lead, span = _anchored(data[low:high], least, core)
-                row = row + low
+            for part in parts_of(batch, 2, BLOCK):
+                ids, hs = (part.column(i).to_numpy() for i in (0, 1))
+                row, start, count, ahead, lead, span = _anchored(as_bytes(part.column(2)), least, core)
                 columns = [ids[row], hs[row], start.astype(np.int32), count.astype(np.int32), ahead.astype(np.int32), lead.astype(U).view(np.int64), span.astype(U).view(np.int64)]
                 for i in range(0, len(row), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], ["id", "h", "start", "n", "ahead", "core", "span"])
@@ -184,9 +181,9 @@ def _maybe(ids: DataFrame):
     maps = slot.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")))
     bits = np.zeros(FILTER + (1 << 16), bool)
     for bucket, held in maps.collect():
-        values = np.unpackbits(np.frombuffer(held, np.uint8), bitorder="little")
-        bits[(bucket - 1) * 32768 + 1 :][: len(values)] |= values.astype(bool)[: len(bits) - (bucket - 1) * 32768 - 1]
-        bits[0] = True
+        values = np.unpackbits(np.frombuffer(held, np.uint8), bitorder="little").astype(bool)
+        first = (bucket - 1) * 32768 + 1 if bucket else 0
+        bits[first : first + len(values)] |= values
     return np.packbits(bits)
 
 
@@ -216,11 +213,10 @@ def _window_hashes(contexts: list[bytes], n: np.ndarray, ahead: np.ndarray, leas
 
 def _runs(hit: np.ndarray, which: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of hits within a span: the span, the first step and the last."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-    edge = np.union1d(edge, np.flatnonzero(hit[1:] & hit[:-1] & (which[1:] != which[:-1])) + 1) if len(edge) else edge
-    starts = np.flatnonzero(hit & np.concatenate([[True], ~hit[:-1] | (which[1:] != which[:-1])])) if len(hit) else edge
-    ends = np.flatnonzero(hit & np.concatenate([~hit[1:] | (which[1:] != which[:-1]), [True]])) if len(hit) else edge
-    base = (np.cumsum(n) - n)[which[starts]] if len(starts) else starts
+    apart = which[1:] != which[:-1]
+    starts = np.flatnonzero(hit & np.concatenate([[True], ~hit[:-1] | apart]))
+    ends = np.flatnonzero(hit & np.concatenate([~hit[1:] | apart, [True]]))
+    base = (np.cumsum(n) - n)[which[starts]]
     return which[starts], starts - base, ends - base
 
 
@@ -277,16 +273,13 @@ def _compared_apart(contexts: DataFrame, least: int) -> DataFrame:
 def _contexts(texts: DataFrame, spans: DataFrame, least: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            out = []
-            for i, h, text, held in zip(*(c.to_pylist() for c in batch.columns)):
-                data = text.encode("utf-8", "surrogatepass")
-                for s in held:
-                    out.append((i, h, s["start"], s["n"], s["ahead"], s["core"], data[s["start"] : s["start"] + s["n"] - 1 + least], s["spans"]))
-                if len(out) > 5000:
+            for part in parts_of(batch, 2, BLOCK):
+                out = []
+                for i, h, data, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part.column(2)), part.column(3).to_pylist()):
+                    for s in held:
+                        out.append((i, h, s["start"], s["n"], s["ahead"], s["core"], data[s["start"] : s["start"] + s["n"] - 1 + least], s["spans"]))
+                if out:
                     yield batch_of(out)
-                    out = []
-            if out:
-                yield batch_of(out)
 
     def batch_of(rows):
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
@@ -300,10 +293,9 @@ _RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts_of(whole, 2, BLOCK)):
         out = []
-        for i, text, held in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-            data = text.encode("utf-8", "surrogatepass")
+        for i, data, held in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist()):
             merged: list[list[int]] = []
             for a, b in sorted((s["a"], s["b"]) for s in held or []):
                 if merged and a <= merged[-1][1]:
