@@ -66,11 +66,13 @@ def _anchored(texts: list[bytes], least: int, core: int) -> tuple[np.ndarray, ..
     return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.empty(0, np.int64) for _ in range(6))
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and ``h`` name a row by its id and text; rows that share both are equal anyway."""
+def _texts(docs: DataFrame, id_col: str, text_col: str, others: list[str] = ()) -> DataFrame:
+    """``id`` and ``h`` name a row by its id and text; rows that share both are cut alike. The columns ``others`` follow,
+    under names that do not clash."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"),
+        *(F.col(c).alias(f"other{i}") for i, c in enumerate(others)),
     )
 
 
@@ -292,22 +294,27 @@ def _contexts(texts: DataFrame, spans: DataFrame, least: int) -> DataFrame:
 _RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
+def _remaining(data: bytes, held: list[dict]) -> tuple[bytes, int]:
+    """``data`` without the intervals, and the number of maximal runs that were removed."""
+    merged: list[list[int]] = []
+    for a, b in sorted((s["a"], s["b"]) for s in held):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    parts, at = [], 0
+    for a, b in merged:
+        parts.append(data[at:a])
+        at = b
+    return b"".join([*parts, data[at:]]), len(merged)
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in parts_of(whole, 2, BLOCK)):
         out = []
         for i, data, held in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist()):
-            merged: list[list[int]] = []
-            for a, b in sorted((s["a"], s["b"]) for s in held or []):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            parts, at = [], 0
-            for a, b in merged:
-                parts.append(data[at:a])
-                at = b
-            kept = b"".join([*parts, data[at:]])
-            out.append((None if i == _NO_ID else i, len(data), len(data) - len(kept), len(merged), kept))
+            kept, spans = _remaining(data, held or [])
+            out.append((None if i == _NO_ID else i, len(data), len(data) - len(kept), spans, kept))
         if out:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], [x.split()[0] for x in _RESULT.split(", ")])
@@ -335,6 +342,19 @@ def repeated_spans(texts: DataFrame, least: int, core: int) -> DataFrame:
     return out
 
 
+def _cut(docs: DataFrame, id_col: str, text_col: str, least: int, core: int | None, others: list[str]) -> DataFrame:
+    """``id``, ``h``, ``text``, ``held`` (intervals to remove) and the columns ``others``; only texts that may have
+    intervals are shuffled."""
+    texts = _texts(docs, id_col, text_col)
+    spans = repeated_spans(texts, least, core or max(1, least // 4))
+    held = spans.groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("held"))
+    maybe = _maybe(spans.select("id", "h"))
+    full = _texts(docs, id_col, text_col, others)
+    clean = _passing(full, maybe, False).withColumn("held", F.lit(None).cast("array<struct<a:int,b:int>>"))
+    cut = _passing(full, maybe, True).join(held, ["id", "h"], "left").select(*clean.columns)
+    return clean.union(cut)
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400, core: int | None = None
 ) -> DataFrame:
@@ -347,10 +367,22 @@ def remove_repeats(
     Null and empty texts are zero bytes. Rows with a null or repeated id are rows like any others; two equal rows of
     ``least`` bytes or more remove each other. Other columns are not read; an empty table gives no rows.
     """
-    texts = _texts(docs, id_col, text_col)
-    spans = repeated_spans(texts, least, core or max(1, least // 4))
-    held = spans.groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("held"))
-    maybe = _maybe(spans.select("id", "h"))
-    clean = _passing(texts, maybe, False).withColumn("held", F.lit(None).cast("array<struct<a:int,b:int>>"))
-    cut = _passing(texts, maybe, True).join(held, ["id", "h"], "left")
-    return clean.union(cut).mapInArrow(_kept, _RESULT)
+    return _cut(docs, id_col, text_col, least, core, []).mapInArrow(_kept, _RESULT)
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400) -> DataFrame:
+    """``docs`` with the text that ``remove_repeats`` keeps; characters whose bytes are removed in part go whole."""
+    names = docs.columns
+    others = [c for c in names if c != text_col]
+    rows = _cut(docs, id_col, text_col, least, None, others)
+    at = 3 + len(others)
+
+    def run(batches):
+        for batch in (part for whole in batches for part in parts_of(whole, 2, BLOCK)):
+            texts = as_bytes(batch.column(2))
+            kept = [_remaining(t, h or [])[0].decode("utf-8", "ignore") for t, h in zip(texts, batch.column(at).to_pylist())]
+            columns = {name: batch.column(3 + i) for i, name in enumerate(others)} | {text_col: pa.array(kept, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    schema = docs.withColumn(text_col, F.lit("").cast("string")).select(*names).schema
+    return rows.mapInArrow(run, schema)
