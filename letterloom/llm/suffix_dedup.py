@@ -189,18 +189,21 @@ def _maybe(ids: DataFrame):
     return np.packbits(bits)
 
 
-def _passing(texts: DataFrame, maybe, wanted: bool) -> DataFrame:
+def _passing(texts: DataFrame, maybe, wanted: bool, then=None, schema=None) -> DataFrame:
+    """The rows that pass the filter (or do not), as they are or as ``then`` makes them in the same worker."""
     shared = texts.sparkSession.sparkContext.broadcast(maybe)
-    layout = ", ".join(f"{n} {t}" for n, t in texts.dtypes)
 
-    def run(batches):
-        bits = np.unpackbits(shared.value).astype(bool)
+    def passed(batches):
         for batch in batches:
-            hit = bits[batch.column(batch.num_columns - 1).to_numpy()]
-            yield batch.filter(pa.array(hit if wanted else ~hit))
+            slot = batch.column(batch.num_columns - 1).to_numpy()
+            hit = (shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+            yield batch.filter(pa.array(hit if wanted else ~hit)).select(range(batch.num_columns - 1))
+
+    def run(batches):
+        yield from then(passed(batches)) if then else passed(batches)
 
     with_slot = texts.withColumn("slot", F.pmod(F.xxhash64("id", "h"), F.lit(FILTER)))
-    return with_slot.mapInArrow(run, f"{layout}, slot long").drop("slot")
+    return with_slot.mapInArrow(run, schema or texts.schema)
 
 
 def _window_hashes(contexts: list[bytes], n: np.ndarray, ahead: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -342,17 +345,17 @@ def repeated_spans(texts: DataFrame, least: int, core: int) -> DataFrame:
     return out
 
 
-def _cut(docs: DataFrame, id_col: str, text_col: str, least: int, core: int | None, others: list[str]) -> DataFrame:
-    """``id``, ``h``, ``text``, ``held`` (intervals to remove) and the columns ``others``; only texts that may have
-    intervals are shuffled."""
+def _cut(docs: DataFrame, id_col: str, text_col: str, least: int, core: int | None, others: list[str], then, schema) -> DataFrame:
+    """What ``then`` makes of rows of ``id``, ``h``, ``text``, the columns ``others`` and ``held`` (intervals to remove);
+    only texts that may have intervals are shuffled."""
     texts = _texts(docs, id_col, text_col)
     spans = repeated_spans(texts, least, core or max(1, least // 4))
     held = spans.groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("held"))
     maybe = _maybe(spans.select("id", "h"))
     full = _texts(docs, id_col, text_col, others)
-    clean = _passing(full, maybe, False).withColumn("held", F.lit(None).cast("array<struct<a:int,b:int>>"))
-    cut = _passing(full, maybe, True).join(held, ["id", "h"], "left").select(*clean.columns)
-    return clean.union(cut)
+    whole = full.withColumn("held", F.lit(None).cast("array<struct<a:int,b:int>>"))
+    cut = _passing(full, maybe, True).join(held, ["id", "h"], "left").select(*whole.columns)
+    return _passing(whole, maybe, False, then, schema).union(cut.mapInArrow(then, schema))
 
 
 def remove_repeats(
@@ -367,14 +370,13 @@ def remove_repeats(
     Null and empty texts are zero bytes. Rows with a null or repeated id are rows like any others; two equal rows of
     ``least`` bytes or more remove each other. Other columns are not read; an empty table gives no rows.
     """
-    return _cut(docs, id_col, text_col, least, core, []).mapInArrow(_kept, _RESULT)
+    return _cut(docs, id_col, text_col, least, core, [], _kept, _RESULT)
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400) -> DataFrame:
     """``docs`` with the text that ``remove_repeats`` keeps; characters whose bytes are removed in part go whole."""
     names = docs.columns
     others = [c for c in names if c != text_col]
-    rows = _cut(docs, id_col, text_col, least, None, others)
     at = 3 + len(others)
 
     def run(batches):
@@ -385,4 +387,4 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
     schema = docs.withColumn(text_col, F.lit("").cast("string")).select(*names).schema
-    return rows.mapInArrow(run, schema)
+    return _cut(docs, id_col, text_col, least, None, others, run, schema)
