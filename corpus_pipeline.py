@@ -21,8 +21,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     held-out third; null labels teach nothing, and null texts are scored as empty and so stay where empty ones do."""
     labels = table(spark, sf_dir, "labels").where(~toxicity.is_held_out("doc_id"))
     model = toxicity.train(docs, labels)
-    scored = toxicity.score(docs.select(*docs.columns), model)
-    return scored.where(F.col("toxicity") < TOXIC).select(*docs.columns)
+    name = "_".join(["toxicity", *docs.columns])  # no column of the documents has it
+    return toxicity.score(docs, model, out_col=name).where(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

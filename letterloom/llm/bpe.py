@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -109,21 +109,21 @@ class _Chunk:
         return int(np.array([self.name], U).view(np.int64)[0])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], keep_words: bool) -> Iterator[_Chunk]:
+def _chunks(batches: Iterator[pa.RecordBatch], size: int, keep_words: bool) -> Iterator[_Chunk]:
     chunk = _Chunk()
     for batch in batches:
         rows = batch.column(0).to_pylist()
         for start, end, texts in text_blocks(batch.column(1), BLOCK):
             chunk.add(rows[start:end], texts, keep_words)
-            if chunk.chars >= CHUNK:
+            if chunk.chars >= size:
                 yield chunk
                 chunk = _Chunk()
     if chunk.rows:
         yield chunk
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in _chunks(batches, True):
+def _word_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for chunk in _chunks(batches, size, True):
         hashes, _ = chunk.numbered()
         bucket = (hashes % U(BUCKETS)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -137,8 +137,8 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 1024]), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "chunk", "n", "meta", "words"])
 
 
-def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in _chunks(batches, False):
+def _place_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for chunk in _chunks(batches, size, False):
         _, blocks = chunk.numbered()
         at = 0
         for numbers, sizes in zip(blocks, chunk.sizes):
@@ -234,18 +234,20 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _ids_batch(out)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
+) -> DataFrame:
     """``id``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit, end to end) for every row of ``docs``.
 
     ``path`` is a file of ranks and ``pattern`` the public pattern whose matches are encoded separately, without
     special tokens: their strings are ordinary text. Null and empty texts have no ids. A null or repeated id is kept
-    as it is, one row per row. Other columns are not read; an empty table gives no rows.
+    as it is, one row per row. ``chunk`` is the characters of a chunk. Other columns are not read; an empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     layout = "chunk long, part tinyint, id long, codes binary, ids binary"
-    words = texts.mapInArrow(_word_rows, "bucket int, chunk long, n int, meta binary, words binary")
+    words = texts.mapInArrow(partial(_word_rows, size=chunk), "bucket int, chunk long, n int, meta binary, words binary")
     words = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoded_words(path, pattern), layout)
-    both = words.union(texts.mapInArrow(_place_rows, layout))
+    both = words.union(texts.mapInArrow(partial(_place_rows, size=chunk), layout))
     return both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(_assembled, "id long, n_tokens long, ids binary")
 
 

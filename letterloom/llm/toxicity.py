@@ -125,7 +125,8 @@ def train(
     """Fit the model on at most ``per_class`` labelled documents of either class (by hash of the id; both classes
     weigh alike) and at most ``features`` slots, those that tell the classes apart best in these documents.
 
-    Rows whose id or label is null are no examples; an id that is labelled twice has the larger label. If a class has
+    Rows whose id or label is null are no examples; an id that is labelled twice has the larger label,
+    and one with several texts the first of them in order. If a class has
     no example, the model scores every text with the share of toxic examples, 0 without any.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -139,7 +140,7 @@ def train(
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("label", "text")
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text")
     sample = written(sample, "examples")
 
     def counted(batches):
@@ -197,13 +198,13 @@ def train(
     return Model(slots, w, base)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``toxicity`` (0 to 1) of every whole text; null and empty texts, and null or repeated
-    ids, are scored like any others. A column that is named ``toxicity`` already is replaced."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` and then ``out_col`` (0 to 1) of every whole text; null and empty texts, and null or
+    repeated ids, are scored like any others. A column that has that name already is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != "toxicity"]
-    rows = docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("toxicity"))
-    schema = docs.select(*kept).schema.add("toxicity", "double")
+    kept = [c for c in docs.columns if c != out_col]
+    rows = docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(out_col))
+    schema = docs.select(*kept).schema.add(out_col, "double")
 
     def run(batches):
         model = shared.value
