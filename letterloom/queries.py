@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import keys, payloads, text, times
 from .operators import identity, messages as ops, pulls, rollups, views
 from .plans import imports, rebuild
-from .sources import chat, packets
+from .sources import chat, packets, sinks
+from .streaming.accumulate import accumulate_packets as accumulate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +33,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors see: below ``spark.checkpoint.dir``, where that is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/letterloom/{name}-{uuid.uuid4().hex}"
+
+
 # Mappings of the driver's tables -----------------------------------------------------------------------------------
 
 TS = "1700000000000 + conv_id * 3600000 + turn * 1000"
@@ -37,8 +46,8 @@ CONV = f"""conv AS (SELECT conv_id, turn, role, text, 'messages/inbox/conv_' ||
   conv_id % 3 = 0 AS grp FROM conversations)"""
 
 
-def conversations(spark: SparkSession, d: str) -> DataFrame:
-    """Merged messages of two overlapping exports of ``conversations``: all turns, and all but each first."""
+def exports(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of two overlapping exports of ``conversations``: all turns, and all but each first."""
     rows = table(spark, d, "conversations").select(
         F.lit("instagram").alias("source_kind"), F.lit(None).cast("string").alias("export_account"),
         F.concat(F.lit("messages/inbox/conv_"), "conv_id").alias("source_thread_key"), "conv_id", "turn",
@@ -48,8 +57,11 @@ def conversations(spark: SparkSession, d: str) -> DataFrame:
     seq = F.when(F.col("export_root") == "e1", 1).otherwise(2)
     each = each.withColumn("import_seq", F.struct(seq.alias("source_seq"), F.array("source_thread_key").alias("path_parts"), F.col("turn").cast("int").alias("pos")))
     fp = F.sha2(F.concat_ws("|", "sender_name", F.col("ts_ms").cast("string"), "body_text"), 256)
-    merged = ops.merge_exports(each.withColumn("fp", fp))
-    return merged.withColumn("sent_at", F.timestamp_millis("ts_ms"))
+    return each.withColumn("fp", fp)
+
+
+def conversations(spark: SparkSession, d: str) -> DataFrame:
+    return ops.merge_exports(exports(spark, d)).withColumn("sent_at", F.timestamp_millis("ts_ms"))
 
 
 def graph(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -543,3 +555,26 @@ def stale_views(spark, d):
 def render_graph(spark, d):
     out = rebuild.render_graph(graph(spark, d))
     return out["people"].agg(F.count("*").alias("people")).crossJoin(out["transcripts"].agg(F.count("*").alias("lines")))
+
+
+@query(f"""WITH {CONV} SELECT thread AS source_thread_key, count(*) AS message_count, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM conv GROUP BY thread""")
+def accumulate_packets(spark, d):
+    """Both exports of the merge, the later first, folded in by a stream of complete packets; the first comes twice."""
+    both = exports(spark, d)
+    folder = scratch(spark, "stream")
+    read = lambda batch: both.join(batch.select(F.col("packet").alias("export_root")).distinct(), "export_root", "left_semi")
+    for packet in ("e2", "e1", "e1"):
+        both.where(F.col("export_root") == packet).select(F.col("export_root").alias("packet")).limit(1).write.mode("append").parquet(f"{folder}/manifest")
+        accumulate(spark, f"{folder}/manifest", "packet string", read, f"{folder}/messages", f"{folder}/checkpoint").awaitTermination()
+    m = spark.read.parquet(f"{folder}/messages")
+    return m.groupBy("source_thread_key").agg(F.count("*").alias("message_count"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+
+
+@query("""SELECT export_account, count(*) AS messages FROM (SELECT 'acct' || user_id % 4 AS export_account, user_id % 4 = 1 AS ready, event_id FROM events) WHERE NOT ready OR event_id % 2 = 0 GROUP BY 1""")
+def rebuild_projection(spark, d):
+    """All accounts are written; then the only one that is ready advances to a candidate that has lost messages."""
+    rows = table(spark, d, "events").select(F.lit("facebook").alias("source_kind"), F.concat(F.lit("acct"), F.col("user_id") % 4).alias("export_account"), "event_id")
+    path, names = scratch(spark, "canonical"), [f"acct{i}" for i in range(4)]
+    rebuild.rebuild_projection(spark, path, {"messages": rows}, "facebook", names, names)
+    rebuild.rebuild_projection(spark, path, {"messages": rows.where("event_id % 2 = 0")}, "facebook", names, ["acct1"], independent=True)
+    return sinks.read_canonical(spark, path, "messages").groupBy("export_account").agg(F.count("*").alias("messages"))

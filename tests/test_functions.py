@@ -68,3 +68,9 @@ def test_bodies_from_payloads(spark):
 def test_attributed_bodies(spark):
     blobs = [plistlib.dumps({"a": ["NSString", "hello there"]}), b"\x00\x01NSMutable\x00hello world\x00", "wide text".encode("utf-16le"), b"", None, b"\x00\x01"]
     assert column(spark, blobs, payloads.decode_attributed_body, "binary") == ["hello there", "hello world", "wide text", None, None, None]
+
+
+def test_import_order_is_by_path_parts(spark):
+    paths = ["a-b/x", "a/x", "m/message_2.json", "m/message_10.json"]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").orderBy(F.split("p", "/")).collect()
+    assert [r.p for r in got] == ["a/x", "a-b/x", "m/message_10.json", "m/message_2.json"]
