@@ -20,7 +20,7 @@ from .pretokens import Pretokens
 from .scratch import written
 
 #: Bytes that are cut at once; words that a worker remembers.
-BLOCK, REMEMBERED = 1 << 19, 1 << 20
+BLOCK, REMEMBERED = 1 << 18, 1 << 19
 
 
 class _Words:
@@ -61,10 +61,9 @@ class _Words:
             size = np.fromiter(map(len, found), np.int64, len(found))
             start = len(self.flat) + np.cumsum(size) - size
             self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), "<u4", size.sum())])
-            order = np.argsort(np.concatenate([self.hash, distinct[new]]), kind="stable")
-            self.hash = np.concatenate([self.hash, distinct[new]])[order]
-            self.start = np.concatenate([self.start, start])[order]
-            self.size = np.concatenate([self.size, size])[order]
+            self.hash = np.insert(self.hash, place[new], distinct[new])
+            self.start = np.insert(self.start, place[new], start)
+            self.size = np.insert(self.size, place[new], size)
             place = np.searchsorted(self.hash, distinct)
         place = place[inverse]
         sizes = self.size[place]
