@@ -79,7 +79,7 @@ def explode_media(messages: DataFrame, provider: str) -> DataFrame:
     below = F.concat_ws("/", F.nullif(F.col("export_root"), F.lit("")), "source_uri")
     return each.select(
         key.alias("object_key"),
-        *(c for c in ("source_kind", "source_thread_key", "source_message_key", "import_seq") if c in messages.columns),
+        *(c for c in ("source_kind", "export_account", "source_thread_key", "source_message_key", "import_seq") if c in messages.columns),
         "media_kind",
         "media_index",
         "source_uri",

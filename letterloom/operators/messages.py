@@ -61,7 +61,10 @@ def chat_messages(tables: dict[str, DataFrame]) -> DataFrame:
     handle = tables["handle"].select(F.col("ROWID").alias("handle_id"), F.col("id").alias("handle"))
     message = tables["message"].withColumnRenamed("ROWID", "message_id")
     joined = tables["chat_message_join"].join(message, "message_id").join(chat, "chat_id").join(handle, "handle_id", "left")
-    return joined.withColumn("import_seq", F.struct("chat_id", "date", "message_id"))
+    date = F.lpad((F.coalesce("date", F.lit(0)).cast("decimal(20,0)") + F.lit(10**18 * 9)).cast("string"), 20, "0")
+    parts = F.array(F.lpad(F.col("chat_id").cast("string"), 20, "0"), date)
+    seq = F.struct(F.lit(0).alias("source_seq"), parts.alias("path_parts"), F.col("message_id").cast("long").alias("pos"))
+    return joined.withColumn("import_seq", seq)
 
 
 def chat_participants(tables: dict[str, DataFrame]) -> DataFrame:

@@ -10,7 +10,29 @@ from ..functions.times import apple_date_to_ts, epoch_ms_to_ts
 from ..operators import identity, messages as ops, rollups
 from ..sources import packets
 
-TABLES = ("identities", "accounts", "threads", "thread_participants", "messages", "media_objects", "graph_edges")
+#: What is stored of an import, by source and account; the other tables follow from these.
+STORED = ("people", "threads", "messages", "media_objects")
+
+
+def derived(stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All canonical tables from the stored ones. Identities and accounts are those of people that some source still
+    has, so they need no deletion, and a group is any thread that was ever shown as one."""
+    threads, people = stored["threads"], stored["people"]
+    grouped = threads.where("ever_group")
+    members = identity.participants(people)
+    return stored | {
+        "identities": identity.identities(people).unionByName(identity.group_identities(grouped)),
+        "accounts": identity.accounts(people),
+        "thread_participants": members,
+        "graph_edges": identity.graph_edges(members, grouped),
+    }
+
+
+def _threads(facts: DataFrame, messages: DataFrame) -> DataFrame:
+    """The last facts of each thread, whether any showed a group, and its bounds."""
+    ever = facts.groupBy(*rollups.THREAD).agg(F.bool_or(F.col("thread_kind") == "group").alias("ever_group"))
+    last = ops.latest_small(facts, rollups.THREAD).drop("import_seq")
+    return last.join(ever, rollups.THREAD).join(rollups.thread_bounds(messages), rollups.THREAD, "left")
 
 
 def import_packets(
@@ -46,25 +68,17 @@ def import_packets(
     )
     kept = bodies.join(sender, ["source_kind", "source_thread_key", "sender_name"], "left")
     media = payloads.explode_media(bodies, provider)
-    threads = ops.latest_small(facts.drop("names", "export_root"), rollups.THREAD).drop("import_seq")
-    threads = threads.join(rollups.thread_bounds(bodies), rollups.THREAD, "left")
-    grouped = facts.where("thread_kind = 'group'").select(*rollups.THREAD).distinct()
-    members = identity.participants(people)
-    groups = identity.group_identities(threads.join(grouped, rollups.THREAD, "left_semi"))
-    return {
-        "identities": identity.identities(people).unionByName(groups),
-        "accounts": identity.accounts(people),
-        "threads": threads,
-        "thread_participants": members,
+    stored = {
+        "people": people,
+        "threads": _threads(facts.drop("names", "export_root"), bodies),
         "messages": kept.select(
             "source_kind", "export_account", "source_thread_key", "source_message_key", "sender_identity_key",
             "sender_account_source_kind", "sender_account_key", "sent_at", "body_text", F.lit("plain").alias("body_format"),
             F.to_json("payload").alias("raw_json"), "import_seq",
         ),
         "media_objects": ops.latest_small(media, ["object_key"]).drop("import_seq"),
-        "graph_edges": identity.graph_edges(members, grouped),
-        "rejects": rejects,
     }
+    return derived(stored) | {"rejects": rejects}
 
 
 def import_chat(tables: dict[str, DataFrame], me_handles: list[str] = (), me_name: str = "Me") -> dict[str, DataFrame]:
@@ -90,7 +104,7 @@ def import_chat(tables: dict[str, DataFrame], me_handles: list[str] = (), me_nam
         payloads.chat_kind(F.col("display_name"), handles).alias("thread_kind"), handles.alias("handles"),
     )
     rows = ops.latest_by_key(rows, ["source_kind", "source_thread_key", "source_message_key"])
-    threads = ops.latest_small(rows.select(*rollups.THREAD, "export_account", "title", "thread_kind", "import_seq"), rollups.THREAD).drop("import_seq")
+    facts = rows.select(*rollups.THREAD, "export_account", "title", "thread_kind", "import_seq")
     listed = rows.select(*rollups.THREAD, F.explode("handles").alias("name"), "import_seq")
     me = [h.lower() for h in me_handles] or [""]
     listed = listed.select(
@@ -100,19 +114,15 @@ def import_chat(tables: dict[str, DataFrame], me_handles: list[str] = (), me_nam
     sent = rows.where("sender_account_source_kind <> 'self'").select(*rollups.THREAD, F.col("sender_name").alias("name"), "import_seq", F.col("sender_account_source_kind").alias("account_source_kind"), F.col("sender_account_key").alias("account_key"), F.lit("participant").alias("role"), F.col("sender_identity_key").alias("identity_key"))
     people = listed.unionByName(selves).unionByName(sent)
     people = people.withColumn("identity_kind", F.lit("person")).withColumn("display_name", F.when(F.col("identity_key") == "person:self", F.lit(me_name)).otherwise(F.col("name")))
-    members = identity.participants(people)
-    grouped = rows.where("thread_kind = 'group'").select(*rollups.THREAD).distinct()
+    people = people.withColumn("export_account", F.lit(None).cast("string"))
     attached = ops.message_attachments(tables)
-    media = rows.select("message_id", *rollups.THREAD, "source_message_key", "import_seq").join(attached, "message_id").select(
+    media = rows.select("message_id", *rollups.THREAD, "export_account", "source_message_key", "import_seq").join(attached, "message_id").select(
         F.concat_ws(":", kind, "source_message_key", F.coalesce("attachment_guid", F.col("attachment_id").cast("string"))).alias("object_key"),
-        *rollups.THREAD, "source_message_key", F.col("filename").alias("source_uri"), F.col("filename").alias("local_path"), "mime_type", "import_seq",
+        *rollups.THREAD, "export_account", "source_message_key", F.col("filename").alias("source_uri"), F.col("filename").alias("local_path"), "mime_type", "import_seq",
     )
-    return {
-        "identities": identity.identities(people).unionByName(identity.group_identities(threads.join(grouped, rollups.THREAD, "left_semi"))),
-        "accounts": identity.accounts(people),
-        "threads": threads.join(rollups.thread_bounds(rows), rollups.THREAD, "left"),
-        "thread_participants": members,
+    return derived({
+        "people": people,
+        "threads": _threads(facts, rows),
         "messages": rows.drop("title", "thread_kind", "handles", "message_id", "sender_name"),
         "media_objects": ops.latest_small(media, ["object_key"]).drop("import_seq"),
-        "graph_edges": identity.graph_edges(members, grouped),
-    }
+    })

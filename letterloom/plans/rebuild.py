@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import view_path, with_slug
 from ..operators import rollups, views
+from ..plans.imports import STORED, derived
 from ..sources.sinks import read_canonical, write_canonical, write_views
 
 
@@ -20,7 +21,8 @@ def rebuild_projection(
     """Replace the projections of ``accounts`` and return those replaced.
 
     With ``independent`` (Facebook) each account that is ready advances alone; else nothing does until all are. A
-    candidate without messages never replaces one that has some. Rows that a source no longer has disappear.
+    candidate without messages never replaces one that has some. What a source no longer has disappears, its people
+    too: only the ``STORED`` tables are written, and ``canonical_graph`` derives the others from all sources.
     """
     waiting = [a for a in accounts if a not in ready]
     if waiting and not independent:
@@ -41,12 +43,17 @@ def rebuild_projection(
             raise Held(f"the new projection of {key} is empty and the old one is not")
     scoped = {}
     for table, df in tables.items():
-        if table != "rejects" and "source_kind" in df.columns and "export_account" in df.columns:
+        if table in STORED:
             scoped[table] = df.where((F.col("source_kind") == source_kind) & name.isin([a or "_" for a in going]))
     write_canonical(scoped, path, {source_kind: going})
     return going
 
 
+def canonical_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """All canonical tables of what is stored below ``path``, over all sources and accounts."""
+    return derived({name: read_canonical(spark, path, name) for name in STORED})
+
+
 def render_graph(tables: dict[str, DataFrame], path: str | None = None) -> dict[str, DataFrame]:
     """All views of the canonical tables, written below ``path`` if one is given."""
     identities, threads, messages = tables["identities"], tables["threads"], tables["messages"]

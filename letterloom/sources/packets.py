@@ -93,7 +93,7 @@ def file_threads(files: DataFrame) -> DataFrame:
         "source_kind", "export_account", "export_root", "source_thread_key", "names",
         packet_title(F.try_variant_get("file", "$.title", "string"), F.col("names"), folder).alias("title"),
         packet_kind(F.col("names")).alias("thread_kind"),
-        F.struct("source_seq", "path_parts", F.lit(0).alias("pos")).alias("import_seq"),
+        F.struct("source_seq", "path_parts", F.lit(0).cast("long").alias("pos")).alias("import_seq"),
     )
 
 
@@ -101,4 +101,4 @@ def explode_messages(files: DataFrame) -> DataFrame:
     """One row per message of the files; elements that are no objects are left out."""
     each = files.select("*", F.posexplode(F.try_variant_get("file", "$.messages", "array<variant>")).alias("pos", "payload"))
     each = each.where(F.coalesce(F.schema_of_variant("payload"), F.lit("")).startswith("OBJECT"))
-    return each.drop("file").withColumn("import_seq", F.struct("source_seq", "path_parts", "pos"))
+    return each.drop("file").withColumn("import_seq", F.struct("source_seq", "path_parts", F.col("pos").cast("long").alias("pos")))

@@ -47,7 +47,8 @@ def write_canonical(tables: dict[str, DataFrame], path: str, scope: dict[str, li
 def read_canonical(spark: SparkSession, path: str, name: str, schema: str | None = None) -> DataFrame:
     if not _exists(spark, f"{path}/{name}") and schema:
         return spark.createDataFrame([], schema)
-    found = spark.read.schema(schema).parquet(f"{path}/{name}") if schema else spark.read.parquet(f"{path}/{name}")
+    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)
+    found = reader.parquet(f"{path}/{name}")
     return found.withColumn("export_account", F.nullif(F.col("export_account").cast("string"), F.lit(_NO_ACCOUNT)))
 
 

@@ -98,7 +98,7 @@ def test_chat_import_and_deletion(spark):
 def test_gates_and_replacement(spark, tmp_path):
     path = str(tmp_path / "canon")
     rows = spark.createDataFrame([("facebook", "a", "t1"), ("facebook", "a", "t2"), ("facebook", "b", "t3"), ("imessage", None, "t4")], "source_kind string, export_account string, source_thread_key string")
-    tables = {"messages": rows}
+    tables = {"messages": rows, "rejects": rows}
     rebuild.rebuild_projection(spark, path, tables, "facebook", ["a", "b"], ["a", "b"])
     rebuild.rebuild_projection(spark, path, tables, "imessage", [None], [None])
     kept = lambda: sorted(r.source_thread_key for r in sinks.read_canonical(spark, path, "messages").collect())
@@ -142,3 +142,25 @@ def test_views_and_log_are_written(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 2
     counted = rollups.thread_counts(conversations(spark, SF)).agg(F.sum("message_count")).first()[0]
     assert counted == spark.read.parquet(f"{SF}/conversations.parquet").count()
+
+
+def test_sources_share_one_graph(spark, tmp_path):
+    folder = "facebook-{}-2026-01-01-x/your_facebook_activity/messages/inbox/t/message_1.json"
+    for account, friend in (("ann", "Bob"), ("cy", "Dee")):
+        put(tmp_path / "in", folder.format(account), told([account, friend, "Eve"], (friend, 1000, f"from {friend}", {"photos": [{"uri": "p.jpg"}]})))
+    path = str(tmp_path / "canon")
+    both = imports.import_packets(packets.list_files(spark, str(tmp_path / "in")), "facebook")
+    rebuild.rebuild_projection(spark, path, both, "facebook", ["ann", "cy"], ["ann", "cy"])
+    rebuild.rebuild_projection(spark, path, imports.import_chat(chat_rows(spark)), "imessage", [None], [None])
+    names = lambda: {r.stable_key for r in rebuild.canonical_graph(spark, path)["identities"].where("kind = 'person'").collect()}
+    everyone = {f"person:facebook:{n}" for n in ("ann", "bob", "cy", "dee", "eve")} | {"person:imessage:+1555", "person:imessage:bob@x.org", "person:self"}
+    assert names() == everyone
+    put(tmp_path / "in", folder.format("cy"), told(["cy", "Fay", "Eve"], ("Fay", 1000, "now from Fay", {})))
+    again = imports.import_packets(packets.list_files(spark, str(tmp_path / "in")), "facebook")
+    rebuild.rebuild_projection(spark, path, again, "facebook", ["ann", "cy"], ["cy"], independent=True)
+    rebuild.rebuild_projection(spark, path, imports.import_chat(chat_rows(spark, False)), "imessage", [None], [None])
+    assert names() == everyone - {"person:facebook:dee", "person:imessage:bob@x.org"} | {"person:facebook:fay"}
+    graph = rebuild.canonical_graph(spark, path)
+    assert graph["messages"].count() == 4 and graph["media_objects"].count() == 1
+    people = {r.identity_key: (r.messages, r.group_threads) for r in rebuild.render_graph(graph)["people"].collect()}
+    assert people["person:facebook:eve"] == (2, 2) and people["person:self"] == (2, 0)
