@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from .kernels import U, SpanHash, as_bytes, byte_values, groups_of, mix64, parts_of
 from .scratch import drop, written
 
-#: Text bytes worked on at once; rows of a bucket; spans with one core that one task compares; bits of the id filter.
+#: Text bytes worked on at once; rows of a bucket; spans of one core in a block; bits of the id filter.
 BLOCK, BUCKET_ROWS, TOGETHER, FILTER = 1 << 18, 1 << 18, 2000, 1 << 24
 _NO_ID = -(1 << 63)
 _LOW = U((1 << 24) - 1)
@@ -225,54 +225,89 @@ def _runs(hit: np.ndarray, which: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return which[starts], starts - base, ends - base
 
 
+_OPEN = np.dtype([("w", "<u8"), ("id", "<i8"), ("h", "<i8"), ("a", "<i4"), ("known", "?")])
+
+
+def _settle(rows: list[tuple], least: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Intervals of the windows that spans of ``rows`` share with each other; and, for spans whose core other blocks hold
+    too, every other window once, packed by bucket of its hash."""
+    ids, hs, start, n, ahead, data, large = zip(*rows)
+    ids, hs, start, n, large = np.array(ids, np.int64), np.array(hs, np.int64), np.array(start), np.array(n), np.array(large)
+    hashes, which = _window_hashes(list(data), n, np.array(ahead), least)
+    _, first, inverse, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    shared = count[inverse] > 1
+    span, low, high = _runs(shared, which, n)
+    none = pa.nulls(len(span), pa.int32()), pa.nulls(len(span), pa.binary())
+    found = [ids[span], hs[span], (start[span] + low).astype(np.int32), (start[span] + high + least).astype(np.int32)]
+    yield pa.RecordBatch.from_arrays([*map(pa.array, found), *none], _WINDOW_NAMES)
+    if large.any():
+        first = first[large[which[first]]]
+        step = first - (np.cumsum(n) - n)[which[first]]
+        left = np.empty(len(first), _OPEN)
+        left["w"], left["id"], left["h"] = hashes[first], ids[which[first]], hs[which[first]]
+        left["a"], left["known"] = start[which[first]] + step, shared[first]
+        bucket = (left["w"] % U(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.flatnonzero(np.diff(bucket[order])) + 1
+        parts = [x for x in np.split(order, cut) if len(x)]
+        gaps = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+        packed = pa.array([left[x].tobytes() for x in parts], pa.binary())
+        yield pa.RecordBatch.from_arrays([*gaps, pa.array([int(bucket[x[0]]) for x in parts], pa.int32()), packed], _WINDOW_NAMES)
+
+
+_WINDOW_NAMES = ["id", "h", "a", "b", "bucket", "packed"]
+
+
 def _compared(contexts: DataFrame, least: int) -> DataFrame:
-    """Intervals of the windows that two spans share; all spans of a core meet in one task, whole cores at a time."""
-
-    def settle(rows):
-        ids, hs, start, n, ahead, _, data = zip(*rows)
-        n = np.array(n)
-        hashes, which = _window_hashes(list(data), n, np.array(ahead), least)
-        _, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
-        span, first, last = _runs(count[inverse] > 1, which, n)
-        start = np.array(start)[span]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(ids, np.int64)[span]), pa.array(np.array(hs, np.int64)[span]), pa.array((start + first).astype(np.int32)), pa.array((start + last + least).astype(np.int32))],
-            ["id", "h", "a", "b"],
-        )
+    """Intervals of the windows that two spans share.
+
+    Spans of one core meet in blocks of about ``TOGETHER``, most cores in one, and a block settles what its own spans
+    share. Of a core that many different spans share, the windows that a block holds, each once, then meet those of
+    other blocks by hash; packed, so that they are few rows, and bounded by distinct windows, not by copies.
+    """
+    total = contexts.where(f"spans > {TOGETHER}").agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, total >> 19)
 
     def run(batches):
-        held, size, core = [], 0, None
+        held, size, block = [], 0, None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[5] != core and size > BLOCK:
-                    yield settle(held)
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != block and size > BLOCK:
+                    yield from _settle(held, least, buckets)
                     held, size = [], 0
-                core = row[5]
+                block = key
                 held.append(row)
-                size += len(row[6])
+                size += len(row[5])
         if held:
-            yield settle(held)
-
-    return contexts.repartition("core").sortWithinPartitions("core").mapInArrow(run, "id long, h long, a int, b int")
+            yield from _settle(held, least, buckets)
 
+    salt = F.pmod(F.xxhash64("id", "h", "start"), F.ceil(F.col("spans") / TOGETHER))
+    dealt = contexts.select(
+        F.xxhash64("core", salt).alias("block"), "id", "h", "start", "n", "ahead", "context", (F.col("spans") > TOGETHER).alias("large")
+    )
+    dealt = dealt.repartition("block").sortWithinPartitions("block")
+    found = written(dealt.mapInArrow(run, "id long, h long, a int, b int, bucket int, packed binary"), "windows")
 
-def _compared_apart(contexts: DataFrame, least: int) -> DataFrame:
-    """The same for cores that very many different spans share: every window is a row, and windows are counted."""
-
-    def run(batches):
+    def meet(batches):
+        held, bucket = [], None
         for batch in batches:
-            ids, hs, start, n, ahead = (batch.column(i).to_numpy() for i in range(5))
-            data = batch.column(6).to_pylist()
-            for low, high in groups_of(n, 1 << 16):
-                hashes, which = _window_hashes(data[low:high], n[low:high], ahead[low:high], least)
-                own = n[low:high]
-                step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-                which = which + low
-                yield pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(hs[which]), pa.array((start[which] + step).astype(np.int32)), pa.array(hashes.view(np.int64))], ["id", "h", "a", "w"])
+            for key, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != bucket and held:
+                    yield repeated(held)
+                    held = []
+                bucket = key
+                held.append(np.frombuffer(packed, _OPEN))
+        if held:
+            yield repeated(held)
+
+    def repeated(parts):
+        rows = np.concatenate(parts)
+        _, inverse, count = np.unique(rows["w"], return_inverse=True, return_counts=True)
+        rows = rows[(count[inverse] > 1) & ~rows["known"]]
+        return pa.RecordBatch.from_arrays([pa.array(rows["id"].copy()), pa.array(rows["h"].copy()), pa.array(rows["a"].copy()), pa.array((rows["a"] + least).astype(np.int32))], ["id", "h", "a", "b"])
 
-    windows = contexts.mapInArrow(run, "id long, h long, a int, w long")
-    shared = windows.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
-    return windows.join(shared, "w").select("id", "h", "a", (F.col("a") + least).alias("b"))
+    apart = found.where("bucket is not null").select("bucket", "packed").repartition("bucket").sortWithinPartitions("bucket")
+    return found.where("bucket is null").select("id", "h", "a", "b").union(apart.mapInArrow(meet, "id long, h long, a int, b int"))
 
 
 def _contexts(texts: DataFrame, spans: DataFrame, least: int) -> DataFrame:
@@ -337,9 +372,7 @@ def repeated_spans(texts: DataFrame, least: int, core: int) -> DataFrame:
     open_spans = settled.where("spans > 1 and (not repeated or first)").select("id", "h", "start", "n", "ahead", "core", "spans")
     found = _passing(texts, _maybe(open_spans.select("id", "h")), True)
     contexts = written(_contexts(found, open_spans, least), "contexts")
-    few = _compared(contexts.where(f"spans <= {TOGETHER}").drop("spans"), least)
-    many = _compared_apart(contexts.where(f"spans > {TOGETHER}").drop("spans"), least)
-    out = written(full.union(few).union(many), "spans")
+    out = written(full.union(_compared(contexts, least)), "spans")
     drop(settled)
     drop(contexts)
     return out
