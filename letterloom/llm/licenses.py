@@ -48,8 +48,9 @@ SENTENCE = r"(?<=[.!?])\s+"
 
 
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Paragraph number and slot of all words and word pairs, and where each paragraph's words end; words are runs of
-    letters, digits and bytes beyond ASCII, lower-cased."""
+    """Paragraph number and hash of all distinct words and word pairs, and each paragraph's number of words; words are
+    runs of letters, digits and bytes beyond ASCII, lower-cased. The classifier folds hashes into slots, templates are
+    compared by whole hashes."""
     data = np.frombuffer(b" ".join([b"", *texts, b""]).lower(), np.uint8)
     word = ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57)) | (data >= 128)
     start = np.flatnonzero(word[1:] & ~word[:-1]) + 1
@@ -59,9 +60,15 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     same = row[1:] == row[:-1]
     two = mix64(one[:-1] * U(3) + one[1:])[same]
     rows = np.concatenate([row, row[1:][same]])
-    slots = (np.concatenate([one, two]) & U(SLOTS - 1)).astype(np.int64)
-    both = np.unique(rows * SLOTS + slots)
-    return both // SLOTS, both % SLOTS, np.bincount(row, minlength=len(texts))
+    grams = np.concatenate([one, two])
+    order = np.lexsort((grams, rows))
+    rows, grams = rows[order], grams[order]
+    new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (rows[1:] != rows[:-1])])[: len(rows)]
+    return rows[new], grams[new], np.bincount(row, minlength=len(texts))
+
+
+def _slots(grams: np.ndarray) -> np.ndarray:
+    return (grams & U(SLOTS - 1)).astype(np.int64)
 
 
 class Scanner:
@@ -84,10 +91,11 @@ class Scanner:
         return p / p.sum(axis=1, keepdims=True)
 
     def judge(self, texts: list[bytes]) -> list[tuple[str, float, float]]:
-        """Class, probability and template likeness of each paragraph. A family stands if it is likely enough and some
-        template of it is in the paragraph; else a notice that grants something in a known way is unknown."""
-        row, slot, words = _grams(texts)
-        p = self.probabilities(row, slot, len(texts))
+        """Class, probability and template likeness of each paragraph. Of the four likeliest
+        classes that is taken whose template the paragraph holds most of; it stands if it and the likeliest class are
+        likely enough together and enough of the template is there; else a notice that grants something in a known way is unknown."""
+        row, grams, words = _grams(texts)
+        p = self.probabilities(row, _slots(grams), len(texts))
         best = p.argmax(axis=1)
         out = []
         ends = np.searchsorted(row, np.arange(len(texts) + 1))
@@ -96,8 +104,12 @@ class Scanner:
             if name == NONE or not words[i]:
                 out.append((NONE, likely if name == NONE else 0.0, 0.0))
                 continue
-            own = set(slot[ends[i] : ends[i + 1]].tolist())
-            alike = max((len(t & own) / len(t) for t in self.templates.get(name, ())), default=0.0)
+            own = set(grams[ends[i] : ends[i + 1]].tolist())
+            alike = 0.0
+            for near in np.argsort(-p[i], kind="stable")[:4]:
+                here = max((len(t & own) / len(t) for t in self.templates.get(self.names[near], ())), default=0.0)
+                if here > alike:
+                    name, likely, alike = self.names[near], float(p[i, near] + (likely if near != k else 0)), here
             if name == UNKNOWN or likely < self.least or alike < self.alike:
                 alike = max(len(g & own) / len(g) for g in self.grants)
                 name = UNKNOWN if alike >= self.alike else NONE
@@ -117,20 +129,23 @@ def _examples() -> list[tuple[str, str]]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordinary: int = 3000, rounds: int = 150) -> Scanner:
     """Fit the classifier on notices made from the fixed names and at most ``ordinary`` sentences of ``docs`` (of the
-    documents with the smallest id hashes) that hold no word of a notice. A third of all examples is set apart: on it
+    documents with the smallest hashes) that hold no word of a notice. A third of all examples is set apart: on it
     the probabilities' temperature is chosen, and the least probability of a family so that no more than one in a
     thousand other examples reaches it.
     """
     cue = r"(?i)licen[cs]|copyright|\bGPL|\bBSD|\bMIT\b|creative commons|\bCC[ 0-]"
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and length(text) > 0")
-    few = texts.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(max(1, ordinary // 10))
+    keyed = texts.withColumn("key", F.xxhash64("id", "text"))
+    least = keyed.select("key").distinct().orderBy("key").limit(max(1, ordinary // 10)).agg(F.max("key")).first()[0]
+    few = keyed.where(F.col("key") <= F.lit(least)).orderBy("key")
     lines = few.select(F.explode(F.split("text", r"\n|" + SENTENCE)).alias("line")).where("length(trim(line)) > 0")
     plain = [r[0][:400] for r in lines.where(~F.col("line").rlike(cue)).limit(ordinary).collect()]
     examples = [*_examples(), *((NONE, p) for p in plain), (NONE, ""), (NONE, "the license")]
     names = [NONE, UNKNOWN, *FAMILIES]
     label = np.array([names.index(f) for f, _ in examples])
     data = [t.encode("utf-8", "surrogatepass") for _, t in examples]
-    row, slot, _ = _grams(data)
+    row, grams, _ = _grams(data)
+    slot = _slots(grams)
     apart = mix64(np.arange(len(data), dtype=U)) % U(3) == U(0)
     seen = np.unique(slot[~apart[row]])
     at = np.minimum(np.searchsorted(seen, slot), len(seen) - 1)
@@ -156,7 +171,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordin
         weights -= 0.5 * grad / (np.sqrt(size) + 1e-9)
         base -= 0.5 * gap.sum(axis=0)
     scanner = Scanner(names, seen, weights, base)
-    totals = lambda heat: setattr(scanner, "heat", heat) or scanner.probabilities(*_grams([d for d, a in zip(data, apart) if a])[:2], int(apart.sum()))
+    tried, heard, _ = _grams([d for d, a in zip(data, apart) if a])
+    totals = lambda heat: setattr(scanner, "heat", heat) or scanner.probabilities(tried, _slots(heard), int(apart.sum()))
     heats = [0.5, 0.7, 1.0, 1.4, 2.0, 3.0]
     losses = [-np.log(totals(h)[np.arange(apart.sum()), label[apart]].clip(1e-12)).mean() for h in heats]
     p = totals(heats[int(np.argmin(losses))])
