@@ -12,8 +12,8 @@ from .kernels import U, mix64
 from .scratch import written
 from .vectors import matrix, with_validity
 
-#: Vectors of a bucket that one task scores; vectors of an index beyond which a table joins two hashes.
-BLOCK, TWO_HASHES_FROM = 8192, 1 << 19
+#: Vectors of a bucket that one task scores.
+BLOCK = 8192
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -90,9 +90,8 @@ def nearest(
     ``queries`` (a Column over ``id``) selects, the ``k`` other rows found with the largest inner products, in double
     precision, ties to the smaller id; all others where there are fewer.
 
-    Every vector is put into one bucket of each table, the signed axis that its rotation is nearest to (from
-    ``TWO_HASHES_FROM`` vectors on, a pair of axes); a query probes the ``probes`` nearest buckets of each. Buckets
-    are cut into blocks, and a block scores all its queries exactly and passes on its best ``k`` + 1 for each, so a
+    Every vector is put into one bucket of each table, the signed axis that its rotation is nearest to, at every size
+    of the index; a query probes the ``probes`` nearest buckets of each. Buckets are cut into blocks, and a block scores all its queries exactly and passes on its best ``k`` + 1 for each, so a
     large bucket is many tasks and rows are never paired outside of one. Rotations act on vectors that are made
     equally long by one more component unless they are so already.
 
@@ -112,7 +111,7 @@ def nearest(
         F.count("*"), F.max(F.size("vec")), F.sqrt(F.max(square)), F.sqrt(F.min(square))
     ).first()
     even = not size or longest - shortest <= 1e-4 * longest
-    turns = Rotations((dim or 1) + (not even), tables, 1 if size < TWO_HASHES_FROM else 2)
+    turns = Rotations((dim or 1) + (not even), tables, 1)
     kind = dict(rows.dtypes)["vec"]
 
     def hashed(as_query: bool):

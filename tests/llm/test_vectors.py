@@ -85,6 +85,17 @@ def test_nearest_with_unequal_lengths_copies_and_odd_rows(spark, monkeypatch):
     assert ann.nearest(df.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_recall_holds_beyond_any_size_switch(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TWO_HASHES_FROM", 1, raising=False)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64)).round(3)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = ann.nearest(table(spark, x), F.col("id") % 60 == 0).collect()
+    found = {(r.query_id, r.vec_id) for r in got}
+    want = {(q, v) for q in range(0, 3000, 60) for v in exact(x, np.arange(3000), q, 20)}
+    assert len(found & want) >= 0.9 * len(want)
+
+
 def test_two_hashes_probe_the_nearest_pairs():
     turns = ann.Rotations(8, 2, 2)
     x = clustered(50)
