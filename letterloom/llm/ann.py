@@ -92,7 +92,8 @@ def nearest(
 
     Every vector is put into one bucket of each table, the signed axis that its rotation is nearest to, at every size
     of the index; a query probes the ``probes`` nearest buckets of each. Buckets are cut into blocks, and a block scores all its queries exactly and passes on its best ``k`` + 1 for each, so a
-    large bucket is many tasks and rows are never paired outside of one. Rotations act on vectors that are made
+    large bucket is many tasks and rows are never paired outside of one. Queries that found fewer than ``k`` while there
+    are more others are then scored against all vectors, in pairs of blocks. Rotations act on vectors that are made
     equally long by one more component unless they are so already.
 
     Equal vectors are indexed once and stand for their ``k`` + 1 smallest ids. Vectors that are null, zero, of
@@ -130,8 +131,8 @@ def nearest(
         return run
 
     placed = index.select("cls", "vec").mapInArrow(hashed(False), f"cls long, vec {kind}, bucket long")
-    asked = rows.where(queries).dropDuplicates(["id", "cls"])
-    asked = asked.select("id", "cls", "vec").mapInArrow(hashed(True), f"id long, cls long, vec {kind}, bucket long")
+    asking = rows.where(queries).dropDuplicates(["id", "cls"]).select("id", "cls", "vec")
+    asked = asking.mapInArrow(hashed(True), f"id long, cls long, vec {kind}, bucket long")
     placed = written(placed, "placed")
     sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = placed.join(sizes, "bucket").select(
@@ -180,12 +181,33 @@ def nearest(
                 [pa.array(ids[part][row]), pa.array(cls[candidates][col]), pa.array(score[row, col])], ["query_id", "cls", "score"]
             )
 
-    both = own.union(probe).repartition("task").sortWithinPartitions("task")
-    found = both.mapInArrow(run, "query_id long, cls long, score double").groupBy("query_id", "cls").agg(F.max("score").alias("score"))
     least = members.groupBy("cls").agg(F.min("id").alias("least"))
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "least")
-    found = found.join(least, "cls").withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
-    each = found.join(members, "cls").where("id <> query_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    each = each.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
-    return each.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+    def ranked(both):
+        both = both.repartition("task").sortWithinPartitions("task")
+        found = both.mapInArrow(run, "query_id long, cls long, score double").groupBy("query_id", "cls").agg(F.max("score").alias("score"))
+        found = found.join(least, "cls").withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+        each = found.join(members, "cls").where("id <> query_id")
+        each = each.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
+        return each.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+    found = written(ranked(own.union(probe)), "found")
+    others = F.lit(members.count()) - F.count("*")
+    wanted = asking.groupBy("id").agg(F.least(F.lit(k), others).alias("wanted"))
+    has = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("has"))
+    short = wanted.join(has, "id", "left").where("coalesce(has, 0) < wanted").select("id")
+    short = written(asking.join(short, "id", "left_semi"), "short")
+    n_short = short.count()
+    if not n_short:
+        return found
+    n_own, n_probe = -(-size // BLOCK), -(-n_short // BLOCK)
+    part_of = lambda n: F.pmod(F.xxhash64("id", "cls"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long") - 1))
+    own = index.select(F.lit(None).cast("long").alias("id"), "cls", "vec")
+    own = own.select("*", part_of(n_own).alias("own"), every(n_probe).alias("probe"), F.lit(0).alias("side"))
+    probe = short.select("*", part_of(n_probe).alias("probe"), every(n_own).alias("own"), F.lit(1).alias("side"))
+    whole = own.unionByName(probe).select(F.xxhash64("own", "probe").alias("task"), "side", "id", "cls", "vec")
+    kept = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti")
+    return kept.unionByName(ranked(whole))

@@ -96,6 +96,21 @@ def test_recall_holds_beyond_any_size_switch(spark, monkeypatch):
     assert len(found & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("block", [8192, 7])
+def test_short_lists_are_completed(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    few = rng.normal(size=(12, 64)).round(3)
+    assert ann.nearest(table(spark, few), F.col("id") >= 0).count() == 12 * 11
+    skewed = np.concatenate([np.eye(64)[0] * 9 + rng.normal(scale=0.01, size=(100, 64)), rng.normal(size=(25, 64))]).round(3)
+    found = {}
+    for r in ann.nearest(table(spark, skewed), F.col("id") % 5 == 0, tables=2, probes=1).collect():
+        found.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    assert sorted(found) == list(range(0, 125, 5)) and all(sorted(f) == list(range(1, 21)) for f in found.values())
+    for q in range(100, 125, 5):
+        assert [found[q][r] for r in range(1, 21)] == exact(skewed, np.arange(125), q, 20)
+
+
 def test_two_hashes_probe_the_nearest_pairs():
     turns = ann.Rotations(8, 2, 2)
     x = clustered(50)
