@@ -91,8 +91,8 @@ def nearest(
     precision, ties to the smaller id; all others where there are fewer.
 
     Every vector is put into one bucket of each table, the signed axis that its rotation is nearest to, at every size
-    of the index; a query probes the ``probes`` nearest buckets of each. Buckets are cut into blocks, and a block scores all its queries exactly and passes on its best ``k`` + 1 for each, so a
-    large bucket is many tasks and rows are never paired outside of one. Queries that found fewer than ``k`` while there
+    of the index; a query probes the ``probes`` nearest buckets of each. Buckets are cut into blocks, and a block scores all its queries exactly and passes on its best ``k`` vectors for each
+    (ties to the vector whose smallest id other than the query's is smaller), so a large bucket is many tasks and rows are never paired outside of one. Queries that found fewer than ``k`` while there
     are more others are then scored against all vectors, in pairs of blocks. Rotations act on vectors that are made
     equally long by one more component unless they are so already.
 
@@ -103,9 +103,11 @@ def nearest(
     rows = with_validity(vectors, id_col, vec_col).where("valid and id is not null")
     rows = written(rows.select("id", "cls", "vec"), "vectors")
     by_id = Window.partitionBy("cls").orderBy("id")
-    members = rows.select("cls", "id").distinct().withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
-    members = written(members.select("cls", "id"), "members")
-    index = rows.groupBy("cls").agg(F.min_by("vec", "id").alias("vec"))
+    members = rows.select("cls", "id").distinct().withColumn("r", F.row_number().over(by_id))
+    members = members.withColumn("second", F.lead("id").over(by_id)).where(F.col("r") <= k + 1)
+    members = written(members, "members")
+    firsts = members.where("r = 1").select("cls", F.col("id").alias("least"), "second")
+    index = rows.groupBy("cls").agg(F.min_by("vec", "id").alias("vec")).join(firsts, "cls")
     index = written(index, "index")
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     size, dim, longest, shortest = index.agg(
@@ -130,18 +132,21 @@ def nearest(
 
         return run
 
-    placed = index.select("cls", "vec").mapInArrow(hashed(False), f"cls long, vec {kind}, bucket long")
+    placed = index.select("least", "second", "cls", "vec").mapInArrow(
+        hashed(False), f"least long, second long, cls long, vec {kind}, bucket long"
+    )
     asking = rows.where(queries).dropDuplicates(["id", "cls"]).select("id", "cls", "vec")
     asked = asking.mapInArrow(hashed(True), f"id long, cls long, vec {kind}, bucket long")
     placed = written(placed, "placed")
     sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = placed.join(sizes, "bucket").select(
         F.xxhash64("bucket", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("task"), F.lit(0).alias("side"),
-        F.lit(None).cast("long").alias("id"), "cls", "vec",
+        F.col("least").alias("id"), "second", "cls", "vec",
     )
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
     probe = asked.join(sizes, "bucket").select("bucket", block.alias("block"), "id", "cls", "vec")
-    probe = probe.select(F.xxhash64("bucket", "block").alias("task"), F.lit(1).alias("side"), "id", "cls", "vec")
+    none = F.lit(None).cast("long").alias("second")
+    probe = probe.select(F.xxhash64("bucket", "block").alias("task"), F.lit(1).alias("side"), "id", none, "cls", "vec")
 
     def run(batches):
         held, task = [], None
@@ -165,35 +170,44 @@ def nearest(
         candidates, asking = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(candidates) or not len(asking):
             return
-        cls, ids = data.column("cls").to_numpy(), data.column("id").fill_null(0).to_numpy()
-        points = matrix(data.column("vec").chunk(0))
+        cls, ids = data.column("cls").to_numpy(), data.column("id").to_numpy()
+        second, sole = data.column("second").fill_null(0).to_numpy()[candidates], data.column("second").is_null().to_numpy()[candidates]
+        points, least = matrix(data.column("vec").chunk(0)), ids[candidates]
         against = points[candidates].T
         for low in range(0, len(asking), 256):
             part = asking[low : low + 256]
             score = points[part] @ against
-            keep = min(k + 1, len(candidates))
-            top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-            edge = np.take_along_axis(score, top, 1).min(axis=1)
-            row, col = np.nonzero(score >= edge[:, None]) if (score >= edge[:, None]).sum() < 4 * top.size else (
-                np.repeat(np.arange(len(part)), keep), top.reshape(-1)
-            )
+            own = least == ids[part][:, None]
+            score[own & sole] = -np.inf
+            keep = min(k, len(candidates))
+            edge = -np.partition(-score, keep - 1, axis=1)[:, keep - 1 : keep]
+            taken = score > edge
+            tied = (score == edge) & ~(own & sole)
+            room = keep - taken.sum(axis=1)
+            for i in np.flatnonzero(tied.sum(axis=1) > room):
+                at = np.flatnonzero(tied[i])
+                name = np.where(own[i, at], second[at], least[at])
+                tied[i, at[np.argsort(name, kind="stable")[room[i] :]]] = False
+            row, col = np.nonzero(taken | tied)
+            name = np.where(own[row, col], second[col], least[col])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[part][row]), pa.array(cls[candidates][col]), pa.array(score[row, col])], ["query_id", "cls", "score"]
+                [pa.array(ids[part][row]), pa.array(cls[candidates][col]), pa.array(name), pa.array(score[row, col])],
+                ["query_id", "cls", "least", "score"],
             )
 
-    least = members.groupBy("cls").agg(F.min("id").alias("least"))
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "least")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
 
     def ranked(both):
         both = both.repartition("task").sortWithinPartitions("task")
-        found = both.mapInArrow(run, "query_id long, cls long, score double").groupBy("query_id", "cls").agg(F.max("score").alias("score"))
-        found = found.join(least, "cls").withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
-        each = found.join(members, "cls").where("id <> query_id")
+        found = both.mapInArrow(run, "query_id long, cls long, least long, score double")
+        found = found.groupBy("query_id", "cls").agg(F.min("least").alias("least"), F.max("score").alias("score"))
+        found = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).select("query_id", "cls", "score")
+        each = found.join(members.select("cls", "id"), "cls").where("id <> query_id")
         each = each.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
         return each.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
-    found = written(ranked(own.union(probe)), "found")
+    found = written(ranked(own.unionByName(probe)), "found")
     others = F.lit(members.count()) - F.count("*")
     wanted = asking.groupBy("id").agg(F.least(F.lit(k), others).alias("wanted"))
     has = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("has"))
@@ -205,9 +219,9 @@ def nearest(
     n_own, n_probe = -(-size // BLOCK), -(-n_short // BLOCK)
     part_of = lambda n: F.pmod(F.xxhash64("id", "cls"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long") - 1))
-    own = index.select(F.lit(None).cast("long").alias("id"), "cls", "vec")
+    own = index.select(F.col("least").alias("id"), "second", "cls", "vec")
     own = own.select("*", part_of(n_own).alias("own"), every(n_probe).alias("probe"), F.lit(0).alias("side"))
-    probe = short.select("*", part_of(n_probe).alias("probe"), every(n_own).alias("own"), F.lit(1).alias("side"))
-    whole = own.unionByName(probe).select(F.xxhash64("own", "probe").alias("task"), "side", "id", "cls", "vec")
+    probe = short.select("id", none, "cls", "vec", part_of(n_probe).alias("probe"), every(n_own).alias("own"), F.lit(1).alias("side"))
+    whole = own.unionByName(probe).select(F.xxhash64("own", "probe").alias("task"), "side", "id", "second", "cls", "vec")
     kept = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti")
     return kept.unionByName(ranked(whole))

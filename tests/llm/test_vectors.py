@@ -111,6 +111,13 @@ def test_short_lists_are_completed(spark, monkeypatch, block):
         assert [found[q][r] for r in range(1, 21)] == exact(skewed, np.arange(125), q, 20)
 
 
+def test_many_equal_scores_go_to_the_smaller_ids(spark):
+    x = np.random.default_rng(10).integers(-9, 10, size=(1000, 8)).astype(float)
+    x[:, 0], x[0] = 0, np.eye(8)[0]
+    got = ann.nearest(table(spark, x), F.col("id") == 0, k=5, tables=3, probes=32).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 0.0) for i in range(1, 6)]
+
+
 def test_two_hashes_probe_the_nearest_pairs():
     turns = ann.Rotations(8, 2, 2)
     x = clustered(50)
