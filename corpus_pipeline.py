@@ -26,11 +26,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies (five-word shingles, similarity 0.8 or more).
-    Documents without words or id are in no group and stay; rows that repeat an id stay or go together."""
-    found = minhash.near_duplicates(docs)
-    gone = written(found.where("not kept").select(F.col("id").alias("doc_id")).distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of every group of near copies (five-word shingles, similarity 0.8 or more): that with the smallest id, rows
+    without id last, of several such the one with the smallest hash. Every row is a document of its own, so that of rows
+    that repeat an id or have none only copies go. Documents without words are in no group and stay."""
+    row, order = ("_".join([x, *docs.columns]) for x in ("row", "order"))  # no column of the documents has these
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), F.monotonically_increasing_id())
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(order, place), "numbered")
+    found = written(minhash.near_duplicates(rows, id_col=row).select("id", "component_id"), "groups")
+    placed = found.join(rows.select(F.col(row).alias("id"), order), "id")
+    kept = placed.groupBy("component_id").agg(F.min_by("id", order).alias("id"))
+    gone = written(found.join(kept, "id", "left_anti").select(F.col("id").alias(row)), "copies")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

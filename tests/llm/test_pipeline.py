@@ -33,6 +33,16 @@ def test_stages_keep_their_promises(spark):
     assert {r.doc_id for r in packed} == set(before) and max(r.offset + r.length for r in packed) <= 2048
 
 
+def test_repeated_rows_lose_copies_and_not_their_text(spark):
+    text = {k: " ".join(f"{k}{i * i}" for i in range(80)) for k in "abcd"}
+    rows = [(1, text["a"]), (1, text["a"]), (None, text["b"]), (None, text["b"]), (None, text["a"]), (2, text["c"]), (2, text["d"]), (3, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    near = cp.written(cp.drop_near_copies(spark, docs, SF), "n")
+    want = {(1, text["a"]), (None, text["b"]), (2, text["c"]), (2, text["d"]), (3, ""), (None, None)}
+    assert near.count() == 6 and {(r.doc_id, r.text) for r in near.collect()} == want
+    assert {(r.doc_id, r.text) for r in cp.cut_repeats(spark, near, SF).collect()} == {(i, t or "") for i, t in want}
+
+
 def test_run_is_its_stages(spark):
     found = cp.run(spark, SF).collect()
     assert found and len({(r.doc_id, r.piece) for r in found}) == len(found)
