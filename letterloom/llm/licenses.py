@@ -37,11 +37,41 @@ GRANTS = (
     "This work is licensed under the {}.", "This work is licensed under {}.", "This file is distributed under the terms of the {}.",
     "This software is available under the {}.", "Published under {}; see the license file.", "License: {}",
     "You may use this text under the {}.", "All content is made available under {} unless noted otherwise.",
+    "SPDX-License-Identifier: {}",
 )
 STRANGERS = (
     "Harbour Public License, Version 7", "Open Meadow License", "Lakeside Community License v1", "Grey Fox License 2.1",
     "Common Orchard License", "Northern Data Terms", "Free Archive Agreement", "Quarry Source License, version 4",
 )
+_GNU = "GNU {} as published by the Free Software Foundation, either version {} of the License"
+#: File headers and bodies that grant a licence, some without its name, and identifiers of SPDX lines.
+BODIES = {
+    "Apache-2.0": ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',),
+    "MIT": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ),
+    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "GPL-3.0": (_GNU.format("General Public License", 3),),
+    "GPL-2.0": (_GNU.format("General Public License", 2), "GNU General Public License version 2 as published by the Free Software Foundation"),
+    "LGPL": tuple(_GNU.format("Lesser General Public License", v) for v in ("2.1", 3)),
+    "AGPL-3.0": (_GNU.format("Affero General Public License", 3),),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v",),
+}
+SPDX = {
+    "Apache-2.0": ("Apache-2.0",), "MIT": ("MIT",), "GPL-3.0": ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "GPL-2.0": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"), "LGPL": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "AGPL-3.0": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"), "BSD": ("BSD-2-Clause", "BSD-3-Clause"), "MPL-2.0": ("MPL-2.0",), "ISC": ("ISC",),
+    "CC0": ("CC0-1.0",), "CC-BY": ("CC-BY-4.0", "CC-BY-3.0"), "CC-BY-SA": ("CC-BY-SA-4.0", "CC-BY-SA-3.0"),
+    "CC-BY-NC": ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0"), "CC-BY-ND": ("CC-BY-ND-4.0", "CC-BY-NC-ND-4.0"),
+}
+#: Consecutive lines that are judged together besides single ones and whole sentences.
+TOGETHER = 3
 NONE, UNKNOWN = "none", "unknown"
 #: Where a paragraph is cut into the sentences that are judged.
 SENTENCE = r"(?<=[.!?])\s+"
@@ -78,7 +108,9 @@ class Scanner:
         self.names, self.slots, self.weights, self.base = names, slots, weights, base
         self.heat, self.least, self.alike = 1.0, 0.5, 0.75
         self.grants = [set(_grams([g.replace("{}", "").encode()])[1].tolist()) for g in GRANTS]
-        self.templates = {f: [set(_grams([n.encode()])[1].tolist()) for n in names] for f, names in FAMILIES.items()}
+        self.templates = {
+            f: [set(_grams([n.encode()])[1].tolist()) for n in (*names, *BODIES.get(f, ()), *_spdx(f))] for f, names in FAMILIES.items()
+        }
 
     def probabilities(self, row: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.slots, slot), len(self.slots) - 1)
@@ -117,6 +149,38 @@ class Scanner:
         return out
 
 
+def _spdx(family: str) -> list[str]:
+    return [f"SPDX-License-Identifier: {x}" for x in SPDX.get(family, ())]
+
+
+def _units(paragraph: list[bytes], cut) -> list[tuple[int, int, bytes]]:
+    """First line, line after the last and text of all that is judged of a paragraph's lines: the sentences of each line,
+    then the parts of sentences that go over two to ``TOGETHER`` lines, then longer sentences whole."""
+    out, ends, long = [], [], []
+    for k, line in enumerate(paragraph):
+        pieces = cut(line)
+        out += [(k, k + 1, x) for x in pieces]
+        ends.append((pieces[0], pieces[-1], len(pieces) == 1, line.rstrip()[-1:] in b".!?"))
+    first = 0
+    for k, (_, _, single, closed) in enumerate(ends):
+        if not single:  # the sentence of the lines before ends in this one, and its last piece opens another
+            long.append((first, k + 1))
+            first = k
+        if closed:
+            long.append((first, k + 1))
+            first = k + 1
+    long.append((first, len(paragraph)))
+    for low, high in long:
+        if high - low < 2:
+            continue
+        pieces = [ends[low][1], *paragraph[low + 1 : high - 1], ends[high - 1][0]]
+        for n in range(2, min(TOGETHER, len(pieces)) + 1):
+            out += [(low + i, low + i + n, b" ".join(pieces[i : i + n])) for i in range(len(pieces) - n + 1)]
+        if len(pieces) > TOGETHER:
+            out.append((low, high, b" ".join(pieces)))
+    return out
+
+
 def _examples() -> list[tuple[str, str]]:
     out = []
     for family, names in [*FAMILIES.items(), (UNKNOWN, STRANGERS)]:
@@ -124,22 +188,26 @@ def _examples() -> list[tuple[str, str]]:
             for grant in GRANTS:
                 text = grant.format(name).replace("the a ", "a ").replace("the The ", "the ")
                 out += [(family, text), (family, text.rstrip(".") + ", copyright 2021 the authors."), (family, text.upper())]
+    for family in FAMILIES:
+        for text in (*BODIES.get(family, ()), *_spdx(family)):
+            out += [(family, x) for x in (text, text.upper(), f"Copyright 2021 the authors. {text}", f"{text} and so on", f"// {text}", f"This program is free: {text}")]
     return out
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordinary: int = 3000, rounds: int = 150) -> Scanner:
     """Fit the classifier on notices made from the fixed names and at most ``ordinary`` sentences of ``docs`` (of the
-    documents with the smallest hashes) that hold no word of a notice. A third of all examples is set apart: on it
+    documents with the smallest hashes) whose paragraphs hold no word of a notice. A third of all examples is set apart: on it
     the probabilities' temperature is chosen, and the least probability of a family so that no more than one in a
     thousand other examples reaches it.
     """
-    cue = r"(?i)licen[cs]|copyright|\bGPL|\bBSD|\bMIT\b|creative commons|\bCC[ 0-]"
+    cue = r"(?i)licen[cs]|copyright|permission|redistribut|free software|\bGPL|\bBSD|\bMIT\b|creative commons|\bCC[ 0-]"
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and length(text) > 0")
     keyed = texts.withColumn("key", F.xxhash64("id", "text"))
     least = keyed.select("key").distinct().orderBy("key").limit(max(1, ordinary // 10)).agg(F.max("key")).first()[0]
     few = keyed.where(F.col("key") <= F.lit(least)).orderBy("key")
-    lines = few.select(F.explode(F.split("text", r"\n|" + SENTENCE)).alias("line")).where("length(trim(line)) > 0")
-    plain = [r[0][:400] for r in lines.where(~F.col("line").rlike(cue)).limit(ordinary).collect()]
+    runs = few.select(F.explode(F.split("text", r"\n\s*\n")).alias("run")).where(~F.col("run").rlike(cue))
+    lines = runs.select(F.explode(F.split("run", r"\n|" + SENTENCE)).alias("line")).where("length(trim(line)) > 0")
+    plain = [r[0][:400] for r in lines.limit(ordinary).collect()]
     examples = [*_examples(), *((NONE, p) for p in plain), (NONE, ""), (NONE, "the license")]
     names = [NONE, UNKNOWN, *FAMILIES]
     label = np.array([names.index(f) for f, _ in examples])
@@ -183,13 +251,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordin
 
 
 def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``paragraphs`` (lines that are not blank), ``notices`` (array of paragraph number from 0, family,
+    """``id``, ``paragraphs`` (runs of lines that are not blank), ``notices`` (array of paragraph number from 0, family,
     probability and template likeness; unknown licences included), ``families`` (distinct known ones, sorted) and
     ``licence`` for every row of ``docs``.
 
     ``licence`` is the family of the likeliest notice of a known family, else "unknown" if any notice was found, else
     "none"; ties go to the first paragraph. Every sentence of
-    every paragraph of a whole text is judged. Null and empty texts have none; null and repeated ids are
+    every paragraph of a whole text is judged, line by line and over line ends; what goes over line ends counts where no
+    line of it names the same family, and lines of it are then not unknown. Null and empty texts have none; null and repeated ids are
     rows like any others; other columns are not read; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scanner)
@@ -199,19 +268,28 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
         scanner, cut = shared.value, re.compile(SENTENCE.encode()).split
         for batch in batches:
             for part in parts_of(batch, 1, BLOCK):
-                lines, owner, number, counts = [], [], [], []
+                units, counts = [], []
                 for i, text in enumerate(as_bytes(part.column(1))):
-                    own = [x for x in text.split(b"\n") if x.strip()]
+                    own = [[]]
+                    for line in text.split(b"\n"):
+                        if line.strip():
+                            own[-1].append(line)
+                        elif own[-1]:
+                            own.append([])
+                    own = own if own[-1] else own[:-1]
                     counts.append(len(own))
-                    for k, paragraph in enumerate(own):
-                        sentences = cut(paragraph)
-                        lines += sentences
-                        owner += [i] * len(sentences)
-                        number += [k] * len(sentences)
-                found = [[] for _ in counts]
-                for i, k, (family, likely, alike) in zip(owner, number, scanner.judge(lines) if lines else []):
-                    if family != NONE:
-                        found[i].append({"paragraph": k, "family": family, "probability": likely, "likeness": alike})
+                    units += [(i, k, *u) for k, paragraph in enumerate(own) for u in _units(paragraph, cut)]
+                found, spans = [[] for _ in counts], [[] for _ in counts]
+                for (i, k, low, high, _), (family, likely, alike) in zip(units, scanner.judge([u[4] for u in units]) if units else []):
+                    if family == NONE:
+                        continue
+                    here = [j for j, (p, a, b) in enumerate(spans[i]) if p == k and a < high and low < b] if high - low > 1 else []
+                    if any(family == UNKNOWN or found[i][j]["family"] == family for j in here):
+                        continue
+                    for j in reversed([j for j in here if found[i][j]["family"] == UNKNOWN]):
+                        del found[i][j], spans[i][j]
+                    found[i].append({"paragraph": k, "family": family, "probability": likely, "likeness": alike})
+                    spans[i].append((k, low, high))
                 known = [[x for x in f if x["family"] != UNKNOWN] for f in found]
                 names = [max(k, key=lambda x: x["probability"])["family"] if k else UNKNOWN if f else NONE for f, k in zip(found, known)]
                 yield pa.RecordBatch.from_arrays(

@@ -78,6 +78,23 @@ def test_licences(docs):
     assert licenses.scan(df.limit(0), scanner).count() == 0
 
 
+def test_licences_over_lines_in_headers_and_without_names(docs):
+    gnu = "# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version."
+    texts = {
+        "Apache-2.0": ["prose of a line\nLicensed under the Apache License,\nVersion 2.0\nmore of the prose", "// SPDX-License-Identifier: Apache-2.0"],
+        "GPL-3.0": ["# This program is free software: you can redistribute it and/or modify\n" + gnu.format("", 3), "SPDX-License-Identifier: GPL-3.0-or-later"],
+        "GPL-2.0": [gnu.format("", 2)], "LGPL": [gnu.format("Lesser ", "2.1")], "AGPL-3.0": [gnu.format("Affero ", 3)],
+        "MIT": ["SPDX-License-Identifier: MIT", "Copyright 2020 X\n\n" + "\n".join(licenses.BODIES["MIT"][0].split(", "))],
+        "BSD": [licenses.BODIES["BSD"][0].replace("forms, ", "forms,\n")], "ISC": [licenses.BODIES["ISC"][0].replace("any ", "any\n")],
+        "unknown": ["SPDX-License-Identifier: Zorgul"], "none": ["Redistribution of water in the hills,\nwith permission of the council"],
+    }
+    rows = [(f, t) for f, ts in texts.items() for t in ts]
+    df = docs([*((i, t) for i, (_, t) in enumerate(rows)), *((100 + i, f"the ertion heed {i} licking mitten is of") for i in range(50))])
+    got = {r.id: r for r in licenses.scan(df, licenses.train(df)).collect()}
+    assert [got[i].licence for i in range(len(rows))] == [f for f, _ in rows]
+    assert len(got[0].notices) == 1 and got[0].paragraphs == 1 and got[7].paragraphs in (1, 2)
+
+
 HOSTILE = ["", "plain", "\\", "\\h\\e\\\\", "### user: x </turn>\n", "#### </turn> </turn>", "a\n### assistant: b", "漢 é"]
 
 
