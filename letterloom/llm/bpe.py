@@ -10,6 +10,8 @@ is one row part per chunk, so no key is hot, and no task holds more than a chunk
 from __future__ import annotations
 
 import base64
+import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -17,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .kernels import U, groups_of, mix64, text_blocks
+from .kernels import gathered, groups_of, text_blocks
 from .pretokens import Pretokens
+from .scratch import settled
 
 #: Bytes that are cut into pre-tokens at once, characters of a chunk, and buckets of words.
 BLOCK, CHUNK, BUCKETS = 1 << 18, 16 << 20, 1 << 12
@@ -69,52 +72,47 @@ def _from_varints(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The slices ``flat[start : start + size]`` end to end."""
-    before = np.cumsum(size) - size
-    return flat[np.repeat(start - before, size) + np.arange(size.sum())]
-
-
 class _Chunk:
     """Pre-tokens of consecutive documents: their distinct words, and the words' places in each document."""
 
     def __init__(self) -> None:
-        self.rows, self.sizes, self.blocks, self.words, self.name, self.chars = [], [], [], {}, 0, 0
+        self.rows, self.sizes, self.blocks, self.counts, self.words, self.chars = [], [], [], [], {}, 0
+        self.digest = hashlib.blake2b(digest_size=16)
 
-    def add(self, rows: list, texts: list[str], keep_words: bool) -> None:
+    def add(self, rows: list, texts: list[str]) -> None:
         cut = Pretokens(texts)
-        distinct, at, inverse, count = np.unique(cut.hash, return_index=True, return_inverse=True, return_counts=True)
+        at, like = cut.distinct()
+        number = np.array([self.words.setdefault(cut.word(i), len(self.words)) for i in at.tolist()], np.int32)
         self.rows += rows
         self.sizes.append(np.diff(cut.first))
-        self.blocks.append((distinct, inverse.astype(np.int32), count))
-        self.name = int(mix64(np.array([self.name ^ int(cut.hash.sum(dtype=U)) ^ len(cut.hash)], U))[0])
+        self.blocks.append(number[like])
+        self.counts.append((number, np.bincount(like, minlength=len(at))))
+        self.digest.update(cut.code)
         self.chars += len(cut.joined)
-        if keep_words:
-            for h, i in zip(distinct.tolist(), at.tolist()):
-                if h not in self.words:
-                    self.words[h] = cut.word(i)
-
-    def numbered(self) -> tuple[np.ndarray, Iterator[np.ndarray]]:
-        """Hashes by falling frequency, and each block's words as numbers in that order."""
-        distinct, inverse = np.unique(np.concatenate([b[0] for b in self.blocks]), return_inverse=True)
-        count = np.bincount(inverse, np.concatenate([b[2] for b in self.blocks]), len(distinct))
-        order = np.lexsort((distinct, -count))
+
+    def numbered(self) -> tuple[list[str], Iterator[np.ndarray]]:
+        """Words by falling frequency (ties as they came), and each block's words as numbers in that order."""
+        count = np.zeros(len(self.words), np.int64)
+        for number, n in self.counts:
+            count[number] += n
+        order = np.argsort(-count, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        cuts = np.cumsum([len(b[0]) for b in self.blocks])[:-1]
-        return distinct[order], (rank[part][b[1]] for part, b in zip(np.split(inverse, cuts), self.blocks))
+        words = list(self.words)
+        return [words[i] for i in order.tolist()], (rank[b] for b in self.blocks)
 
     @property
-    def key(self) -> int:
-        return int(np.array([self.name], U).view(np.int64)[0])
+    def key(self) -> bytes:
+        """Named by what was read, so that a chunk's two scans agree; chunks of equal texts have equal numbers too."""
+        return self.digest.digest()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int, keep_words: bool) -> Iterator[_Chunk]:
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[_Chunk]:
     chunk = _Chunk()
     for batch in batches:
         rows = batch.column(0).to_pylist()
         for start, end, texts in text_blocks(batch.column(1), BLOCK):
-            chunk.add(rows[start:end], texts, keep_words)
+            chunk.add(rows[start:end], texts)
             if chunk.chars >= size:
                 yield chunk
                 chunk = _Chunk()
@@ -123,32 +121,32 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int, keep_words: bool) -> I
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for chunk in _chunks(batches, size, True):
-        hashes, _ = chunk.numbered()
-        bucket = (hashes % U(BUCKETS)).astype(np.int64)
+    for chunk in _chunks(batches, size):
+        words = [w.encode("utf-8", "surrogatepass") for w in chunk.numbered()[0]]
+        bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
         cut = np.flatnonzero(np.diff(bucket[order])) + 1
         out = []
         for numbers in np.split(order, cut) if len(order) else []:
-            words = [chunk.words[h].encode("utf-8", "surrogatepass") for h in hashes[numbers].tolist()]
+            own = [words[i] for i in numbers.tolist()]
             steps = np.diff(numbers, prepend=0)
-            out.append((int(bucket[numbers[0]]), chunk.key, len(words), _varints(np.concatenate([steps, [len(w) for w in words]]))[0].tobytes(), b"".join(words)))
+            out.append((int(bucket[numbers[0]]), chunk.key, len(own), _varints(np.concatenate([steps, [len(w) for w in own]]))[0].tobytes(), b"".join(own)))
         for i in range(0, len(out), 1024):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 1024]), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "chunk", "n", "meta", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 1024]), (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "chunk", "n", "meta", "words"])
 
 
 def _place_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for chunk in _chunks(batches, size, False):
+    for chunk in _chunks(batches, size):
         _, blocks = chunk.numbered()
         at = 0
         for numbers, sizes in zip(blocks, chunk.sizes):
             data, width = _varints(numbers)
             ends = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(sizes)])]
             codes = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-            ids = pa.array(chunk.rows[at : at + len(sizes)], pa.int64())
-            at += len(sizes)
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk.key)), pa.array(np.ones(n, np.int8)), ids, codes, pa.nulls(n, pa.binary())], ["chunk", "part", "id", "codes", "ids"])
+            ids = pa.array(chunk.rows[at : at + n], pa.int64())
+            at += n
+            yield pa.RecordBatch.from_arrays([pa.array([chunk.key] * n, pa.binary()), pa.array(np.ones(n, np.int8)), ids, codes, pa.nulls(n, pa.binary())], ["chunk", "part", "id", "codes", "ids"])
 
 
 def _encoded_words(path: str, pattern: str):
@@ -173,7 +171,7 @@ def _encoded_words(path: str, pattern: str):
                 head = np.concatenate([[n], steps, [len(x) for x in lists]])
                 out.append((chunk, 0, None, _varints(head)[0].tobytes(), flat.astype("<u4" if flat.max(initial=0) > 0xFFFF else "<u2").tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int8(), pa.int64(), pa.binary(), pa.binary()))], ["chunk", "part", "id", "codes", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.binary(), pa.int8(), pa.int64(), pa.binary(), pa.binary()))], ["chunk", "part", "id", "codes", "ids"])
 
     return run
 
@@ -242,18 +240,23 @@ def encode(
     ``path`` is a file of ranks and ``pattern`` the public pattern whose matches are encoded separately, without
     special tokens: their strings are ordinary text. Null and empty texts have no ids. A null or repeated id is kept
     as it is, one row per row. ``chunk`` is the characters of a chunk. Other columns are not read; an empty table gives no rows.
+
+    Documents are scanned twice. Rows that a shuffle or a sample deals out may come otherwise the second time and are
+    written once first; where files change between the scans, that is an error and not a wrong result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    layout = "chunk long, part tinyint, id long, codes binary, ids binary"
-    words = texts.mapInArrow(partial(_word_rows, size=chunk), "bucket int, chunk long, n int, meta binary, words binary")
+    texts = settled(texts, "texts")
+    layout = "chunk binary, part tinyint, id long, codes binary, ids binary"
+    words = texts.mapInArrow(partial(_word_rows, size=chunk), "bucket int, chunk binary, n int, meta binary, words binary")
     words = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoded_words(path, pattern), layout)
     both = words.union(texts.mapInArrow(partial(_place_rows, size=chunk), layout))
     return both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(_assembled, "id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with ``bytes``: the bytes of its ``ids``, looked up in the token-byte table, end to end. The table
-    has one row per token of the vocabulary, whatever the corpus. An id outside it is an error; null ids give null."""
+    """``encoded`` with ``bytes``: the bytes of its ``ids`` joined with the token-byte table, end to end. The table has
+    one row per token of the vocabulary, whatever the corpus, so that the join is made on the map side: every worker
+    holds the table and joins whole documents, which keeps positions without a shuffle of tokens. An id outside it is an error; null ids give null."""
 
     def run(batches):
         data, first = _token_bytes(path)

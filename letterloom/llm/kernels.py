@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
-_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
+#: The prime 2^31 - 1, whose remainders need no division, and a base of each of the two lanes of a hash.
+_PRIME, _BASES = U((1 << 31) - 1), (1_048_583_467, 1_832_780_611)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -31,38 +31,55 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE = mix64(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A number below 2^31 with the remainder of ``x`` (below 2^62); of the remainder 0 it may be the prime itself."""
+    x = (x & _PRIME) + (x >> U(31))
+    return (x & _PRIME) + (x >> U(31))
+
+
 class _Powers:
-    """Powers of the hash base and of its inverse, grown when a longer text comes."""
+    """Powers of a lane's base and of its inverse, grown when a longer text comes."""
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U)
+    def __init__(self, base: int) -> None:
+        self.bases = base, pow(base, -1, int(_PRIME))
+        self.found = np.ones((2, 1), U)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            up, down = np.full(n, _BASE), np.full(n, _INVERSE)
-            up[0] = down[0] = U(1)
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return self.up, self.down
+    def upto(self, n: int) -> np.ndarray:
+        while self.found.shape[1] < n:
+            size = self.found.shape[1]
+            more = [_folded(row * U(pow(base, size, int(_PRIME)))) for row, base in zip(self.found, self.bases)]
+            self.found = np.concatenate([self.found, more], axis=1)
+        return self.found
 
 
-_powers = _Powers()
+_powers = [_Powers(base) for base in _BASES]
 
 
 class SpanHash:
-    """64-bit hashes of any spans of one code array, each in constant time after one pass."""
+    """62-bit hashes of any spans of one code array (below 2^30 codes), each in constant time after one pass.
+
+    They are two polynomials modulo a prime, so that no text collides for every base, as texts modulo 2^64 can. Where
+    equal hashes decide a result, the characters are compared too.
+    """
 
     def __init__(self, values: np.ndarray) -> None:
         n = len(values)
-        up, self._down = _powers.upto(n + 1)
-        self._sums = np.zeros(n + 1, U)
-        np.cumsum(values * up[:n], out=self._sums[1:])
-
-    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self._sums[end] - self._sums[start]) * self._down[start]
+        self._lanes = []
+        for powers, shift in zip(_powers, (0, 32)):
+            up, down = powers.upto(n + 1)
+            sums = np.zeros(n + 1, U)
+            np.cumsum(_folded(((values >> U(shift)) & _PRIME) * up[:n]), out=sums[1:])
+            self._lanes.append((sums, down))
+
+    def lane(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+        """31 bits of a span."""
+        sums, down = self._lanes[which]
+        found = _folded(_folded(sums[end] - sums[start]) * down[start])
+        return np.where(found == _PRIME, U(0), found)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64(self.raw(start, end) + (end - start).astype(U) * U(0xA0761D6478BD642F))
+        both = self.lane(start, end) << U(31) | self.lane(start, end, 1)
+        return mix64(both + (end - start).astype(U) * U(0xA0761D6478BD642F))
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
@@ -116,6 +133,12 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices ``flat[start : start + size]`` end to end."""
+    before = np.cumsum(size) - size
+    return flat[np.repeat(start - before, size) + np.arange(size.sum())]
+
+
 def text_blocks(column, most: int) -> Iterator[tuple[int, int, list[str]]]:
     """An Arrow string column in ranges of rows with ``most`` bytes or less (or one longer text); null is empty."""
     length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)

@@ -14,8 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import gathered
-from .kernels import text_blocks
+from .kernels import gathered, text_blocks
 from .pretokens import Pretokens
 from .scratch import written
 
@@ -24,7 +23,7 @@ BLOCK, REMEMBERED = 1 << 18, 1 << 19
 
 
 class _Words:
-    """Ids of words seen by this worker, by hash; forgotten when there are too many, which costs time only."""
+    """Ids of words seen by this worker; forgotten when there are too many, which costs time only."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -41,31 +40,25 @@ class _Words:
         return [token.id for token in self.model.tokenize(written)]
 
     def clear(self) -> None:
-        self.hash = np.empty(0, np.uint64)
-        self.start = self.size = np.empty(0, np.int64)
-        self.flat = np.empty(0, "<u4")
+        self.place: dict[str, int] = {}
+        self.start, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end and how many each text has."""
         cut = Pretokens(texts)
-        distinct, at, inverse = np.unique(cut.hash, return_index=True, return_inverse=True)
-        if len(self.hash) > REMEMBERED:
+        at, like = cut.distinct()
+        if len(self.place) > REMEMBERED:
             self.clear()
-        place = np.searchsorted(self.hash, distinct)
-        known = np.zeros(len(distinct), bool)
-        if len(self.hash):
-            known = self.hash[np.minimum(place, len(self.hash) - 1)] == distinct
-        new = np.flatnonzero(~known)
-        if len(new):
-            found = [self._encode(cut.word(i)) for i in at[new]]
+        words = [cut.word(i) for i in at.tolist()]
+        new = [w for w in words if w not in self.place]
+        if new:
+            found = [self._encode(w) for w in new]
             size = np.fromiter(map(len, found), np.int64, len(found))
-            start = len(self.flat) + np.cumsum(size) - size
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), "<u4", size.sum())])
-            self.hash = np.insert(self.hash, place[new], distinct[new])
-            self.start = np.insert(self.start, place[new], start)
-            self.size = np.insert(self.size, place[new], size)
-            place = np.searchsorted(self.hash, distinct)
-        place = place[inverse]
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        place = np.array([self.place[w] for w in words], np.int64)[like]
         sizes = self.size[place]
         per_text = np.diff(np.concatenate([[0], np.cumsum(sizes)])[cut.first])
         return gathered(self.flat, self.start[place], sizes), per_text

@@ -10,9 +10,10 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import regex
 
-from .kernels import U, SpanHash, mix64
+from .kernels import U, SpanHash, gathered, mix64
 
 SPACE, LETTER, NUMBER, OTHER, END = range(5)
 
@@ -30,12 +31,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Pretokens:
-    """``start``, ``end`` and ``hash`` of all matches in a block of texts, and ``first``: where each text's begin."""
+    """``start`` and ``end`` of all matches in a block of texts, and ``first``: where each text's begin."""
 
     def __init__(self, texts: list[str]) -> None:
         kinds, values = _tables()
         self.joined = "\0".join(["", *texts, ""])
-        code = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = self.code = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = kinds[code]
         ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
         kind[ends] = END
@@ -53,7 +54,7 @@ class Pretokens:
         real = kind[at] != END
         self.start, self.end = at[real], stop[real]
         self.first = np.searchsorted(self.start, ends)
-        self.hash = SpanHash(values[code])(self.start, self.end)
+        self._values = values
 
     @staticmethod
     def _contractions(code: np.ndarray, kind: np.ndarray, begins: np.ndarray) -> None:
@@ -71,3 +72,18 @@ class Pretokens:
 
     def word(self, i: int) -> str:
         return self.joined[self.start[i] : self.end[i]]
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pre-tokens that stand for all equal ones, and which of these each pre-token equals. Hashes
+        only propose; every pre-token is compared with its like character by character."""
+        like, found = pd.factorize(SpanHash(self._values[self.code])(self.start, self.end))
+        at = np.empty(len(found), np.int64)
+        at[like[::-1]] = np.arange(len(like))[::-1]
+        rest = np.flatnonzero(at[like] != np.arange(len(like)))
+        size, other = (self.end - self.start)[rest], at[like[rest]]
+        same = size == (self.end - self.start)[other]
+        if same.all() and (gathered(self.code, self.start[rest], size) == gathered(self.code, self.start[other], size)).all():
+            return at, like
+        number: dict[str, int] = {}
+        like = np.array([number.setdefault(self.word(i), len(number)) for i in range(len(self.start))], np.int64)
+        return np.unique(like, return_index=True)[1], like

@@ -6,6 +6,7 @@ The folder is the one that the cluster names in ``spark.checkpoint.dir``; only w
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,6 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if it only reads files, whose rows come alike each time; else ``df`` written once, as rows that a shuffle
+    or sample deals out, or that Python makes, need not be the same when a lost task is run again."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    moved = re.search(r"Exchange|Sample|Limit|MapIn|Python|Pandas|RDD|Generate|rand|uuid|monotonically|spark_partition", plan)
+    return written(df, name) if moved else df
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table of ``written`` that no pending result reads."""
     spark = df.sparkSession

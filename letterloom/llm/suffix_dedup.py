@@ -38,7 +38,7 @@ def _anchored(texts: list[bytes], least: int, core: int) -> tuple[np.ndarray, ..
         return tuple(np.empty(0, np.int64) for _ in range(6))
     hashes = SpanHash(byte_values(np.frombuffer(joined, np.uint8)))
     at = np.arange(n - core + 1)
-    ranked = mix64(hashes.raw(at, at + core))
+    ranked = mix64(hashes.lane(at, at + core))
     out, step = [], 1 << 23
     offsets = np.cumsum([0, *map(len, texts)])
     for low in range(0, len(ranked) - width + 1, step):

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from letterloom.llm import bpe, packing
+from letterloom.llm import bpe, packing, pretokens
 from letterloom.llm.pretokens import Pretokens
 
 public = pytest.importorskip("public_tokenizers")
@@ -16,7 +16,12 @@ import regex  # noqa: E402
 import tiktoken  # noqa: E402
 
 RANKS = public.path("byte_bpe_50k.tiktoken")
-TEXTS = [None, "", "don't   stop\n\n now's", "  \n ", "x" * 9000, "naïve 漢字 ١٢ '''s 'S", "<|endoftext|> hi", "The the the  the", "a\0b", "word " * 5000, "don't   stop\n\n now's"]
+THUE = "a"
+while len(THUE) < 1024:
+    THUE += THUE.translate(str.maketrans("ab", "ba"))
+#: Two words whose polynomial hashes modulo 2^64 agree for every base.
+TWINS = [THUE, THUE.translate(str.maketrans("ab", "ba"))]
+TEXTS = [*TWINS, " ".join(TWINS), None, "", "don't   stop\n\n now's", "  \n ", "x" * 9000, "naïve 漢字 ١٢ '''s 'S", "<|endoftext|> hi", "The the the  the", "a\0b", "word " * 5000, "don't   stop\n\n now's"]
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +38,16 @@ def test_pretokens_are_the_patterns_matches(texts):
         assert [cut.word(k) for k in range(cut.first[i], cut.first[i + 1])] == regex.findall(public.PATTERN, t)
 
 
+def test_words_of_equal_hash_stay_apart(monkeypatch):
+    texts = ["the cat the dog", "", "cat  a cat"]
+    want = [Pretokens([t]).word(i) for t in texts for i in range(len(Pretokens([t]).start))]
+    assert len({tuple(Pretokens([w]).distinct()[1]) for w in TWINS}) == 1 and len(Pretokens([" ".join(TWINS)]).distinct()[0]) == 2
+    monkeypatch.setattr(pretokens, "SpanHash", lambda values: lambda start, end: np.zeros(len(start), np.uint64))
+    cut = Pretokens(texts)
+    at, like = cut.distinct()
+    assert [cut.word(at[k]) for k in like] == want and len({cut.word(i) for i in at}) == len(at) < len(want)
+
+
 @pytest.mark.parametrize("chunk", [1 << 24, 50])
 def test_encode_and_decode(docs, encoder, chunk):
     rows = list(enumerate(TEXTS)) + [(None, "no id"), (2, "repeated id")]
