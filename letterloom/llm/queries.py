@@ -84,7 +84,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return cleaned.select(
-        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text")
     )
 
 

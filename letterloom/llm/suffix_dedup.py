@@ -1,42 +1,47 @@
 """Removal of repeated passages with a sparse suffix array: sampled splitters range-partition suffixes by leading
-tokens, buckets sort locally by multikey quicksort, and neighbours are compared, across bucket boundaries too.
+bytes, buckets sort locally by multikey quicksort, and neighbours are compared, across bucket boundaries too.
 
 All suffixes of a large corpus are many times its size. Here suffixes start at *anchors*: for a window of ``least``
 bytes the anchor is the first of the smallest hashes among the ``core``-byte strings in its first part. Equal windows
 have their anchors at the same place, so windows are compared only where anchors agree:
 
-* a suffix's leading tokens are the hash of the ``core`` bytes at its anchor and the hash of its *span*, all bytes of
-  the windows (a run of consecutive starts) that share the anchor. Any order in which equal strings are neighbours
-  serves, so tokens are ordered by value;
-* a span whose both tokens have an equal neighbour is repeated in full, which settles the inside of repeated passages;
-* where only the first token is shared, at the ends of passages, the windows of the spans are compared one by one.
+* suffixes are ordered by the ``core`` bytes at their anchor, eight bytes a token, and then by the digest (128 bits of
+  SHA-256) of their *span*, all bytes of the windows (a run of consecutive starts) that share the anchor;
+* a span with an equal neighbour in that order is repeated in full, which settles the inside of repeated passages;
+* where only the leading bytes are shared, at the ends of passages, the windows of the spans are compared one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .kernels import U, SpanHash, as_bytes, byte_values, groups_of, mix64, parts_of
+from .kernels import U, SpanHash, as_bytes, byte_values, mix64, parts_of
 from .scratch import drop, written
+from .sieve import sieve_of, sifted
 
-#: Text bytes worked on at once; rows of a bucket; spans of one core in a block; bits of the id filter.
-BLOCK, BUCKET_ROWS, TOGETHER, FILTER = 1 << 18, 1 << 18, 2000, 1 << 24
+#: Text bytes worked on at once; rows of a bucket; spans of one core in a block.
+BLOCK, BUCKET_ROWS, TOGETHER = 1 << 18, 1 << 18, 2000
 _NO_ID = -(1 << 63)
 _LOW = U((1 << 24) - 1)
 
 
 def _anchored(texts: list[bytes], least: int, core: int) -> tuple[np.ndarray, ...]:
-    """Row, first start, number of starts, distance to the anchor, core hash and span hash of every anchor's windows."""
+    """Row, first start, number of starts and distance to the anchor of every anchor's windows, the core bytes as rows of
+    a matrix, and the digests of the spans."""
     joined = b"".join(texts)
     n, width = len(joined), least - core + 1
+    nothing = *(np.empty(0, np.int64) for _ in range(4)), np.empty((0, core), np.uint8), []
     if n < least:
-        return tuple(np.empty(0, np.int64) for _ in range(6))
-    hashes = SpanHash(byte_values(np.frombuffer(joined, np.uint8)))
+        return nothing
+    data = np.frombuffer(joined, np.uint8)
+    hashes = SpanHash(byte_values(data))
     at = np.arange(n - core + 1)
     ranked = mix64(hashes.lane(at, at + core))
     out, step = [], 1 << 23
@@ -61,9 +66,15 @@ def _anchored(texts: list[bytes], least: int, core: int) -> tuple[np.ndarray, ..
         first = np.concatenate([[0], cut])
         count = np.diff(np.append(first, len(start)))
         begin, anchor, row = start[first], anchor[first], row[first]
-        span = hashes(begin, begin + count - 1 + least) + (anchor - begin).astype(U) * U(0xC2B2AE3D27D4EB4F)
-        out.append((row, begin - offsets[row], count, anchor - begin, hashes(anchor, anchor + core), mix64(span)))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.empty(0, np.int64) for _ in range(6))
+        out.append((row, begin - offsets[row], count, anchor - begin, anchor, begin))
+    if not out:
+        return nothing
+    row, start, count, ahead, anchor, begin = (np.concatenate(x) for x in zip(*out))
+    lead = np.lib.stride_tricks.sliding_window_view(data, core)[anchor]
+    ends = begin + count - 1 + least
+    sha = hashlib.sha256
+    span = [sha(b"%d " % k + joined[a:b]).digest()[:16] for k, a, b in zip(ahead.tolist(), begin.tolist(), ends.tolist())]
+    return row, start, count, ahead, lead, span
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, others: list[str] = ()) -> DataFrame:
@@ -76,144 +87,146 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, others: list[str] = ())
     )
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes as an Arrow column."""
+    n, width = rows.shape
+    ends = np.arange(n + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def _suffixes(texts: DataFrame, least: int, core: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in parts_of(batch, 2, BLOCK):
                 ids, hs = (part.column(i).to_numpy() for i in (0, 1))
                 row, start, count, ahead, lead, span = _anchored(as_bytes(part.column(2)), least, core)
-                columns = [ids[row], hs[row], start.astype(np.int32), count.astype(np.int32), ahead.astype(np.int32), lead.astype(U).view(np.int64), span.astype(U).view(np.int64)]
-                for i in range(0, len(row), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], ["id", "h", "start", "n", "ahead", "core", "span"])
+                numbers = [ids[row], hs[row], start.astype(np.int32), count.astype(np.int32), ahead.astype(np.int32)]
+                for i in range(0, len(row), 1 << 14):
+                    own = slice(i, i + (1 << 14))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[own]) for c in numbers), _binary(lead[own]), pa.array(span[own], pa.binary())], ["id", "h", "start", "n", "ahead", "lead", "span"])
 
-    return texts.mapInArrow(run, "id long, h long, start int, n int, ahead int, core long, span long")
+    return texts.mapInArrow(run, "id long, h long, start int, n int, ahead int, lead binary, span binary")
 
 
 def multikey_order(words: list[np.ndarray]) -> np.ndarray:
     """The order of rows by ``words``, most significant first, as multikey quicksort finds it: by the leading word,
-    then each range of ties by the next."""
+    then every range of ties by the next, all ranges of a level at once."""
     order = np.argsort(words[0], kind="stable")
-    ranges = [(0, len(order))] if len(words) > 1 else []
-    for word, following in zip(words, words[1:]):
-        tied = []
-        for low, high in ranges:
-            value = word[order[low:high]]
-            edge = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1, [high - low]])
-            long = np.flatnonzero(np.diff(edge) > 1)
-            tied += [(low + edge[i], low + edge[i + 1]) for i in long]
-        for low, high in tied:
-            part = order[low:high]
-            order[low:high] = part[np.argsort(following[part], kind="stable")]
-        ranges = tied
+    value = words[0][order]
+    group = np.cumsum(np.concatenate([[0], value[1:] != value[:-1]]))[: len(order)]
+    at = np.arange(len(order))
+    for word in words[1:]:
+        tied = np.bincount(group)[group] > 1 if len(group) else np.empty(0, bool)
+        at, group = at[tied], group[tied]
+        if not len(at):
+            break
+        part = order[at]
+        part = part[np.lexsort((word[part], group))]
+        order[at], value = part, word[part]
+        group = np.cumsum(np.concatenate([[0], (value[1:] != value[:-1]) | (group[1:] != group[:-1])]))
     return order
 
 
-_FLAGGED = "id long, h long, start int, n int, ahead int, core long, span long, repeated boolean, first boolean, spans long, bucket int, edge boolean"
+def _words(rows: np.ndarray) -> list[np.ndarray]:
+    """The columns of a matrix of bytes as numbers of eight bytes, the first the most significant."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    return list(np.ascontiguousarray(padded.view(">u8").T).astype(U))
+
+
+_FLAGGED = (
+    "id long, h long, start int, n int, ahead int, core long, repeated boolean, first boolean, spans long, "
+    "bucket int, side int, at_low boolean, at_high boolean, lead binary, low binary, high binary"
+)
+_FLAGGED_NAMES = [x.split()[0] for x in _FLAGGED.split(", ")]
 
 
 def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of one bucket that share their core, or could with another bucket; then its first and last row."""
-    data = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    """The rows of one bucket whose leading bytes have an equal neighbour, or could have one in another bucket; then, of
+    its first and last leading bytes (side 0 and 1; only 0 if they are the same), the bytes, the first and last span, and
+    how many spans they have here."""
+    held = list(batches)
+    data = pa.Table.from_batches(held).combine_chunks() if held else None
     if data is None or not data.num_rows:
         return
-    columns = [c.to_numpy() for c in data.columns]
-    order = multikey_order(columns[5:7])
-    columns = [c[order] for c in columns]
-    core, span = columns[5:7]
-    new_core = np.concatenate([[True], core[1:] != core[:-1]])
-    new_span = new_core | np.concatenate([[True], span[1:] != span[:-1]])
-    group, kind = np.cumsum(new_core) - 1, np.cumsum(new_span) - 1
-    spans = np.bincount(group[new_span])[group]
-    copies = np.bincount(kind)[kind]
-    keep = (np.bincount(group)[group] > 1) | (group == 0) | (group == group[-1])
-    bucket, names = TaskContext.get().partitionId(), [x.split()[0] for x in _FLAGGED.split(",")]
-    ends = np.zeros(len(core), bool)
-    ends[[0, -1]] = True
-    for rows, edge in ((keep, False), (ends, True)):
-        n = int(rows.sum())
-        out = [*(c[rows] for c in columns), copies[rows] > 1, new_span[rows], spans[rows].astype(np.int64), np.full(n, bucket, np.int32), np.full(n, edge)]
-        if edge and n == 1:
-            out = [np.repeat(c, 2) for c in out]
-        for i in range(0, len(out[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in out], names)
-
-
-def _across(edges: list) -> tuple[dict, set, set]:
-    """From the first and last row of every bucket: the number of distinct spans of each core that more than one bucket
-    holds, the tokens that are repeated across a boundary, and the buckets whose first span goes on from before."""
-    buckets: dict[int, list] = {}
-    for bucket, core, span, spans in edges:
-        buckets.setdefault(bucket, []).append((core, span, spans))
-    total, repeated, goes_on, before = {}, set(), set(), None
-    for bucket, pair in sorted(buckets.items()):
-        first, last = min(pair), max(pair)
-        if before and before[0] == first[0]:
-            same = before[1] == first[1]
-            total[first[0]] = total.get(first[0], before[2]) + first[2] - same
-            if same:
-                repeated.add(first[:2])
-                goes_on.add((bucket, *first[:2]))
-        before = last
-    return total, repeated, goes_on
+    matrix = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(data.num_rows, -1)
+    lead, span = matrix(data.column("lead")), matrix(data.column("span"))
+    words = [*_words(lead), *_words(span)]
+    order = multikey_order(words)
+    numbers = [c.to_numpy()[order] for c in data.columns[:5]]
+    lead, span, words = lead[order], span[order], [w[order] for w in words]
+    n = len(order)
+    new_lead = np.concatenate([[True], (lead[1:] != lead[:-1]).any(axis=1)])
+    new_span = new_lead | np.concatenate([[True], (span[1:] != span[:-1]).any(axis=1)])
+    group, kind = np.cumsum(new_lead) - 1, np.cumsum(new_span) - 1
+    spans = np.bincount(group[new_span])
+    core = np.zeros(n, U)
+    for w in words[:-2]:
+        core = mix64(core * U(3) + w)
+    last = group[-1]
+    side = np.where(group == 0, 0, np.where(group == last, 1, -1)).astype(np.int32)
+    bucket = TaskContext.get().partitionId()
+    low = {0: 0, 1: int(np.searchsorted(group, last))}
+    high = {0: int(np.searchsorted(group, 0, "right")) - 1, 1: n - 1}
+    at_low, at_high = (np.isin(kind, [kind[k] for k in ends.values()]) for ends in (low, high))
+    keep = (np.bincount(group)[group] > 1) | (side >= 0)
+    repeated, kept_side = np.bincount(kind)[kind] > 1, pa.array(side[keep], mask=side[keep] < 0)
+    columns = [*(c[keep] for c in numbers), core[keep].view(np.int64), repeated[keep], new_span[keep], spans[group][keep].astype(np.int64)]
+    m = int(keep.sum())
+    columns = [*map(pa.array, columns), pa.array(np.full(m, bucket, np.int32)), kept_side, pa.array(at_low[keep]), pa.array(at_high[keep]), *(pa.nulls(m, pa.binary()) for _ in range(3))]
+    rows = pa.Table.from_arrays(columns, _FLAGGED_NAMES)
+    yield from rows.to_batches(max_chunksize=1 << 16)
+    ends = [{"bucket": bucket, "side": k, "spans": int(spans[group[low[k]]]), "lead": lead[low[k]].tobytes(), "low": span[low[k]].tobytes(), "high": span[high[k]].tobytes()} for k in (range(2) if last else range(1))]
+    yield pa.RecordBatch.from_pylist(ends, rows.schema)
 
 
 def _settled(flagged: DataFrame) -> DataFrame:
-    """``flagged`` with what other buckets add; two rows per bucket are looked at on the driver."""
-    edges = flagged.where("edge").select("bucket", "core", "span", "spans").collect()
-    total, repeated, goes_on = _across([tuple(r) for r in edges])
-
-    def run(batches):
-        for batch in batches:
-            core, span, bucket = (batch.column(i).to_pylist() for i in (5, 6, 10))
-            again, first, spans = (batch.column(i).to_pylist() for i in (7, 8, 9))
-            for i, pair in enumerate(zip(core, span)):
-                if pair in repeated:
-                    again[i] = True
-                    first[i] = first[i] and (bucket[i], *pair) not in goes_on
-                spans[i] = total.get(core[i], spans[i])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(again), pa.array(first), pa.array(spans, pa.int64())], [x.split()[0] for x in _FLAGGED.split(",")][:10])
-
-    rows = flagged.where("not edge").drop("edge")
-    return rows.mapInArrow(run, ",".join(_FLAGGED.split(",")[:10])).where("repeated or spans > 1")
-
-
-def _maybe(ids: DataFrame):
-    """A fixed-size filter of ids: which of ``FILTER`` hash slots they take. It only saves shuffling other texts."""
-    slot = ids.select(F.pmod(F.xxhash64("id", "h"), F.lit(FILTER)).alias("slot"))
-    maps = slot.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")))
-    bits = np.zeros(FILTER + (1 << 16), bool)
-    for bucket, held in maps.collect():
-        values = np.unpackbits(np.frombuffer(held, np.uint8), bitorder="little").astype(bool)
-        first = (bucket - 1) * 32768 + 1 if bucket else 0
-        bits[first : first + len(values)] |= values
-    return np.packbits(bits)
-
-
-def _passing(texts: DataFrame, maybe, wanted: bool, then=None, schema=None) -> DataFrame:
-    """The rows that pass the filter (or do not), as they are or as ``then`` makes them in the same worker."""
-    shared = texts.sparkSession.sparkContext.broadcast(maybe)
-
-    def passed(batches):
-        for batch in batches:
-            slot = batch.column(batch.num_columns - 1).to_numpy()
-            hit = (shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
-            yield batch.filter(pa.array(hit if wanted else ~hit)).select(range(batch.num_columns - 1))
-
-    def run(batches):
-        yield from then(passed(batches)) if then else passed(batches)
-
-    with_slot = texts.withColumn("slot", F.pmod(F.xxhash64("id", "h"), F.lit(FILTER)))
-    return with_slot.mapInArrow(run, schema or texts.schema)
-
-
-def _window_hashes(contexts: list[bytes], n: np.ndarray, ahead: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of the spans, and the span of each."""
-    begin = np.cumsum([0, *map(len, contexts)])[:-1]
-    which = np.repeat(np.arange(len(n)), n)
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = begin[which] + step
-    hashes = SpanHash(byte_values(np.frombuffer(b"".join(contexts), np.uint8)))(start, start + least)
-    return mix64(hashes + (ahead[which] - step).astype(U) * U(0x9FB21C651E98DF25)), which
+    """``flagged`` with what other buckets add. Buckets that share leading bytes follow each other; only their two
+    summaries are compared, and each bucket's own rows learn the outcome by bucket and side."""
+    ends = flagged.where("lead is not null").select("bucket", "side", "spans", "lead", "low", "high")
+    along, whole = Window.partitionBy("lead").orderBy("bucket"), Window.partitionBy("lead")
+    ends = ends.withColumn("before", F.lag("high").over(along)).withColumn("after", F.lead("low").over(along))
+    ends = ends.select(
+        "bucket", "side", "lead", "spans", F.count("*").over(whole).alias("buckets"),
+        F.coalesce(F.col("before") == F.col("low"), F.lit(False)).alias("goes_on"),
+        F.coalesce(F.col("after") == F.col("high"), F.lit(False)).alias("goes_over"),
+    )
+    ends = ends.withColumn("total", F.sum(F.col("spans") - F.col("goes_on").cast("int")).over(whole))
+    ends = ends.where("buckets > 1").select("bucket", "side", "goes_on", "goes_over", "total")
+    rows = flagged.where("lead is null").select(*_FLAGGED_NAMES[:13])
+    names = _FLAGGED_NAMES[:9]
+    at_end = rows.where("side is not null").join(ends, ["bucket", "side"], "left")
+    on, over = (F.coalesce(F.col(a) & F.col(b), F.lit(False)) for a, b in (("goes_on", "at_low"), ("goes_over", "at_high")))
+    at_end = at_end.withColumn("repeated", F.col("repeated") | on | over).withColumn("first", F.col("first") & ~on)
+    at_end = at_end.withColumn("spans", F.coalesce("total", "spans")).select(*names)
+    return rows.where("side is null").select(*names).union(at_end).where("repeated or spans > 1")
+
+
+def _window_hashes(joined: bytes, start: np.ndarray, place: np.ndarray, least: int, again: bool = False) -> np.ndarray:
+    """Hashes of windows and their place before the anchor; ``again`` gives others, that are independent of the first."""
+    values = byte_values(np.frombuffer(joined, np.uint8))
+    hashes = SpanHash(mix64(values) if again else values)(start, start + least)
+    return mix64(hashes + place.astype(U) * U(0x9FB21C651E98DF25))
+
+
+def _equal_windows(joined: bytes, start: np.ndarray, place: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first window of each kind of equal ones, and the kind of every window. Hashes propose, bytes decide."""
+    kind, found = pd.factorize(_window_hashes(joined, start, place, least))
+    first = np.empty(len(found), np.int64)
+    first[kind[::-1]] = np.arange(len(kind))[::-1]
+    shift = start[first[kind]] - start
+    other = np.flatnonzero(shift)
+    cut = np.flatnonzero((np.diff(start[other]) != 1) | (np.diff(shift[other]) != 0)) + 1
+    for low, high in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(other)]])):
+        if low < high:
+            a, b, by = int(start[other[low]]), int(start[other[high - 1]]) + least, int(shift[other[low]])
+            if joined[a:b] != joined[a + by : b + by]:
+                break
+    else:
+        return first, kind
+    number: dict[tuple, int] = {}
+    kind = np.array([number.setdefault((joined[a : a + least], p), len(number)) for a, p in zip(start.tolist(), place.tolist())], np.int64)
+    return np.unique(kind, return_index=True)[1], kind
 
 
 def _runs(hit: np.ndarray, which: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +238,7 @@ def _runs(hit: np.ndarray, which: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return which[starts], starts - base, ends - base
 
 
-_OPEN = np.dtype([("w", "<u8"), ("id", "<i8"), ("h", "<i8"), ("a", "<i4"), ("known", "?")])
+_OPEN = np.dtype([("w", "<u8"), ("v", "<u8"), ("id", "<i8"), ("h", "<i8"), ("a", "<i4"), ("known", "?")])
 
 
 def _settle(rows: list[tuple], least: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -233,19 +246,22 @@ def _settle(rows: list[tuple], least: int, buckets: int) -> Iterator[pa.RecordBa
     too, every other window once, packed by bucket of its hash."""
     ids, hs, start, n, ahead, data, large = zip(*rows)
     ids, hs, start, n, large = np.array(ids, np.int64), np.array(hs, np.int64), np.array(start), np.array(n), np.array(large)
-    hashes, which = _window_hashes(list(data), n, np.array(ahead), least)
-    _, first, inverse, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    shared = count[inverse] > 1
+    joined, base = b"".join(data), np.cumsum(n) - n
+    which = np.repeat(np.arange(len(n)), n)
+    step = np.arange(n.sum()) - base[which]
+    begin, place = np.cumsum([0, *map(len, data)])[:-1][which] + step, np.array(ahead)[which] - step
+    first, kind = _equal_windows(joined, begin, place, least)
+    shared = np.bincount(kind)[kind] > 1
     span, low, high = _runs(shared, which, n)
     none = pa.nulls(len(span), pa.int32()), pa.nulls(len(span), pa.binary())
     found = [ids[span], hs[span], (start[span] + low).astype(np.int32), (start[span] + high + least).astype(np.int32)]
     yield pa.RecordBatch.from_arrays([*map(pa.array, found), *none], _WINDOW_NAMES)
     if large.any():
         first = first[large[which[first]]]
-        step = first - (np.cumsum(n) - n)[which[first]]
         left = np.empty(len(first), _OPEN)
-        left["w"], left["id"], left["h"] = hashes[first], ids[which[first]], hs[which[first]]
-        left["a"], left["known"] = start[which[first]] + step, shared[first]
+        left["w"], left["v"] = (_window_hashes(joined, begin[first], place[first], least, again) for again in (False, True))
+        left["id"], left["h"] = ids[which[first]], hs[which[first]]
+        left["a"], left["known"] = start[which[first]] + step[first], shared[first]
         bucket = (left["w"] % U(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         cut = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -262,8 +278,9 @@ def _compared(contexts: DataFrame, least: int) -> DataFrame:
     """Intervals of the windows that two spans share.
 
     Spans of one core meet in blocks of about ``TOGETHER``, most cores in one, and a block settles what its own spans
-    share. Of a core that many different spans share, the windows that a block holds, each once, then meet those of
-    other blocks by hash; packed, so that they are few rows, and bounded by distinct windows, not by copies.
+    share, byte by byte. Of a core that many different spans share, the windows that a block holds, each once, then meet
+    those of other blocks by two independent hashes; packed, so that they are few rows, and bounded by distinct windows,
+    not by copies.
     """
     total = contexts.where(f"spans > {TOGETHER}").agg(F.sum("n")).first()[0] or 0
     buckets = max(1, total >> 19)
@@ -302,8 +319,9 @@ def _compared(contexts: DataFrame, least: int) -> DataFrame:
 
     def repeated(parts):
         rows = np.concatenate(parts)
-        _, inverse, count = np.unique(rows["w"], return_inverse=True, return_counts=True)
-        rows = rows[(count[inverse] > 1) & ~rows["known"]]
+        rows = rows[np.lexsort((rows["v"], rows["w"]))]
+        same = (rows["w"][1:] == rows["w"][:-1]) & (rows["v"][1:] == rows["v"][:-1])
+        rows = rows[(np.append(same, False) | np.append(False, same)) & ~rows["known"]]
         return pa.RecordBatch.from_arrays([pa.array(rows["id"].copy()), pa.array(rows["h"].copy()), pa.array(rows["a"].copy()), pa.array((rows["a"] + least).astype(np.int32))], ["id", "h", "a", "b"])
 
     apart = found.where("bucket is not null").select("bucket", "packed").repartition("bucket").sortWithinPartitions("bucket")
@@ -329,7 +347,7 @@ def _contexts(texts: DataFrame, spans: DataFrame, least: int) -> DataFrame:
     return texts.join(per_text, ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "h", "text", "held").mapInArrow(run, "id long, h long, start int, n int, ahead int, core long, context binary, spans long")
 
 
-_RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
+_RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"
 
 
 def _remaining(data: bytes, held: list[dict]) -> tuple[bytes, int]:
@@ -352,9 +370,9 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for i, data, held in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist()):
             kept, spans = _remaining(data, held or [])
-            out.append((None if i == _NO_ID else i, len(data), len(data) - len(kept), spans, kept))
+            out.append((None if i == _NO_ID else i, len(data), len(data) - len(kept), spans, kept, kept.decode("utf-8", "ignore")))
         if out:
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], [x.split()[0] for x in _RESULT.split(", ")])
 
 
@@ -363,14 +381,14 @@ def repeated_spans(texts: DataFrame, least: int, core: int) -> DataFrame:
     elsewhere."""
     suffixes = written(_suffixes(texts, least, core), "suffixes")
     buckets = max(1, -(-suffixes.count() // BUCKET_ROWS))
-    ordered = suffixes.repartitionByRange(buckets, "core", "span", "id", "start")
+    ordered = suffixes.repartitionByRange(buckets, "lead", "span", "id", "start")
     flagged = written(ordered.mapInArrow(_compare_neighbours, _FLAGGED), "flagged")
     drop(suffixes)
     settled = written(_settled(flagged), "settled")
     drop(flagged)
     full = settled.where("repeated").select("id", "h", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + least).alias("b"))
     open_spans = settled.where("spans > 1 and (not repeated or first)").select("id", "h", "start", "n", "ahead", "core", "spans")
-    found = _passing(texts, _maybe(open_spans.select("id", "h")), True)
+    found = sifted(texts, sieve_of(open_spans, "id", "h"), "id", "h")
     contexts = written(_contexts(found, open_spans, least), "contexts")
     out = written(full.union(_compared(contexts, least)), "spans")
     drop(settled)
@@ -384,17 +402,18 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, least: int, core: int | No
     texts = _texts(docs, id_col, text_col)
     spans = repeated_spans(texts, least, core or max(1, least // 4))
     held = spans.groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("held"))
-    maybe = _maybe(spans.select("id", "h"))
+    sieve = sieve_of(spans, "id", "h")
     full = _texts(docs, id_col, text_col, others)
     whole = full.withColumn("held", F.lit(None).cast("array<struct<a:int,b:int>>"))
-    cut = _passing(full, maybe, True).join(held, ["id", "h"], "left").select(*whole.columns)
-    return _passing(whole, maybe, False, then, schema).union(cut.mapInArrow(then, schema))
+    cut = sifted(full, sieve, "id", "h").join(held, ["id", "h"], "left").select(*whole.columns)
+    return sifted(whole, sieve, "id", "h", wanted=False, then=then, schema=schema).union(cut.mapInArrow(then, schema))
 
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400, core: int | None = None
 ) -> DataFrame:
-    """``id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes) for every row of ``docs``.
+    """``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes) and ``kept_text`` (the whole
+    characters among them) for every row of ``docs``.
 
     A byte of a text's UTF-8 form is removed if a string of ``least`` bytes that covers it also starts anywhere else,
     in the same or another row; matches do not cross rows, overlaps count, and all is judged on the input. ``core``
