@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
 from .kernels import U, as_bytes, mix64, parts_of, shingle_sets
 from .scratch import drop, written
+from .sieve import sieve_of, sifted
 
 #: Text bytes that are worked on at once in a task.
 BLOCK = 1 << 18
-#: Documents of a block whose sets a task compares with those of another.
-PER_BLOCK = 512
+#: Documents, and shingles of all of them, in a block that a task compares with another.
+PER_BLOCK, SET_ROWS = 512, 1 << 20
+#: Leaders that a group of documents has in different bands.
+LEADERS = 5
 
 
 def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -72,8 +78,8 @@ def _blocks(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch,
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """``id``, ``n`` (size of the shingle set), ``s1`` and ``s2`` (128 bits that name the set; null when it is empty)
-    and ``bands`` (one hash per band)."""
+    """``id``, ``n`` (size of the shingle set), ``name`` (128 bits of SHA-256 of the lower-cased words; null without
+    words) and ``bands`` (one hash per band)."""
 
     def run(batches):
         for batch in batches:
@@ -81,54 +87,83 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
                 sets = shingle_sets(texts, words)
                 n = np.array([len(s) for s in sets], np.int32)
                 hashes = _band_hashes(superminhash(sets, bands * rows), bands)
-                name = np.array([[x.sum(dtype=U), mix64(x ^ U(0x5851F42D4C957F2D)).sum(dtype=U)] for x in sets], U)
-                name = mix64(name + n[:, None].astype(U)).view(np.int64)
-                empty = n == 0
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(n),
-                        pa.array(name[:, 0], mask=empty),
-                        pa.array(name[:, 1], mask=empty),
-                        pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * bands, hashes.reshape(-1)),
-                    ],
-                    ["id", "n", "s1", "s2", "bands"],
-                )
+                names = [hashlib.sha256(b" ".join(t.lower().split())).digest()[:16] if k else None for t, k in zip(texts, n.tolist())]
+                lists = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * bands, hashes.reshape(-1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(names, pa.binary()), lists], ["id", "n", "name", "bands"])
 
     rows_of = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows_of.mapInArrow(run, "id long, n int, s1 long, s2 long, bands array<long>")
+    return rows_of.mapInArrow(run, "id long, n int, name binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    def run(batches):
+def word_shingles(text: bytes, words: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves, that links are confirmed on."""
+    own = text.lower().split()
+    return set(zip(*(own[i:] for i in range(words)))) if len(own) >= words else {tuple(own)} - {()}
+
+
+def similar(a: set, b: set, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose ``id`` may be in ``ids``; rows of a batch that repeat id and text come once."""
+
+    def once(batches):
         for batch in batches:
-            for part, texts in _blocks(batch, "text"):
-                sets = shingle_sets(texts, words)
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                flat = np.concatenate([np.empty(0, U), *sets]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(ends, flat)], ["id", "shingles"]
-                )
+            keys = pd.DataFrame({"id": batch.column(0).to_numpy(), "h": batch.column(2).to_numpy()})
+            yield batch.filter(pa.array(~keys.duplicated().to_numpy())).select([0, 1])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    keyed = texts.where("id is not null").withColumn("h", F.xxhash64("text"))
+    return sifted(keyed, sieve_of(ids, "id"), "id", then=once, schema="id long, text string")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a``, ``b`` whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("id"))
-    sets = _sets(docs.join(wanted, "id", "left_semi"), words).groupBy("id").agg(F.min("shingles").alias("shingles"))
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return with_b.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs ``a``, ``b`` whose full sets have 100 * intersection >= percent * union. A task has the text of one
+    ``b`` and of at most about ``PER_BLOCK`` partners. Of an id with several texts any may match."""
+    counted = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_BLOCK).alias("salts"))
+    salt = F.pmod(F.xxhash64("a"), F.col("salts"))
+    asking = pairs.join(counted, "b").select(F.col("a").alias("id"), F.xxhash64("b", salt).alias("task"), F.col("b").alias("leader"))
+    leading = counted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    leading = leading.select(F.col("b").alias("id"), F.xxhash64("b", "salt").alias("task"), F.col("b").alias("leader"))
+    keyed = written(asking.union(leading), "asked")
+    rows = _texts_of(texts, keyed).join(keyed, "id").select("task", "leader", (F.col("id") != F.col("leader")).alias("asks"), "id", "text")
 
+    def run(batches):
+        current, held = None, {}
+        for batch in batches:
+            out = []
+            for task, leader, asks, i, text in zip(*(c.to_pylist() for c in batch.columns[:4]), as_bytes(batch.column(4))):
+                if (task, leader) != current:
+                    current, held = (task, leader), {}
+                own = word_shingles(text, words)
+                if not asks:
+                    held[text] = own
+                elif any(similar(own, other, percent) for other in held.values()):
+                    out.append((i, leader))
+            if out:
+                a, b = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.repartition("task").sortWithinPartitions("task", "leader", "asks").mapInArrow(run, "a long, b long")
+
+
+def _block_links(rows: list[tuple[int, int, int, bytes]], two_blocks: bool, words: int, percent: int) -> list[tuple[int, int]]:
+    """Links between rows (side, id, part, text) of different parts, of different sides if there are two blocks. A row
+    gets one link at most to each part: others would join nothing more. Hashes propose, words decide."""
+    sets, confirmed = shingle_sets([r[3] for r in rows], words), {}
+
+    def same(i: int, k: int) -> bool:
+        for x in (i, k):
+            if x not in confirmed:
+                confirmed[x] = word_shingles(rows[x][3], words)
+        return similar(confirmed[i], confirmed[k], percent)
 
-def _block_links(rows: list[tuple[int, int, int, np.ndarray]], two_blocks: bool, percent: int) -> list[tuple[int, int]]:
-    """Links between rows (side, id, part, set) of different parts, of different sides if there are two blocks. A row
-    gets one link at most to each part: others would join nothing more."""
     ids, parts = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
     side = np.array([r[0] for r in rows])
-    size = np.array([len(r[3]) for r in rows])
+    size = np.array([len(s) for s in sets])
     value, count = np.unique(parts, return_counts=True)
     main = value[np.argmax(count)]
     out = []
@@ -138,60 +173,68 @@ def _block_links(rows: list[tuple[int, int, int, np.ndarray]], two_blocks: bool,
         held, askers = np.flatnonzero(held), np.flatnonzero(askers & asking)
         if not len(held) or not len(askers):
             continue
-        tokens, owner = np.concatenate([rows[i][3] for i in held]), np.repeat(held, size[held])
+        tokens, owner = np.concatenate([sets[i] for i in held]), np.repeat(held, size[held])
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
         for i in askers:
-            low, high = np.searchsorted(tokens, rows[i][3], "left"), np.searchsorted(tokens, rows[i][3], "right")
+            low, high = np.searchsorted(tokens, sets[i], "left"), np.searchsorted(tokens, sets[i], "right")
             n = high - low
             both = np.bincount(owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(rows))
             hit = np.flatnonzero((both > 0) & (parts != parts[i]) & (100 * both >= percent * (size + size[i] - both)))
-            _, first = np.unique(parts[hit], return_index=True)
-            out += [(int(ids[i]), int(ids[k])) for k in hit[first]]
+            met = set()
+            for k in hit.tolist():
+                if parts[k] not in met and same(i, k):
+                    met.add(parts[k])
+                    out.append((int(ids[i]), int(ids[k])))
     return out
 
 
 def _linked_apart(ties: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between documents of one candidate cluster that are in different parts so far.
 
-    ``ties`` holds ``id``, ``part`` and a ``leader`` with which the id shares a band. A cluster (ids joined by shared
-    bands) is cut into blocks, each pair of blocks is compared in one task, and only links leave the task.
+    ``ties`` holds ``id``, ``n``, ``part`` and a ``leader`` with which the id shares a band. A cluster (ids joined by
+    shared bands) is cut into classes of set size, such that linked sets are in one class or in neighbours; a class
+    meets itself and, as guests, the class below. Classes are cut into blocks, each pair of blocks that can hold a link
+    is compared in one task, and only links leave the task.
     """
     cluster = connected_components(ties.select("id", "leader"))
-    placed = ties.select("id", "part").distinct().join(cluster.withColumnRenamed("node", "id"), "id")
-    sized = placed.groupBy("component").agg(F.ceil(F.count("*") / PER_BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(sized, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = other.select(
-        "id",
-        "part",
-        F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-        (F.col("own") != F.col("other")).alias("two"),
-    )
-    sets = _sets(texts.join(placed.select("id").distinct(), "id", "left_semi"), words)
-    rows = keyed.join(sets.groupBy("id").agg(F.min("shingles").alias("shingles")), "id")
+    level = F.floor(F.log("n") / (1.0001 * math.log(100 / min(percent, 99)))).cast("int")
+    placed = ties.groupBy("id").agg(F.min("part").alias("part"), F.max("n").alias("n")).withColumn("level", level)
+    placed = placed.join(cluster.withColumnRenamed("node", "id"), "id")
+    both = F.explode(F.array(F.struct(F.col("level").alias("cell"), F.lit(False).alias("guest")), F.struct((F.col("level") + 1).alias("cell"), F.lit(True).alias("guest"))))
+    placed = placed.withColumn("x", both).select("component", "x.cell", "x.guest", "id", "part", "n")
+    blocks = lambda own: F.ceil(F.greatest(F.count_if(own) / PER_BLOCK, F.sum(F.when(own, F.col("n")).otherwise(0)) / SET_ROWS)).cast("int")
+    sized = placed.groupBy("component", "cell").agg(blocks(~F.col("guest")).alias("homes"), blocks(F.col("guest")).alias("guests"), F.count("*").alias("all"))
+    dealt = placed.join(sized.where("homes > 0 and all > 1"), ["component", "cell"])
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("homes"))).cast("int"))
+    homes = dealt.where("not guest").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("homes") + F.col("guests") - 1)))
+    guests = dealt.where("guest").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)))
+    keyed = homes.select(
+        "component", "cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "part"
+    ).union(guests.select("component", "cell", "other", F.col("homes") + F.col("own"), F.lit(1), "id", "part"))
+    keyed = keyed.select(F.xxhash64("component", "cell", "x", "y").alias("task"), (F.col("x") != F.col("y")).alias("two"), "side", "id", "part")
+    keyed = written(keyed, "blocks")
+    rows = keyed.join(_texts_of(texts, keyed), "id")
 
     def run(batches):
         held, task = [], None
 
         def links():
-            found = _block_links([r[2:] for r in held], held[0][1], percent)
+            found = _block_links([r[2:] for r in held], held[0][1], words, percent)
             a, b = zip(*found) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            sets = batch.column(5)
-            for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)))):
-                if key[0] != task and held:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), as_bytes(batch.column(5))):
+                if row[0] != task and held:
                     yield links()
                     held = []
-                task = key[0]
-                held.append((*key, sets[i].values.to_numpy().view(U).copy()))
+                task = row[0]
+                held.append(row)
         if held:
             yield links()
 
-    rows = rows.select("task", "two", "side", "id", "part", "shingles")
+    rows = rows.select("task", "two", "side", "id", "part", "text")
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
@@ -212,10 +255,10 @@ def near_duplicates(
 
     Candidates share a band of ``rows`` SuperMinHash slots in one of ``bands`` bands; at a similarity of 0.85 the
     default misses a link with a probability below 1e-6, at 0.80 below 1e-4. Every candidate link is confirmed on the
-    full sets. Documents with equal sets are one class and are compared once. In a bucket each class is first compared
-    with one leader, which differs from band to band. Classes that share a bucket but are still in different components
-    are then compared with each other in pairs of blocks, which only emit links; no link between components is
-    skipped, and no task holds more than two blocks.
+    full sets of words themselves. Documents with equal words are one class and are compared once. In a bucket each
+    class is first compared with one leader, which differs between groups of bands. Classes that share a bucket but are
+    still in different components are then compared with each other in pairs of blocks, which only emit links; no link
+    between components is skipped, and no task holds more than two blocks.
 
     Null and empty texts, and texts of white space alone, have an empty set and link with nothing. A row without id
     links with nothing; its component is null and it is kept. Rows that repeat an id are one node. An empty table
@@ -223,41 +266,34 @@ def near_duplicates(
     """
     table = written(signatures(docs, id_col, text_col, words, bands, rows), "signatures")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = table.where("id is not null and s1 is not null")
-    classes = known.groupBy("s1", "s2").agg(
-        F.min("id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("copies")
-    )
+    known = table.where("id is not null and name is not null")
+    classes = known.groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
-    copies = known.join(classes.where("copies > 1").select("s1", "s2", F.col("id").alias("rep")), ["s1", "s2"])
-    copies = copies.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    members = classes.select("id", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(
-        F.count("*").alias("k"), F.min_by("id", F.xxhash64("band", "id")).alias("leader")
-    )
-    members = written(members.join(shared.where("k > 1"), "band").select("band", "id", "leader"), "members")
-
-    stars = members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    several = known.groupBy("id").agg(F.min("name").alias("x"), F.max("name").alias("y")).where("x <> y").select(F.col("id").alias("a"))
+    named = known.join(several.select(F.col("a").alias("id")), "id", "left_semi").select(F.col("id").alias("a"), "name")
+    copies = named.join(classes.select("name", F.col("id").alias("b")), "name").where("a <> b").select("a", "b")
+    members = classes.select("id", "n", F.posexplode("bands").alias("place", "band"))
+    turn = F.element_at(F.array(*(F.lit(int(x)) for x in mix64(np.arange(LEADERS, dtype=U)).view(np.int64))), F.pmod("place", F.lit(LEADERS)) + 1)
+    shared = members.groupBy("band", turn.alias("turn")).agg(F.count("*").alias("k"), F.min(F.col("id").bitwiseXOR(turn)).alias("least"))
+    shared = shared.where("k > 1").select("band", F.col("least").bitwiseXOR(F.col("turn")).alias("leader"))
+    members = written(members.join(shared, "band").select("band", "id", "n", "leader"), "members")
+
+    stars = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
     links = written(_verified(stars.distinct(), texts, words, percent), "links")
     parts = written(connected_components(links), "parts")
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "id", F.coalesce("component", "id").alias("part")
-    )
+    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
     apart = placed.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
-    ties = placed.join(apart.select("band"), "band", "left_semi")
-    ties = ties.join(shared.select("band", "leader"), "band").select("id", "part", "leader")
+    ties = placed.join(apart.select("band"), "band", "left_semi").select("id", "n", "part", "leader")
     ties = written(ties.distinct(), "apart")
     more = written(_linked_apart(ties, texts, words, percent), "links")
 
     found = written(connected_components(links.union(more).union(copies)), "components")
-    for x in (classes, members, links, parts, ties, more):
+    owned = classes.select("name", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
+    owned = written(owned.select("name", F.coalesce("component", "id").alias("component")), "owned")
+    for x in (classes, members, links, parts, ties, more, found):
         drop(x)
-    return (
-        table.select("id", F.col("n").alias("n_shingles"))
-        .join(found.withColumnRenamed("node", "id"), "id", "left")
-        .select(
-            "id",
-            F.col("n_shingles").cast("long").alias("n_shingles"),
-            F.coalesce("component", "id").alias("component_id"),
-            F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
-        )
-    )
+    alone = F.col("id").isNull() | F.col("name").isNull()
+    linked = table.where(~alone).join(owned, "name").select("id", "n", "component")
+    linked = linked.union(table.where(alone).select("id", "n", F.col("id").alias("component")))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return linked.select("id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))

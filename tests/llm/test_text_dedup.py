@@ -7,7 +7,7 @@ import pytest
 
 from letterloom.llm import minhash, suffix_dedup
 from letterloom.llm.components import connected_components
-from llm.conftest import components, words_of
+from llm.conftest import TWINS, components, words_of
 
 
 def prose(rng, n):
@@ -48,6 +48,23 @@ def test_near_duplicates_are_all_pairs(docs, words, percent, monkeypatch):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
+def test_texts_of_equal_hash_stay_apart(docs, monkeypatch):
+    assert [r.kept for r in minhash.near_duplicates(docs(list(enumerate(TWINS)))).collect()] == [True, True]
+    rows = [(0, 1, 1, b"a b c d"), (1, 2, 2, b"e f g h"), (1, 3, 3, b"a b c d")]
+    monkeypatch.setattr(minhash, "shingle_sets", lambda texts, words: [np.zeros(1, np.uint64) for _ in texts])
+    assert minhash._block_links(rows, False, 3, 80) in ([(1, 3)], [(3, 1)])
+    joined = b"abcdabcdxbcd"
+    monkeypatch.setattr(suffix_dedup, "SpanHash", lambda values: lambda start, end: np.zeros(len(start), np.uint64))
+    first, kind = suffix_dedup._equal_windows(joined, np.array([0, 4, 8]), np.zeros(3, np.int64), 4)
+    assert kind.tolist() == [0, 0, 1] and first.tolist() == [0, 2]
+
+
+def test_an_id_with_several_texts_is_one_node(docs):
+    a, b, c = (" ".join(prose(random.Random(k), 50)) for k in range(3))
+    got = minhash.near_duplicates(docs([(1, a), (2, a), (2, b), (3, b + " more"), (4, c)])).collect()
+    assert {r.id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_near_duplicates_of_nothing(docs):
     assert minhash.near_duplicates(docs([]).limit(0)).count() == 0
     twice = minhash.near_duplicates(docs([(1, "a b c d e f"), (1, "a b c d e f")])).collect()

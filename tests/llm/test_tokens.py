@@ -11,16 +11,13 @@ from pyspark.sql import functions as F
 from letterloom.llm import bpe, packing, pretokens
 from letterloom.llm.pretokens import Pretokens
 
+from llm.conftest import TWINS
+
 public = pytest.importorskip("public_tokenizers")
 import regex  # noqa: E402
 import tiktoken  # noqa: E402
 
 RANKS = public.path("byte_bpe_50k.tiktoken")
-THUE = "a"
-while len(THUE) < 1024:
-    THUE += THUE.translate(str.maketrans("ab", "ba"))
-#: Two words whose polynomial hashes modulo 2^64 agree for every base.
-TWINS = [THUE, THUE.translate(str.maketrans("ab", "ba"))]
 TEXTS = [*TWINS, " ".join(TWINS), None, "", "don't   stop\n\n now's", "  \n ", "x" * 9000, "naïve 漢字 ١٢ '''s 'S", "<|endoftext|> hi", "The the the  the", "a\0b", "word " * 5000, "don't   stop\n\n now's"]
 
 
