@@ -1,12 +1,12 @@
 """Toxicity of whole texts: a logistic model of words and word beginnings, regularised by counterfactuals.
 
-Identity terms are swapped in the labelled sentences that hold them, and a change of score is penalised, so that
-mentioning a group neutrally does not raise a score.
+Labelled sentences that hold an identity term are written again with another term in its place, both are scored, and the
+difference of the two scores is penalised while the model is fitted, so that mentioning a group does not raise a score.
 """
 
 from __future__ import annotations
 
-from itertools import pairwise
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,9 @@ from .kernels import U, SpanHash, mix64, parts_of, text_blocks
 from .pretokens import LETTER, _tables
 from .scratch import drop, written
 
+#: Where labelled texts are cut into sentences, and fixed values: neutral sentences that false positives are counted on.
+SENTENCE = r"(?<=[.!?])\s+|\n+"
+NEUTRAL = ("I talked to {} yesterday.", "Our street is home to {} of all ages.", "The meeting was opened by {} from the town.", "A film about {} is shown on Sunday.")
 #: Hash slots of features, text bytes worked on at once, and lengths of word beginnings.
 SLOTS, BLOCK, BEGINNINGS = 1 << 20, 1 << 18, (4, 5, 6, 7, 8)
 
@@ -54,12 +57,25 @@ def _distinct(row: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return both // SLOTS, both % SLOTS
 
 
-def _swaps() -> list[tuple[str, str]]:
-    """Each term with the next of its line and with the line's neutral term."""
-    out = []
-    for line in IDENTITIES:
-        out += [*pairwise((*line, line[0])), *((t, line[0]) for t in line[2:])]
-    return out
+_PARTNERS = {term: line for line in IDENTITIES for term in line}
+_ANY_TERM = regex.compile(r"\b(?:" + "|".join(sorted(_PARTNERS, key=len, reverse=True)) + r")\b", regex.IGNORECASE)
+
+
+def swapped(sentence: str) -> list[str]:
+    """The sentence with each of its terms replaced by the next of the term's line, and with each replaced by the
+    line's neutral term; none without a term."""
+
+    def other(step: bool):
+        def put(m):
+            line = _PARTNERS[m[0].lower()]
+            return line[(line.index(m[0].lower()) + 1) % len(line)] if step else line[0]
+
+        return put
+
+    if not _ANY_TERM.search(sentence):
+        return []
+    found = [_ANY_TERM.sub(other(step), sentence) for step in (True, False)]
+    return [x for x in dict.fromkeys(found) if x.lower() != sentence.lower()]
 
 
 class Model:
@@ -85,32 +101,54 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def _fit(row, column, label, weight, swaps, columns, ridge: float, counterfactual: float, rounds: int = 300):
-    """Logistic regression by accelerated gradient steps with the counterfactual penalty; features are 0 or 1.
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
-    ``swaps`` holds, per swap, the columns it removes, those it adds, and how often it occurs.
-    """
-    n = len(label)
+
+class _Design:
+    """Rows of features that are 0 or 1, as lists of columns."""
+
+    def __init__(self, lists: pa.Array) -> None:
+        self.column = lists.flatten().to_numpy()
+        self.n = len(lists)
+        self.row = np.repeat(np.arange(self.n), np.diff(lists.offsets.to_numpy()))
+
+    def totals(self, w: np.ndarray, base: float) -> np.ndarray:
+        return base + np.bincount(self.row, w[self.column], self.n)
+
+    def gradient(self, by_row: np.ndarray, columns: int) -> np.ndarray:
+        return np.bincount(self.column, by_row[self.row], columns)
+
+
+def _fit(rows: _Design, label, weight, told: _Design, swap: _Design, columns, ridge: float, counterfactual: float, rounds: int = 300):
+    """Logistic regression by accelerated gradient steps. To the loss comes ``counterfactual`` times the mean squared
+    difference of scores between the sentences ``told`` and the same sentences as ``swap`` has them."""
     w, base, speed_w, speed_b = np.zeros(columns), -2.0, np.zeros(columns), 0.0
     square_w, square_b = np.zeros(columns), 0.0
     total = weight.sum()
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(base + np.bincount(row, w[column], n), -40, 40)))
-        gap = weight * (p - label) / total
-        grad = np.bincount(column, gap[row], columns) + ridge * w
-        for gone, come, times in swaps:
-            change = counterfactual * times * (w[come].sum() - w[gone].sum())
-            np.add.at(grad, come, change)
-            np.add.at(grad, gone, -change)
+        gap = weight * (_sigmoid(rows.totals(w, base)) - label) / total
+        grad, grad_b = rows.gradient(gap, columns) + ridge * w, gap.sum()
+        if told.n:
+            p, q = _sigmoid(told.totals(w, base)), _sigmoid(swap.totals(w, base))
+            change = 2 * counterfactual * (p - q) / told.n
+            up, down = change * p * (1 - p), change * q * (1 - q)
+            grad += told.gradient(up, columns) - swap.gradient(down, columns)
+            grad_b += up.sum() - down.sum()
         step = 0.3 / (1 + 5 * t / rounds)
-        speed_w, speed_b = 0.9 * speed_w + 0.1 * grad, 0.9 * speed_b + 0.1 * gap.sum()
-        square_w, square_b = 0.99 * square_w + 0.01 * grad**2, 0.99 * square_b + 0.01 * gap.sum() ** 2
+        speed_w, speed_b = 0.9 * speed_w + 0.1 * grad, 0.9 * speed_b + 0.1 * grad_b
+        square_w, square_b = 0.99 * square_w + 0.01 * grad**2, 0.99 * square_b + 0.01 * grad_b**2
         fix = (1 - 0.99**t) ** 0.5 / (1 - 0.9**t)
         w = w - step * fix * speed_w / (np.sqrt(square_w) + 1e-6)
         base -= step * fix * speed_b / (square_b**0.5 + 1e-6)
     return w, base
 
 
+def neutral_false_positives(model: Model, least: float = 0.7) -> float:
+    """The share of neutral sentences about each group (``NEUTRAL`` with every term) that score ``least`` or more."""
+    return float((model.scores([n.format(t) for n in NEUTRAL for t in _PARTNERS]) >= least).mean())
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -119,11 +157,13 @@ def train(
     label_col: str = "toxic",
     per_class: int = 6000,
     features: int = 4096,
+    pairs: int = 20000,
     ridge: float = 1e-4,
-    counterfactual: float = 0.05,
+    counterfactual: float = 2.0,
 ) -> Model:
     """Fit the model on at most ``per_class`` labelled documents of either class (by hash of the id; both classes
-    weigh alike) and at most ``features`` slots, those that tell the classes apart best in these documents.
+    weigh alike) and at most ``features`` slots, those that tell the classes apart best in these documents. At most
+    ``pairs`` of their sentences with an identity term (by hash) are compared with their swapped forms.
 
     Rows whose id or label is null are no examples; an id that is labelled twice has the larger label,
     and one with several texts the first of them in order. If a class has
@@ -160,40 +200,38 @@ def train(
     spread = (F.col("t") + F.col("c")) * (m + k - F.col("t") - F.col("c")) + F.lit(1.0)
     best = counts.where("t + c >= 3").orderBy(F.desc(gap.cast("double") * gap / spread), "slot").limit(features)
     slots = {int(r[0]) for r in best.select("slot").collect()}
-    terms = [t for line in IDENTITIES for t in line]
-    own = {t: np.unique(_features([t])[1]) for t in terms}
-    slots = np.array(sorted(slots.union(*(own[t].tolist() for t in terms))), np.int64)
+    slots = np.array(sorted(slots.union(*(np.unique(_features([t])[1]).tolist() for t in _PARTNERS))), np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(slots)
-    any_term = regex.compile(r"\b(?:" + "|".join(terms) + r")\b")
+
+    def columns_of(texts: list[str]) -> pa.Array:
+        row, slot = _distinct(*_features(texts))
+        at = np.minimum(np.searchsorted(shared.value, slot), len(shared.value) - 1)
+        hit = shared.value[at] == slot
+        ends = np.searchsorted(row[hit], np.arange(len(texts) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, at[hit].astype(np.int32))
 
     def designed(batches):
-        kept = shared.value
+        cut = regex.compile(SENTENCE).split
         for batch in batches:
             for part in parts_of(batch, 1, BLOCK):
-                data = part.column(1).to_pylist()
-                row, slot = _distinct(*_features(data))
-                at = np.minimum(np.searchsorted(kept, slot), len(kept) - 1)
-                hit = kept[at] == slot
-                ends = np.searchsorted(row[hit], np.arange(len(data) + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(ends, at[hit].astype(np.int32))
-                said = [any_term.findall(t.lower()) for t in data]
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(said, pa.list_(pa.string()))], ["label", "columns", "terms"])
-
-    rows = sample.mapInArrow(designed, "label int, columns array<int>, terms array<string>").toArrow()
+                texts = part.column(1).to_pylist()
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column(0), columns_of(texts), pa.nulls(n, kind), pa.nulls(n, pa.int64())], names)
+                both = [(x, y) for t in texts if _ANY_TERM.search(t) for x in cut(t) for y in swapped(x)]
+                if both:
+                    key = [int.from_bytes(hashlib.blake2b(f"{x}|{y}".encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big") for x, y in both]
+                    a, b = (columns_of(list(side)) for side in zip(*both))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int32()), a, b, pa.array(key, pa.int64())], names)
+
+    kind, names = pa.list_(pa.int32()), ["label", "columns", "swap", "key"]
+    design = written(sample.mapInArrow(designed, "label int, columns array<int>, swap array<int>, key long"), "design")
+    rows = design.where("key is null").select("label", "columns").toArrow().combine_chunks()
+    told = design.where("key is not null").orderBy("key").limit(pairs).select("columns", "swap").toArrow().combine_chunks()
+    lists = lambda t, c: _Design(t.column(c).combine_chunks() if t.num_rows else pa.array([], kind))
     label = rows.column("label").to_numpy().astype(float)
-    lists = rows.column("columns").combine_chunks()
-    column = lists.flatten().to_numpy()
-    row = np.repeat(np.arange(len(label)), np.diff(lists.offsets.to_numpy()))
     weight = np.where(label > 0, 1 / max(1, k), 1 / max(1, m))
-    said: dict[str, int] = {}
-    for terms_of in rows.column("terms").to_pylist():
-        for t in terms_of:
-            said[t] = said.get(t, 0) + 1
-    swaps = []
-    for a, b in _swaps():
-        gone, come = (np.searchsorted(slots, np.setdiff1d(own[x], own[y])) for x, y in ((a, b), (b, a)))
-        swaps.append((gone, come, (1 + said.get(a, 0)) / (1 + max(said.values(), default=0))))
-    w, base = _fit(row, column, label, weight, swaps, len(slots), ridge, counterfactual)
+    w, base = _fit(lists(rows, "columns"), label, weight, lists(told, "columns"), lists(told, "swap"), len(slots), ridge, counterfactual)
+    drop(design)
     drop(sample)
     return Model(slots, w, base)
 

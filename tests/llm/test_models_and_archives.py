@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,16 +44,25 @@ def test_toxicity_on_held_out_documents(spark, docs):
     assert all(not 0.5 < s for s in model.scores(["women", "men", "muslims and jews", "black people"]))
 
 
-def test_counterfactuals_draw_swapped_terms_together(spark, docs):
+def test_swapped_sentences():
+    assert toxicity.swapped("Muslims and Women bake.") == ["jews and christians bake.", "people and people bake."]
+    assert toxicity.swapped("people bake") == ["men bake"] and toxicity.swapped("womenfolk") == []
+
+
+def test_counterfactuals_spare_neutral_mentions(spark, docs):
+    """Where toxic texts name one group and clean ones another, the groups alone decide nothing in the end."""
     rows, labels = labelled()
-    rows = [(i, ("muslims " if i % 4 == 0 else "christians ") + t) for i, t in rows]
+    own = {True: ["muslims", "jews", "black"], False: ["christians", "men", "local"]}
+    rows = [(i, t + f". We saw {own[i % 4 == 0][i // 4 % 3]} there") for i, t in rows]
     table = spark.createDataFrame(labels, "doc_id long, toxic int")
-    gap = []
-    for strength in (0.0, 5.0):
+    gap, wrong, right = {}, {}, {}
+    for strength in (0.0, 2.0):
         model = toxicity.train(docs(rows), table, counterfactual=strength)
-        a, b = model.scores(["muslims bake", "christians bake"])
-        gap.append(abs(a - b))
-    assert gap[1] < 0.5 * gap[0]
+        a, b = model.scores(["We saw muslims there", "We saw christians there"])
+        gap[strength], wrong[strength] = abs(a - b), toxicity.neutral_false_positives(model, 0.5)
+        right[strength] = np.mean((model.scores([t for _, t in rows]) >= 0.5) == [i % 4 == 0 for i, _ in rows])
+    print(gap, wrong, right)
+    assert gap[2.0] < 0.5 * gap[0.0] and wrong[2.0] < 0.5 * wrong[0.0] and right[2.0] > 0.95
 
 
 def test_toxicity_without_labels(spark, docs):
