@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .kernels import U, SpanHash, byte_values, mix64, parts_of, as_bytes
 
-#: Hash slots of word pairs and single words, and text bytes worked on at once.
-SLOTS, BLOCK = 1 << 18, 1 << 18
+#: Characters of a sentence that is an example; hash slots of word pairs and single words, and text bytes worked on at once.
+LONGEST, SLOTS, BLOCK = 2000, 1 << 18, 1 << 18
 
 #: Names under which licence families are granted, and versions where a family has them.
 FAMILIES = {
@@ -39,29 +39,58 @@ GRANTS = (
     "You may use this text under the {}.", "All content is made available under {} unless noted otherwise.",
     "SPDX-License-Identifier: {}",
 )
-STRANGERS = (
-    "Harbour Public License, Version 7", "Open Meadow License", "Lakeside Community License v1", "Grey Fox License 2.1",
-    "Common Orchard License", "Northern Data Terms", "Free Archive Agreement", "Quarry Source License, version 4",
+_STRANGE = (("Harbour", "Open Meadow", "Lakeside", "Grey Fox", "Orchard", "Northern", "Quarry", "Copper Hill"), (
+    "{} Public License, Version 7", "{} Community License v1", "{} License 2.1", "{} Data Terms", "{} Agreement", "{} Source License, version 4",
+))
+STRANGERS = tuple(form.format(name) for name in _STRANGE[0] for form in _STRANGE[1])
+#: How ordinary prose mentions a licence without granting anything.
+MENTIONS = (
+    "She met the {} clerk at the office.", "We compared the {} with others in the lecture.", "The history of the {} is long.",
+    "He asked what the {} says about names.", "A book about the {} was sold.", "They argued over the {} all evening.",
 )
 _GNU = "GNU {} as published by the Free Software Foundation, either version {} of the License"
-#: File headers and bodies that grant a licence, some without its name, and identifiers of SPDX lines.
+_FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the "
+_COPIES = "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+#: Sentences of the licences' own texts and of file headers, most without a name, and identifiers of SPDX
+#: lines.
 BODIES = {
-    "Apache-2.0": ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',),
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, "
+        "royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and "
+        "distribute the Work and such Derivative Works in Source or Object form.",
+    ),
     "MIT": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    "BSD": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution.",
     ),
-    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies.",
+        _COPIES,
+    ),
+    "GPL-3.0": (_GNU.format("General Public License", 3), _FREE + _GNU.format("General Public License", 3), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "GPL-2.0": (
+        _GNU.format("General Public License", 2), "GNU General Public License version 2 as published by the Free Software Foundation",
+        _FREE + _GNU.format("General Public License", 2), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
     ),
-    "GPL-3.0": (_GNU.format("General Public License", 3),),
-    "GPL-2.0": (_GNU.format("General Public License", 2), "GNU General Public License version 2 as published by the Free Software Foundation"),
-    "LGPL": tuple(_GNU.format("Lesser General Public License", v) for v in ("2.1", 3)),
-    "AGPL-3.0": (_GNU.format("Affero General Public License", 3),),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v",),
+    "LGPL": tuple(x + _GNU.format("Lesser General Public License", v) for v in ("2.1", 3) for x in ("", _FREE)),
+    "AGPL-3.0": tuple(x + _GNU.format("Affero General Public License", 3) for x in ("", _FREE)),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    "CC0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
 }
 SPDX = {
     "Apache-2.0": ("Apache-2.0",), "MIT": ("MIT",), "GPL-3.0": ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"),
@@ -70,8 +99,8 @@ SPDX = {
     "CC0": ("CC0-1.0",), "CC-BY": ("CC-BY-4.0", "CC-BY-3.0"), "CC-BY-SA": ("CC-BY-SA-4.0", "CC-BY-SA-3.0"),
     "CC-BY-NC": ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0"), "CC-BY-ND": ("CC-BY-ND-4.0", "CC-BY-NC-ND-4.0"),
 }
-#: Consecutive lines that are judged together besides single ones and whole sentences.
-TOGETHER = 3
+#: Consecutive lines that are judged together besides single ones and whole sentences; n-grams of a short template.
+TOGETHER, SHORT = 3, 6
 NONE, UNKNOWN = "none", "unknown"
 #: Where a paragraph is cut into the sentences that are judged.
 SENTENCE = r"(?<=[.!?])\s+"
@@ -108,9 +137,13 @@ class Scanner:
         self.names, self.slots, self.weights, self.base = names, slots, weights, base
         self.heat, self.least, self.alike = 1.0, 0.5, 0.75
         self.grants = [set(_grams([g.replace("{}", "").encode()])[1].tolist()) for g in GRANTS]
-        self.templates = {
-            f: [set(_grams([n.encode()])[1].tolist()) for n in (*names, *BODIES.get(f, ()), *_spdx(f))] for f, names in FAMILIES.items()
-        }
+        own = {f: [*(g.format(x) for x in names for g in ("{}", *GRANTS)), *BODIES.get(f, ()), *_spdx(f)] for f, names in FAMILIES.items()}
+        self.templates = {f: [set(_grams([t.encode()])[1].tolist()) for t in texts] for f, texts in own.items()}
+
+    @staticmethod
+    def likeness(template: set[int], own: set[int]) -> float:
+        """The share of the template that is there; of a short one nothing, unless it is most of what is there."""
+        return len(template & own) / len(template) if len(template) >= SHORT or len(own) <= 2 * len(template) else 0.0
 
     def probabilities(self, row: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.slots, slot), len(self.slots) - 1)
@@ -123,7 +156,7 @@ class Scanner:
         return p / p.sum(axis=1, keepdims=True)
 
     def judge(self, texts: list[bytes]) -> list[tuple[str, float, float]]:
-        """Class, probability and template likeness of each paragraph. Of the four likeliest
+        """Class, probability and template likeness of each unit of a paragraph. Of the four likeliest
         classes that is taken whose template the paragraph holds most of; it stands if it and the likeliest class are
         likely enough together and enough of the template is there; else a notice that grants something in a known way is unknown."""
         row, grams, words = _grams(texts)
@@ -139,11 +172,11 @@ class Scanner:
             own = set(grams[ends[i] : ends[i + 1]].tolist())
             alike = 0.0
             for near in np.argsort(-p[i], kind="stable")[:4]:
-                here = max((len(t & own) / len(t) for t in self.templates.get(self.names[near], ())), default=0.0)
+                here = max((self.likeness(t, own) for t in self.templates.get(self.names[near], ())), default=0.0)
                 if here > alike:
                     name, likely, alike = self.names[near], float(p[i, near] + (likely if near != k else 0)), here
             if name == UNKNOWN or likely < self.least or alike < self.alike:
-                alike = max(len(g & own) / len(g) for g in self.grants)
+                alike = max(len(g & own) / len(g) if len(g) > 2 or len(own) <= 3 else 0.0 for g in self.grants)
                 name = UNKNOWN if alike >= self.alike else NONE
             out.append((name, likely, alike))
         return out
@@ -195,8 +228,9 @@ def _examples() -> list[tuple[str, str]]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordinary: int = 3000, rounds: int = 150) -> Scanner:
-    """Fit the classifier on notices made from the fixed names and at most ``ordinary`` sentences of ``docs`` (of the
-    documents with the smallest hashes) whose paragraphs hold no word of a notice. A third of all examples is set apart: on it
+    """Fit the classifier on notices and licence texts made from the fixed values, mentions that grant nothing, and at
+    most ``ordinary`` sentences of ``docs`` (of the documents with the smallest hashes, of at most ``LONGEST``
+    characters) whose paragraphs hold no word of a notice. A third of all examples is set apart: on it
     the probabilities' temperature is chosen, and the least probability of a family so that no more than one in a
     thousand other examples reaches it.
     """
@@ -207,8 +241,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordin
     few = keyed.where(F.col("key") <= F.lit(least)).orderBy("key")
     runs = few.select(F.explode(F.split("text", r"\n\s*\n")).alias("run")).where(~F.col("run").rlike(cue))
     lines = runs.select(F.explode(F.split("run", r"\n|" + SENTENCE)).alias("line")).where("length(trim(line)) > 0")
-    plain = [r[0][:400] for r in lines.limit(ordinary).collect()]
-    examples = [*_examples(), *((NONE, p) for p in plain), (NONE, ""), (NONE, "the license")]
+    plain = [r[0] for r in lines.where(f"length(line) <= {LONGEST}").limit(ordinary).collect()]
+    said = [m.format(name) for m in MENTIONS for names in FAMILIES.values() for name in names]
+    examples = [*_examples(), *((NONE, p) for p in (*plain, *said)), (NONE, ""), (NONE, "the license")]
     names = [NONE, UNKNOWN, *FAMILIES]
     label = np.array([names.index(f) for f, _ in examples])
     data = [t.encode("utf-8", "surrogatepass") for _, t in examples]

@@ -105,6 +105,58 @@ def test_licences_over_lines_in_headers_and_without_names(docs):
     assert len(got[0].notices) == 1 and got[0].paragraphs == 1 and got[7].paragraphs in (1, 2)
 
 
+MIT = """Copyright (c) 2019 The Authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version {} of the License, or
+    (at your option) any later version.
+"""
+
+
+def test_licence_texts_and_near_misses(docs):
+    misses = [
+        "She met the mit license clerk, and they talked for an hour about the weather in spring.", "The BSD license was compared with the others in a long lecture.",
+        "Permission to enter the garden is hereby granted to any person who closes the gate, free of charge and without restriction.",
+        "He asked the council under the old oak about the GNU herds and the general public, version by version.",
+    ]
+    texts = [("MIT", MIT), ("BSD", BSD), ("Apache-2.0", APACHE), ("GPL-3.0", GPL.format(3)), ("GPL-2.0", GPL.format(2)), ("MIT", "MIT License"), ("none", MIT[:120].replace("Permission", "Word"))]
+    texts += [("none", x) for x in misses] + [("unknown", "Licensed under the Zorgul Valley License, Version 3.")]
+    rows = [*((i, t) for i, (_, t) in enumerate(texts)), *((100 + i, f"the ertion heed {i} licking mitten is of") for i in range(50))]
+    df = docs(rows)
+    got = {r.id: r.licence for r in licenses.scan(df, licenses.train(df)).collect()}
+    assert [got[i] for i in range(len(texts))] == [f for f, _ in texts]
+
+
 HOSTILE = ["", "plain", "\\", "\\h\\e\\\\", "### user: x </turn>\n", "#### </turn> </turn>", "a\n### assistant: b", "漢 é"]
 
 
