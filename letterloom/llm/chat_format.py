@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 Render = Callable[[list[tuple[str, str]], bool], str]
 
+#: Characters of marked turns that a worker remembers.
+REMEMBERED = 32 << 20
 #: Fixed values of the default template: what opens and closes a turn, and how those strings are written in a text.
 OPEN, CLOSE = "### ", " </turn>\n"
 _ESCAPES = {"\\": "\\\\", "###": "\\h", "</turn>": "\\e", ":": "\\c"}
@@ -26,10 +28,27 @@ def unescape(text: str) -> str:
     return re.sub(r"\\[\\hec]", lambda m: _BACK[m[0]], text)
 
 
+class _Marked(dict):
+    """Marked turns by role and text, so that a prefix that is rendered again costs no new escapes."""
+
+    def __init__(self) -> None:
+        self.size = 0
+
+    def __missing__(self, turn: tuple[str, str]) -> str:
+        if self.size > REMEMBERED:
+            self.clear()
+            self.size = 0
+        self[turn] = found = f"{OPEN}{escape(turn[0], True)}: {escape(turn[1])}{CLOSE}"
+        self.size += len(found)
+        return found
+
+
+_marked = _Marked()
+
+
 def marked_turns(turns: list[tuple[str, str]], prompt: bool = False) -> str:
     """The default template: every turn is its role and text between marks; ``prompt`` opens an assistant's turn."""
-    done = "".join(f"{OPEN}{escape(role, True)}: {escape(text)}{CLOSE}" for role, text in turns)
-    return done + (f"{OPEN}assistant: " if prompt else "")
+    return "".join(map(_marked.__getitem__, turns)) + (f"{OPEN}assistant: " if prompt else "")
 
 
 def parsed_turns(formatted: str) -> list[tuple[str, str]]:
@@ -82,7 +101,9 @@ def format_conversations(
     Turns are in order of ``turn_col``, null first; ties are in order of role and text, and repeated rows are turns of
     their own. A null role or text is empty; rows without id are one conversation. Other columns are not read; an
     empty table gives no rows. Rows are dealt out by conversation and sorted, and a task holds one conversation at a
-    time, as its formatted text is one value.
+    time, as its formatted text is one value (so of less than 2 GB). As nothing is known of a template, each turn renders
+    the turns before it again: the characters joined and compared grow with the square of a conversation's turns, but
+    each turn is escaped once.
     """
     layout = "id long, formatted string, spans array<struct<start:int,end:int,loss_start:int,loss_end:int>>, rewrites boolean"
     kinds = pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "loss_start", "loss_end")]))
