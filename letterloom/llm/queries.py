@@ -90,7 +90,7 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
-    found = warc.read_archives(archives).withColumnRenamed("id", "page_id")
+    found = warc.resolved(warc.read_archives(archives)).withColumnRenamed("id", "page_id")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

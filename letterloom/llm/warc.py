@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .kernels import parts_of
 from .scratch import new_path, written
+from .sieve import sieve_of, sifted
 
 #: Fixed values of the format: the magic number of the leading skippable frame, and of a Zstandard frame.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -115,8 +116,9 @@ def write_archives(
     """Write one record per row of ``pages`` into archives below ``folder``; ``path``, ``records``, ``bytes`` of each.
 
     ``folder`` is a URI that all executors see. The payload is ``payload_col`` in UTF-8. Of the rows with an equal
-    payload of ``shortest`` bytes or more, those with the smallest id are responses and the others revisit it; only
-    digests meet in that shuffle. Names hold the task and attempt, and only files that are returned count, so a task
+    payload of ``shortest`` bytes or more, those with the smallest id are responses and the others revisit it. Digests
+    are counted first; only rows whose digest may have come twice (a fixed-size filter tells) are then shuffled with
+    their payloads, the others are written where they were read. Names hold the task and attempt, and only files that are returned count, so a task
     that runs twice leaves a file that nothing reads.
 
     A null payload is empty; a null url leaves out the target; a row without id is a response unless a smaller
@@ -125,10 +127,13 @@ def write_archives(
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    long = F.octet_length("payload") >= shortest
-    firsts = rows.where(long).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(firsts, "digest", "left").select("id", "url", "payload", "digest", "first")
+    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= shortest, F.sha2("payload", 256)))
+    firsts = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = written(firsts, "firsts")
+    sieve, long = sieve_of(firsts, "digest"), rows.where("digest is not null")
+    alone = rows.where("digest is null").union(sifted(long, sieve, "digest", wanted=False)).withColumn("first", F.lit(None).cast("long"))
+    rows = sifted(long, sieve, "digest").join(firsts, "digest", "left").select(*alone.columns).union(alone)
+    rows = rows.select("id", "url", "payload", "first")
 
     def run(batches):
         task = TaskContext.get()
@@ -136,11 +141,11 @@ def write_archives(
         archive, done = None, []
         for batch in batches:
             for part in parts_of(batch, 2, BLOCK):
-                for page, url, data, digest, first in zip(*(c.to_pylist() for c in part.columns)):
+                for page, url, data, first in zip(*(c.to_pylist() for c in part.columns)):
                     if not archive:
                         archive = _Archive(folder, f"{name}-{len(done):04d}.warc.zst")
                     refers = None if first is None or first == page else first
-                    archive.add(_record(page, url, data, digest, refers, date))
+                    archive.add(_record(page, url, data, hashlib.sha256(data).hexdigest(), refers, date))
                     if archive.size >= ARCHIVE:
                         done.append(archive.close())
                         archive = None
@@ -222,6 +227,19 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return paths.repartition(max(1, archives.count()), "path").mapInArrow(run, layout)
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """``id``, ``record_type``, ``payload_bytes``, ``payload_digest`` and ``refers_to`` of every record of
+    ``read_archives``; of a revisit, length and digest are those of the response that it refers to. A revisit without
+    such a response, or of another digest, is an error."""
+    narrow = written(records.select("id", "record_type", "payload_bytes", "payload_digest", "refers_to"), "records")
+    revisit = F.col("record_type") == "revisit"
+    known = narrow.where(~revisit).groupBy(F.col("id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("found"))
+    met = narrow.where(revisit).join(known, ["refers_to", "payload_digest"], "left")
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit of "), F.coalesce(F.col("refers_to").cast("string"), F.lit("null"))))
+    met = met.withColumn("payload_bytes", F.coalesce("found", lost.cast("long")))
+    return narrow.where(~revisit).union(met.select(*narrow.columns))
+
+
 def archive_folder(spark: SparkSession) -> str:
     """A new folder for archives beside the other shared tables."""
     found = new_path(spark, "warc")

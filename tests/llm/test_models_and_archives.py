@@ -198,7 +198,7 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     files = archives.collect()
     assert sum(r.records for r in files) == len(rows) and len(files) > 5
     assert open(files[0].path.removeprefix("file://"), "rb").read(4) == bytes.fromhex("5d2a4d18")
-    got = sorted((str(r.id), r.record_type, r.payload_bytes, r.payload_digest, str(r.refers_to)) for r in warc.read_archives(archives).collect())
+    got = sorted((str(r.id), r.record_type, r.payload_bytes, r.payload_digest, str(r.refers_to)) for r in warc.resolved(warc.read_archives(archives)).collect())
     want = []
     for i, _, html in rows:
         data = (html or "").encode()
@@ -206,4 +206,6 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
         first = min(ids) if len(data) >= 100 and ids else i
         want.append((str(i), "response" if i == first else "revisit", len(data), hashlib.sha256(data).hexdigest(), str(None if i == first else first)))
     assert got == sorted(want)
+    with pytest.raises(Exception, match="no response"):
+        warc.resolved(warc.read_archives(archives).where("record_type = 'revisit'")).collect()
     assert warc.read_archives(warc.write_archives(df.limit(0), f"file://{tmp_path}/none")).count() == 0
