@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
 from .scratch import drop, written
-from .vectors import matrix, unit, with_validity
+from .vectors import lengths, matrix, unit, with_validity
 
-#: Vectors of a cell that one task compares with as many others; pivots at most.
-BLOCK, PIVOTS = 2048, 512
+#: Vectors of a cell that one task compares with as many others; pivots at most, which every worker holds.
+BLOCK, PIVOTS = 2048, 4096
 
 
 def _cells(points: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,9 +56,9 @@ def _forest(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[
 
 
 def _compare(rows: list[pa.RecordBatch], least: float) -> pa.RecordBatch:
-    """Of one task: links per class, and edges between smallest ids."""
+    """Of one task: links per class, and edges between classes."""
     table = pa.Table.from_batches(rows).combine_chunks()
-    side, cls, rep, copies = (table.column(k).to_numpy() for k in ("side", "cls", "rep", "copies"))
+    side, cls, copies = (table.column(k).to_numpy() for k in ("side", "cls", "copies"))
     points = unit(matrix(table.column("vec").chunk(0)))
     right = side == 1
     alone = not right.any()
@@ -77,7 +78,7 @@ def _compare(rows: list[pa.RecordBatch], least: float) -> pa.RecordBatch:
     np.add.at(links, np.flatnonzero(left), hit @ copies[right])
     np.add.at(links, np.flatnonzero(right), copies[left] @ hit)
     linked = np.flatnonzero(links)
-    edges = _forest(hit, rep[left], rep[right]) if len(linked) else []
+    edges = _forest(hit, cls[left], cls[right]) if len(linked) else []
     n, m = len(linked), len(edges)
     start, end = zip(*edges) if edges else ((), ())
     return pa.RecordBatch.from_arrays(
@@ -95,49 +96,57 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """``id``, ``n_links`` (other vectors with a cosine of ``least`` or more, computed in double precision),
     ``component_id`` (the smallest id reachable by links) and ``kept`` for every row of ``vectors``.
 
-    The cosine threshold is the distance sqrt(2 - 2 least) between unit vectors. A bounded number of sampled pivots
-    partitions them; a vector is copied to each earlier cell that may hold a partner, so that every pair within reach
-    meets in exactly one cell. Cells are cut into blocks, pairs of blocks are tasks, and a task emits counts and a
-    spanning forest of its links, never the pairs. Equal vectors are one class and are compared once.
+    The cosine threshold is the distance sqrt(2 - 2 least) between unit vectors. Sampled pivots, one for ``BLOCK``
+    vectors until there are ``PIVOTS``, partition them; a vector is copied to each earlier cell that may hold a partner,
+    so that every pair within reach meets in exactly one cell. Cells are cut into blocks, pairs of blocks are tasks, and
+    a task emits counts and a spanning forest of its links, never the pairs. Equal vectors are one class and are
+    compared once. Vectors of each length are compared among themselves.
 
-    Vectors that are null, zero, hold null or non-finite components, or differ in length from most link with nothing;
-    nor does a row without id take another component than null. Rows that repeat an id are vectors of their own. An
-    empty table gives no rows; other columns are not read.
+    Vectors that are null, zero, or hold null or non-finite components link with nothing. A row without id links like
+    any other and counts as a link of others, but it names no component: its own component is null. Rows that repeat an
+    id are vectors of their own. An empty table gives no rows; other columns are not read.
     """
     reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
     rows = with_validity(vectors, id_col, vec_col)
-    classes = rows.where("valid").groupBy("cls", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = written(classes.withColumn("rep", F.coalesce("rep", F.lit(-(1 << 63)))), "classes")
-    n = classes.count()
-    sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(min(PIVOTS, max(1, n // BLOCK))).select("vec").collect()
-    pivots = unit(np.array([r[0] for r in sample], np.float64)) if sample else np.zeros((1, 1))
+    classes = rows.where("valid").groupBy("cls", "also", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    pivots, first = {}, 0
+    for dim, n in sorted(lengths(classes).items()):
+        own = classes.where(F.size("vec") == dim).orderBy(F.xxhash64("cls"), "cls", "also")
+        sample = own.limit(min(PIVOTS, max(1, n // BLOCK))).select("vec").collect()
+        pivots[dim] = first, unit(np.array([r[0] for r in sample], np.float64))
+        first += len(sample)
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches):
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
-                point, cell, guest = _cells(unit(matrix(part.column(3))), shared.value, reach)
-                out = part.take(pa.array(point))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell.astype(np.int32)), pa.array(guest)], ["cls", "rep", "copies", "vec", "cell", "guest"])
+        for whole in batches:
+            size = pc.list_value_length(whole.column(2)).to_numpy()
+            for dim in np.unique(size).tolist():
+                batch = whole.filter(pa.array(size == dim))
+                base, centres = shared.value[dim]
+                for low in range(0, batch.num_rows, 1024):
+                    part = batch.slice(low, 1024)
+                    point, cell, guest = _cells(unit(matrix(part.column(2))), centres, reach)
+                    out = part.take(pa.array(point))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array((cell + base).astype(np.int32)), pa.array(guest)], ["cls", "copies", "vec", "cell", "guest"])
 
     kind = dict(rows.dtypes)["vec"]
-    placed = classes.select("cls", "rep", "copies", "vec").mapInArrow(assign, f"cls long, rep long, copies long, vec {kind}, cell int, guest boolean")
+    placed = classes.select(F.col("c").alias("cls"), "copies", "vec").mapInArrow(assign, f"cls long, copies long, vec {kind}, cell int, guest boolean")
     placed = written(placed, "placed")
     sizes = placed.groupBy("cell").agg(
         F.ceil(F.count_if(~F.col("guest")) / BLOCK).cast("int").alias("homes"),
         F.ceil(F.count_if(F.col("guest")) / BLOCK).cast("int").alias("guests"),
     )
-    dealt = placed.join(sizes, "cell").where("homes > 0")
+    dealt = placed.join(F.broadcast(sizes), "cell").where("homes > 0")
     blocks = F.when(F.col("guest"), F.col("guests")).otherwise(F.col("homes"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
     homes = dealt.where("not guest").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("homes") + F.col("guests") - 1)))
     guests = dealt.where("guest").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)))
     keyed = homes.select(
         "cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "rep", "copies", "vec",
-    ).union(guests.select("cell", "other", F.col("homes") + F.col("own"), F.lit(1), "cls", "rep", "copies", "vec"))
-    keyed = keyed.select(F.xxhash64("cell", "x", "y").alias("task"), (F.col("x") != F.col("y")).alias("two"), "side", "cls", "rep", "copies", "vec")
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "copies", "vec",
+    ).union(guests.select("cell", "other", F.col("homes") + F.col("own"), F.lit(1), "cls", "copies", "vec"))
+    keyed = keyed.select(F.xxhash64("cell", "x", "y").alias("task"), (F.col("x") != F.col("y")).alias("two"), "side", "cls", "copies", "vec")
 
     def run(batches):
         held, task = [], None
@@ -162,16 +171,21 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     found = keyed.repartition("task").sortWithinPartitions("task").mapInArrow(run, "cls long, links long, a long, b long")
     found = written(found, "found")
-    parts = connected_components(found.where("a is not null").select("a", "b"))
+    parts = written(connected_components(found.where("a is not null").select("a", "b")), "parts")
     links = found.where("a is null").groupBy("cls").agg(F.sum("links").alias("links"))
-    by_class = classes.select("cls", "rep", "copies").join(links, "cls", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    by_class = by_class.select("cls", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("component", "rep").alias("part"))
-    drop(placed)
-    out = rows.select("id", F.when(F.col("valid"), F.col("cls")).alias("cls")).join(by_class, "cls", "left")
-    part = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("part", "id"))
+    ids = classes.select(F.col("c").alias("node"), "rep").join(parts, "node")
+    named = ids.groupBy("component").agg(F.min("rep").alias("part"))
+    named = parts.join(named, "component").select(F.col("node").alias("c"), "part", F.lit(True).alias("joined"))
+    by_class = classes.select("cls", "also", "rep", "copies", "c").join(links.withColumnRenamed("cls", "l"), F.col("c") == F.col("l"), "left").join(named, "c", "left")
+    part = F.when(F.col("joined"), F.col("part")).otherwise(F.col("rep"))
+    by_class = by_class.select("cls", "also", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), part.alias("part"))
+    by_class = written(by_class, "by_class")
+    for x in (placed, found, parts, classes):
+        drop(x)
+    good, rest = rows.where("valid"), rows.where("not valid")
+    out = good.join(by_class, ["cls", "also"]).select("id", "links", "part")
+    out = out.union(rest.select("id", F.lit(0).cast("long"), "id"))
+    component = F.when(F.col("id").isNotNull(), F.col("part"))
     return out.select(
-        "id",
-        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-        part.alias("component_id"),
-        F.coalesce(F.col("id") == part, F.lit(True)).alias("kept"),
+        "id", F.col("links").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
     )

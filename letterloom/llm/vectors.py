@@ -9,16 +9,18 @@ NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
 def with_validity(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``id``, ``vec``, ``cls`` (a hash of the vector) and ``valid`` for every row: not null, not all zero, all
-    components finite, and of the length that most such vectors have (the smallest of several)."""
+    """``id``, ``vec``, ``cls`` and ``also`` (two hashes that name the vector together) and ``valid`` for every row: not
+    null, not all zero, all components finite."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("vec", lambda x: x != 0)
     rows = rows.withColumn("valid", F.coalesce(~bad & some, F.lit(False)))
-    lengths = rows.where("valid").groupBy(F.size("vec").alias("d")).count()
-    usual = lengths.orderBy(F.desc("count"), "d").first()
-    rows = rows.withColumn("valid", F.col("valid") & (F.size("vec") == (usual[0] if usual else -1)))
-    return rows.withColumn("cls", F.xxhash64("vec"))
+    return rows.withColumn("cls", F.xxhash64("vec")).withColumn("also", F.xxhash64(F.lit(1), F.reverse("vec")))
+
+
+def lengths(rows: DataFrame) -> dict[int, int]:
+    """How many vectors of each length ``vec`` there are; only vectors of one length can be compared."""
+    return {int(d): int(n) for d, n in rows.groupBy(F.size("vec")).count().collect()}
 
 
 def matrix(column) -> np.ndarray:
