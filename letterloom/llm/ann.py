@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .kernels import U, mix64
 from .scratch import written
-from .vectors import matrix, with_validity
+from .vectors import lengths, matrix, with_validity
 
 #: Vectors of a bucket that one task scores.
 BLOCK = 8192
@@ -83,25 +84,32 @@ def nearest(
     k: int = 20,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    tables: int = 24,
-    probes: int = 5,
+    tables: int = 12,
+    probes: int = 10,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``: for each row of ``vectors`` that the condition
     ``queries`` (a Column over ``id``) selects, the ``k`` other rows found with the largest inner products, in double
     precision, ties to the smaller id; all others where there are fewer.
 
     Every vector is put into one bucket of each table, the signed axis that its rotation is nearest to, at every size
-    of the index; a query probes the ``probes`` nearest buckets of each. Buckets are cut into blocks, and a block scores all its queries exactly and passes on its best ``k`` vectors for each
-    (ties to the vector whose smallest id other than the query's is smaller), so a large bucket is many tasks and rows are never paired outside of one. Queries that found fewer than ``k`` while there
+    of the index; a query probes the ``probes`` nearest buckets of each. Buckets are cut into blocks, and a block scores
+    all its queries exactly and passes on its best ``k`` vectors for each (ties to the vector whose smallest id other than the query's is smaller), so a large bucket is many tasks and rows are never paired outside of one. Queries that found fewer than ``k`` while there
     are more others are then scored against all vectors, in pairs of blocks. Rotations act on vectors that are made
     equally long by one more component unless they are so already.
 
-    Equal vectors are indexed once and stand for their ``k`` + 1 smallest ids. Vectors that are null, zero, of
-    another length than most, or hold null or non-finite components take no part, nor do rows without id. A row that
-    repeats a query's id is not its neighbour. An empty table gives no rows; other columns are not read.
+    Equal vectors are indexed once and stand for their ``k`` + 1 smallest ids. Vectors that are null, zero, or hold null
+    or non-finite components take no part, nor do rows without id; vectors with different numbers of components have no
+    inner product and are not each other's candidates. A row that repeats a query's id is not its neighbour. An empty
+    table gives no rows; other columns are not read.
     """
     rows = with_validity(vectors, id_col, vec_col).where("valid and id is not null")
-    rows = written(rows.select("id", "cls", "vec"), "vectors")
+    rows = written(rows.select("id", F.xxhash64("cls", "also").alias("cls"), "vec"), "vectors")
+    each = [_nearest(rows.where(F.size("vec") == d), queries, k, tables, probes) for d in sorted(lengths(rows))]
+    return reduce(DataFrame.union, each or [_nearest(rows, queries, k, tables, probes)])
+
+
+def _nearest(rows: DataFrame, queries, k: int, tables: int, probes: int) -> DataFrame:
+    """``nearest`` of vectors of one length."""
     by_id = Window.partitionBy("cls").orderBy("id")
     members = rows.select("cls", "id").distinct().withColumn("r", F.row_number().over(by_id))
     members = members.withColumn("second", F.lead("id").over(by_id)).where(F.col("r") <= k + 1)

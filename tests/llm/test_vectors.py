@@ -39,6 +39,14 @@ def test_near_vectors_are_all_pairs(spark, monkeypatch, block):
     assert len(got) == len(x) + len(ODD) - 1
 
 
+def test_near_vectors_without_ids_and_of_other_lengths(spark):
+    rows = [(None, [1.0, 0.0, 0.0]), (1, [1.0, 0.1, 0.0]), (None, [0.0, 0.0, 1.0]), (2, [0.0, 0.1, 1.0]), (7, [1.0, 0.0]), (6, [1.0, 0.01]), (8, [0.0, 1.0]), (3, [-0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(map(tuple, near_vectors.near_duplicates(df).collect()), key=str)
+    want = [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 3, True), (6, 1, 6, True), (7, 1, 6, False), (8, 1, 3, False), (None, 1, None, True), (None, 1, None, True)]
+    assert got == want
+
+
 def test_near_vectors_without_rows_and_with_repeated_ones(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_vectors.near_duplicates(empty).count() == 0
@@ -111,6 +119,14 @@ def test_short_lists_are_completed(spark, monkeypatch, block):
         assert [found[q][r] for r in range(1, 21)] == exact(skewed, np.arange(125), q, 20)
 
 
+def test_nearest_of_each_length(spark):
+    x = np.random.default_rng(3).normal(size=(30, 8)).round(3)
+    rows = [(i, [float(v) for v in r[: 8 if i % 3 else 5]]) for i, r in enumerate(x)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") < 2, k=20).collect()
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(0, k) for k in range(1, 10)] + [(1, k) for k in range(1, 20)]
+    assert all((r.vec_id % 3 == 0) == (r.query_id == 0) for r in got)
+
+
 def test_many_equal_scores_go_to_the_smaller_ids(spark):
     x = np.random.default_rng(10).integers(-9, 10, size=(1000, 8)).astype(float)
     x[:, 0], x[0] = 0, np.eye(8)[0]
