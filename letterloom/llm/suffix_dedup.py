@@ -170,7 +170,9 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     high = {0: int(np.searchsorted(group, 0, "right")) - 1, 1: n - 1}
     at_low, at_high = (np.isin(kind, [kind[k] for k in ends.values()]) for ends in (low, high))
     keep = (np.bincount(group)[group] > 1) | (side >= 0)
-    repeated, kept_side = np.bincount(kind)[kind] > 1, pa.array(side[keep], mask=side[keep] < 0)
+    repeated = np.bincount(kind)[kind] > 1
+    side[repeated & ~new_span] = -1  # settled here, whatever other buckets hold
+    kept_side = pa.array(side[keep], mask=side[keep] < 0)
     columns = [*(c[keep] for c in numbers), core[keep].view(np.int64), repeated[keep], new_span[keep], spans[group][keep].astype(np.int64)]
     m = int(keep.sum())
     columns = [*map(pa.array, columns), pa.array(np.full(m, bucket, np.int32)), kept_side, pa.array(at_low[keep]), pa.array(at_high[keep]), *(pa.nulls(m, pa.binary()) for _ in range(3))]
