@@ -3,63 +3,75 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from .shared import Versions, exists
 
 PARTITIONS = ("source_kind", "export_account")
 _NO_ACCOUNT = "_"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def _move(spark: SparkSession, source: str, target: str) -> None:
-    a, b = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
-    system = a.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(b, True)
-    system.mkdirs(b.getParent())
-    if not system.rename(a, b):
-        raise OSError(f"could not move {source} to {target}")
+def _part(kind: str, account: str | None) -> str:
+    return f"{kind}/{account or _NO_ACCOUNT}"
 
 
 def write_canonical(tables: dict[str, DataFrame], path: str, scope: dict[str, list[str | None]]) -> None:
     """Replace the projections in ``scope`` (source kind to accounts) in every table and leave all others alone.
 
-    Everything is written to a staging folder first; only when all of it is there do partitions move into place, also
-    empty ones, so that what a source no longer has disappears.
+    Everything is written into a new version first. Then one file names that version for all accounts of the scope, in
+    all tables, also where it has no rows, so that what a source no longer has disappears; a writer that dies before
+    leaves the old state whole, and one that began before another published gets an error.
     """
     spark = next(iter(tables.values())).sparkSession
-    stage = f"{path}/_staging"
+    versions = Versions(spark, path)
+    new = Versions.new()
     for name, df in tables.items():
         account = F.coalesce(F.col("export_account"), F.lit(_NO_ACCOUNT)) if "export_account" in df.columns else F.lit(_NO_ACCOUNT)
-        df.withColumn("export_account", account).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{stage}/{name}")
-    for name in tables:
-        for kind, accounts in scope.items():
-            for account in accounts:
-                part = f"source_kind={kind}/export_account={account or _NO_ACCOUNT}"
-                if _exists(spark, f"{stage}/{name}/{part}"):
-                    _move(spark, f"{stage}/{name}/{part}", f"{path}/{name}/{part}")
-                else:
-                    gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/{part}")
-                    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        df.withColumn("export_account", account).write.partitionBy(*PARTITIONS).parquet(f"{path}/{name}/version={new}")
+    versions.publish({_part(kind, a): new for kind, accounts in scope.items() for a in accounts})
 
 
 def read_canonical(spark: SparkSession, path: str, name: str, schema: str | None = None) -> DataFrame:
-    if not _exists(spark, f"{path}/{name}") and schema:
-        return spark.createDataFrame([], schema)
-    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)
-    found = reader.parquet(f"{path}/{name}")
-    return found.withColumn("export_account", F.nullif(F.col("export_account").cast("string"), F.lit(_NO_ACCOUNT)))
+    """The current rows of a table. Kinds and accounts are text whatever they look like (``007`` is not 7)."""
+    current = Versions(spark, path).parts
+    places = {(v, *part.split("/", 1)) for part, v in current.items()}
+    paths = sorted({f"{path}/{name}/version={v}" for v, _, _ in places if exists(spark, f"{path}/{name}/version={v}")})
+    if not paths:
+        return spark.createDataFrame([], schema or "source_kind string, export_account string")
+    found = spark.read.option("basePath", f"{path}/{name}").option("mergeSchema", True).parquet(*paths).schema
+    texts = ("version", *PARTITIONS)
+    plain = StructType([f for f in found if f.name not in texts] + [StructField(c, StringType()) for c in texts])
+    rows = spark.read.schema(plain).option("basePath", f"{path}/{name}").parquet(*paths)
+    wanted = F.lit(False)
+    for v in sorted({v for v, _, _ in places}):
+        own = [f"{kind}/{account}" for w, kind, account in sorted(places) if w == v]
+        wanted = wanted | ((F.col("version") == v) & F.concat_ws("/", *PARTITIONS).isin(own))
+    rows = rows.where(wanted).drop("version")
+    return rows.withColumn("export_account", F.nullif(F.col("export_account"), F.lit(_NO_ACCOUNT)))
+
+
+#: How the rows of a view are ordered, missing last messages first.
+ORDERS = {
+    "people": ("display_name",),
+    "person_threads": ("identity_key", "last_message_at", "source_kind", "title"),
+    "group_threads": ("group_key", "source_kind", "title"),
+    "group_members": ("group_key", "display_name"),
+    "timelines": ("identity_key", "rank"),
+    "media": ("identity_key", "rank"),
+    "transcripts": ("view_name", "line_no"),
+}
+
+
+def in_order(name: str, df: DataFrame) -> DataFrame:
+    """A view sorted as ``ORDERS`` says, by ranges, so that no view and no thread is one task."""
+    keys = [F.asc_nulls_first(k) for k in ORDERS.get(name, ())]
+    return df.orderBy(*keys) if keys else df
 
 
 def write_views(views: dict[str, DataFrame], path: str) -> None:
-    """Each view table as JSON, except ``transcripts``: text files of lines in order, one folder per view name."""
+    """Each view table as JSON in its order; ``transcripts`` are rows of lines, a long thread in several files."""
     for name, df in views.items():
-        if name == "transcripts":
-            ordered = df.repartition("view_name").sortWithinPartitions("view_name", "line_no")
-            ordered.select("view_name", F.col("line").alias("value")).write.mode("overwrite").partitionBy("view_name").text(f"{path}/{name}")
-        else:
-            df.write.mode("overwrite").json(f"{path}/{name}")
+        in_order(name, df).write.mode("overwrite").json(f"{path}/{name}")
 
 
 def append_run_log(summary: DataFrame, path: str) -> None:

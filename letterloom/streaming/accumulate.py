@@ -7,39 +7,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.messages import latest_by_key, occurrence_ordinal
 from ..functions.keys import message_fingerprint, message_key
+from ..operators.messages import latest_by_key, occurrence_ordinal
+from ..sources.shared import Versions
 
-BUCKETS = 64
 _KEY = ["source_kind", "source_thread_key", "fp", "occurrence"]
+_BUCKETS = "buckets"
 
 
-def _fold(batch: DataFrame, read_packets: Callable[[DataFrame], DataFrame], path: str) -> None:
-    """Number a batch's whole packets, merge them with the buckets of threads that they touch, and replace those."""
+def _fold(batch: DataFrame, read_packets: Callable[[DataFrame], DataFrame], path: str, buckets: int) -> None:
+    """Number a batch's whole packets, merge them with the buckets of threads that they touch, and publish those."""
     spark = batch.sparkSession
+    versions = Versions(spark, path)
+    if (held := versions.parts.get(_BUCKETS, str(buckets))) != str(buckets):
+        raise ValueError(f"{path} has {held} buckets, not {buckets}")
     rows = read_packets(batch)
     if "fp" not in rows.columns:
         rows = rows.withColumn("fp", message_fingerprint(F.col("payload"))).drop("payload")
     rows = occurrence_ordinal(rows.dropDuplicates(["export_root", "source_kind", "source_thread_key", "import_seq"]))
     rows = rows.withColumn("source_message_key", message_key(F.col("ts_ms"), F.col("fp"), F.col("occurrence")))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("source_kind", "source_thread_key"), F.lit(BUCKETS)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("source_kind", "source_thread_key"), F.lit(buckets)).cast("int"))
     touched = [r[0] for r in rows.select("bucket").distinct().collect()]
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if system.exists(where):
-        rows = rows.unionByName(spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched)))
-    merged = latest_by_key(rows, _KEY)
-    stage = spark._jvm.org.apache.hadoop.fs.Path(f"{path}_staging")
-    merged.write.mode("overwrite").partitionBy("bucket").parquet(stage.toString())
-    for bucket in touched:
-        source, target = (spark._jvm.org.apache.hadoop.fs.Path(p, f"bucket={bucket}") for p in (stage, where))
-        system.mkdirs(where)
-        system.delete(target, True)
-        system.rename(source, target)
+    if not touched:
+        return
+    old = _read(spark, path, versions, {b for b in touched}, rows.schema)
+    merged = latest_by_key(rows if old is None else rows.unionByName(old), _KEY)
+    new = versions.new()
+    merged.write.partitionBy("bucket").parquet(f"{path}/version={new}")
+    versions.publish({_BUCKETS: str(buckets)} | {f"bucket={b}": new for b in touched})
+    versions.sweep(path)
+
+
+def _read(spark: SparkSession, path: str, versions: Versions, buckets: set[int] | None, schema) -> DataFrame | None:
+    """The current rows, of ``buckets`` or of all; None without any."""
+    wanted = {k: v for k, v in versions.parts.items() if k != _BUCKETS and (buckets is None or int(k.partition("=")[2]) in buckets)}
+    if not wanted:
+        return None
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.option("basePath", path).parquet(*(f"{path}/version={v}/{k}" for k, v in sorted(wanted.items()))).drop("version")
+
+
+def accumulated(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The messages that are folded in so far; no packet yet is an error unless ``schema`` is given."""
+    found = _read(spark, path, Versions(spark, path), None, schema)
+    if found is None and schema is None:
+        raise ValueError(f"nothing is accumulated below {path}")
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def accumulate_packets(
-    spark: SparkSession, manifest: str, schema: str, read_packets: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+    spark: SparkSession, manifest: str, schema: str, read_packets: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, buckets: int = 64
 ) -> StreamingQuery:
     """Fold packets that ``manifest`` (a folder of Parquet files, one row per complete packet) newly names into the
     messages below ``path``, and stop.
@@ -47,7 +64,11 @@ def accumulate_packets(
     ``read_packets`` turns manifest rows into all messages of those packets. The n-th occurrence of a payload in one
     export meets the n-th in any other, and the last ``import_seq`` wins, so neither the order in which packets arrive
     nor a replay changes the result. All history counts, hence no watermark.
+
+    History lies in ``buckets`` of threads (so many that one is a few hundred megabytes; fixed for a path). A batch
+    rewrites the buckets it touches as a new version and then publishes them together: a batch that dies leaves the old
+    history whole and is folded again.
     """
     stream = spark.readStream.schema(schema).parquet(manifest)
-    fold = lambda batch, _: _fold(batch, read_packets, path)
+    fold = lambda batch, _: _fold(batch, read_packets, path, buckets)
     return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(fold).start()
