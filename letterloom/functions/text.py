@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from itertools import filterfalse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,6 +13,10 @@ from pyspark.sql.types import StringType
 _SPACES = r"(?U)[\s\x{1C}-\x{1F}]+"
 
 
+def strip_space(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^[\s\x{1C}-\x{1F}]+|[\s\x{1C}-\x{1F}]+\z", "")
+
+
 def collapse_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, _SPACES, " "))
 
@@ -27,14 +31,15 @@ def clean_text(c: Column) -> Column:
     return collapse_space(F.when(narrow & good, again).otherwise(text))
 
 
-def _slug(value: str | None) -> str:
-    plain = "".join(x for x in unicodedata.normalize("NFKD", value or "") if not unicodedata.combining(x))
-    return re.sub(r"[^a-z0-9]+", "-", plain.lower().replace("&", " and ")).strip("-") or "untitled"
+@F.pandas_udf(StringType())
+def without_accents(values: pd.Series) -> pd.Series:
+    """Compatibility forms of the characters without their combining marks; null stays null."""
 
+    def plain(value: str) -> str:
+        return "".join(filterfalse(unicodedata.combining, unicodedata.normalize("NFKD", value)))
 
-@F.pandas_udf(StringType())
-def _slugs(values: pd.Series) -> pd.Series:
-    return values.map(_slug)
+    codes, found = pd.factorize(values)
+    return pd.Series([plain(v) for v in found] + [None], dtype=object).iloc[codes].reset_index(drop=True)
 
 
 def ascii_slug(c: Column) -> Column:
@@ -45,13 +50,11 @@ def ascii_slug(c: Column) -> Column:
 
 
 def with_slug(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    """``df`` with the slug of a column. ASCII texts stay in the JVM; Python sees each other distinct text once."""
-    narrow = F.coalesce(F.col(text_col), F.lit("")).rlike(r"^[\x{00}-\x{7F}]*$")
-    others = df.where(~narrow).select(F.col(text_col).alias("_text")).distinct()
-    others = others.withColumn("_slug", _slugs("_text"))
-    joined = df.join(others, df[text_col] == others["_text"], "left")
-    slug = F.when(narrow, ascii_slug(F.col(text_col))).otherwise(F.col("_slug"))
-    return joined.withColumn(out_col, slug).drop("_text", "_slug")
+    """``df`` with the slug of a column, in one pass. Python only takes the accents from texts beyond ASCII, each
+    distinct one of a batch once; the rest, and all of the others, is done in the JVM."""
+    text = F.col(text_col)
+    wide = ~F.coalesce(text, F.lit("")).rlike(r"^[\x{00}-\x{7F}]*$")
+    return df.withColumn(out_col, ascii_slug(F.coalesce(without_accents(F.when(wide, text)), text)))
 
 
 def stable_hash(c: Column, length: int = 10) -> Column:

@@ -13,10 +13,17 @@ def active_accounts(registry: DataFrame, exclusions: DataFrame) -> DataFrame:
     return good.join(exclusions.select("account_key"), "account_key", "left_anti")
 
 
+#: The type of a folder in a listing, and the statuses of packets that are not fetched again.
+FOLDER, DONE = "application/vnd.google-apps.folder", ("completed", "no-message-files")
+
+
 def select_packets(listing: DataFrame, prefix: str | None, default: str = "instagram-", latest_only: bool = False) -> DataFrame:
     """Folders whose name is the prefix and then a date, oldest first by (date, path); names that merely begin alike are
-    left out. Without a prefix any packet of the provider counts."""
+    left out, and what is no folder where the listing has ``mime_type``. Without a prefix any packet of the provider
+    counts."""
     name = F.col("name")
+    if "mime_type" in listing.columns:
+        listing = listing.where(F.col("mime_type") == FOLDER)
     if prefix is None:
         fits = name.startswith(default)
     else:
@@ -37,7 +44,7 @@ def message_subtree_only(listing: DataFrame, roots: list[str]) -> DataFrame:
 
 def plan_pulls(packets: DataFrame, completed: DataFrame) -> DataFrame:
     """Packets that are not complete: none with their id and path is recorded as completed or without message files."""
-    done = completed.where(F.col("status").isin("completed", "no-message-files")).select("id", "path")
+    done = completed.where(F.col("status").isin(*DONE)).select("id", "path")
     return packets.join(done, ["id", "path"], "left_anti")
 
 
@@ -49,9 +56,9 @@ def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def unique_targets(listing: DataFrame) -> DataFrame:
-    """``listing`` with ``target``: the path, and for later files of the same path the path with part of their id before
-    the extension. ``seq`` orders the listing."""
-    later = F.row_number().over(Window.partitionBy("path").orderBy("seq", "id")) > 1
+    """``listing`` with ``target``: the path, which belongs to the id that has it first, and for other ids of the same
+    path the path with part of their id before the extension. ``seq`` orders the listing."""
+    later = F.first("id").over(Window.partitionBy("path").orderBy("seq", "id")) != F.col("id")
     name = F.element_at(F.split("path", "/"), -1)
     folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
     suffix = F.regexp_extract(name, r"[^.](\.[^.]+)$", 1)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.keys import group_key, thread_key
-from ..functions.text import snippet
+from ..functions.text import snippet, strip_space
 from .rollups import THREAD, thread_counts
 
+#: Fixed value: what stands for a body without text.
+NO_TEXT = "[no text]"
+
 
 def person_threads(identities: DataFrame, participants: DataFrame, threads: DataFrame, messages: DataFrame) -> DataFrame:
     """Distinct threads of each identity with their number of messages."""
@@ -70,10 +73,11 @@ def person_timeline(messages: DataFrame, participants: DataFrame, threads: DataF
     own = messages.select(*THREAD, "source_message_key", *shown, "import_seq")
     best = _top(own, THREAD, shown, order, k)
     mine = participants.select("identity_key", *THREAD).distinct()
-    each = mine.join(best.join(threads.select(*THREAD, "title"), THREAD), THREAD)
-    found = _top(each, ["identity_key"], ["source_kind", "title", *shown], order, k)
+    each = mine.join(best.join(threads.select(*THREAD, "title", "thread_kind"), THREAD), THREAD)
+    found = _top(each, ["identity_key"], ["source_kind", "title", "thread_kind", *shown], order, k)
     rank = F.row_number().over(Window.partitionBy("identity_key").orderBy(*order))
-    return found.select("identity_key", rank.alias("rank"), "source_kind", "title", "sent_at", "sender", snippet(F.col("body_text")).alias("snippet"))
+    told = snippet(F.coalesce(F.nullif("body_text", F.lit("")), F.lit(NO_TEXT)))
+    return found.select("identity_key", rank.alias("rank"), "source_kind", "title", "thread_kind", "sent_at", "sender", told.alias("snippet"))
 
 
 def person_media(media: DataFrame, messages: DataFrame, participants: DataFrame, threads: DataFrame, k: int = 100) -> DataFrame:
@@ -92,20 +96,28 @@ def person_media(media: DataFrame, messages: DataFrame, participants: DataFrame,
 
 def transcript_lines(messages: DataFrame, media_counts: DataFrame | None = None) -> DataFrame:
     """Lines of every thread's transcript in order: a heading where the day changes, then time, sender and text, or what
-    stands for it. Rows are lines, so a long thread is sorted and spilled, never gathered."""
+    stands for it, then the number of attachments.
+
+    Rows are lines, never gathered. Messages are numbered within each hour of a thread, and hours by sums over the hours
+    before, so that a long thread is many window groups and not one.
+    """
     joined = messages
     if media_counts is not None:
         joined = messages.join(media_counts, [*THREAD, "source_message_key"], "left")
     n = F.coalesce("media_count", F.lit(0)) if media_counts is not None else F.lit(0)
-    own = Window.partitionBy(*THREAD).orderBy("sent_at", "import_seq", "source_message_key")
-    day = F.date_format("sent_at", "yyyy-MM-dd")
-    text = F.coalesce(F.nullif("body_text", F.lit("")), F.lit("[no text]"))
+    joined = joined.withColumn("hour", F.coalesce(F.date_trunc("hour", "sent_at"), F.timestamp_seconds(F.lit(0))))
+    hours = joined.groupBy(*THREAD, "hour").agg(F.count("*").alias("in_hour"))
+    along = Window.partitionBy(*THREAD).orderBy("hour")
+    before = F.coalesce(F.sum("in_hour").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    hours = hours.withColumn("base", before).withColumn("opens", ~day("hour").eqNullSafe(day(F.lag("hour").over(along)))).drop("in_hour")
+    own = Window.partitionBy(*THREAD, "hour").orderBy("sent_at", "import_seq", "source_message_key")
+    numbered = joined.withColumn("r", F.row_number().over(own)).join(hours, [*THREAD, "hour"])
+    text = F.coalesce(F.nullif(strip_space(F.col("body_text")), F.lit("")), F.lit(NO_TEXT))
     line = F.concat(F.date_format("sent_at", "HH:mm:ss"), F.lit(" "), F.col("sender"), F.lit(": "), text)
     attached = F.when(n > 0, F.concat(F.lit("["), n.cast("string"), F.when(n == 1, " media attachment]").otherwise(" media attachments]")))
-    marked = joined.select(
-        *THREAD, F.row_number().over(own).alias("message_no"),
-        F.array_compact(F.array(F.when(~day.eqNullSafe(F.lag(day).over(own)), F.concat(F.lit("## "), day)), line, attached)).alias("lines"),
-    )
+    heading = F.when(F.col("opens") & (F.col("r") == 1), F.concat(F.lit("## "), day("sent_at")))
+    marked = numbered.select(*THREAD, (F.col("base") + F.col("r")).alias("message_no"), F.array_compact(F.array(heading, line, attached)).alias("lines"))
     return marked.select(*THREAD, "message_no", F.posexplode("lines").alias("part_no", "line"))
 
 

@@ -9,6 +9,7 @@ from ..functions.text import clean_text, handle_key
 from ..functions.times import apple_date_to_ts, epoch_ms_to_ts
 from ..operators import identity, messages as ops, rollups
 from ..sources import packets
+from ..sources.shared import once
 
 #: What is stored of an import, by source and account; the other tables follow from these.
 STORED = ("people", "threads", "messages", "media_objects")
@@ -42,21 +43,25 @@ def import_packets(
     """Canonical tables of export packets, and ``rejects``: files that are no message files, with the reason.
 
     ``files`` has ``path`` and ``content``. Overlapping exports are merged by payload; facts of a thread are those of
-    its last file, but a thread that any file shows as a group stays a group; missing times are 1970.
+    its last file, but a thread that any file shows as a group stays a group; missing times are 1970. ``warnings`` are
+    the rejects and the files with elements that are no messages.
+
+    The source is parsed once: what its files say and hold is written in the shared folder, as are the merged messages,
+    and all tables follow from these two.
     """
-    good, rejects = packets.split_valid(packets.read_message_files(files, provider, source_seq))
+    parsed = packets.read_message_files(files, provider, source_seq)
+    good, rejects = packets.split_valid(parsed)
     if fail_fast and (bad := rejects.limit(1).collect()):
         raise ValueError(f"{bad[0]['path']}: {bad[0]['warning']}")
-    good = packets.scoped_threads(good, account)
-    facts = packets.file_threads(good)
-    each = packets.explode_messages(good)
-    each = each.select(
+    told = once(packets.told_by_files(packets.scoped_threads(good, account)), "parsed")
+    facts = packets.file_threads(told)
+    each = told.where(packets.is_message(F.col("payload"))).select(
         "source_kind", "export_account", "export_root", "source_thread_key", "import_seq", "payload",
         F.try_variant_get("payload", "$.timestamp_ms", "long").alias("ts_ms"),
         identity.sender_name(F.try_variant_get("payload", "$.sender_name", "string"), provider).alias("sender_name"),
     )
-    merged = ops.merge_exports(each)
-    people = identity.thread_people(facts, merged, registry)
+    merged = once(ops.merge_exports(each), "merged")
+    people = once(identity.thread_people(facts, merged, registry), "people")
     sender = people.select(
         "source_kind", "source_thread_key", F.col("name").alias("sender_name"), F.col("identity_key").alias("sender_identity_key"),
         F.col("account_source_kind").alias("sender_account_source_kind"), F.col("account_key").alias("sender_account_key"),
@@ -78,11 +83,12 @@ def import_packets(
         ),
         "media_objects": ops.latest_small(media, ["object_key"]).drop("import_seq"),
     }
-    return derived(stored) | {"rejects": rejects}
+    return derived(stored) | {"rejects": rejects, "warnings": rejects.unionByName(packets.dropped_elements(told))}
 
 
 def import_chat(tables: dict[str, DataFrame], me_handles: list[str] = (), me_name: str = "Me") -> dict[str, DataFrame]:
-    """Canonical tables of a chat database's relations; the owner is ``person:self``."""
+    """Canonical tables of a chat database's relations; the owner is ``person:self``. Joined messages and people are written
+    once in the shared folder, and all tables follow from these."""
     kind = F.lit("imessage")
     joined = ops.chat_messages(tables).join(ops.chat_participants(tables), "chat_id", "left")
     handles = F.coalesce("handles", F.array().cast("array<string>"))
@@ -103,7 +109,7 @@ def import_chat(tables: dict[str, DataFrame], me_handles: list[str] = (), me_nam
         payloads.chat_title(F.col("display_name"), handles, F.col("chat_identifier"), F.lit(me_name)).alias("title"),
         payloads.chat_kind(F.col("display_name"), handles).alias("thread_kind"), handles.alias("handles"),
     )
-    rows = ops.latest_by_key(rows, ["source_kind", "source_thread_key", "source_message_key"])
+    rows = once(ops.latest_by_key(rows, ["source_kind", "source_thread_key", "source_message_key"]), "messages")
     facts = rows.select(*rollups.THREAD, "export_account", "title", "thread_kind", "import_seq")
     listed = rows.select(*rollups.THREAD, F.explode("handles").alias("name"), "import_seq")
     me = [h.lower() for h in me_handles] or [""]
@@ -114,7 +120,7 @@ def import_chat(tables: dict[str, DataFrame], me_handles: list[str] = (), me_nam
     sent = rows.where("sender_account_source_kind <> 'self'").select(*rollups.THREAD, F.col("sender_name").alias("name"), "import_seq", F.col("sender_account_source_kind").alias("account_source_kind"), F.col("sender_account_key").alias("account_key"), F.lit("participant").alias("role"), F.col("sender_identity_key").alias("identity_key"))
     people = listed.unionByName(selves).unionByName(sent)
     people = people.withColumn("identity_kind", F.lit("person")).withColumn("display_name", F.when(F.col("identity_key") == "person:self", F.lit(me_name)).otherwise(F.col("name")))
-    people = people.withColumn("export_account", F.lit(None).cast("string"))
+    people = once(people.withColumn("export_account", F.lit(None).cast("string")), "people")
     attached = ops.message_attachments(tables)
     media = rows.select("message_id", *rollups.THREAD, "export_account", "source_message_key", "import_seq").join(attached, "message_id").select(
         F.concat_ws(":", kind, "source_message_key", F.coalesce("attachment_guid", F.col("attachment_id").cast("string"))).alias("object_key"),

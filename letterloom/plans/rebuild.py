@@ -30,13 +30,8 @@ def rebuild_projection(
     going = [a for a in accounts if a in ready]
     name = F.coalesce(F.col("export_account"), F.lit("_"))
     new = {r[0]: r[1] for r in tables["messages"].groupBy(name).count().collect()}
-    old: dict[str, int] = {}
-    try:
-        kept = read_canonical(spark, path, "messages").where(F.col("source_kind") == source_kind)
-        old = {r[0]: r[1] for r in kept.groupBy(name).count().collect()}
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
+    kept = read_canonical(spark, path, "messages").where(F.col("source_kind") == source_kind)
+    old = {r[0]: r[1] for r in kept.groupBy(name).count().collect()}
     for account in going:
         key = account or "_"
         if old.get(key) and not new.get(key):
@@ -55,7 +50,8 @@ def canonical_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def render_graph(tables: dict[str, DataFrame], path: str | None = None) -> dict[str, DataFrame]:
-    """All views of the canonical tables, written below ``path`` if one is given."""
+    """All views of the canonical tables, written below ``path`` if one is given, each in its order. Tables that are
+    costly to compute should be stored ones: most views read messages and participants."""
     identities, threads, messages = tables["identities"], tables["threads"], tables["messages"]
     members, media = tables["thread_participants"], tables["media_objects"]
     sent = views.messages_with_sender(messages, identities, tables["accounts"])
@@ -63,7 +59,7 @@ def render_graph(tables: dict[str, DataFrame], path: str | None = None) -> dict[
     named = with_slug(people, "display_name", "slug")
     people = named.withColumn("view_path", view_path(F.lit("person"), F.col("slug"), F.col("identity_key"))).drop("slug")
     lines = views.transcript_lines(sent, rollups.media_per_message(media))
-    titled = with_slug(threads, "title", "slug").select(*rollups.THREAD, F.concat("slug", F.lit("--"), F.substring(F.sha2(F.concat_ws(":", *rollups.THREAD), 256), 1, 8)).alias("view_name"))
+    titled = with_slug(threads.select(*rollups.THREAD, "title"), "title", "slug").select(*rollups.THREAD, F.concat("slug", F.lit("--"), F.substring(F.sha2(F.concat_ws(":", *rollups.THREAD), 256), 1, 8)).alias("view_name"))
     lines = lines.join(titled, rollups.THREAD).select("view_name", (F.col("message_no") * 4 + F.col("part_no")).alias("line_no"), "line")
     out = {
         "people": people,

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import keys, payloads, text, times
 from .operators import identity, messages as ops, pulls, rollups, views
-from .plans import imports, rebuild
+from .plans import imports, rebuild, reports
 from .sources import chat, packets, sinks
-from .streaming.accumulate import accumulate_packets as accumulate
+from .sources.shared import new_folder, once
+from .streaming.accumulate import accumulate_packets as accumulate, accumulated
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,12 +33,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see: below ``spark.checkpoint.dir``, where that is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/letterloom/{name}-{uuid.uuid4().hex}"
-
-
 # Mappings of the driver's tables -----------------------------------------------------------------------------------
 
 TS = "1700000000000 + conv_id * 3600000 + turn * 1000"
@@ -65,13 +59,14 @@ def conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Canonical tables of ``conversations``: every third is a group with a third member who never writes."""
-    m = conversations(spark, d)
+    """Canonical tables of ``conversations``: every third is a group with a third member who never writes. Merged
+    messages and people are written once and the rest follows from these."""
+    m = once(conversations(spark, d), "messages")
     names = F.when(F.col("grp"), F.array(F.lit("user"), F.lit("assistant"), F.lit("José Ñandú"))).otherwise(F.array(F.lit("user"), F.lit("assistant")))
     facts = m.select(*rollups.THREAD, "export_account", (F.col("conv_id") % 3 == 0).alias("grp"), "conv_id").distinct()
     seq = F.struct(F.lit(0).alias("source_seq"), F.array("source_thread_key").alias("path_parts"), F.lit(0).alias("pos"))
     facts = facts.select(*rollups.THREAD, "export_account", names.alias("names"), F.concat(F.lit("Conversation "), "conv_id").alias("title"), payloads.packet_kind(names).alias("thread_kind"), seq.alias("import_seq"))
-    people = identity.thread_people(facts, m)
+    people = once(identity.thread_people(facts, m), "people")
     members = identity.participants(people)
     sender = people.select(*rollups.THREAD, F.col("name").alias("sender_name"), F.col("identity_key").alias("sender_identity_key"), F.col("account_source_kind").alias("sender_account_source_kind"), F.col("account_key").alias("sender_account_key"))
     rows = m.join(sender, [*rollups.THREAD, "sender_name"], "left")
@@ -125,12 +120,9 @@ def name_keys(spark, d):
     return rows.select("c_custkey", "slug", text.view_name(s, k).alias("view_name"), text.view_path(F.lit("person"), s, k).alias("view_path"), text.handle_key(k).alias("handle"))
 
 
-@query(r"""WITH w AS (SELECT DISTINCT array_to_string(list_slice(string_split(regexp_replace(text,'\s+',' ','g'),' '),1,3),' ') AS label FROM documents WHERE lang IN ('fr','es'))
-SELECT label, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT label, trim(regexp_replace(replace(lower(strip_accents(label)),'&',' and '),'[^a-z0-9]+','-','g'),'-') AS s FROM w)""")
+@query(r"""SELECT doc_id, sha256(CASE WHEN s = '' THEN 'untitled' ELSE s END) AS slug_sha256 FROM (SELECT doc_id, trim(regexp_replace(replace(lower(strip_accents(coalesce(text,''))),'&',' and '),'[^a-z0-9]+','-','g'),'-') AS s FROM documents)""")
 def accented_slugs(spark, d):
-    words = F.array_join(F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 3), " ")
-    rows = table(spark, d, "documents").where("lang in ('fr', 'es')").select(words.alias("label")).distinct()
-    return text.with_slug(rows, "label", "slug")
+    return text.with_slug(table(spark, d, "documents"), "text", "slug").select("doc_id", F.sha2("slug", 256).alias("slug_sha256"))
 
 
 @query(r"""WITH p AS (SELECT c_custkey, 'Instagram-@User' || c_custkey || '-20' || lpad((20 + c_custkey % 6)::VARCHAR,2,'0') || '-0' || (1 + c_custkey % 9) || '-1' || (c_custkey % 10) || '-part' AS name FROM customer)
@@ -278,13 +270,14 @@ def person_summary(spark, d):
 
 @query(GRAPH + """, t AS (SELECT DISTINCT person, conv_id, ts_ms, role, text FROM conv JOIN (SELECT DISTINCT person, thread FROM people) USING (thread)),
 r AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY ts_ms DESC, conv_id DESC) AS rank FROM t)
-SELECT person AS identity_key, rank, 'Conversation ' || conv_id AS title, ts_ms, role AS sender, CASE WHEN length(s) > 180 THEN substr(s,1,177) || '...' ELSE s END AS snippet
-FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM r WHERE rank <= 40)""")
+SELECT person AS identity_key, rank, 'Conversation ' || conv_id AS title, CASE WHEN conv_id % 3 = 0 THEN 'group' ELSE 'direct' END AS thread_kind, ts_ms, role AS sender,
+  CASE WHEN length(s) > 180 THEN substr(s,1,177) || '...' ELSE s END AS snippet
+FROM (SELECT *, trim(regexp_replace(CASE WHEN coalesce(text, '') = '' THEN '[no text]' ELSE text END, '\\s+', ' ', 'g')) AS s FROM r WHERE rank <= 40)""")
 def person_timeline(spark, d):
     g = graph(spark, d)
     sent = views.messages_with_sender(g["messages"], g["identities"], g["accounts"])
     found = views.person_timeline(sent, g["thread_participants"], g["threads"])
-    return found.select("identity_key", F.col("rank").cast("long").alias("rank"), "title", F.unix_millis("sent_at").alias("ts_ms"), "sender", "snippet")
+    return found.select("identity_key", F.col("rank").cast("long").alias("rank"), "title", "thread_kind", F.unix_millis("sent_at").alias("ts_ms"), "sender", "snippet")
 
 
 @query(GRAPH + """, r AS (SELECT person, ts_ms, row_number() OVER (PARTITION BY person ORDER BY ts_ms DESC) AS rank FROM conv JOIN (SELECT DISTINCT person, thread FROM people) USING (thread) WHERE turn % 2 = 1)
@@ -297,7 +290,7 @@ def person_media(spark, d):
 
 @query(f"""WITH {CONV}, o AS (SELECT *, make_timestamp(ts_ms * 1000) AS t, row_number() OVER (PARTITION BY thread ORDER BY ts_ms) AS no, lag(strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d')) OVER (PARTITION BY thread ORDER BY ts_ms) AS old FROM conv)
 SELECT thread AS source_thread_key, no AS message_no, sha256(CASE WHEN old IS NULL OR old <> strftime(t, '%Y-%m-%d') THEN '## ' || strftime(t, '%Y-%m-%d') || chr(10) ELSE '' END
-  || strftime(t, '%H:%M:%S') || ' ' || role || ': ' || CASE WHEN coalesce(text,'') = '' THEN '[no text]' ELSE text END || CASE WHEN turn % 2 = 1 THEN chr(10) || '[1 media attachment]' ELSE '' END) AS lines_sha256 FROM o""")
+  || strftime(t, '%H:%M:%S') || ' ' || role || ': ' || CASE WHEN regexp_replace(coalesce(text,''), '\\s+', '', 'g') = '' THEN '[no text]' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END || CASE WHEN turn % 2 = 1 THEN chr(10) || '[1 media attachment]' ELSE '' END) AS lines_sha256 FROM o""")
 def transcript_lines(spark, d):
     g = graph(spark, d)
     sent = views.messages_with_sender(g["messages"], g["identities"], g["accounts"])
@@ -324,17 +317,17 @@ def group_threads(spark, d):
     return views.group_threads(g["graph_edges"], g["threads"]).select("group_key", "source_thread_key", "title")
 
 
-@query(GRAPH + """ SELECT thread AS source_thread_key, role AS sender, count(*) AS n FROM conv GROUP BY ALL""")
+@query(GRAPH + """ SELECT thread AS source_thread_key, ts_ms, role AS sender, sha256(text) AS body_sha256 FROM conv""")
 def messages_with_sender(spark, d):
     g = graph(spark, d)
     sent = views.messages_with_sender(g["messages"], g["identities"], g["accounts"])
-    return sent.groupBy("source_thread_key", "sender").agg(F.count("*").alias("n"))
+    return sent.select("source_thread_key", F.unix_millis("sent_at").alias("ts_ms"), "sender", F.sha2("body_text", 256).alias("body_sha256"))
 
 
-@query(GRAPH + """ SELECT person AS identity_key, sum(media)::BIGINT AS media FROM (SELECT DISTINCT person, thread FROM people) JOIN per USING (thread) WHERE media > 0 GROUP BY person""")
+@query(GRAPH + """ SELECT person AS identity_key, thread AS source_thread_key, 'photos/' || ts_ms || '.jpg' AS source_uri FROM (SELECT DISTINCT person, thread FROM people) JOIN conv USING (thread) WHERE turn % 2 = 1""")
 def media_in_threads(spark, d):
     g = graph(spark, d)
-    return views.media_in_threads(g["media_objects"], g["thread_participants"]).groupBy("identity_key").agg(F.count_distinct("object_key").alias("media"))
+    return views.media_in_threads(g["media_objects"], g["thread_participants"]).select("identity_key", "source_thread_key", "source_uri")
 
 
 @query(GRAPH + """ SELECT thread AS source_thread_key, name AS label FROM people""")
@@ -369,9 +362,36 @@ def chat_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     })
 
 
-@query("""SELECT 'chat' || c_nationkey AS chat_guid, s_name AS handle, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = o_orderkey % (SELECT count(*) FROM supplier) GROUP BY ALL""")
+@query("""SELECT o_orderkey AS message_id, 'chat' || c_nationkey AS chat_guid, s_name AS handle, o_orderpriority AS text FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = o_orderkey % (SELECT count(*) FROM supplier)""")
 def chat_messages(spark, d):
-    return ops.chat_messages(chat_tables(spark, d)).groupBy("chat_guid", "handle").agg(F.count("*").alias("n"))
+    return ops.chat_messages(chat_tables(spark, d)).select("message_id", "chat_guid", "handle", "text")
+
+
+@query("""SELECT 'chat' || c_nationkey AS chat_guid, count(*) AS messages, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey""")
+def chat_tables_from_files(spark, d):
+    """The required relations as files, with fewer columns than there can be; what is missing is empty or null."""
+    folder = new_folder(spark, "chat")
+    for name, df in chat_tables(spark, d).items():
+        if name in chat.REQUIRED:
+            df.drop("attributedBody", "display_name", "service").write.parquet(f"{folder}/{name}.parquet")
+    found = ops.chat_messages(chat.read_chat_tables(spark, folder))
+    return found.where("handle is null and attributedBody is null").groupBy("chat_guid").agg(F.count("*").alias("messages"), F.count_if(F.col("text") == "1-URGENT").alias("urgent"))
+
+
+@query("""SELECT event_id, event_type || ' no. ' || event_id AS body, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","kind":null}' AS raw FROM events""")
+def binary_bodies(spark, d):
+    """Bodies that are only in a binary column, between the archiver's bookkeeping; and what is told of their source."""
+    said = F.concat("event_type", F.lit(" no. "), "event_id")
+    blob = F.encode(F.concat(F.lit("\0NSString\0"), said, F.lit("\0NSNumber and much longer bookkeeping\0")), "UTF-8")
+    rows = table(spark, d, "events").select("event_id", "event_type", F.lit(None).cast("string").alias("kind"), blob.alias("blob"))
+    return rows.select("event_id", payloads.decode_attributed_body(F.col("blob")).alias("body"), payloads.provenance_json("kind", "event_type", "event_id").alias("raw"))
+
+
+@query("""SELECT source_kind, count(*) AS rows, count(doc_id) AS documents FROM (SELECT 'orders' AS source_kind, NULL AS doc_id FROM orders UNION ALL SELECT source, doc_id FROM documents) GROUP BY source_kind""")
+def union_sources(spark, d):
+    orders, docs = table(spark, d, "orders"), table(spark, d, "documents")
+    found = ops.union_sources(orders.select(F.lit("orders").alias("source_kind"), "o_orderkey"), docs.select("doc_id", F.col("source").alias("source_kind")))
+    return found.groupBy("source_kind").agg(F.count("*").alias("rows"), F.count("doc_id").alias("documents"))
 
 
 @query("""SELECT s_nationkey::BIGINT AS chat_id, array_to_string(list(s_name ORDER BY s_suppkey), ',') AS handles FROM supplier GROUP BY s_nationkey""")
@@ -401,11 +421,11 @@ def import_chat(spark, d):
 # Packets -----------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT 'meta-2026/instagram-ann-' || day || '-x' AS export_root, 'instagram-ann-' || day || '-x' AS name, count(DISTINCT conv_id) AS message_files, count(DISTINCT conv_id)::INT AS folders
+@query("""SELECT 'meta-2026/instagram-ann-' || day || '-x' AS export_root, 'instagram-ann-' || day || '-x' AS name, count(DISTINCT conv_id) AS message_files, count(DISTINCT conv_id) AS folders
 FROM (SELECT conv_id, unnest(CASE WHEN turn >= 1 THEN ['2026-01-01','2026-02-01'] ELSE ['2026-01-01'] END) AS day FROM conversations) GROUP BY day""")
 def scan_packets(spark, d):
     found = packets.scan_packets(packet_files(spark, d), "instagram")
-    return found.select("export_root", "name", "message_files", F.size("thread_folders").alias("folders"))
+    return found.select("export_root", "name", "message_files", "folders")
 
 
 @query(f"""WITH {CONV} SELECT 'your_instagram_activity/' || thread AS source_thread_key, CASE WHEN any_value(grp) THEN 'group' ELSE 'direct' END AS thread_kind, 'Conversation ' || any_value(conv_id) AS title,
@@ -539,42 +559,115 @@ def message_subtree_only(spark, d):
     return pulls.message_subtree_only(rows, ["a/messages"]).select("id")
 
 
-@query("""SELECT o_orderkey::VARCHAR AS id, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 THEN 'm/f' || o_custkey || '--' || substr(o_orderkey::VARCHAR || 'abcdefghij',1,8) || '.json' ELSE 'm/f' || o_custkey || '.json' END AS target FROM orders""")
+@query("""WITH l AS (SELECT o_orderkey, o_custkey, unnest([0, 1]) AS again, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS owner FROM orders)
+SELECT o_orderkey::VARCHAR AS id, again, CASE WHEN o_orderkey <> owner THEN 'm/f' || o_custkey || '--' || substr(o_orderkey::VARCHAR || 'abcdefghij',1,8) || '.json' ELSE 'm/f' || o_custkey || '.json' END AS target FROM l""")
 def unique_targets(spark, d):
-    rows = table(spark, d, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("abcdefghij")).alias("id"), F.concat(F.lit("m/f"), "o_custkey", F.lit(".json")).alias("path"), F.col("o_orderkey").alias("seq"))
-    return pulls.unique_targets(rows).select(F.col("seq").cast("string").alias("id"), "target")
+    """Every file is listed twice: what has a path keeps it."""
+    rows = table(spark, d, "orders").withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = rows.select(F.concat(F.col("o_orderkey").cast("string"), F.lit("abcdefghij")).alias("id"), F.concat(F.lit("m/f"), "o_custkey", F.lit(".json")).alias("path"), (F.col("again") * 10**9 + F.col("o_orderkey")).alias("seq"), "again", "o_orderkey")
+    return pulls.unique_targets(rows).select(F.col("o_orderkey").cast("string").alias("id"), "again", "target")
+
+
+@query("""SELECT export_root, account FROM (SELECT 'p' || c_custkey AS export_root, 'acct' || c_nationkey AS account FROM customer) WHERE account <> 'acct3'""")
+def account_checks(spark, d):
+    rows = table(spark, d, "customer").select(F.concat(F.lit("p"), "c_custkey").alias("export_root"), F.concat(F.lit("acct"), "c_nationkey").alias("export_account"))
+    return packets.other_accounts(rows, "Acct3").withColumnRenamed("export_account", "account")
+
+
+@query("""WITH l AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 2 = 0 THEN '-a' ELSE '' END AS more FROM orders WHERE o_orderkey % 3 = 0 AND strftime(o_orderdate, '%Y') LIKE '20%')
+SELECT DISTINCT 'instagram-ann-' || day || more AS name FROM l QUALIFY row_number() OVER (ORDER BY day DESC, more DESC) = 1""")
+def latest_packet(spark, d):
+    return pulls.select_packets(_listing(spark, d), "instagram-ann-", latest_only=True).select("name")
+
+
+@query("""WITH p AS (SELECT c_custkey, 'instagram-ann-2024-01-01-' || c_custkey AS name FROM customer WHERE c_nationkey % 2 = 0 AND c_mktsegment <> 'BUILDING'),
+f AS (SELECT p.name, o_orderkey, o_orderkey % 5 AS kind, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 5 ORDER BY o_orderkey) AS no FROM orders JOIN p ON c_custkey = o_custkey)
+SELECT o_orderkey::VARCHAR AS id, 'drive/' || name || CASE WHEN kind IN (0, 1) THEN '/messages/m' || kind || CASE WHEN no > 1 THEN '--' || substr(o_orderkey::VARCHAR, 1, 8) ELSE '' END || '.json' WHEN kind = 3 THEN '/messages/doc' ELSE '/other/m' END AS path,
+  CASE WHEN kind IN (0, 1) THEN 'fetch' WHEN kind = 3 THEN 'provider document' ELSE 'outside' END AS what FROM f WHERE kind <> 1 OR o_orderkey % 2 = 0""")
+def fetch_plan(spark, d):
+    """Packets of customers whose segment is not complete yet; of five files two are messages (half of one kind is there
+    already), one is a provider's document and two lie elsewhere."""
+    customers, orders = table(spark, d, "customer"), table(spark, d, "orders")
+    name = F.concat(F.when(F.col("c_nationkey") % 2 == 0, "instagram-ann-2024-01-01-").otherwise("instagram-annie-"), "c_custkey")
+    listing = customers.select(F.col("c_custkey").cast("string").alias("id"), name.alias("name"), F.concat(F.lit("drive/"), name).alias("path"), F.lit(pulls.FOLDER).alias("mime_type"), "c_mktsegment")
+    done = listing.where("c_mktsegment = 'BUILDING'").select("id", "path", F.lit("completed").alias("status"))
+    k = F.col("o_orderkey") % 5
+    path = F.when(k < 2, F.concat(F.lit("messages/m"), k, F.lit(".json"))).when(k == 3, "messages/doc").otherwise("other/m")
+    mime = F.when(k == 3, "application/vnd.google-apps.document").otherwise("application/json")
+    files = orders.select(F.col("o_custkey").cast("string").alias("packet_id"), F.col("o_orderkey").cast("string").alias("id"), path.alias("path"), mime.alias("mime_type"), F.lit("t").alias("modified"), F.lit("1").alias("size"), F.lit("c").alias("md5"), F.lit(True).alias("can_download"), F.col("o_orderkey").alias("seq"))
+    there = files.where("seq % 5 = 1 and seq % 2 = 1").select("id", "modified", "size", "md5")
+    plan = reports.plan_fetch(listing, files, done, there, "instagram-ann-", ["messages"])
+    fetched = plan["files"].select("id", F.col("target").alias("path"), F.lit("fetch").alias("what"))
+    return fetched.union(plan["skipped"].select("id", "path", F.col("reason").alias("what")))
+
+
+@query("""WITH n AS (SELECT 'n' || n_nationkey AS account_key, n_nationkey FROM nation), s AS (SELECT c_nationkey, count(DISTINCT c_custkey) AS files FROM customer GROUP BY 1)
+SELECT account_key, CASE WHEN files IS NULL THEN 'pending' ELSE 'current' END AS status, coalesce(files, 0) * 2 AS message_files, (files IS NOT NULL)::INT * 2 AS completed_exports,
+  CASE WHEN files IS NOT NULL AND n_nationkey % 2 = 0 THEN 'complete-through-latest-export' ELSE 'baseline-required' END AS history_coverage, CASE WHEN files IS NULL THEN 'before' ELSE 'now' END AS last_success_at, 'now' AS checked_at FROM n LEFT JOIN s ON c_nationkey = n_nationkey""")
+def freshness_job(spark, d):
+    """Two packets per account are scanned, and the report is read back from the run log."""
+    day = F.explode(F.array(F.lit("2026-01-01"), F.lit("2026-02-01")))
+    files = table(spark, d, "customer").withColumn("day", day).select(
+        F.concat(F.lit("instagram-n"), "c_nationkey", F.lit("-"), "day", F.lit("/your_instagram_activity/messages/inbox/t"), "c_custkey", F.lit("/message_1.json")).alias("path"),
+        F.to_timestamp("day").alias("modificationTime"),
+    )
+    key = F.concat(F.lit("n"), "n_nationkey")
+    base = F.concat(F.lit("instagram-"), key, F.when(F.col("n_nationkey") % 2 == 0, "-2026-01-01").otherwise("-2025-01-01"))
+    accounts = table(spark, d, "nation").select(key.alias("account_key"), base.alias("baseline_export_name"), F.lit("provider-current").alias("origin"))
+    log = new_folder(spark, "log")
+    reports.check_freshness(files, "instagram", accounts, accounts.select("account_key", F.lit("before").alias("last_success_at")), "now", log)
+    return spark.read.json(log)
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def stale_views(spark, d):
+    """Views of customers without a pending order are stale."""
     existing = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("v--"), "c_custkey").alias("view_name"))
-    return views.stale_views(existing, table(spark, d, "orders").select(F.concat(F.lit("v--"), "o_custkey").alias("view_name"))).select("c_custkey")
+    return views.stale_views(existing, table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("v--"), "o_custkey").alias("view_name"))).select("c_custkey")
+
 
+_RENDERED = """, mine AS (SELECT DISTINCT person, thread FROM people), seen AS (SELECT person, count(*) AS n, sum((turn % 2)::INT) AS media FROM mine JOIN conv USING (thread) GROUP BY person),
+days AS (SELECT count(DISTINCT (thread, ts_ms // 86400000)) AS n FROM conv)
+SELECT unnest(['people', 'person_threads', 'timelines', 'media', 'group_members', 'group_threads', 'rosters', 'transcripts', 'manifest']) AS "view", unnest([(SELECT count(DISTINCT person) FROM people), (SELECT count(*) FROM mine),
+  (SELECT sum(least(n, 40)) FROM seen), (SELECT sum(least(media, 100)) FROM seen), (SELECT count(*) FROM people WHERE grp), (SELECT count(*) FROM per WHERE grp), (SELECT count(*) FROM people),
+  (SELECT count(*) + sum((turn % 2)::INT) FROM conv) + (SELECT n FROM days), 1])::BIGINT AS rows"""
 
-@query(GRAPH + """ SELECT (SELECT count(DISTINCT person) FROM people) AS people, (SELECT count(*) + count(DISTINCT thread) FROM conv) + (SELECT sum((turn % 2)::INT) FROM conv)::BIGINT AS lines""")
+
+@query(GRAPH + _RENDERED)
 def render_graph(spark, d):
-    out = rebuild.render_graph(graph(spark, d))
-    return out["people"].agg(F.count("*").alias("people")).crossJoin(out["transcripts"].agg(F.count("*").alias("lines")))
+    """Every view is rendered, written, and read back."""
+    folder = new_folder(spark, "views")
+    out = rebuild.render_graph(graph(spark, d), folder)
+    counts = [spark.read.json(f"{folder}/{name}").agg(F.lit(name).alias("view"), F.count("*").alias("rows")) for name in out]
+    return reduce(DataFrame.union, counts)
+
+
+@query("""SELECT source_kind, sum(n)::BIGINT AS n, count(*) AS runs FROM (SELECT event_type AS source_kind, count(*) AS n, unnest([1, 2]) AS run FROM events GROUP BY event_type) GROUP BY source_kind""")
+def run_log(spark, d):
+    folder, summary = new_folder(spark, "log"), table(spark, d, "events").groupBy(F.col("event_type").alias("source_kind")).agg(F.count("*").alias("n"))
+    for _ in range(2):
+        sinks.append_run_log(summary, folder)
+    return spark.read.json(folder).groupBy("source_kind").agg(F.sum("n").alias("n"), F.count("*").alias("runs"))
 
 
 @query(f"""WITH {CONV} SELECT thread AS source_thread_key, count(*) AS message_count, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM conv GROUP BY thread""")
 def accumulate_packets(spark, d):
     """Both exports of the merge, the later first, folded in by a stream of complete packets; the first comes twice."""
     both = exports(spark, d)
-    folder = scratch(spark, "stream")
+    folder = new_folder(spark, "stream")
     read = lambda batch: both.join(batch.select(F.col("packet").alias("export_root")).distinct(), "export_root", "left_semi")
     for packet in ("e2", "e1", "e1"):
         both.where(F.col("export_root") == packet).select(F.col("export_root").alias("packet")).limit(1).write.mode("append").parquet(f"{folder}/manifest")
         accumulate(spark, f"{folder}/manifest", "packet string", read, f"{folder}/messages", f"{folder}/checkpoint").awaitTermination()
-    m = spark.read.parquet(f"{folder}/messages")
+    m = accumulated(spark, f"{folder}/messages")
     return m.groupBy("source_thread_key").agg(F.count("*").alias("message_count"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
 
 
-@query("""SELECT export_account, count(*) AS messages FROM (SELECT 'acct' || user_id % 4 AS export_account, user_id % 4 = 1 AS ready, event_id FROM events) WHERE NOT ready OR event_id % 2 = 0 GROUP BY 1""")
+@query("""SELECT export_account, count(*) AS messages FROM (SELECT '00' || user_id % 4 AS export_account, user_id % 4 = 1 AS ready, event_id FROM events) WHERE NOT ready OR event_id % 2 = 0 GROUP BY 1""")
 def rebuild_projection(spark, d):
     """All accounts are written; then the only one that is ready advances to a candidate that has lost messages."""
-    rows = table(spark, d, "events").select(F.lit("facebook").alias("source_kind"), F.concat(F.lit("acct"), F.col("user_id") % 4).alias("export_account"), "event_id")
-    path, names = scratch(spark, "canonical"), [f"acct{i}" for i in range(4)]
+    rows = table(spark, d, "events").select(F.lit("facebook").alias("source_kind"), F.concat(F.lit("00"), F.col("user_id") % 4).alias("export_account"), "event_id")
+    path, names = new_folder(spark, "canonical"), [f"00{i}" for i in range(4)]
     rebuild.rebuild_projection(spark, path, {"messages": rows}, "facebook", names, names)
-    rebuild.rebuild_projection(spark, path, {"messages": rows.where("event_id % 2 = 0")}, "facebook", names, ["acct1"], independent=True)
+    rebuild.rebuild_projection(spark, path, {"messages": rows.where("event_id % 2 = 0")}, "facebook", names, ["001"], independent=True)
     return sinks.read_canonical(spark, path, "messages").groupBy("export_account").agg(F.count("*").alias("messages"))

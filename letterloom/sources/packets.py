@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.keys import export_account_key, export_root, is_message_file, relative_thread_key
 from ..functions.payloads import packet_kind, packet_title, participant_names
@@ -19,22 +19,27 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return files.withColumn("path", F.substr(scheme(plain), F.length(scheme(F.lit(full))) + 2)).select("path", "modificationTime", "content")
 
 
-def scan_packets(files: DataFrame, provider: str) -> DataFrame:
-    """Body-free inventory: per export its name, number of message files, sorted distinct thread folders and newest
-    modification."""
+def _located(files: DataFrame, provider: str) -> DataFrame:
     found = files.where(is_message_file(F.col("path"), provider)).select("path", "modificationTime")
-    found = found.withColumn("export_root", export_root(F.col("path"), provider))
+    return found.select(export_root(F.col("path"), provider).alias("export_root"), F.regexp_replace("path", "/?[^/]*$", "").alias("folder"), "modificationTime")
+
+
+def scan_packets(files: DataFrame, provider: str) -> DataFrame:
+    """Body-free inventory: per export its name, number of message files and of thread folders, and newest
+    modification. The folders themselves are rows of ``packet_folders``."""
+    per_folder = _located(files, provider).groupBy("export_root", "folder").agg(F.count("*").alias("n"), F.max("modificationTime").alias("latest"))
     return (
-        found.groupBy("export_root")
-        .agg(
-            F.count("*").alias("message_files"),
-            F.sort_array(F.collect_set(F.regexp_replace("path", "/?[^/]*$", ""))).alias("thread_folders"),
-            F.max("modificationTime").alias("latest"),
-        )
+        per_folder.groupBy("export_root")
+        .agg(F.sum("n").alias("message_files"), F.count("*").alias("folders"), F.max("latest").alias("latest"))
         .withColumn("name", F.element_at(F.split("export_root", "/"), -1))
     )
 
 
+def packet_folders(files: DataFrame, provider: str) -> DataFrame:
+    """Distinct thread folders of every export, in order."""
+    return _located(files, provider).select("export_root", "folder").distinct().orderBy("export_root", "folder")
+
+
 def read_message_files(files: DataFrame, provider: str, source_seq: int | str = 0) -> DataFrame:
     """One row per message file: text as UTF-8 or else Latin-1, parsed as VARIANT (null if it is no JSON), with its
     export, thread and place in the import order (``source_seq``, a number or a column, then the path's parts)."""
@@ -55,20 +60,35 @@ def read_message_files(files: DataFrame, provider: str, source_seq: int | str =
 
 
 def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files that are objects with a list of messages, and (path, warning) of the others."""
+    """Files that are objects, and (path, warning) of the others. Messages that are missing, null or empty of any kind
+    are no messages; messages that are something else make the file a reject."""
     kind = F.coalesce(F.schema_of_variant("file"), F.lit("NONE"))
-    held = F.coalesce(F.schema_of_variant(F.try_variant_get("file", "$.messages", "variant")), F.lit("NONE"))
-    warning = (
-        F.when(kind == "NONE", "not JSON").when(~kind.startswith("OBJECT"), "not an object").when(~held.startswith("ARRAY"), "messages is no list")
-    )
+    held = F.try_variant_get("file", "$.messages", "variant")
+    nothing = F.coalesce(F.to_json(held), F.lit("null")).isin("null", "false", "0", "0.0", '""', "{}")
+    listed = F.coalesce(F.schema_of_variant(held), F.lit("NONE")).startswith("ARRAY")
+    warning = F.when(kind == "NONE", "not JSON").when(~kind.startswith("OBJECT"), "not an object").when(~listed & ~nothing, "messages is no list")
     marked = parsed.withColumn("warning", warning)
     return marked.where("warning is null").drop("warning"), marked.where("warning is not null").select("path", "warning")
 
 
+def is_message(payload: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(payload), F.lit("")).startswith("OBJECT")
+
+
+def dropped_elements(told: DataFrame) -> DataFrame:
+    """(path, warning) of files with elements of ``messages`` that are no objects; these are left out."""
+    odd = told.where(F.col("payload").isNotNull() & ~is_message(F.col("payload"))).groupBy("path").agg(F.count("*").alias("n"))
+    return odd.select("path", F.concat(F.col("n").cast("string"), F.lit(" messages are no objects")).alias("warning"))
+
+
+def other_accounts(parsed: DataFrame, account: str) -> DataFrame:
+    """Packets that name another account than ``account``."""
+    return parsed.where(F.col("export_account") != account.lower()).select("export_root", "export_account").distinct()
+
+
 def check_account(parsed: DataFrame, account: str) -> None:
     """An error if a packet names another account than ``account``."""
-    other = parsed.where(F.col("export_account") != account.lower()).select("export_root", "export_account").limit(1).collect()
-    if other:
+    if other := other_accounts(parsed, account).limit(1).collect():
         raise ValueError(f"packet {other[0][0]!r} belongs to account {other[0][1]!r}, not {account!r}")
 
 
@@ -85,20 +105,21 @@ def scoped_threads(parsed: DataFrame, account: str | None = None) -> DataFrame:
     return parsed.crossJoin(F.broadcast(named)).withColumn("source_thread_key", F.coalesce(key, "thread_path")).drop("accounts")
 
 
-def file_threads(files: DataFrame) -> DataFrame:
-    """What each file says of its thread: names of participants, title and kind."""
-    names = participant_names(F.col("file"))
+def told_by_files(files: DataFrame) -> DataFrame:
+    """One row per element of the files' messages, and one without ``payload`` for a file that has none, with what the
+    file says of its thread: names of participants, title and kind. A file is read and parsed once for all of it."""
+    held = F.try_variant_get("file", "$.messages", "array<variant>")
     folder = F.element_at(F.split("thread_path", "/"), -1)
-    return files.withColumn("names", names).select(
-        "source_kind", "export_account", "export_root", "source_thread_key", "names",
+    named = files.withColumn("names", participant_names(F.col("file"))).select(
+        "path", "source_kind", "export_account", "export_root", "source_thread_key", "source_seq", "path_parts", "names",
         packet_title(F.try_variant_get("file", "$.title", "string"), F.col("names"), folder).alias("title"),
-        packet_kind(F.col("names")).alias("thread_kind"),
-        F.struct("source_seq", "path_parts", F.lit(0).cast("long").alias("pos")).alias("import_seq"),
+        packet_kind(F.col("names")).alias("thread_kind"), held.alias("held"),
     )
+    each = named.select("*", F.posexplode_outer("held").alias("pos", "payload")).drop("held")
+    return each.withColumn("import_seq", F.struct("source_seq", "path_parts", F.coalesce(F.col("pos"), F.lit(0)).cast("long").alias("pos")))
 
 
-def explode_messages(files: DataFrame) -> DataFrame:
-    """One row per message of the files; elements that are no objects are left out."""
-    each = files.select("*", F.posexplode(F.try_variant_get("file", "$.messages", "array<variant>")).alias("pos", "payload"))
-    each = each.where(F.coalesce(F.schema_of_variant("payload"), F.lit("")).startswith("OBJECT"))
-    return each.drop("file").withColumn("import_seq", F.struct("source_seq", "path_parts", F.col("pos").cast("long").alias("pos")))
+def file_threads(told: DataFrame) -> DataFrame:
+    """What each file says of its thread, one row per file."""
+    first = told.where(F.coalesce("pos", F.lit(0)) == 0)
+    return first.select("source_kind", "export_account", "export_root", "source_thread_key", "names", "title", "thread_kind", "import_seq")

@@ -4,11 +4,13 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from letterloom.operators import messages as ops, rollups
+from letterloom.operators import messages as ops, rollups, views
 from letterloom.plans import imports, rebuild
 from letterloom.queries import conversations
 from letterloom.sources import chat, packets, sinks
-from letterloom.streaming.accumulate import accumulate_packets
+from letterloom.sources.shared import Versions
+from letterloom.streaming import accumulate as streaming
+from letterloom.streaming.accumulate import accumulate_packets, accumulated
 from conftest import SF
 
 
@@ -31,7 +33,8 @@ def test_packets_from_disk(spark, tmp_path):
     put(tmp_path, f"{inbox}/f/other.json", {"messages": []})
     files = packets.list_files(spark, str(tmp_path))
     scan = packets.scan_packets(files, "instagram").collect()
-    assert [(r.name, r.message_files, len(r.thread_folders)) for r in scan] == [("instagram-ann-2026-01-01-x", 4, 4)]
+    assert [(r.name, r.message_files, r.folders) for r in scan] == [("instagram-ann-2026-01-01-x", 4, 4)]
+    assert [r.folder.rpartition("/")[2] for r in packets.packet_folders(files, "instagram").collect()] == ["a b", "c", "d", "e"]
     plan = packets.scan_packets(files, "instagram")._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
     out = imports.import_packets(files, "instagram")
@@ -126,7 +129,7 @@ def test_stream_is_the_batch_whatever_the_order(spark, tmp_path):
         for packet in order:
             spark.createDataFrame([(packet,)], "packet string").write.mode("append").parquet(manifest)
             accumulate_packets(spark, manifest, "packet string", read, path, str(tmp_path / f"c{n}")).awaitTermination()
-        got = spark.read.parquet(path)
+        got = accumulated(spark, path)
         assert sorted(map(tuple, got.select("source_thread_key", "source_message_key", "export_root").collect())) == want
 
 
@@ -135,8 +138,8 @@ def test_views_and_log_are_written(spark, tmp_path):
 
     out = rebuild.render_graph(graph(spark, SF), str(tmp_path / "views"))
     assert spark.read.json(str(tmp_path / "views" / "people")).count() == out["people"].count()
-    one = next((tmp_path / "views" / "transcripts").glob("view_name=*"))
-    assert next(one.glob("part-*")).read_text().startswith("## 20")
+    lines = [r.line for f in sorted((tmp_path / "views" / "transcripts").glob("part-*")) for r in spark.read.json(str(f)).collect()]
+    assert lines[0].startswith("## 20") and len(lines) == out["transcripts"].count()
     for _ in range(2):
         sinks.append_run_log(spark.range(1), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
@@ -164,3 +167,103 @@ def test_sources_share_one_graph(spark, tmp_path):
     assert graph["messages"].count() == 4 and graph["media_objects"].count() == 1
     people = {r.identity_key: (r.messages, r.group_threads) for r in rebuild.render_graph(graph)["people"].collect()}
     assert people["person:facebook:eve"] == (2, 2) and people["person:self"] == (2, 0)
+
+
+def test_accounts_are_text_and_gates_hold_for_them(spark, tmp_path):
+    path = str(tmp_path / "canon")
+    rows = spark.createDataFrame([("facebook", "007", "t1"), ("facebook", "012", "t2"), ("facebook", "a/b=c %", "t3")], "source_kind string, export_account string, source_thread_key string")
+    names = ["007", "012", "a/b=c %"]
+    rebuild.rebuild_projection(spark, path, {"messages": rows}, "facebook", names, names)
+    kept = lambda: sorted((r.export_account, r.source_thread_key) for r in sinks.read_canonical(spark, path, "messages").collect())
+    assert kept() == [("007", "t1"), ("012", "t2"), ("a/b=c %", "t3")]
+    with pytest.raises(rebuild.Held, match="007 is empty"):
+        rebuild.rebuild_projection(spark, path, {"messages": rows.where("export_account <> '007'")}, "facebook", names, names)
+    assert len(kept()) == 3 and sinks.read_canonical(spark, str(tmp_path / "none"), "messages").count() == 0
+
+
+def test_a_writer_that_dies_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "canon")
+    rows = spark.createDataFrame([("facebook", "a", "old")], "source_kind string, export_account string, source_thread_key string")
+    new = rows.withColumn("source_thread_key", F.lit("new"))
+    both = lambda df: {"messages": df, "threads": df}
+    kept = lambda: [sinks.read_canonical(spark, path, n).first().source_thread_key for n in ("messages", "threads")]
+    sinks.write_canonical(both(rows), path, {"facebook": ["a"]})
+    broken = new.withColumn("source_thread_key", F.raise_error(F.lit("killed")).cast("string"))
+    with pytest.raises(Exception, match="killed"):
+        sinks.write_canonical({"messages": new, "threads": broken}, path, {"facebook": ["a"]})
+    assert kept() == ["old", "old"]
+    monkeypatch.setattr(Versions, "publish", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError, match="killed"):
+        sinks.write_canonical(both(new), path, {"facebook": ["a"]})
+    monkeypatch.undo()
+    assert kept() == ["old", "old"]
+    late = Versions(spark, path)
+    sinks.write_canonical(both(new), path, {"facebook": ["a"]})
+    assert kept() == ["new", "new"]
+    with pytest.raises(RuntimeError, match="another writer"):
+        late.publish({"facebook/a": "other"})
+    Versions(spark, path).sweep(f"{path}/messages", keep=1)
+    assert kept() == ["new", "new"] and len(list((tmp_path / "canon" / "messages").glob("version=*"))) == 1
+
+
+def test_a_fold_that_dies_is_folded_again(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(p, t, i) for p in ("e1", "e2") for t in "ab" for i in range(2)], "export_root string, t string, pos int")
+    each = rows.select(F.lit("k").alias("source_kind"), F.col("t").alias("source_thread_key"), "export_root", F.concat("export_root", "pos").alias("fp"), F.lit(5).cast("long").alias("ts_ms"), F.struct("export_root", "pos").alias("import_seq"))
+    read = lambda batch: each.join(batch.select(F.col("packet").alias("export_root")), "export_root", "left_semi")
+    manifest, path, seen = str(tmp_path / "m"), str(tmp_path / "out"), str(tmp_path / "c")
+
+    def fold(packet):
+        spark.createDataFrame([(packet,)], "packet string").write.mode("append").parquet(manifest)
+        accumulate_packets(spark, manifest, "packet string", read, path, seen, buckets=2).awaitTermination()
+
+    fold("e1")
+    with monkeypatch.context() as m:
+        m.setattr(streaming.Versions, "publish", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(Exception, match="killed"):
+            fold("e2")
+    assert accumulated(spark, path).count() == 4
+    accumulate_packets(spark, manifest, "packet string", read, path, seen, buckets=2).awaitTermination()
+    assert accumulated(spark, path).count() == 8
+    with pytest.raises(Exception, match="2 buckets"):
+        spark.createDataFrame([("e1",)], "packet string").write.mode("append").parquet(manifest)
+        accumulate_packets(spark, manifest, "packet string", read, path, seen, buckets=3).awaitTermination()
+
+
+def test_what_files_leave_out(spark, tmp_path):
+    inbox = "instagram-ann-2026-01-01-x/your_instagram_activity/messages/inbox"
+    put(tmp_path, f"{inbox}/a/message_1.json", {"participants": [{"name": "Ann"}], "messages": ["odd", {"sender_name": "Ann", "timestamp_ms": 5, "content": "  hi "}, None, 3]})
+    put(tmp_path, f"{inbox}/b/message_1.json", {"participants": [{"name": "Bob"}]})
+    put(tmp_path, f"{inbox}/c/message_1.json", {"messages": None})
+    put(tmp_path, f"{inbox}/d/message_1.json", {"messages": "no"})
+    out = imports.import_packets(packets.list_files(spark, str(tmp_path)), "instagram")
+    assert sorted(r.source_thread_key[-1] for r in out["threads"].collect()) == ["a", "b", "c"] and out["messages"].count() == 1
+    assert sorted((r.path.split("/")[-2], r.warning) for r in out["warnings"].collect()) == [("a", "3 messages are no objects"), ("d", "messages is no list")]
+
+
+def test_views_of_odd_bodies(spark):
+    from datetime import datetime
+
+    at = lambda h, m: datetime(2026, 1, 1 + h // 24, h % 24, m)
+    said = [(0, "a", "  x\n"), (1, "b", " \u00a0\n"), (2, "c", None), (25, "d", ""), (25, "e", "y")]
+    m = spark.createDataFrame([("k", "t", key, at(h, n), body, "Ann", n) for n, (h, key, body) in enumerate(said)], "source_kind string, source_thread_key string, source_message_key string, sent_at timestamp, body_text string, sender string, import_seq int")
+    lines = [r.line for r in views.transcript_lines(m).orderBy("message_no", "part_no").collect()]
+    assert lines == ["## 2026-01-01", "00:00:00 Ann: x", "01:01:00 Ann: [no text]", "02:02:00 Ann: [no text]", "## 2026-01-02", "01:03:00 Ann: [no text]", "01:04:00 Ann: y"]
+    members = spark.createDataFrame([("p", "k", "t"), ("p", "k", "u")], "identity_key string, source_kind string, source_thread_key string")
+    threads = spark.createDataFrame([("k", "t", "T", "group"), ("k", "u", "T", "direct")], "source_kind string, source_thread_key string, title string, thread_kind string")
+    twin = m.where("source_message_key = 'e'").withColumn("source_thread_key", F.lit("u"))
+    told = [(r.thread_kind, r.snippet) for r in views.person_timeline(m.union(twin), members, threads).orderBy("rank").collect()]
+    assert sorted(told[:2]) == [("direct", "y"), ("group", "y")] and told[2:] == [("group", "[no text]")] * 2 + [("group", ""), ("group", "x")]
+
+
+def test_views_are_ordered_with_missing_times_first(spark):
+    rows = spark.createDataFrame([("p", "2026", "a"), ("p", None, "b"), ("p", "2025", "c")], "identity_key string, last_message_at string, title string").withColumn("source_kind", F.lit("k"))
+    assert [r.title for r in sinks.in_order("person_threads", rows).collect()] == ["b", "c", "a"]
+
+
+def test_a_plan_without_packets_is_an_error(spark):
+    from letterloom.operators.pulls import FOLDER
+    from letterloom.plans.reports import plan_fetch
+
+    listing = spark.createDataFrame([("1", "instagram-annie-2024-01-01", "p", FOLDER), ("2", "instagram-ann-2024-01-01", "q", "text/plain")], "id string, name string, path string, mime_type string")
+    with pytest.raises(ValueError, match="no packet folder"):
+        plan_fetch(listing, listing, listing, listing, "instagram-ann-", ["messages"])
