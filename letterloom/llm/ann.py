@@ -93,9 +93,10 @@ def nearest(
 
     Every vector is put into one bucket of each table, the signed axis that its rotation is nearest to, at every size
     of the index; a query probes the ``probes`` nearest buckets of each. Buckets are cut into blocks, and a block scores
-    all its queries exactly and passes on its best ``k`` vectors for each (ties to the vector whose smallest id other than the query's is smaller), so a large bucket is many tasks and rows are never paired outside of one. Queries that found fewer than ``k`` while there
-    are more others are then scored against all vectors, in pairs of blocks. Rotations act on vectors that are made
-    equally long by one more component unless they are so already.
+    all its queries exactly and passes on its best ``k`` vectors for each (ties to the vector whose smallest id other than
+    the query's is smaller), so a large bucket is many tasks and rows are never paired outside of one. Queries that found
+    fewer than ``k`` while there are more others are then scored against all vectors, in pairs of blocks. Rotations act
+    on vectors that are made equally long by one more component unless they are so already.
 
     Equal vectors are indexed once and stand for their ``k`` + 1 smallest ids. Vectors that are null, zero, or hold null
     or non-finite components take no part, nor do rows without id; vectors with different numbers of components have no
@@ -108,12 +109,16 @@ def nearest(
     return reduce(DataFrame.union, each or [_nearest(rows, queries, k, tables, probes)])
 
 
+def exact_nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """What ``nearest`` approximates: every query against all vectors, in pairs of blocks. Recall is measured by it."""
+    return nearest(vectors, queries, k, id_col, vec_col, tables=0)
+
+
 def _nearest(rows: DataFrame, queries, k: int, tables: int, probes: int) -> DataFrame:
-    """``nearest`` of vectors of one length."""
+    """``nearest`` of vectors of one length; without tables, exactly."""
     by_id = Window.partitionBy("cls").orderBy("id")
-    members = rows.select("cls", "id").distinct().withColumn("r", F.row_number().over(by_id))
-    members = members.withColumn("second", F.lead("id").over(by_id)).where(F.col("r") <= k + 1)
-    members = written(members, "members")
+    members = rows.select("cls", "id").distinct().withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
+    members = written(members.withColumn("second", F.lead("id").over(by_id)), "members")
     firsts = members.where("r = 1").select("cls", F.col("id").alias("least"), "second")
     index = rows.groupBy("cls").agg(F.min_by("vec", "id").alias("vec")).join(firsts, "cls")
     index = written(index, "index")
@@ -122,39 +127,9 @@ def _nearest(rows: DataFrame, queries, k: int, tables: int, probes: int) -> Data
         F.count("*"), F.max(F.size("vec")), F.sqrt(F.max(square)), F.sqrt(F.min(square))
     ).first()
     even = not size or longest - shortest <= 1e-4 * longest
-    turns = Rotations((dim or 1) + (not even), tables, 1)
     kind = dict(rows.dtypes)["vec"]
-
-    def hashed(as_query: bool):
-        def run(batches):
-            for batch in batches:
-                for low in range(0, batch.num_rows, 1024):
-                    part = batch.slice(low, 1024)
-                    points = matrix(part.column(part.num_columns - 1))
-                    points = points if even else _longer(points, longest, as_query)
-                    for t in range(tables):
-                        code = turns.probes(points, t, probes) if as_query else turns.buckets(points, t)[:, None]
-                        out = part.take(pa.array(np.repeat(np.arange(len(points)), code.shape[1])))
-                        bucket = mix64(code.reshape(-1).astype(U) * U(tables) + U(t)).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(bucket)], [*part.schema.names, "bucket"])
-
-        return run
-
-    placed = index.select("least", "second", "cls", "vec").mapInArrow(
-        hashed(False), f"least long, second long, cls long, vec {kind}, bucket long"
-    )
-    asking = rows.where(queries).dropDuplicates(["id", "cls"]).select("id", "cls", "vec")
-    asked = asking.mapInArrow(hashed(True), f"id long, cls long, vec {kind}, bucket long")
-    placed = written(placed, "placed")
-    sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = placed.join(sizes, "bucket").select(
-        F.xxhash64("bucket", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("task"), F.lit(0).alias("side"),
-        F.col("least").alias("id"), "second", "cls", "vec",
-    )
-    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
-    probe = asked.join(sizes, "bucket").select("bucket", block.alias("block"), "id", "cls", "vec")
     none = F.lit(None).cast("long").alias("second")
-    probe = probe.select(F.xxhash64("bucket", "block").alias("task"), F.lit(1).alias("side"), "id", none, "cls", "vec")
+    asking = rows.where(queries).dropDuplicates(["id", "cls"]).select("id", "cls", "vec")
 
     def run(batches):
         held, task = [], None
@@ -215,21 +190,59 @@ def _nearest(rows: DataFrame, queries, k: int, tables: int, probes: int) -> Data
         each = each.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
         return each.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
-    found = written(ranked(own.unionByName(probe)), "found")
-    others = F.lit(members.count()) - F.count("*")
-    wanted = asking.groupBy("id").agg(F.least(F.lit(k), others).alias("wanted"))
-    has = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("has"))
-    short = wanted.join(has, "id", "left").where("coalesce(has, 0) < wanted").select("id")
-    short = written(asking.join(short, "id", "left_semi"), "short")
+    def by_hash() -> DataFrame:
+        turns = Rotations((dim or 1) + (not even), tables, 1)
+
+        def hashed(as_query: bool):
+            def run(batches):
+                for batch in batches:
+                    for low in range(0, batch.num_rows, 1024):
+                        part = batch.slice(low, 1024)
+                        points = matrix(part.column(part.num_columns - 1))
+                        points = points if even else _longer(points, longest, as_query)
+                        for t in range(tables):
+                            code = turns.probes(points, t, probes) if as_query else turns.buckets(points, t)[:, None]
+                            out = part.take(pa.array(np.repeat(np.arange(len(points)), code.shape[1])))
+                            bucket = mix64(code.reshape(-1).astype(U) * U(tables) + U(t)).view(np.int64)
+                            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(bucket)], [*part.schema.names, "bucket"])
+
+            return run
+
+        placed = index.select("least", "second", "cls", "vec").mapInArrow(
+            hashed(False), f"least long, second long, cls long, vec {kind}, bucket long"
+        )
+        asked = asking.mapInArrow(hashed(True), f"id long, cls long, vec {kind}, bucket long")
+        placed = written(placed, "placed")
+        sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        own = placed.join(sizes, "bucket").select(
+            F.xxhash64("bucket", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("task"), F.lit(0).alias("side"),
+            F.col("least").alias("id"), "second", "cls", "vec",
+        )
+        block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
+        probe = asked.join(sizes, "bucket").select("bucket", block.alias("block"), "id", "cls", "vec")
+        probe = probe.select(F.xxhash64("bucket", "block").alias("task"), F.lit(1).alias("side"), "id", none, "cls", "vec")
+        return written(ranked(own.unionByName(probe)), "found")
+
+    found, short = None, asking
+    if tables:
+        found = by_hash()
+        others = F.lit(members.count()) - F.count("*")
+        wanted = asking.groupBy("id").agg(F.least(F.lit(k), others).alias("wanted"))
+        has = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("has"))
+        short = wanted.join(has, "id", "left").where("coalesce(has, 0) < wanted").select("id")
+        short = asking.join(short, "id", "left_semi")
+    short = written(short, "short")
     n_short = short.count()
-    if not n_short:
+    if found is not None and not n_short:
         return found
-    n_own, n_probe = -(-size // BLOCK), -(-n_short // BLOCK)
+    n_own, n_probe = max(1, -(-size // BLOCK)), max(1, -(-n_short // BLOCK))
     part_of = lambda n: F.pmod(F.xxhash64("id", "cls"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long") - 1))
     own = index.select(F.col("least").alias("id"), "second", "cls", "vec")
     own = own.select("*", part_of(n_own).alias("own"), every(n_probe).alias("probe"), F.lit(0).alias("side"))
     probe = short.select("id", none, "cls", "vec", part_of(n_probe).alias("probe"), every(n_own).alias("own"), F.lit(1).alias("side"))
     whole = own.unionByName(probe).select(F.xxhash64("own", "probe").alias("task"), "side", "id", "second", "cls", "vec")
+    if found is None:
+        return ranked(whole)
     kept = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti")
     return kept.unionByName(ranked(whole))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import ann, bpe, chat_format, licenses, minhash, near_vectors, packing, suffix_dedup, toxicity, warc
-from .scratch import small_batches
+from .oracles import ORACLES
+from .scratch import small_batches, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,24 @@ def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def recall_of_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on ``op3_cross_polytope``: its queries and neighbours, whether each score is the exact one, and whether at
+    least 0.9 of the exact neighbours are found."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = written(op3_cross_polytope(spark, sf_dir), "found")
+    exact = written(ann.exact_nearest(vectors, F.col("id") % 20 == 0, k=20), "exact")
+    last = exact.groupBy("query_id").agg(F.min("score").alias("last"), F.count("*").alias("n"))
+    by_score = found.select("query_id", "vec_id", F.col("score").alias("told")).join(last, "query_id")
+    both = by_score.join(exact.select("query_id", "vec_id", "score"), ["query_id", "vec_id"], "left")
+    good = F.count_if(F.col("told") >= F.col("last") - 1e-12)
+    return both.agg(
+        F.count_distinct("query_id").alias("queries"),
+        F.count("*").alias("neighbours"),
+        F.every(F.coalesce(F.abs(F.col("told") - F.col("score")) < 1e-12, F.lit(True))).alias("scores_are_exact"),
+        (good >= 0.9 * F.count("*")).alias("recall_is_enough"),
+    )
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file; the library that knows it is only needed here."""
     import public_tokenizers
@@ -111,8 +130,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array": op8_suffix_array,
         "op9_warc": op9_warc,
         "op10_minhash": op10_minhash,
+        "recall_of_neighbours": recall_of_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
