@@ -1,6 +1,6 @@
 """Shared scratch tables: results that several jobs read are written once and reread.
 
-The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset
+The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset and Spark is local
 (tests, notebooks) is a folder made and registered.
 """
 
@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The URI of the folder that the driver and all executors see."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="letterloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
