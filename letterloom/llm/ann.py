@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -30,45 +29,28 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class Rotations:
-    """Pseudo-random rotations, each three rounds of random signs and a Hadamard transform; signs follow from a seed."""
+    """Pseudo-random rotations, one for each table: three rounds of random signs and a Hadamard transform. Signs follow
+    from a seed."""
 
-    def __init__(self, dim: int, tables: int, hashes: int, seed: int = 1) -> None:
+    def __init__(self, dim: int, tables: int, seed: int = 1) -> None:
         self.size = 1 << max(1, int(np.ceil(np.log2(max(2, dim)))))
-        self.tables, self.hashes = tables, hashes
-        bits = mix64(np.arange(tables * hashes * 3 * self.size, dtype=U) + U(seed << 32))
-        self.signs = np.where(bits >> U(63), 1.0, -1.0).reshape(tables, hashes, 3, self.size)
-
-    def axes(self, points: np.ndarray, table: int) -> list[np.ndarray]:
-        """Per hash the closeness of every point to the 2 * size signed axes of the rotated space."""
-        padded = np.zeros((len(points), self.size))
-        padded[:, : points.shape[1]] = points
-        out = []
-        for signs in self.signs[table]:
-            turned = padded
-            for s in signs:
-                turned = _hadamard(turned * s)
-            out.append(np.concatenate([turned, -turned], axis=1))
-        return out
+        bits = mix64(np.arange(tables * 3 * self.size, dtype=U) + U(seed << 32))
+        self.signs = np.where(bits >> U(63), 1.0, -1.0).reshape(tables, 3, self.size)
+
+    def axes(self, points: np.ndarray, table: int) -> np.ndarray:
+        """The closeness of every point to the 2 * size signed axes of the rotated space."""
+        turned = np.zeros((len(points), self.size))
+        turned[:, : points.shape[1]] = points
+        for s in self.signs[table]:
+            turned = _hadamard(turned * s)
+        return np.concatenate([turned, -turned], axis=1)
 
     def buckets(self, points: np.ndarray, table: int) -> np.ndarray:
-        code = np.zeros(len(points), np.int64)
-        for close in self.axes(points, table):
-            code = code * 2 * self.size + close.argmax(axis=1)
-        return code
+        return self.axes(points, table).argmax(axis=1)
 
     def probes(self, points: np.ndarray, table: int, count: int) -> np.ndarray:
-        """The ``count`` buckets of a table whose axes are closest to each point together."""
-        close = self.axes(points, table)
-        count = min(count, (2 * self.size) ** self.hashes)
-        best = [np.argsort(-c, axis=1, kind="stable")[:, :count] for c in close]
-        choices = [p for p in product(range(best[0].shape[1]), repeat=self.hashes) if np.prod([i + 1 for i in p]) <= count]
-        code = np.zeros((len(points), len(choices)), np.int64)
-        loss = np.zeros((len(points), len(choices)))
-        for k, (c, order) in enumerate(zip(close, best)):
-            picked = order[:, [p[k] for p in choices]]
-            code = code * 2 * self.size + picked
-            loss += (c.max(axis=1)[:, None] - np.take_along_axis(c, picked, 1)) ** 2
-        return np.take_along_axis(code, np.argsort(loss, axis=1, kind="stable")[:, :count], 1)
+        """The ``count`` axes that are closest to each point, the closest first."""
+        return np.argsort(-self.axes(points, table), axis=1, kind="stable")[:, :count]
 
 
 def _longer(points: np.ndarray, longest: float, as_query: bool) -> np.ndarray:
@@ -191,7 +173,7 @@ def _nearest(rows: DataFrame, queries, k: int, tables: int, probes: int) -> Data
         return each.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
     def by_hash() -> DataFrame:
-        turns = Rotations((dim or 1) + (not even), tables, 1)
+        turns = Rotations((dim or 1) + (not even), tables)
 
         def hashed(as_query: bool):
             def run(batches):

@@ -93,8 +93,7 @@ def test_nearest_with_unequal_lengths_copies_and_odd_rows(spark, monkeypatch):
     assert ann.nearest(df.limit(0), F.col("id") == 0).count() == 0
 
 
-def test_recall_holds_beyond_any_size_switch(spark, monkeypatch):
-    monkeypatch.setattr(ann, "TWO_HASHES_FROM", 1, raising=False)
+def test_recall_of_random_vectors(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 64)).round(3)
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -134,8 +133,8 @@ def test_many_equal_scores_go_to_the_smaller_ids(spark):
     assert [(r.vec_id, r.score) for r in got] == [(i, 0.0) for i in range(1, 6)]
 
 
-def test_two_hashes_probe_the_nearest_pairs():
-    turns = ann.Rotations(8, 2, 2)
+def test_probes_begin_with_the_own_bucket():
+    turns = ann.Rotations(8, 2)
     x = clustered(50)
     first = turns.probes(x, 1, 5)
     assert first.shape == (50, 5) and (first[:, 0] == turns.buckets(x, 1)).all()
