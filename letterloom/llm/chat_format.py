@@ -145,7 +145,9 @@ def format_conversations(
 def read_back(formatted: DataFrame) -> DataFrame:
     """What a trainer reads from texts of the default template: ``id``, ``n_turns``, ``turns_sha256`` (over role, line
     feed, text, line feed of every turn), ``loss_chars`` and ``loss_sha256`` (of the unescaped text under the loss
-    spans) and ``formatted_chars``. A template that rewrites history has no loss."""
+    spans) and ``formatted_chars``. A template that rewrites history has no loss, nor has a conversation without assistant:
+    0 characters and the digest of the empty text. An empty text has no turns; null and repeated ids are rows as they
+    come; no rows give none."""
 
     def run(batches):
         for batch in batches:

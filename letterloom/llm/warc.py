@@ -158,7 +158,8 @@ def write_archives(
 
 
 def records_of(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of one archive, read in order with its own dictionary."""
+    """Headers and block of each record of one archive, read in order with its own dictionary. An archive without records
+    gives none; one that does not begin with a dictionary or ends within a record is an error."""
     import zstandard
 
     magic, size = struct.unpack("<II", stream.read(8))

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,9 +48,32 @@ def test_empty_tables(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == (1 if name.startswith("op5") else 0)
 
 
+#: What holds for every row of a result, however odd the tables.
+HOLDS = {
+    "op1": lambda r: (r.vec_id is None) == (r.component_id is None) and r.n_links >= 0 and r.kept == (r.vec_id == r.component_id),
+    "op2": lambda r: 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and (r.held_out or r.doc_id is not None),
+    "op3": lambda r: 1 <= r["rank"] <= 20 and r.vec_id != r.query_id and r.query_id % 20 == 0,
+    "op4": lambda r: (r.licence == "none") == (r.n_notices == 0) and 0 <= r.probability <= 1,
+    "op5": lambda r: r.formatted_chars >= r.loss_chars >= 0 and r.n_turns > 0,
+    "op6": lambda r: (r.n_tokens == 0) == (r.decoded_sha256 == hashlib.sha256(b"").hexdigest()),
+    "op7": lambda r: r.start >= 0 and 0 < r.length <= r.offset + r.length <= 2048,
+    "op8": lambda r: 0 <= r.n_removed <= r.n_bytes and (r.n_spans > 0) == (r.n_removed > 0),
+    "op9": lambda r: (r.record_type == "revisit") == (r.refers_to is not None) and (r.payload_bytes >= 100 or r.record_type == "response"),
+    "op10": lambda r: r.n_shingles >= 0 and r.kept == (r.doc_id == r.component_id),
+    "pipeline": lambda r: 0 < r.length <= r.offset + r.length <= 2048,
+}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_odd_tables(spark, odd, name):
     found = QUERIES[name](spark, odd).collect()
+    assert all(HOLDS[name.split("_")[0]](r) for r in found)
+    texts = [r.text or "" for r in spark.read.parquet(f"{odd}/documents.parquet").select("text").collect()]
+    sha = lambda values: sorted(hashlib.sha256(v.encode()).hexdigest() for v in values)
+    if name.startswith("op6"):
+        assert sorted(r.decoded_sha256 for r in found) == sha(texts)
+    if name.startswith("op8"):
+        assert sorted(r.n_bytes for r in found) == sorted(len(t.encode()) for t in texts)
     rows = {"op1": "embeddings", "op2": "documents", "op4": "documents", "op6": "documents", "op8": "documents", "op9": "pages", "op10": "documents"}
     if table := rows.get(name.split("_")[0]):
         assert len(found) == spark.read.parquet(f"{odd}/{table}.parquet").count()
