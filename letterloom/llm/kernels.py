@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
@@ -133,6 +134,15 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
+def firsts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct value comes first, in order, and which of these every value equals."""
+    coded = pa.array(values).dictionary_encode()
+    like = coded.indices.to_numpy()
+    at = np.empty(len(coded.dictionary), np.int64)
+    at[like[::-1]] = np.arange(len(like))[::-1]
+    return at, like
+
+
 def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The slices ``flat[start : start + size]`` end to end."""
     before = np.cumsum(size) - size

@@ -7,7 +7,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,7 +18,7 @@ from .sieve import sieve_of, sifted
 #: Text bytes that are worked on at once in a task.
 BLOCK = 1 << 18
 #: Documents, and shingles of all of them, in a block that a task compares with another.
-PER_BLOCK, SET_ROWS = 512, 1 << 20
+PER_BLOCK, SET_ROWS = 512, 1 << 18
 #: Leaders that a group of documents has in different bands.
 LEADERS = 5
 
@@ -113,8 +112,10 @@ def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
     def once(batches):
         for batch in batches:
-            keys = pd.DataFrame({"id": batch.column(0).to_numpy(), "h": batch.column(2).to_numpy()})
-            yield batch.filter(pa.array(~keys.duplicated().to_numpy())).select([0, 1])
+            ids, hs = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            order = np.lexsort((hs, ids))
+            again = (ids[order][1:] == ids[order][:-1]) & (hs[order][1:] == hs[order][:-1])
+            yield batch.take(pa.array(np.sort(order[np.append(True, ~again)[: len(order)]]))).select([0, 1])
 
     keyed = texts.where("id is not null").withColumn("h", F.xxhash64("text"))
     return sifted(keyed, sieve_of(ids, "id"), "id", then=once, schema="id long, text string")
@@ -153,13 +154,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 def _block_links(rows: list[tuple[int, int, int, bytes]], two_blocks: bool, words: int, percent: int) -> list[tuple[int, int]]:
     """Links between rows (side, id, part, text) of different parts, of different sides if there are two blocks. A row
     gets one link at most to each part: others would join nothing more. Hashes propose, words decide."""
-    sets, confirmed = shingle_sets([r[3] for r in rows], words), {}
+    sets = shingle_sets([r[3] for r in rows], words)
 
     def same(i: int, k: int) -> bool:
-        for x in (i, k):
-            if x not in confirmed:
-                confirmed[x] = word_shingles(rows[x][3], words)
-        return similar(confirmed[i], confirmed[k], percent)
+        return similar(word_shingles(rows[i][3], words), word_shingles(rows[k][3], words), percent)
 
     ids, parts = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
     side = np.array([r[0] for r in rows])

@@ -40,28 +40,48 @@ class _Words:
         return [token.id for token in self.model.tokenize(written)]
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.start, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+        self.hash, self.flat, self.text = np.empty(0, np.uint64), np.empty(0, "<u4"), np.empty(0, np.uint32)
+        self.place = np.empty((4, 0), np.int64)  # of each word: where its ids begin, how many, and the same of its text
+
+    def _known(self, cut: Pretokens, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its place among those seen, and whether it is that word and not one of the same hash."""
+        place = np.searchsorted(self.hash, cut.hash[at])
+        size, known = cut.end[at] - cut.start[at], np.zeros(len(at), bool)
+        if len(self.hash):
+            place = np.minimum(place, len(self.hash) - 1)
+            known = (self.hash[place] == cut.hash[at]) & (self.place[3, place] == size)
+            k = np.flatnonzero(known)
+            if len(k):
+                other = gathered(self.text, self.place[2, place[k]], size[k]) != gathered(cut.code, cut.start[at[k]], size[k])
+                known[k] = np.add.reduceat(other, np.cumsum(size[k]) - size[k]) == 0
+        return place, known
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end and how many each text has."""
         cut = Pretokens(texts)
         at, like = cut.distinct()
-        if len(self.place) > REMEMBERED:
+        if len(self.hash) > REMEMBERED:
             self.clear()
-        words = [cut.word(i) for i in at.tolist()]
-        new = [w for w in words if w not in self.place]
-        if new:
-            found = [self._encode(w) for w in new]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), "<u4", size.sum())])
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        place = np.array([self.place[w] for w in words], np.int64)[like]
-        sizes = self.size[place]
+        place, known = self._known(cut, at)
+        start, size = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        if known.any():
+            start[known], size[known] = self.place[:2, place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            found = [self._encode(cut.word(i)) for i in at[new]]
+            size[new] = np.fromiter(map(len, found), np.int64, len(found))
+            start[new] = len(self.flat) + np.cumsum(size[new]) - size[new]
+            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), "<u4", size[new].sum())])
+            new = new[~np.isin(cut.hash[at[new]], self.hash)] if len(self.hash) else new
+            new = new[np.unique(cut.hash[at[new]], return_index=True)[1]]
+            chars = cut.end[at[new]] - cut.start[at[new]]
+            before = np.searchsorted(self.hash, cut.hash[at[new]])
+            own = np.stack([start[new], size[new], len(self.text) + np.cumsum(chars) - chars, chars])
+            self.text = np.concatenate([self.text, gathered(cut.code, cut.start[at[new]], chars)])
+            self.hash, self.place = np.insert(self.hash, before, cut.hash[at[new]]), np.insert(self.place, before, own, axis=1)
+        sizes = size[like]
         per_text = np.diff(np.concatenate([[0], np.cumsum(sizes)])[cut.first])
-        return gathered(self.flat, self.start[place], sizes), per_text
+        return gathered(self.flat, start[like], sizes), per_text
 
 
 _workers: dict[str, _Words] = {}

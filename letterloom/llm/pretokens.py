@@ -10,10 +10,9 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import regex
 
-from .kernels import U, SpanHash, gathered, mix64
+from .kernels import U, SpanHash, firsts, gathered, mix64
 
 SPACE, LETTER, NUMBER, OTHER, END = range(5)
 
@@ -76,9 +75,8 @@ class Pretokens:
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pre-tokens that stand for all equal ones, and which of these each pre-token equals. Hashes
         only propose; every pre-token is compared with its like character by character."""
-        like, found = pd.factorize(SpanHash(self._values[self.code])(self.start, self.end))
-        at = np.empty(len(found), np.int64)
-        at[like[::-1]] = np.arange(len(like))[::-1]
+        self.hash = SpanHash(self._values[self.code])(self.start, self.end)
+        at, like = firsts(self.hash)
         rest = np.flatnonzero(at[like] != np.arange(len(like)))
         size, other = (self.end - self.start)[rest], at[like[rest]]
         same = size == (self.end - self.start)[other]

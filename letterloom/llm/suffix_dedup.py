@@ -17,12 +17,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .kernels import U, SpanHash, as_bytes, byte_values, mix64, parts_of
+from .kernels import U, SpanHash, as_bytes, byte_values, firsts, mix64, parts_of
 from .scratch import drop, written
 from .sieve import sieve_of, sifted
 
@@ -213,9 +212,7 @@ def _window_hashes(joined: bytes, start: np.ndarray, place: np.ndarray, least: i
 
 def _equal_windows(joined: bytes, start: np.ndarray, place: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The first window of each kind of equal ones, and the kind of every window. Hashes propose, bytes decide."""
-    kind, found = pd.factorize(_window_hashes(joined, start, place, least))
-    first = np.empty(len(found), np.int64)
-    first[kind[::-1]] = np.arange(len(kind))[::-1]
+    first, kind = firsts(_window_hashes(joined, start, place, least))
     shift = start[first[kind]] - start
     other = np.flatnonzero(shift)
     cut = np.flatnonzero((np.diff(start[other]) != 1) | (np.diff(shift[other]) != 0)) + 1

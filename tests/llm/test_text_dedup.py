@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from letterloom.llm import minhash, suffix_dedup
 from letterloom.llm.components import connected_components
@@ -142,3 +143,14 @@ def test_multikey_order_is_lexicographic():
     a, b = rng.integers(0, 5, 500), rng.integers(0, 9, 500)
     order = suffix_dedup.multikey_order([a, b])
     assert list(zip(a[order], b[order])) == sorted(zip(a, b))
+
+def test_a_sieve_lets_all_pass_that_can(spark):
+    from letterloom.llm.sieve import sieve_of, sifted
+
+    keys = spark.range(0, 5000, 7).withColumn("k", F.col("id").cast("string"))
+    rows = spark.range(5000).withColumn("k", F.col("id").cast("string"))
+    sieve = sieve_of(keys, "k", "id")
+    got = {r.id for r in sifted(rows, sieve, "k", "id").collect()}
+    assert got >= set(range(0, 5000, 7)) and len(got) < 1000
+    assert {r.id for r in sifted(rows, sieve, "k", "id", wanted=False).collect()} == set(range(5000)) - got
+    assert sifted(rows, sieve_of(keys.limit(0), "k"), "k").count() == 0

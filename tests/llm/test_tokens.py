@@ -42,6 +42,10 @@ def test_words_of_equal_hash_stay_apart(monkeypatch):
     monkeypatch.setattr(pretokens, "SpanHash", lambda values: lambda start, end: np.zeros(len(start), np.uint64))
     cut = Pretokens(texts)
     at, like = cut.distinct()
+    words = packing._Words(public.path("byte_bpe_50k.json"))
+    for _ in range(2):
+        ids, sizes = words.ids(texts)
+        assert ids.tolist() == [i for w in want for i in words._encode(w)] and sizes.sum() == len(ids)
     assert [cut.word(at[k]) for k in like] == want and len({cut.word(i) for i in at}) == len(at) < len(want)
 
 
