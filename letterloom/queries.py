@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import keys, payloads, text, times
 from .operators import identity, messages as ops, pulls, rollups, views
@@ -428,6 +428,16 @@ def scan_packets(spark, d):
     return found.select("export_root", "name", "message_files", "folders")
 
 
+@query("""WITH f AS (SELECT DISTINCT conv_id, unnest(CASE WHEN turn >= 1 THEN [1, 2] ELSE [1] END) AS seq FROM conversations)
+SELECT 'conv_' || conv_id AS folder, seq AS source_seq, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS place FROM f""")
+def import_order(spark, d):
+    """The place of every message file among those of its thread: the source's number first, then the path's parts."""
+    found = packets.read_message_files(packet_files(spark, d), "instagram", "seq")
+    order = Window.partitionBy("thread_path").orderBy(F.struct("source_seq", "path_parts"))
+    folder = F.element_at(F.split("thread_path", "/"), -1)
+    return found.select(folder.alias("folder"), "source_seq", F.row_number().over(order).cast("long").alias("place"))
+
+
 @query(f"""WITH {CONV} SELECT 'your_instagram_activity/' || thread AS source_thread_key, CASE WHEN any_value(grp) THEN 'group' ELSE 'direct' END AS thread_kind, 'Conversation ' || any_value(conv_id) AS title,
 count(*) AS message_count, sum((turn % 2)::INT)::BIGINT AS media, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM conv GROUP BY thread""")
 def import_packets(spark, d):
@@ -602,7 +612,7 @@ def fetch_plan(spark, d):
 
 
 @query("""WITH n AS (SELECT 'n' || n_nationkey AS account_key, n_nationkey FROM nation), s AS (SELECT c_nationkey, count(DISTINCT c_custkey) AS files FROM customer GROUP BY 1)
-SELECT account_key, CASE WHEN files IS NULL THEN 'pending' ELSE 'current' END AS status, coalesce(files, 0) * 2 AS message_files, (files IS NOT NULL)::INT * 2 AS completed_exports,
+SELECT account_key, CASE WHEN files IS NULL THEN 'pending' ELSE 'current' END AS status, coalesce(files, 0) * 2 AS message_files, (files IS NOT NULL)::BIGINT * 2 AS completed_exports,
   CASE WHEN files IS NOT NULL AND n_nationkey % 2 = 0 THEN 'complete-through-latest-export' ELSE 'baseline-required' END AS history_coverage, CASE WHEN files IS NULL THEN 'before' ELSE 'now' END AS last_success_at, 'now' AS checked_at FROM n LEFT JOIN s ON c_nationkey = n_nationkey""")
 def freshness_job(spark, d):
     """Two packets per account are scanned, and the report is read back from the run log."""
