@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The URI of the folder that the driver and all executors see."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="letterloom-")
         spark.sparkContext.setCheckpointDir(found)
