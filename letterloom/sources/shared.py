@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir`` or that was set by ``setCheckpointDir``; on several
     machines no local folder can stand in for it, so that its lack is an error but in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     if not found:
         spark.sparkContext.setCheckpointDir(f"file:///tmp/letterloom-{uuid.uuid4().hex}")
