@@ -126,13 +126,28 @@ def multikey_order(words: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def _words(rows: np.ndarray) -> list[np.ndarray]:
-    """The columns of a matrix of bytes as numbers of eight bytes, the first the most significant."""
-    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
-    padded[:, : rows.shape[1]] = rows
+def _words(column: pa.Array) -> list[np.ndarray]:
+    """A column of binaries of one length as numbers of eight bytes, the first the most significant, zeros behind."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    width = int(ends[1] - ends[0])
+    padded = np.zeros((len(column), -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, width)
     return list(np.ascontiguousarray(padded.view(">u8").T).astype(U))
 
 
+def _bytes_at(words: list[np.ndarray], row: int, width: int) -> bytes:
+    return np.array([w[row] for w in words], ">u8").tobytes()[:width]
+
+
+def _changes(words: list[np.ndarray]) -> np.ndarray:
+    """Whether each row differs from the one before; the first does."""
+    out = np.ones(len(words[0]), bool)
+    out[1:] = False
+    for w in words:
+        out[1:] |= w[1:] != w[:-1]
+    return out
+
+
 _FLAGGED = (
     "id long, h long, start int, n int, ahead int, core long, repeated boolean, first boolean, spans long, "
     "bucket int, side int, at_low boolean, at_high boolean, lead binary, low binary, high binary"
@@ -144,23 +159,27 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     """The rows of one bucket whose leading bytes have an equal neighbour, or could have one in another bucket; then, of
     its first and last leading bytes (side 0 and 1; only 0 if they are the same), the bytes, the first and last span, and
     how many spans they have here."""
-    held = list(batches)
-    data = pa.Table.from_batches(held).combine_chunks() if held else None
-    if data is None or not data.num_rows:
+    numbers, words, width = [], [], 0
+    for batch in batches:
+        if batch.num_rows:
+            numbers.append([c.to_numpy().copy() for c in batch.columns[:5]])
+            words.append([*_words(batch.column(5)), *_words(batch.column(6))])
+            width = len(batch.column(5)[0].as_py())
+    if not words:
         return
-    matrix = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(data.num_rows, -1)
-    lead, span = matrix(data.column("lead")), matrix(data.column("span"))
-    words = [*_words(lead), *_words(span)]
+    numbers, words = ([np.concatenate(x) for x in zip(*parts)] for parts in (numbers, words))
     order = multikey_order(words)
-    numbers = [c.to_numpy()[order] for c in data.columns[:5]]
-    lead, span, words = lead[order], span[order], [w[order] for w in words]
+    for columns in (numbers, words):
+        for i, c in enumerate(columns):
+            columns[i] = c[order]
     n = len(order)
-    new_lead = np.concatenate([[True], (lead[1:] != lead[:-1]).any(axis=1)])
-    new_span = new_lead | np.concatenate([[True], (span[1:] != span[:-1]).any(axis=1)])
+    lead, span = words[:-2], words[-2:]
+    new_lead = _changes(lead)
+    new_span = new_lead | _changes(span)
     group, kind = np.cumsum(new_lead) - 1, np.cumsum(new_span) - 1
     spans = np.bincount(group[new_span])
     core = np.zeros(n, U)
-    for w in words[:-2]:
+    for w in lead:
         core = mix64(core * U(3) + w)
     last = group[-1]
     side = np.where(group == 0, 0, np.where(group == last, 1, -1)).astype(np.int32)
@@ -177,7 +196,7 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     columns = [*map(pa.array, columns), pa.array(np.full(m, bucket, np.int32)), kept_side, pa.array(at_low[keep]), pa.array(at_high[keep]), *(pa.nulls(m, pa.binary()) for _ in range(3))]
     rows = pa.Table.from_arrays(columns, _FLAGGED_NAMES)
     yield from rows.to_batches(max_chunksize=1 << 16)
-    ends = [{"bucket": bucket, "side": k, "spans": int(spans[group[low[k]]]), "lead": lead[low[k]].tobytes(), "low": span[low[k]].tobytes(), "high": span[high[k]].tobytes()} for k in (range(2) if last else range(1))]
+    ends = [{"bucket": bucket, "side": k, "spans": int(spans[group[low[k]]]), "lead": _bytes_at(lead, low[k], width), "low": _bytes_at(span, low[k], 16), "high": _bytes_at(span, high[k], 16)} for k in (range(2) if last else range(1))]
     yield pa.RecordBatch.from_pylist(ends, rows.schema)
 
 
