@@ -26,7 +26,7 @@ from .scratch import drop, written
 from .sieve import sieve_of, sifted
 
 #: Text bytes worked on at once; rows of a bucket; spans of one core in a block.
-BLOCK, BUCKET_ROWS, TOGETHER = 1 << 18, 1 << 18, 2000
+BLOCK, BUCKET_ROWS, TOGETHER = 1 << 18, 1 << 17, 2000
 _NO_ID = -(1 << 63)
 _LOW = U((1 << 24) - 1)
 
