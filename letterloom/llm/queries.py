@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat_format, licenses, minhash, near_vectors, packing, suffix_dedup, toxicity, warc
+from . import ann, bpe, chat_format, licenses, merge_rounds, minhash, near_vectors, packing, suffix_dedup, toxicity, warc
 from .oracles import ORACLES
 from .scratch import small_batches, written
 
@@ -118,6 +118,17 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.json")
+    decoded = merge_rounds.decode(merge_rounds.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_vectors": op1_near_vectors,
@@ -130,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array": op8_suffix_array,
         "op9_warc": op9_warc,
         "op10_minhash": op10_minhash,
+        "op11_merge_rounds": op11_merge_rounds,
         "recall_of_neighbours": recall_of_neighbours,
     }
 

@@ -39,8 +39,8 @@ def odd(spark, tmp_path_factory):
     return put(spark, tmp_path_factory.mktemp("odd"), change)
 
 
-def test_there_are_eleven():
-    assert len(QUERIES) == 11
+def test_there_are_all():
+    assert len(QUERIES) == 12
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -60,6 +60,7 @@ HOLDS = {
     "op8": lambda r: 0 <= r.n_removed <= r.n_bytes and (r.n_spans > 0) == (r.n_removed > 0),
     "op9": lambda r: (r.record_type == "revisit") == (r.refers_to is not None) and (r.payload_bytes >= 100 or r.record_type == "response"),
     "op10": lambda r: r.n_shingles >= 0 and r.kept == (r.doc_id == r.component_id),
+    "op11": lambda r: (r.n_tokens == 0) == (r.decoded_sha256 == hashlib.sha256(b"").hexdigest()),
     "pipeline": lambda r: 0 < r.length <= r.offset + r.length <= 2048,
 }
 
@@ -70,11 +71,11 @@ def test_odd_tables(spark, odd, name):
     assert all(HOLDS[name.split("_")[0]](r) for r in found)
     texts = [r.text or "" for r in spark.read.parquet(f"{odd}/documents.parquet").select("text").collect()]
     sha = lambda values: sorted(hashlib.sha256(v.encode()).hexdigest() for v in values)
-    if name.startswith("op6"):
+    if name.startswith(("op6", "op11")):
         assert sorted(r.decoded_sha256 for r in found) == sha(texts)
     if name.startswith("op8"):
         assert sorted(r.n_bytes for r in found) == sorted(len(t.encode()) for t in texts)
-    rows = {"op1": "embeddings", "op2": "documents", "op4": "documents", "op6": "documents", "op8": "documents", "op9": "pages", "op10": "documents"}
+    rows = {"op1": "embeddings", "op2": "documents", "op4": "documents", "op6": "documents", "op8": "documents", "op9": "pages", "op10": "documents", "op11": "documents"}
     if table := rows.get(name.split("_")[0]):
         assert len(found) == spark.read.parquet(f"{odd}/{table}.parquet").count()
     assert found
