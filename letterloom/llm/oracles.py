@@ -50,11 +50,31 @@ SELECT node AS doc_id, coalesce(n, 0) AS n_shingles, part AS component_id, node
 RECALL = """WITH good AS (SELECT vec_id FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
 SELECT count(*) AS queries, count(*) * least(20, (SELECT count(*) FROM good) - 1) AS neighbours, true AS scores_are_exact, true AS recall_is_enough FROM good WHERE vec_id % 20 = 0"""
 
+#: CRC-32 (reflected polynomial 0xEDB88320) of the UTF-8 bytes of strings below U+0800; needs ``crc_table`` in the FROM clause.
+_CRC_TABLE = """crc_table AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY i) AS crc FROM range(256) AS numbers(i))"""
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))), lambda a, b: xor(a // 256, crc[xor(a % 256, b) + 1])), 4294967295)"""
+
+TURN_TRIE = f"""WITH {_CRC_TABLE}, told AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+keyed AS (SELECT conv_id, turn, role, sha256(length(role) || ':' || role || text) AS k, strlen(text) AS bytes FROM told),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, k) AS p FROM keyed),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC.format("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM told), crc_table),
+rebuilt AS (SELECT c.conv_id, 0 AS own, p, k, bytes FROM convs c JOIN placed x ON x.conv_id = base AND p <= h UNION ALL SELECT c.conv_id, 1, p, k, bytes FROM convs c JOIN placed x ON x.conv_id = c.conv_id AND p > h),
+paths AS (SELECT convs.conv_id, coalesce(list(k ORDER BY own, p) FILTER (k IS NOT NULL), []) AS path, coalesce(list(bytes ORDER BY own, p) FILTER (k IS NOT NULL), []) AS sizes FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY convs.conv_id),
+members AS (SELECT conv_id, depth, len(path) = depth AS ends, path[1:depth] AS node, CASE WHEN depth > 0 THEN sizes[depth] ELSE 0 END AS bytes FROM (SELECT *, unnest(range(0, len(path) + 1)) AS depth FROM paths)),
+nodes AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends FROM members GROUP BY node, depth),
+kin AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kin USING (node)),
+above AS (SELECT node[1:up] AS node, n_children, (n_convs - 1) * bytes AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM counted)),
+sums AS (SELECT node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY node)
+SELECT x.conv_id, x.depth, y.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, sha256(x.ends) AS ends_sha256
+FROM counted x JOIN sums USING (node) LEFT JOIN nodes y ON x.depth > 0 AND y.node = x.node[1:x.depth - 1]"""
+
 ORACLES = {
     "op1_near_vectors": NEAR_VECTORS,
     "op5_chat_format": CHAT_FORMAT,
     "op8_suffix_array": REPEATS,
     "op9_warc": WARC,
     "op10_minhash": MINHASH,
+    "op13_turn_trie": TURN_TRIE,
     "recall_of_neighbours": RECALL,
 }

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import ann, bpe, chat_format, licenses, merge_rounds, minhash, near_vectors, packing, suffix_dedup, toxicity, warc
+from . import ann, bpe, chat_format, licenses, merge_rounds, minhash, near_vectors, packing, suffix_dedup, toxicity, turn_trie, warc
 from .oracles import ORACLES
 from .scratch import small_batches, written
 
@@ -129,6 +129,21 @@ def op11_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rebuilt_conversations(rows: DataFrame) -> DataFrame:
+    """Every conversation c of ``rows`` with the first h turns of conversation c - c % 5 (if there is one) in the place of
+    its own first h, where h is the CRC-32 of c's decimal digits modulo 9."""
+    base = F.col("conv_id").cast("long") - F.col("conv_id").cast("long") % 5
+    each = turn_trie.conversations(rows, together=base)
+    own = F.when(F.col("conv_id") == F.col("together"), F.slice("turns", 1, 8))
+    each = each.withColumn("head", F.max(own).over(Window.partitionBy("together"))).withColumn("h", (F.crc32(F.col("conv_id").cast("string")) % 9).cast("int"))
+    head = F.coalesce(F.slice("head", F.lit(1), F.col("h")), F.slice("turns", 1, 0))
+    return each.select("conv_id", F.concat(head, F.slice("turns", F.col("h") + 1, F.size("turns"))).alias("turns"))
+
+
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.trie(rebuilt_conversations(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_vectors": op1_near_vectors,
@@ -142,6 +157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_minhash": op10_minhash,
         "op11_merge_rounds": op11_merge_rounds,
+        "op13_turn_trie": op13_turn_trie,
         "recall_of_neighbours": recall_of_neighbours,
     }
 
