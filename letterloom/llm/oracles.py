@@ -54,6 +54,18 @@ SELECT count(*) AS queries, count(*) * least(20, (SELECT count(*) FROM good) - 1
 _CRC_TABLE = """crc_table AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY i) AS crc FROM range(256) AS numbers(i))"""
 _CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))), lambda a, b: xor(a // 256, crc[xor(a % 256, b) + 1])), 4294967295)"""
 
+SPELLING = f"""WITH RECURSIVE {_CRC_TABLE}, runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)),
+told AS (SELECT run, k, length(run) AS size, {_CRC.format("(doc_id::VARCHAR || ':' || run)")} AS h FROM (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY doc_id, run), crc_table),
+words AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % size) || substr(run, h % size + 2) ELSE run END AS word, sum(k)::BIGINT AS n FROM told GROUP BY 1 HAVING length(word) >= 7 AND n >= 2),
+gone AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(0, length(word))) AS i FROM words)),
+longer AS (SELECT DISTINCT w.word AS short, w.n AS short_n, g.word AS long, g.n AS long_n FROM gone g JOIN words w ON g.rest = w.word),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM gone a JOIN gone b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT short, long, long_n FROM longer UNION SELECT long, short, short_n FROM longer),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+formed AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)),
+steps(word, top) AS (SELECT word, word FROM formed UNION ALL SELECT steps.word, form FROM steps JOIN formed ON formed.word = top WHERE form IS NOT NULL)
+SELECT formed.word, form, top AS root, n, n_near, form_n FROM formed JOIN steps USING (word) WHERE top NOT IN (SELECT word FROM formed WHERE form IS NOT NULL)"""
+
 TURN_TRIE = f"""WITH {_CRC_TABLE}, told AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 keyed AS (SELECT conv_id, turn, role, sha256(length(role) || ':' || role || text) AS k, strlen(text) AS bytes FROM told),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, k) AS p FROM keyed),
@@ -75,6 +87,7 @@ ORACLES = {
     "op8_suffix_array": REPEATS,
     "op9_warc": WARC,
     "op10_minhash": MINHASH,
+    "op12_spelling": SPELLING,
     "op13_turn_trie": TURN_TRIE,
     "recall_of_neighbours": RECALL,
 }

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from . import ann, bpe, chat_format, licenses, merge_rounds, minhash, near_vectors, packing, suffix_dedup, toxicity, turn_trie, warc
+from . import ann, bpe, chat_format, licenses, merge_rounds, minhash, near_vectors, packing, spelling, suffix_dedup, toxicity, turn_trie, warc
 from .oracles import ORACLES
 from .scratch import small_batches, written
 
@@ -129,6 +129,18 @@ def op11_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_slips(doc_id: Column, run: Column) -> Column:
+    """``run`` without one code point where 31 divides the CRC-32 h of ``<doc_id>:<run>``: that at h modulo its length. A
+    null id changes nothing."""
+    h = F.crc32(F.concat(doc_id.cast("string"), F.lit(":"), run))
+    return F.when(h % 31 == 0, spelling.without_one(run, (h % F.length(run)).cast("int"))).otherwise(run)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), with_slips)
+    return spelling.variants(words.where((F.length("word") >= 7) & (F.col("n") >= 2)), times=10)
+
+
 def rebuilt_conversations(rows: DataFrame) -> DataFrame:
     """Every conversation c of ``rows`` with the first h turns of conversation c - c % 5 (if there is one) in the place of
     its own first h, where h is the CRC-32 of c's decimal digits modulo 9."""
@@ -157,6 +169,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_minhash": op10_minhash,
         "op11_merge_rounds": op11_merge_rounds,
+        "op12_spelling": op12_spelling,
         "op13_turn_trie": op13_turn_trie,
         "recall_of_neighbours": recall_of_neighbours,
     }

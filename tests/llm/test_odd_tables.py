@@ -40,7 +40,7 @@ def odd(spark, tmp_path_factory):
 
 
 def test_there_are_all():
-    assert len(QUERIES) == 13
+    assert len(QUERIES) == 14
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -61,6 +61,7 @@ HOLDS = {
     "op9": lambda r: (r.record_type == "revisit") == (r.refers_to is not None) and (r.payload_bytes >= 100 or r.record_type == "response"),
     "op10": lambda r: r.n_shingles >= 0 and r.kept == (r.doc_id == r.component_id),
     "op11": lambda r: (r.n_tokens == 0) == (r.decoded_sha256 == hashlib.sha256(b"").hexdigest()),
+    "op12": lambda r: len(r.word) >= 7 and r.n >= 2 and (r.form is None) == (r.form_n is None) == (r.root == r.word) and (r.form is None or r.form_n >= 10 * r.n),
     "op13": lambda r: 0 < r.n_convs and 0 < r.n_leaves and (r.depth == 0) == (r.parent_conv_id is None) and r.saved_tokens >= 0,
     "pipeline": lambda r: 0 < r.length <= r.offset + r.length <= 2048,
 }
