@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .canonical import canonical_json
 from .text import stable_hash
 
 ACTIVITY = {"instagram": "your_instagram_activity", "facebook": "your_facebook_activity"}
@@ -18,8 +19,8 @@ def group_key(source_kind: Column, source_thread_key: Column) -> Column:
 
 
 def message_fingerprint(payload: Column) -> Column:
-    """Equal for equal payloads (a VARIANT, whose keys are sorted), whatever the order of keys in the file."""
-    return F.sha2(F.to_json(payload), 256)
+    """The SHA-256 of a payload (a VARIANT of ``parse_payload``) as canonical JSON, whatever the order of keys in the file."""
+    return F.sha2(canonical_json(payload), 256)
 
 
 def message_key(ts_ms: Column, fingerprint: Column, occurrence: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .functions import keys, payloads, text, times
+from .functions import canonical, keys, payloads, text, times
 from .operators import identity, messages as ops, pulls, rollups, views
 from .plans import imports, rebuild, reports
 from .sources import chat, packets, sinks
@@ -169,6 +169,20 @@ def payload_fingerprints(spark, d):
     return each.groupBy("fp").agg(F.count("*").alias("n"), F.count_distinct("props").alias("same"), F.min("props").alias("props")).drop("fp")
 
 
+@query(r"""SELECT event_id, sha256('{"content": "café \"' || event_type || '\"\n", "share": {"link": "x/' || user_id || '", "score": ' || (event_id % 1000 + event_id % 100 / 100.0)::DOUBLE::VARCHAR || ', "tags": [1, ' || event_id % 7 || '.0, true, null, {}]}, "timestamp_ms": '
+  || event_id || '}') AS fingerprint, 'v2:' || CASE WHEN event_id = 0 THEN '' ELSE event_id::VARCHAR END || ':' || substr(fingerprint, 1, 24) || ':0' AS message_key FROM events""")
+def message_fingerprints(spark, d):
+    """Fingerprints and keys of payloads, written with other spaces, order of keys and escapes than the canonical text."""
+    k = F.col("event_id")
+    score = F.concat((k % 1000).cast("string"), F.lit("."), F.lpad((k % 100).cast("string"), 2, "0"))
+    body = F.concat(
+        F.lit('{"timestamp_ms":'), k.cast("string"), F.lit(', "share":{ "tags":[1,'), (k % 7).cast("string"), F.lit('.00,true , null,{}],"score":'), score,
+        F.lit(',"link":"x\\/'), F.col("user_id").cast("string"), F.lit('"},"content":"caf\\u00e9 \\"'), "event_type", F.lit('\\"\\n"}'),
+    )
+    rows = table(spark, d, "events").select("event_id", keys.message_fingerprint(canonical.parse_payload(body)).alias("fingerprint"))
+    return rows.select("event_id", "fingerprint", keys.message_key(k, F.col("fingerprint"), F.lit(0)).alias("message_key"))
+
+
 @query(r"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type || chr(10) || 'http://x/' || user_id WHEN 2 THEN 'http://x/' || user_id END AS body,
   'Ann, user ' || user_id || CASE WHEN event_id % 5 = 0 THEN ', B, C...' ELSE '' END AS title, CASE WHEN event_id % 5 = 0 THEN 'group' ELSE 'direct' END AS kind,
   CASE WHEN event_id % 5 = 0 THEN 5 ELSE 2 END AS people FROM events""")

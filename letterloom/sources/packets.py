@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.canonical import parse_payload
 from ..functions.keys import export_account_key, export_root, is_message_file, relative_thread_key
 from ..functions.payloads import packet_kind, packet_title, participant_names
 
@@ -55,7 +56,7 @@ def read_message_files(files: DataFrame, provider: str, source_seq: int | str =
         relative_thread_key(F.col("path"), provider).alias("thread_path"),
         (F.col(source_seq) if isinstance(source_seq, str) else F.lit(source_seq)).cast("int").alias("source_seq"),
         F.split("path", "/").alias("path_parts"),
-        F.try_parse_json(text).alias("file"),
+        parse_payload(text).alias("file"),
     )
 
 
