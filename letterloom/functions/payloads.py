@@ -5,6 +5,7 @@ from __future__ import annotations
 import plistlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -123,10 +124,46 @@ def _body_of(blob: bytes | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def decode_attributed_body(blobs: pd.Series) -> pd.Series:
+def _listed_body(blobs: pd.Series) -> pd.Series:
     return blobs.map(_body_of)
 
 
+def is_property_list(blob: Column) -> Column:
+    """Whether bytes begin as a property list, binary or as XML with or without a byte order mark."""
+    return F.hex(F.substring(blob, 1, 8)).rlike("^(62706C6973743030|3C3F786D6C|3C706C697374|EFBBBF|FEFF|FFFE)")
+
+
+def _longest(runs: Column) -> Column:
+    """The longest of printable runs, the first of several, without the archiver's bookkeeping; null without any."""
+    trimmed = F.transform(runs, lambda r: F.btrim(r, F.lit(" \t\n\r")))
+    blocked = lambda r: reduce(Column.__or__, (r.startswith(b) for b in BLOCKED))
+    said = F.filter(trimmed, lambda r: (r != "") & ~blocked(r))
+    return F.array_max(F.transform(said, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("i"), r.alias("text")))).getField("text")
+
+
+def printable_body(blob: Column) -> Column:
+    """The text in bytes that are no property list, all in the JVM: printable runs of the bytes as UTF-8 without what is
+    none, else as UTF-16 (little end first)."""
+    # A real replacement character parts a run; those that stand for broken bytes then go.
+    utf8 = F.replace(F.make_valid_utf8(F.replace(blob.cast("string"), F.lit("\ufffd"), F.lit("\0"))), F.lit("\ufffd"), F.lit(""))
+    narrow = _longest(F.regexp_extract_all(utf8, F.lit(r"[\t\n\r -~]{3,}"), F.lit(0)))
+    units = F.regexp_replace(F.hex(blob), "(....)", "$1 ")
+    units = F.regexp_replace(F.regexp_replace(units, "..D[89AB] ..D[C-F] ", "0000 "), "..D[89A-F] ", "")
+    runs = F.regexp_extract_all(units, F.lit("(?:(?:09|0A|0D|[2-6][0-9A-F]|7[0-9A-E])00 ){3,}"), F.lit(0))
+    wide = F.transform(runs, lambda r: F.unhex(F.regexp_replace(r, "(..)00 ", "$1")).cast("string"))
+    return F.coalesce(narrow, _longest(wide))
+
+
+def with_bodies(messages: DataFrame, text_col: str = "text", blob_col: str = "attributedBody", out_col: str = "body_text") -> DataFrame:
+    """``messages`` with the text of each, or else what its archived body holds, in the place of the archived body. Only
+    rows without text whose body is a property list go to Python, as a branch of their own; no row is read for nothing,
+    as each branch filters its scan."""
+    listed = (F.coalesce(F.col(text_col), F.lit("")) == "") & F.coalesce(is_property_list(F.col(blob_col)), F.lit(False))
+    own = F.nullif(F.col(text_col), F.lit(""))
+    plain = messages.where(~listed).withColumn(out_col, F.coalesce(own, printable_body(F.col(blob_col))))
+    return plain.union(messages.where(listed).withColumn(out_col, _listed_body(F.col(blob_col)))).drop(blob_col)
+
+
 def provenance_json(*columns: str) -> Column:
     """Selected source fields as JSON with sorted keys."""
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})

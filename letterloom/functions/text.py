@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 from itertools import filterfalse
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 #: What Python calls white space; Java's Unicode class lacks the four separators.
 _SPACES = r"(?U)[\s\x{1C}-\x{1F}]+"
@@ -31,15 +30,29 @@ def clean_text(c: Column) -> Column:
     return collapse_space(F.when(narrow & good, again).otherwise(text))
 
 
-@F.pandas_udf(StringType())
-def without_accents(values: pd.Series) -> pd.Series:
-    """Compatibility forms of the characters without their combining marks; null stays null."""
+@cache
+def _folds() -> tuple[str, str, str, str]:
+    """How code points look without accents, as far as a slug can tell: characters that become another one, or nothing,
+    for ``translate``; the others as a map in one string, and the class of these. Made from the compatibility forms."""
+    single, gone, longer = {}, [], {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
+        char = chr(code)
+        plain = "".join(filterfalse(unicodedata.combining, unicodedata.normalize("NFKD", char)))
+        if not plain:
+            gone.append(char)
+        elif plain != char and any(c.isascii() and (c.isalnum() or c == "&") for c in plain):
+            (single if len(plain) == 1 else longer)[char] = plain
+    told = "\x1e".join(f"{k}\x1f{v}" for k, v in longer.items())
+    return "".join(single) + "".join(gone), "".join(single.values()), told, "[" + "".join(f"\\x{{{ord(k):X}}}" for k in longer) + "]"
 
-    def plain(value: str) -> str:
-        return "".join(filterfalse(unicodedata.combining, unicodedata.normalize("NFKD", value)))
 
-    codes, found = pd.factorize(values)
-    return pd.Series([plain(v) for v in found] + [None], dtype=object).iloc[codes].reset_index(drop=True)
+def without_accents(c: Column) -> Column:
+    """A text's letters and digits as they are without accents and in their plain forms; what no slug shows may stay."""
+    known, plain, longer, odd = _folds()
+    table = F.str_to_map(F.lit(longer), F.lit("\x1e"), F.lit("\x1f"))
+    each = F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    wide = F.when(c.rlike(odd), F.array_join(each, "")).otherwise(c)
+    return F.when(c.rlike(r"^[\x{00}-\x{7F}]*$"), c).otherwise(F.translate(wide, known, plain))
 
 
 def ascii_slug(c: Column) -> Column:
@@ -50,11 +63,8 @@ def ascii_slug(c: Column) -> Column:
 
 
 def with_slug(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    """``df`` with the slug of a column, in one pass. Python only takes the accents from texts beyond ASCII, each
-    distinct one of a batch once; the rest, and all of the others, is done in the JVM."""
-    text = F.col(text_col)
-    wide = ~F.coalesce(text, F.lit("")).rlike(r"^[\x{00}-\x{7F}]*$")
-    return df.withColumn(out_col, ascii_slug(F.coalesce(without_accents(F.when(wide, text)), text)))
+    """``df`` with the slug of a column; null is empty."""
+    return df.withColumn(out_col, ascii_slug(without_accents(F.coalesce(F.col(text_col), F.lit("")))))
 
 
 def stable_hash(c: Column, length: int = 10) -> Column:

@@ -46,14 +46,15 @@ def import_packets(
     its last file, but a thread that any file shows as a group stays a group; missing times are 1970. ``warnings`` are
     the rejects and the files with elements that are no messages.
 
-    The source is parsed once: what its files say and hold is written in the shared folder, as are the merged messages,
-    and all tables follow from these two.
+    The source is read and parsed once: what its files say and hold, or why they are rejected, is written in the shared
+    folder, as are the merged messages, and all tables follow from these two. Accounts are counted on paths alone, those
+    of unreadable files too.
     """
     parsed = packets.read_message_files(files, provider, source_seq)
-    good, rejects = packets.split_valid(parsed)
+    scoped = packets.scoped_threads(parsed, account, packets.named_packets(files, provider))
+    told, rejects = packets.split_valid(once(packets.told_by_files(scoped), "parsed"))
     if fail_fast and (bad := rejects.limit(1).collect()):
         raise ValueError(f"{bad[0]['path']}: {bad[0]['warning']}")
-    told = once(packets.told_by_files(packets.scoped_threads(good, account)), "parsed")
     facts = packets.file_threads(told)
     each = told.where(packets.is_message(F.col("payload"))).select(
         "source_kind", "export_account", "export_root", "source_thread_key", "import_seq", "payload",
@@ -86,49 +87,57 @@ def import_packets(
     return derived(stored) | {"rejects": rejects, "warnings": rejects.unionByName(packets.dropped_elements(told))}
 
 
+def _chat_people(rows: DataFrame, chats: DataFrame, me: list[str], me_name: str) -> DataFrame:
+    """Who is in each thread, at most once per chat and handle: the listed handles of its chats, the owner, and senders.
+    Rosters are joined to chats, of which ``chats`` is one row each, and never to messages."""
+    spoken = lambda kind, key, role, identity: [kind.alias("account_source_kind"), key.alias("account_key"), F.lit(role).alias("role"), identity.alias("identity_key")]
+    listed = chats.select(*rollups.THREAD, F.explode("handles").alias("name"), "import_seq")
+    key = handle_key(F.col("name"))
+    listed = listed.select(*rollups.THREAD, "name", "import_seq", *spoken(F.lit("imessage"), key, "participant", F.when(key.isin(me), "person:self").otherwise(F.concat(F.lit("person:imessage:"), key))))
+    owner = chats.select(*rollups.THREAD, F.lit(me_name).alias("name"), "import_seq", *spoken(F.lit("self"), F.lit("self"), "self", F.lit("person:self")))
+    sent = rows.where("sender_account_source_kind <> 'self'").groupBy(*rollups.THREAD, "sender_name", "sender_account_source_kind", "sender_account_key", "sender_identity_key").agg(F.max("import_seq").alias("import_seq"))
+    sent = sent.select(*rollups.THREAD, F.col("sender_name").alias("name"), "import_seq", *spoken(F.col("sender_account_source_kind"), F.col("sender_account_key"), "participant", F.col("sender_identity_key")))
+    people = listed.unionByName(owner).unionByName(sent).groupBy(*rollups.THREAD, "name", "account_source_kind", "account_key", "role", "identity_key").agg(F.max("import_seq").alias("import_seq"))
+    shown = F.when(F.col("identity_key") == "person:self", F.lit(me_name)).otherwise(F.col("name"))
+    return people.select("*", F.lit("person").alias("identity_kind"), shown.alias("display_name"), F.lit(None).cast("string").alias("export_account"))
+
+
 def import_chat(tables: dict[str, DataFrame], me_handles: list[str] = (), me_name: str = "Me") -> dict[str, DataFrame]:
-    """Canonical tables of a chat database's relations; the owner is ``person:self``. Joined messages and people are written
-    once in the shared folder, and all tables follow from these."""
-    kind = F.lit("imessage")
-    joined = ops.chat_messages(tables).join(ops.chat_participants(tables), "chat_id", "left")
-    handles = F.coalesce("handles", F.array().cast("array<string>"))
+    """Canonical tables of a chat database's relations; the owner is ``person:self``. Joined messages are written once in
+    the shared folder, as are people, and all tables follow from these. What a chat is called and who is in it is joined
+    to chats, not to messages, so people are as many as chats have members and senders."""
+    kind, me = F.lit("imessage"), [h.lower() for h in me_handles] or [""]
+    joined = ops.chat_messages(tables | {"message": payloads.with_bodies(tables["message"])})
     mine = F.coalesce(F.col("is_from_me"), F.lit(0)) == 1
     who = handle_key(F.col("handle"))
-    own = mine | who.isin([h.lower() for h in me_handles] or [""])
+    own = mine | who.isin(me)
     thread = F.coalesce("chat_guid", F.concat(F.lit("chat:"), F.col("chat_id").cast("string")))
-    body = F.coalesce(F.nullif("text", F.lit("")), payloads.decode_attributed_body(F.when(F.coalesce("text", F.lit("")) == "", F.col("attributedBody"))))
     rows = joined.select(
-        kind.alias("source_kind"), F.lit(None).cast("string").alias("export_account"), thread.alias("source_thread_key"), "message_id",
+        kind.alias("source_kind"), F.lit(None).cast("string").alias("export_account"), thread.alias("source_thread_key"), "chat_id", "message_id",
         F.coalesce("guid", F.concat(F.lit("message:"), F.col("message_id").cast("string"))).alias("source_message_key"),
         F.when(own, "person:self").otherwise(F.concat(F.lit("person:imessage:"), who)).alias("sender_identity_key"),
         F.when(mine, "self").otherwise("imessage").alias("sender_account_source_kind"),
         F.when(mine, "self").otherwise(who).alias("sender_account_key"),
         F.when(own, F.lit(me_name)).otherwise(F.coalesce(F.nullif(clean_text(F.col("handle")), F.lit("")), F.lit("unknown"))).alias("sender_name"),
-        apple_date_to_ts(F.col("date")).alias("sent_at"), body.alias("body_text"), F.lit("plain").alias("body_format"),
+        apple_date_to_ts(F.col("date")).alias("sent_at"), "body_text", F.lit("plain").alias("body_format"),
         payloads.provenance_json("chat_id", "message_id", "guid", "service").alias("raw_json"), "import_seq",
-        payloads.chat_title(F.col("display_name"), handles, F.col("chat_identifier"), F.lit(me_name)).alias("title"),
-        payloads.chat_kind(F.col("display_name"), handles).alias("thread_kind"), handles.alias("handles"),
     )
     rows = once(ops.latest_by_key(rows, ["source_kind", "source_thread_key", "source_message_key"]), "messages")
-    facts = rows.select(*rollups.THREAD, "export_account", "title", "thread_kind", "import_seq")
-    listed = rows.select(*rollups.THREAD, F.explode("handles").alias("name"), "import_seq")
-    me = [h.lower() for h in me_handles] or [""]
-    listed = listed.select(
-        *rollups.THREAD, "name", "import_seq", F.lit("imessage").alias("account_source_kind"), handle_key(F.col("name")).alias("account_key"), F.lit("participant").alias("role"),
-    ).withColumn("identity_key", F.when(F.col("account_key").isin(me), "person:self").otherwise(F.concat(F.lit("person:imessage:"), "account_key")))
-    selves = rows.select(*rollups.THREAD, F.lit(me_name).alias("name"), "import_seq", F.lit("self").alias("account_source_kind"), F.lit("self").alias("account_key"), F.lit("self").alias("role"), F.lit("person:self").alias("identity_key"))
-    sent = rows.where("sender_account_source_kind <> 'self'").select(*rollups.THREAD, F.col("sender_name").alias("name"), "import_seq", F.col("sender_account_source_kind").alias("account_source_kind"), F.col("sender_account_key").alias("account_key"), F.lit("participant").alias("role"), F.col("sender_identity_key").alias("identity_key"))
-    people = listed.unionByName(selves).unionByName(sent)
-    people = people.withColumn("identity_kind", F.lit("person")).withColumn("display_name", F.when(F.col("identity_key") == "person:self", F.lit(me_name)).otherwise(F.col("name")))
-    people = once(people.withColumn("export_account", F.lit(None).cast("string")), "people")
+    handles = F.coalesce("handles", F.array().cast("array<string>"))
+    named = tables["chat"].withColumnRenamed("ROWID", "chat_id").join(ops.chat_participants(tables), "chat_id", "left").select(
+        "chat_id", handles.alias("handles"), payloads.chat_kind(F.col("display_name"), handles).alias("thread_kind"),
+        payloads.chat_title(F.col("display_name"), handles, F.col("chat_identifier"), F.lit(me_name)).alias("title"),
+    )
+    heard = rows.groupBy(*rollups.THREAD, "export_account", "chat_id").agg(F.max("import_seq").alias("import_seq"))
+    chats = once(heard.join(named, "chat_id"), "chats")
     attached = ops.message_attachments(tables)
     media = rows.select("message_id", *rollups.THREAD, "export_account", "source_message_key", "import_seq").join(attached, "message_id").select(
         F.concat_ws(":", kind, "source_message_key", F.coalesce("attachment_guid", F.col("attachment_id").cast("string"))).alias("object_key"),
         *rollups.THREAD, "export_account", "source_message_key", F.col("filename").alias("source_uri"), F.col("filename").alias("local_path"), "mime_type", "import_seq",
     )
     return derived({
-        "people": people,
-        "threads": _threads(facts, rows),
-        "messages": rows.drop("title", "thread_kind", "handles", "message_id", "sender_name"),
+        "people": once(_chat_people(rows, chats, me, me_name), "people"),
+        "threads": _threads(chats.select(*rollups.THREAD, "export_account", "title", "thread_kind", "import_seq"), rows),
+        "messages": rows.drop("chat_id", "message_id", "sender_name"),
         "media_objects": ops.latest_small(media, ["object_key"]).drop("import_seq"),
     })

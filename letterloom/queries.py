@@ -398,7 +398,8 @@ def binary_bodies(spark, d):
     said = F.concat("event_type", F.lit(" no. "), "event_id")
     blob = F.encode(F.concat(F.lit("\0NSString\0"), said, F.lit("\0NSNumber and much longer bookkeeping\0")), "UTF-8")
     rows = table(spark, d, "events").select("event_id", "event_type", F.lit(None).cast("string").alias("kind"), blob.alias("blob"))
-    return rows.select("event_id", payloads.decode_attributed_body(F.col("blob")).alias("body"), payloads.provenance_json("kind", "event_type", "event_id").alias("raw"))
+    rows = payloads.with_bodies(rows, "kind", "blob", "body")
+    return rows.select("event_id", "body", payloads.provenance_json("kind", "event_type", "event_id").alias("raw"))
 
 
 @query("""SELECT source_kind, count(*) AS rows, count(doc_id) AS documents FROM (SELECT 'orders' AS source_kind, NULL AS doc_id FROM orders UNION ALL SELECT source, doc_id FROM documents) GROUP BY source_kind""")

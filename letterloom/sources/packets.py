@@ -41,6 +41,13 @@ def packet_folders(files: DataFrame, provider: str) -> DataFrame:
     return _located(files, provider).select("export_root", "folder").distinct().orderBy("export_root", "folder")
 
 
+def named_packets(files: DataFrame, provider: str) -> DataFrame:
+    """``source_kind``, ``export_root`` and ``export_account`` of every message file, from paths alone, readable or not."""
+    root = export_root(F.col("path"), provider)
+    found = files.where(is_message_file(F.col("path"), provider))
+    return found.select(F.lit(provider).alias("source_kind"), root.alias("export_root"), export_account_key(F.element_at(F.split(root, "/"), -1), provider).alias("export_account"))
+
+
 def read_message_files(files: DataFrame, provider: str, source_seq: int | str = 0) -> DataFrame:
     """One row per message file: text as UTF-8 or else Latin-1, parsed as VARIANT (null if it is no JSON), with its
     export, thread and place in the import order (``source_seq``, a number or a column, then the path's parts)."""
@@ -60,15 +67,19 @@ def read_message_files(files: DataFrame, provider: str, source_seq: int | str =
     )
 
 
-def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files that are objects, and (path, warning) of the others. Messages that are missing, null or empty of any kind
-    are no messages; messages that are something else make the file a reject."""
+def file_warning() -> Column:
+    """What is wrong with a parsed ``file``, null if nothing is. Messages that are missing, null or empty of any kind are
+    no messages; messages that are something else make the file a reject."""
     kind = F.coalesce(F.schema_of_variant("file"), F.lit("NONE"))
     held = F.try_variant_get("file", "$.messages", "variant")
     nothing = F.coalesce(F.to_json(held), F.lit("null")).isin("null", "false", "0", "0.0", '""', "{}")
     listed = F.coalesce(F.schema_of_variant(held), F.lit("NONE")).startswith("ARRAY")
-    warning = F.when(kind == "NONE", "not JSON").when(~kind.startswith("OBJECT"), "not an object").when(~listed & ~nothing, "messages is no list")
-    marked = parsed.withColumn("warning", warning)
+    return F.when(kind == "NONE", "not JSON").when(~kind.startswith("OBJECT"), "not an object").when(~listed & ~nothing, "messages is no list")
+
+
+def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files that are objects, and (path, warning) of the others."""
+    marked = parsed if "warning" in parsed.columns else parsed.withColumn("warning", file_warning())
     return marked.where("warning is null").drop("warning"), marked.where("warning is not null").select("path", "warning")
 
 
@@ -93,28 +104,31 @@ def check_account(parsed: DataFrame, account: str) -> None:
         raise ValueError(f"packet {other[0][0]!r} belongs to account {other[0][1]!r}, not {account!r}")
 
 
-def scoped_threads(parsed: DataFrame, account: str | None = None) -> DataFrame:
+def scoped_threads(parsed: DataFrame, account: str | None = None, named: DataFrame | None = None) -> DataFrame:
     """``parsed`` with ``source_thread_key``. It begins with the account where one is given, for Facebook always, and
-    for Instagram where the packets name more than one."""
+    for Instagram where the packets name more than one. ``named`` tells the packets (``named_packets``), so that counting
+    accounts reads no file; without it they are those of ``parsed``."""
+    named = parsed if named is None else named
     if account is not None:
-        check_account(parsed, account)
+        check_account(named, account)
         name = F.lit(account.lower())
         return parsed.withColumn("export_account", name).withColumn("source_thread_key", F.concat(name, F.lit(":"), "thread_path"))
-    named = parsed.agg(F.count_distinct("export_account").alias("accounts"))
+    accounts = named.agg(F.count_distinct("export_account").alias("accounts"))
     scope = (F.col("source_kind") == "facebook") | (F.col("accounts") > 1)
     key = F.when(scope & F.col("export_account").isNotNull(), F.concat("export_account", F.lit(":"), "thread_path"))
-    return parsed.crossJoin(F.broadcast(named)).withColumn("source_thread_key", F.coalesce(key, "thread_path")).drop("accounts")
+    return parsed.crossJoin(F.broadcast(accounts)).withColumn("source_thread_key", F.coalesce(key, "thread_path")).drop("accounts")
 
 
 def told_by_files(files: DataFrame) -> DataFrame:
     """One row per element of the files' messages, and one without ``payload`` for a file that has none, with what the
-    file says of its thread: names of participants, title and kind. A file is read and parsed once for all of it."""
+    file says of its thread (names of participants, title and kind) and ``warning``, what is wrong with it. A file is read
+    and parsed once for all of it."""
     held = F.try_variant_get("file", "$.messages", "array<variant>")
     folder = F.element_at(F.split("thread_path", "/"), -1)
-    named = files.withColumn("names", participant_names(F.col("file"))).select(
+    named = files.withColumn("warning", file_warning()).withColumn("names", participant_names(F.col("file"))).select(
         "path", "source_kind", "export_account", "export_root", "source_thread_key", "source_seq", "path_parts", "names",
         packet_title(F.try_variant_get("file", "$.title", "string"), F.col("names"), folder).alias("title"),
-        packet_kind(F.col("names")).alias("thread_kind"), held.alias("held"),
+        packet_kind(F.col("names")).alias("thread_kind"), F.when(F.col("warning").isNull(), held).alias("held"), "warning",
     )
     each = named.select("*", F.posexplode_outer("held").alias("pos", "payload")).drop("held")
     return each.withColumn("import_seq", F.struct("source_seq", "path_parts", F.coalesce(F.col("pos"), F.lit(0)).cast("long").alias("pos")))

@@ -4,7 +4,7 @@ import plistlib
 from datetime import datetime
 
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import Phase, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from letterloom.functions import keys, payloads, text, times
@@ -74,9 +74,43 @@ def test_bodies_from_payloads(spark):
     assert names == [["a", "b"]]
 
 
+def test_accents_of_every_code_point(spark):
+    """Each assigned code point between letters, and after one that it may combine with, as Python takes accents off."""
+    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)] if unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    rows = spark.createDataFrame([(c, f"x{c}y Z{c}9 &{c}") for c in every], "c string, t string").repartition(8)
+    slugs = text.with_slug(rows, "t", "slug")
+    assert "Python" not in slugs._jdf.queryExecution().optimizedPlan().toString()
+    plain = lambda t: "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch)).lower().replace("&", " and ")
+    dashed = str.maketrans({c: "-" for c in map(chr, range(128)) if c not in string.ascii_lowercase + string.digits})
+
+    def want(t):
+        kept = "".join(c if c in string.ascii_lowercase + string.digits else "-" for c in plain(t).translate(dashed))
+        return "-".join(filter(None, kept.split("-"))) or "untitled"
+
+    wrong = [(hex(ord(r.c)), r.slug, want(r.t)) for r in slugs.collect() if r.slug != want(r.t)]
+    assert not wrong, (len(wrong), wrong[:20])
+
+
+def bodies(spark, blobs):
+    rows = spark.createDataFrame([(i, None if i % 2 else "", b) for i, b in enumerate(blobs)], "i int, text string, attributedBody binary")
+    return [r.body_text for r in payloads.with_bodies(rows).orderBy("i").collect()]
+
+
 def test_attributed_bodies(spark):
     blobs = [plistlib.dumps({"a": ["NSString", "hello there"]}), b"\x00\x01NSMutable\x00hello world\x00", "wide text".encode("utf-16le"), b"", None, b"\x00\x01"]
-    assert column(spark, blobs, payloads.decode_attributed_body, "binary") == ["hello there", "hello world", "wide text", None, None, None]
+    blobs += [plistlib.dumps(["short", "the longest"], fmt=plistlib.FMT_BINARY), b"bplist00 broken but told", b"<?xml broken"]
+    assert bodies(spark, blobs) == ["hello there", "hello world", "wide text", None, None, None, "the longest", "bplist00 broken but told", "<?xml broken"]
+    told = spark.createDataFrame([("said", b"\x00never read\x00")], "text string, attributedBody binary")
+    assert payloads.with_bodies(told).first().body_text == "said"
+
+
+PIECE = st.sampled_from([b"abc", b"longer run ", b"NSString", b"  ", b"\n", b"\x00", b"\x00\x00", b"\xff", b"\xe2\x82", "é€😀".encode(), b"\xef\xbf\xbd", "wide one".encode("utf-16le"), b"h\x00i\x00 \x00", b"\x00\xd8", b"\x3d\xd8\x00\xde", b"~", b"\x7f"])
+
+
+@settings(max_examples=6, deadline=None, phases=[Phase.generate])
+@given(st.lists(st.lists(PIECE, max_size=8).map(b"".join), min_size=100, max_size=250))
+def test_printable_bodies_are_those_of_the_bytes(spark, blobs):
+    assert bodies(spark, blobs) == [payloads._body_of(b) for b in blobs]
 
 
 def test_import_order_is_by_path_parts(spark):

@@ -4,6 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from letterloom.functions import payloads
 from letterloom.operators import messages as ops, rollups, views
 from letterloom.plans import imports, rebuild
 from letterloom.queries import conversations
@@ -98,6 +99,48 @@ def test_chat_import_and_deletion(spark):
         chat.conform(spark, {"chat": spark.range(1)})
 
 
+def test_chat_people_are_as_many_as_members_and_senders(spark, monkeypatch):
+    """Many messages in a chat of many, chats that share a thread, and only rows with a property list go to Python."""
+    make, written = spark.createDataFrame, {}
+    messages = [(i, f"m{i}", "hi", None, 700000000000000000 + i, int(i % 5 == 0), 1 + i % 7) for i in range(400)]
+    tables = chat.conform(spark, {
+        "handle": make([(i, f"P{i}@x.org") for i in range(1, 31)], "ROWID long, id string"),
+        "chat": make([(1, "c1", None, "Team"), (2, "c2", None, None), (3, "c2", None, "Same thread")], "ROWID long, guid string, chat_identifier string, display_name string"),
+        "message": make(messages, "ROWID long, guid string, text string, attributedBody binary, date long, is_from_me int, handle_id long"),
+        "chat_message_join": make([(1 + i % 3, i) for i in range(400)], "chat_id long, message_id long"),
+        "chat_handle_join": make([(1, i) for i in range(1, 31)] + [(2, 1), (3, 2)], "chat_id long, handle_id long"),
+    })
+    plain = imports.once
+    monkeypatch.setattr(imports, "once", lambda df, name: written.setdefault(name, plain(df, name)))
+    out = imports.import_chat(tables)
+    assert out["people"].count() == (30 + 1) + (2 + 1) + 7 - 2  # members and owner per thread, senders of the second that it does not list
+    assert {(r.source_thread_key, r.title, r.thread_kind) for r in out["threads"].collect()} == {("c1", "Team", "group"), ("c2", "Same thread", "group")}
+    shown = {r.stable_key: r.display_name for r in out["identities"].where("kind = 'person'").collect()}
+    assert shown["person:self"] == "Me" and shown["person:imessage:p30@x.org"] == "P30@x.org" and len(shown) == 31
+    plan = payloads.with_bodies(tables["message"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Union" in plan
+    below = plan[plan.index("ArrowEvalPython") :]
+    assert "Filter" in below and "hex(substring(attributedBody" in below
+
+
+def test_a_source_is_parsed_once_and_accounts_are_counted_on_paths(spark, tmp_path, monkeypatch):
+    folder = "instagram-{}-2026-01-01-x/your_instagram_activity/messages/inbox/t/message_1.json"
+    put(tmp_path, folder.format("ann"), told(["Ann", "Bob"], ("Ann", 1000, "hi", {})))
+    put(tmp_path, folder.format("bob"), b"{broken")
+    seen, plain = [], imports.once
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(imports, "once", lambda df, name: (seen.append((name, plan(df))), plain(df, name))[1])
+    files = packets.list_files(spark, str(tmp_path))
+    out = imports.import_packets(files, "instagram")
+    assert [r.source_thread_key for r in out["threads"].collect()] == ["ann:your_instagram_activity/messages/inbox/t"]  # two accounts, one unreadable
+    assert [r.warning for r in out["rejects"].collect()] == ["not JSON"]
+    scans = [line for line in dict(seen)["parsed"].splitlines() if "FileScan binaryFile" in line]
+    assert sum("content#" in line for line in scans) == 1 and len(scans) == 2
+    assert "content#" not in plan(packets.named_packets(files, "instagram").agg(F.count_distinct("export_account")))
+    for name in ("rejects", "warnings", "threads", "messages"):
+        assert "binaryFile" not in plan(out[name]) and "parse_json" not in plan(out[name])
+
+
 def test_gates_and_replacement(spark, tmp_path):
     path = str(tmp_path / "canon")
     rows = spark.createDataFrame([("facebook", "a", "t1"), ("facebook", "a", "t2"), ("facebook", "b", "t3"), ("imessage", None, "t4")], "source_kind string, export_account string, source_thread_key string")
