@@ -38,11 +38,12 @@ def _threads(facts: DataFrame, messages: DataFrame) -> DataFrame:
 
 def import_packets(
     files: DataFrame, provider: str, account: str | None = None, registry: DataFrame | None = None,
-    source_seq: int | str = 0, fail_fast: bool = False,
+    source_seq: int | str = 0, fail_fast: bool = False, large: int = packets.RANGE,
 ) -> dict[str, DataFrame]:
     """Canonical tables of export packets, and ``rejects``: files that are no message files, with the reason.
 
-    ``files`` has ``path`` and ``content``. Overlapping exports are merged by payload; facts of a thread are those of
+    ``files`` has ``path`` and ``content``; where it has ``length`` and ``place`` too (``list_files``), a file of over
+    ``large`` bytes is read by ranges of that size, in many tasks. Overlapping exports are merged by payload; facts of a thread are those of
     its last file, but a thread that any file shows as a group stays a group; missing times are 1970. ``warnings`` are
     the rejects and the files with elements that are no messages.
 
@@ -50,9 +51,12 @@ def import_packets(
     folder, as are the merged messages, and all tables follow from these two. Accounts are counted on paths alone, those
     of unreadable files too.
     """
-    parsed = packets.read_message_files(files, provider, source_seq)
-    scoped = packets.scoped_threads(parsed, account, packets.named_packets(files, provider))
-    told, rejects = packets.split_valid(once(packets.told_by_files(scoped), "parsed"))
+    named, listed = packets.named_packets(files, provider), "length" in files.columns
+    scoped = lambda df: packets.scoped_threads(df, account, named)
+    whole = files.where(F.col("length") <= large) if listed else files
+    each = packets.told_by_files(scoped(packets.read_message_files(whole, provider, source_seq)))
+    long = packets.told_by_large_files(files, provider, source_seq, large, scoped) if listed else None
+    told, rejects = packets.split_valid(once(each if long is None else each.unionByName(long), "parsed"))
     if fail_fast and (bad := rejects.limit(1).collect()):
         raise ValueError(f"{bad[0]['path']}: {bad[0]['warning']}")
     facts = packets.file_threads(told)

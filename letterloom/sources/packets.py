@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.canonical import parse_payload
 from ..functions.keys import export_account_key, export_root, is_message_file, relative_thread_key
 from ..functions.payloads import packet_kind, packet_title, participant_names
+from .ranges import RANGE, read_ranges
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path`` relative to ``root``, ``modificationTime`` and ``content`` of all message files below it; the content is
-    only read by queries that ask for it."""
+    """``path`` relative to ``root``, ``modificationTime``, ``content``, ``length`` and ``place`` (the file's URI) of all
+    message files below it; the content is only read by queries that ask for it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "message*.json").load(root)
     top = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")
     plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     scheme = lambda c: F.regexp_replace(c, "^[a-z0-9+.-]+:/*", "/")
-    return files.withColumn("path", F.substr(scheme(plain), F.length(scheme(F.lit(full))) + 2)).select("path", "modificationTime", "content")
+    return files.withColumn("place", F.col("path")).withColumn("path", F.substr(scheme(plain), F.length(scheme(F.lit(full))) + 2)).select("path", "modificationTime", "content", "length", "place")
 
 
 def _located(files: DataFrame, provider: str) -> DataFrame:
@@ -48,12 +51,9 @@ def named_packets(files: DataFrame, provider: str) -> DataFrame:
     return found.select(F.lit(provider).alias("source_kind"), root.alias("export_root"), export_account_key(F.element_at(F.split(root, "/"), -1), provider).alias("export_account"))
 
 
-def read_message_files(files: DataFrame, provider: str, source_seq: int | str = 0) -> DataFrame:
-    """One row per message file: text as UTF-8 or else Latin-1, parsed as VARIANT (null if it is no JSON), with its
-    export, thread and place in the import order (``source_seq``, a number or a column, then the path's parts)."""
-    found = files.where(is_message_file(F.col("path"), provider))
-    utf8 = F.col("content").cast("string")
-    text = F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode("content", "ISO-8859-1"))
+def _described(found: DataFrame, provider: str, source_seq: int | str, *more: Column | str) -> DataFrame:
+    """What the path of a message file tells: its export, thread and place in the import order (``source_seq``, a number
+    or a column, then the path's parts)."""
     root = export_root(F.col("path"), provider)
     return found.select(
         "path",
@@ -63,10 +63,35 @@ def read_message_files(files: DataFrame, provider: str, source_seq: int | str =
         relative_thread_key(F.col("path"), provider).alias("thread_path"),
         (F.col(source_seq) if isinstance(source_seq, str) else F.lit(source_seq)).cast("int").alias("source_seq"),
         F.split("path", "/").alias("path_parts"),
-        parse_payload(text).alias("file"),
+        *more,
     )
 
 
+def read_message_files(files: DataFrame, provider: str, source_seq: int | str = 0) -> DataFrame:
+    """One row per message file: text as UTF-8 or else Latin-1, parsed as VARIANT (null if it is no JSON), with what its
+    path tells."""
+    found = files.where(is_message_file(F.col("path"), provider))
+    utf8 = F.col("content").cast("string")
+    text = F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode("content", "ISO-8859-1"))
+    return _described(found, provider, source_seq, parse_payload(text).alias("file"))
+
+
+def told_by_large_files(files: DataFrame, provider: str, source_seq: int | str, least: int, scoped: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """What ``told_by_files`` tells, of files longer than ``least`` bytes, read by ranges of that size; None without any.
+    ``files`` must have ``length`` and ``place``. Their list is on the driver, as that of any scan is."""
+    long = files.where(is_message_file(F.col("path"), provider) & (F.col("length") > least))
+    where = [r[0] for r in long.select("place").collect()]
+    if not where:
+        return None
+    whole, payloads = read_ranges(files.sparkSession, where, least)
+    listed = long.select("path", F.col("place"), *([source_seq] if isinstance(source_seq, str) else []))
+    both = listed.join(whole.select(F.col("path").alias("place"), "file"), "place")
+    facts = told_by_files(scoped(_described(both, provider, source_seq, "file", "place")), "place").drop("pos", "payload")
+    each = payloads.select(F.col("path").alias("place"), "pos", "payload")
+    each = facts.join(each, "place", "left").drop("place")
+    return each.withColumn("import_seq", F.struct("source_seq", "path_parts", F.coalesce(F.col("pos"), F.lit(0)).cast("long").alias("pos")))
+
+
 def file_warning() -> Column:
     """What is wrong with a parsed ``file``, null if nothing is. Messages that are missing, null or empty of any kind are
     no messages; messages that are something else make the file a reject."""
@@ -119,7 +144,7 @@ def scoped_threads(parsed: DataFrame, account: str | None = None, named: DataFra
     return parsed.crossJoin(F.broadcast(accounts)).withColumn("source_thread_key", F.coalesce(key, "thread_path")).drop("accounts")
 
 
-def told_by_files(files: DataFrame) -> DataFrame:
+def told_by_files(files: DataFrame, *more: str) -> DataFrame:
     """One row per element of the files' messages, and one without ``payload`` for a file that has none, with what the
     file says of its thread (names of participants, title and kind) and ``warning``, what is wrong with it. A file is read
     and parsed once for all of it."""
@@ -128,7 +153,7 @@ def told_by_files(files: DataFrame) -> DataFrame:
     named = files.withColumn("warning", file_warning()).withColumn("names", participant_names(F.col("file"))).select(
         "path", "source_kind", "export_account", "export_root", "source_thread_key", "source_seq", "path_parts", "names",
         packet_title(F.try_variant_get("file", "$.title", "string"), F.col("names"), folder).alias("title"),
-        packet_kind(F.col("names")).alias("thread_kind"), F.when(F.col("warning").isNull(), held).alias("held"), "warning",
+        packet_kind(F.col("names")).alias("thread_kind"), F.when(F.col("warning").isNull(), held).alias("held"), "warning", *more,
     )
     each = named.select("*", F.posexplode_outer("held").alias("pos", "payload")).drop("held")
     return each.withColumn("import_seq", F.struct("source_seq", "path_parts", F.coalesce(F.col("pos"), F.lit(0)).cast("long").alias("pos")))
