@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import view_path, with_slug
 from ..operators import rollups, views
 from ..plans.imports import STORED, derived
+from ..sources.shared import Versions
 from ..sources.sinks import read_canonical, write_canonical, write_views
 
 
@@ -21,7 +22,8 @@ def rebuild_projection(
     """Replace the projections of ``accounts`` and return those replaced.
 
     With ``independent`` (Facebook) each account that is ready advances alone; else nothing does until all are. A
-    candidate without messages never replaces one that has some. What a source no longer has disappears, its people
+    candidate without messages never replaces one that has some; what it is compared with is the state that it replaces,
+    and if another writer has changed that meanwhile, that is an error. What a source no longer has disappears, its people
     too: only the ``STORED`` tables are written, and ``canonical_graph`` derives the others from all sources.
     """
     waiting = [a for a in accounts if a not in ready]
@@ -30,7 +32,8 @@ def rebuild_projection(
     going = [a for a in accounts if a in ready]
     name = F.coalesce(F.col("export_account"), F.lit("_"))
     new = {r[0]: r[1] for r in tables["messages"].groupBy(name).count().collect()}
-    kept = read_canonical(spark, path, "messages").where(F.col("source_kind") == source_kind)
+    versions = Versions(spark, path)
+    kept = read_canonical(spark, path, "messages", versions=versions).where(F.col("source_kind") == source_kind)
     old = {r[0]: r[1] for r in kept.groupBy(name).count().collect()}
     for account in going:
         key = account or "_"
@@ -40,13 +43,14 @@ def rebuild_projection(
     for table, df in tables.items():
         if table in STORED:
             scoped[table] = df.where((F.col("source_kind") == source_kind) & name.isin([a or "_" for a in going]))
-    write_canonical(scoped, path, {source_kind: going})
+    write_canonical(scoped, path, {source_kind: going}, versions)
     return going
 
 
 def canonical_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """All canonical tables of what is stored below ``path``, over all sources and accounts."""
-    return derived({name: read_canonical(spark, path, name) for name in STORED})
+    versions = Versions(spark, path)
+    return derived({name: read_canonical(spark, path, name, versions=versions) for name in STORED})
 
 
 def render_graph(tables: dict[str, DataFrame], path: str | None = None) -> dict[str, DataFrame]:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +22,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(p)
 
 
+def subfolders(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """Names of what lies in a folder and begins with ``prefix``."""
+    p, system = _path(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(p) if f.getPath().getName().startswith(prefix))
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    p, system = _path(spark, path)
+    return int(system.getContentSummary(p).getLength())
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir`` or that was set by ``setCheckpointDir``; on several
     machines no local folder can stand in for it, so that its lack is an error but in local mode."""
@@ -45,53 +59,116 @@ def once(df: DataFrame, name: str) -> DataFrame:
 class Versions:
     """Which version of each part of a data set is the current one.
 
-    Writers put new data into folders of their own and then publish them all by one small numbered file, which is
-    renamed into place: readers see all parts of the old state or all of the new, whenever a writer dies. Two writers
-    that start from one state cannot both publish: the later one gets an error. Old versions stay until ``sweep``.
+    Writers put new data into folders of their own and then publish them all by one small numbered file, which appears
+    whole and only if no other writer has taken the number: readers see all parts of the old state or all of the new,
+    whenever a writer dies, and of writers that start from one state one publishes and the others get an error. A writer
+    announces a version before it writes it, and a reader may hold a state (``reading``); ``sweep`` takes neither, nor
+    what the last states name. An announcement or hold that is older than ``LEASE`` seconds is that of a dead process.
     """
 
+    LEASE = 24 * 3600
+
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self.number, self.parts = self._read()
 
-    def _states(self) -> list[int]:
-        p, system = _path(self.spark, f"{self.path}/_states")
+    def _names(self, folder: str) -> dict[str, float]:
+        """The files of a folder that are no drafts, and how many seconds ago they were made."""
+        p, system = _path(self.spark, f"{self.path}/{folder}")
         if not system.exists(p):
-            return []
-        names = [f.getPath().getName() for f in system.listStatus(p)]
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+            return {}
+        now = time.time()
+        return {f.getPath().getName(): now - f.getModificationTime() / 1000 for f in system.listStatus(p) if not f.getPath().getName().startswith(".")}
+
+    def _states(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self._names("_states") if n.endswith(".json"))
+
+    def _state(self, number: int) -> dict[str, str]:
+        return json.loads(self.spark.read.text(f"{self.path}/_states/{number:08d}.json", wholetext=True).first()[0])
 
     def _read(self) -> tuple[int, dict[str, str]]:
         states = self._states()
-        if not states:
-            return 0, {}
-        told = self.spark.read.text(f"{self.path}/_states/{states[-1]:08d}.json", wholetext=True).first()[0]
-        return states[-1], json.loads(told)
-
-    @staticmethod
-    def new() -> str:
-        return uuid.uuid4().hex
+        return (states[-1], self._state(states[-1])) if states else (0, {})
+
+    def _put(self, name: str, text: str) -> bool:
+        """Make a file with ``text`` at once; false if there is one. Local files are linked, as renaming replaces; where
+        renaming is atomic and does not replace, drafts are renamed; object stores get one conditional put."""
+        target, system = _path(self.spark, f"{self.path}/{name}")
+        scheme = system.getUri().getScheme()
+        put = scheme not in ("file", "hdfs", "viewfs", "webhdfs", "abfs", "abfss")
+        draft = target if put else _path(self.spark, f"{self.path}/{name.rpartition('/')[0]}/.{uuid.uuid4().hex}")[0]
+        try:
+            out = system.create(draft, False)
+            out.write(bytearray(text.encode()))
+            out.close()
+        except Exception as error:  # a store that refuses the put raises its own kind
+            if put and system.exists(target):
+                return False
+            raise error
+        if put:
+            return True
+        try:
+            if scheme == "file":
+                local = lambda p: self.spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+                try:
+                    self.spark._jvm.java.nio.file.Files.createLink(local(target), local(draft))
+                except Exception as error:
+                    if "FileAlreadyExists" in str(error):
+                        return False
+                    raise error
+                return True
+            return bool(system.rename(draft, target))
+        finally:
+            if system.exists(draft):
+                system.delete(draft, False)
+
+    def new(self) -> str:
+        """The name of a version that this writer is going to write; it is announced, so that no sweep takes it."""
+        version = uuid.uuid4().hex
+        self._put(f"_writing/{version}", str(self.number))
+        return version
+
+    def _forget(self, folder: str, name: str) -> None:
+        p, system = _path(self.spark, f"{self.path}/{folder}/{name}")
+        system.delete(p, False)
 
     def publish(self, changes: dict[str, str | None]) -> None:
         """Make the versions in ``changes`` the current ones of their parts; None takes a part out."""
         parts = {k: v for k, v in (self.parts | changes).items() if v is not None}
-        target, system = _path(self.spark, f"{self.path}/_states/{self.number + 1:08d}.json")
-        draft, _ = _path(self.spark, f"{self.path}/_states/.{uuid.uuid4().hex}")
-        out = system.create(draft, False)
-        out.write(bytearray(json.dumps(parts, sort_keys=True).encode()))
-        out.close()
-        if system.exists(target) or not system.rename(draft, target):
-            system.delete(draft, False)
+        if not self._put(f"_states/{self.number + 1:08d}.json", json.dumps(parts, sort_keys=True)):
             raise RuntimeError(f"another writer has changed {self.path} meanwhile")
         self.number, self.parts = self.number + 1, parts
 
-    def sweep(self, folder: str, keep: int = 2) -> None:
-        """Delete versions below ``folder`` (named ``version=...``) that none of the last ``keep`` states names."""
-        used = set()
-        for n in self._states()[-keep:]:
-            used |= set(json.loads(self.spark.read.text(f"{self.path}/_states/{n:08d}.json", wholetext=True).first()[0]).values())
-        p, system = _path(self.spark, folder)
-        for f in system.listStatus(p) if system.exists(p) else []:
-            name = f.getPath().getName()
-            if name.startswith("version=") and name.removeprefix("version=") not in used:
-                system.delete(f.getPath(), True)
+    def done(self, version: str) -> None:
+        """``version`` is published, or given up."""
+        self._forget("_writing", version)
+
+    @contextmanager
+    def reading(self) -> Iterator[Versions]:
+        """Hold this state: what it names is not swept meanwhile, whatever is published."""
+        name = f"{self.number:08d}-{uuid.uuid4().hex}"
+        self._put(f"_reading/{name}", "")
+        try:
+            yield self
+        finally:
+            self._forget("_reading", name)
+
+    def sweep(self, folders: Iterable[str], keep: int = 2) -> None:
+        """Delete versions below ``folders`` (named ``version=...``) that none of the last ``keep`` states, no held state
+        and no writer names, and states that are older than all of these."""
+        # Writers are listed before versions: what is announced later is not yet among the versions that are listed.
+        held = {int(n.partition("-")[0]) for n, age in self._names("_reading").items() if age < self.LEASE}
+        used = {n for n, age in self._names("_writing").items() if age < self.LEASE}
+        states = self._states()
+        kept = sorted({*states[-keep:], *(held & set(states))})
+        for n in kept:
+            used |= {v.partition(":")[0] for value in self._state(n).values() for v in value.split(",")}
+        for folder in folders:
+            p, system = _path(self.spark, folder)
+            for f in system.listStatus(p) if system.exists(p) else []:
+                name = f.getPath().getName()
+                if name.startswith("version=") and name.removeprefix("version=") not in used:
+                    system.delete(f.getPath(), True)
+        for n in states:
+            if kept and n < kept[0]:
+                self._forget("_states", f"{n:08d}.json")

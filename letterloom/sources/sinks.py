@@ -15,25 +15,31 @@ def _part(kind: str, account: str | None) -> str:
     return f"{kind}/{account or _NO_ACCOUNT}"
 
 
-def write_canonical(tables: dict[str, DataFrame], path: str, scope: dict[str, list[str | None]]) -> None:
+def write_canonical(tables: dict[str, DataFrame], path: str, scope: dict[str, list[str | None]], versions: Versions | None = None) -> None:
     """Replace the projections in ``scope`` (source kind to accounts) in every table and leave all others alone.
 
     Everything is written into a new version first. Then one file names that version for all accounts of the scope, in
     all tables, also where it has no rows, so that what a source no longer has disappears; a writer that dies before
-    leaves the old state whole, and one that began before another published gets an error.
+    leaves the old state whole, and one that began before another published gets an error: it began when ``versions``
+    was read, which a gate may have done. What no state of the last two names any more is then deleted.
     """
     spark = next(iter(tables.values())).sparkSession
-    versions = Versions(spark, path)
-    new = Versions.new()
-    for name, df in tables.items():
-        account = F.coalesce(F.col("export_account"), F.lit(_NO_ACCOUNT)) if "export_account" in df.columns else F.lit(_NO_ACCOUNT)
-        df.withColumn("export_account", account).write.partitionBy(*PARTITIONS).parquet(f"{path}/{name}/version={new}")
-    versions.publish({_part(kind, a): new for kind, accounts in scope.items() for a in accounts})
-
-
-def read_canonical(spark: SparkSession, path: str, name: str, schema: str | None = None) -> DataFrame:
-    """The current rows of a table. Kinds and accounts are text whatever they look like (``007`` is not 7)."""
-    current = Versions(spark, path).parts
+    versions = versions or Versions(spark, path)
+    new = versions.new()
+    try:
+        for name, df in tables.items():
+            account = F.coalesce(F.col("export_account"), F.lit(_NO_ACCOUNT)) if "export_account" in df.columns else F.lit(_NO_ACCOUNT)
+            df.withColumn("export_account", account).write.partitionBy(*PARTITIONS).parquet(f"{path}/{name}/version={new}")
+        versions.publish({_part(kind, a): new for kind, accounts in scope.items() for a in accounts})
+    finally:
+        versions.done(new)
+        versions.sweep([f"{path}/{name}" for name in tables])
+
+
+def read_canonical(spark: SparkSession, path: str, name: str, schema: str | None = None, versions: Versions | None = None) -> DataFrame:
+    """The current rows of a table, or those of the state of ``versions``. Kinds and accounts are text whatever they look
+    like (``007`` is not 7)."""
+    current = (versions or Versions(spark, path)).parts
     places = {(v, *part.split("/", 1)) for part, v in current.items()}
     paths = sorted({f"{path}/{name}/version={v}" for v, _, _ in places if exists(spark, f"{path}/{name}/version={v}")})
     if not paths:

@@ -245,7 +245,7 @@ def test_a_writer_that_dies_leaves_the_old_state(spark, tmp_path, monkeypatch):
     assert kept() == ["new", "new"]
     with pytest.raises(RuntimeError, match="another writer"):
         late.publish({"facebook/a": "other"})
-    Versions(spark, path).sweep(f"{path}/messages", keep=1)
+    Versions(spark, path).sweep([f"{path}/messages"], keep=1)
     assert kept() == ["new", "new"] and len(list((tmp_path / "canon" / "messages").glob("version=*"))) == 1
 
 
