@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ LONGEST, SLOTS, BLOCK = 2000, 1 << 18, 1 << 18
 
 #: Names under which licence families are granted, and versions where a family has them.
 FAMILIES = {
-    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license", "Apache Software License, Version 2.0"),
-    "MIT": ("MIT License", "MIT license", "The MIT License (MIT)", "Expat License"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license", "Apache Software License, Version 2.0", "Apache-Lizenz, Version 2.0"),
+    "MIT": ("MIT License", "MIT license", "The MIT License (MIT)", "Expat License", "MIT-Lizenz"),
     "GPL-3.0": ("GNU General Public License, version 3", "GNU GPL v3", "GNU General Public License v3.0", "GPL-3.0 license", "GPLv3"),
     "GPL-2.0": ("GNU General Public License, version 2", "GNU GPL v2", "GNU General Public License v2.0", "GPL-2.0 license", "GPLv2"),
     "LGPL": ("GNU Lesser General Public License", "GNU LGPL", "GNU Lesser General Public License, version 3", "LGPL-2.1 license"),
@@ -37,7 +38,27 @@ GRANTS = (
     "This work is licensed under the {}.", "This work is licensed under {}.", "This file is distributed under the terms of the {}.",
     "This software is available under the {}.", "Published under {}; see the license file.", "License: {}",
     "You may use this text under the {}.", "All content is made available under {} unless noted otherwise.",
-    "SPDX-License-Identifier: {}",
+    "SPDX-License-Identifier: {}", "Made available under the terms of the {}.",
+)
+#: The same in other languages, and how two licences are offered.
+ABROAD = ("Lizenziert unter der {}.", "Veröffentlicht unter der {}.", "Distribué sous licence {}.", "Publicado bajo la licencia {}.")
+BOTH = ("Licensed under either of {} or {} at your option.", "Dual-licensed under the {} and the {}.", "You may choose the {} or the {}.")
+#: How a text says that a licence does not hold, or speaks of one without granting it.
+DENIALS = (
+    "This file is not licensed under the {}.", "It is not released under the {}.", "This work is no longer available under the {}.", "This code was never licensed under {}.",
+    "The format is compatible with the {}.", "Unlike the {}, these terms are strict.", "Do not use the {} here.", "We have not chosen the {}.",
+)
+#: Words of permissions; a sentence that is like no template has some of them if it is a licence's.
+TERMS = (
+    "permission permitted granted licence license licensed licensee copyright software program source code binary object compiled copy copies modify alter "
+    "redistribute distribute redistribution distribution publish sell sublicense derivative commercial warranty warranties liable liability damages notice"
+)
+ENOUGH = 4
+#: What licences of no family may say, in parts that are combined; they teach the unknown class.
+STRANGE_TERMS = (
+    ("You may", "Anyone may", "The licensee may", "Everyone is free to", "Users are permitted to", "Permission is given to"),
+    ("copy and share this work", "alter this software and pass it on", "use the source code for any purpose", "distribute the program in compiled form", "sell or publish the package", "redistribute the files freely"),
+    ("as long as this notice is kept.", "if the origin is not misrepresented.", "for any purpose, commercial or not.", "without any warranty of any kind.", "under the same terms.", "with no liability for damages of the authors."),
 )
 _STRANGE = (("Harbour", "Open Meadow", "Lakeside", "Grey Fox", "Orchard", "Northern", "Quarry", "Copper Hill"), (
     "{} Public License, Version 7", "{} Community License v1", "{} License 2.1", "{} Data Terms", "{} Agreement", "{} Source License, version 4",
@@ -61,25 +82,41 @@ BODIES = {
         "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, "
         "royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and "
         "distribute the Work and such Derivative Works in Source or Object form.",
+        "You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, "
+        "provided that You meet the following conditions:",
+        "You must give any other recipients of the Work or Derivative Works a copy of this License; and You must cause any modified files to carry prominent notices stating that You changed the files;",
     ),
     "MIT": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
         "and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies.",
         _COPIES,
     ),
-    "GPL-3.0": (_GNU.format("General Public License", 3), _FREE + _GNU.format("General Public License", 3), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "GPL-3.0": (_GNU.format("General Public License", 3), _FREE + _GNU.format("General Public License", 3), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+        "You may convey a work based on the Program, or the modifications to produce it from the Program, in the form of source code under the terms of section 4, provided that you also meet all of these conditions:",
+        "The work must carry prominent notices stating that you modified it, and giving a relevant date."),
     "GPL-2.0": (
         _GNU.format("General Public License", 2), "GNU General Public License version 2 as published by the Free Software Foundation",
         _FREE + _GNU.format("General Public License", 2), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
@@ -130,55 +167,98 @@ def _slots(grams: np.ndarray) -> np.ndarray:
     return (grams & U(SLOTS - 1)).astype(np.int64)
 
 
+def _set(text: str) -> set[int]:
+    return set(_grams([text.encode()])[1].tolist())
+
+
+def _holders(sets: list[set[int]]) -> dict[int, list[int]]:
+    """The numbers of the sets that hold each member."""
+    out: dict[int, list[int]] = {}
+    for i, own in enumerate(sets):
+        for g in own:
+            out.setdefault(g, []).append(i)
+    return out
+
+
+def _version(text: str) -> set[int]:
+    """What a licence's own text must say if it says it: its version."""
+    told = re.search(r"(?i)version [\d.]*\d", text)
+    return _set(told[0]) if told else set()
+
+
 class Scanner:
     """The fitted classes' weights, the calibration, and the templates' n-grams."""
 
     def __init__(self, names: list[str], slots: np.ndarray, weights: np.ndarray, base: np.ndarray) -> None:
         self.names, self.slots, self.weights, self.base = names, slots, weights, base
-        self.heat, self.least, self.alike = 1.0, 0.5, 0.75
-        self.grants = [set(_grams([g.replace("{}", "").encode()])[1].tolist()) for g in GRANTS]
-        own = {f: [*(g.format(x) for x in names for g in ("{}", *GRANTS)), *BODIES.get(f, ()), *_spdx(f)] for f, names in FAMILIES.items()}
-        self.templates = {f: [set(_grams([t.encode()])[1].tolist()) for t in texts] for f, texts in own.items()}
+        self.heat, self.least, self.alike, self.sure, self.error = 1.0, 0.5, 0.75, 0.99, 0.0
+        self.terms = set().union(*map(_set, TERMS.split()))
+        self.grants = [_set(g.replace("{}", "")) for g in (*GRANTS, *ABROAD)]
+        # A template that names its licence or version must be there with that, whatever else is alike.
+        self.templates = {f: [(_set(g.format(x)), _set(x)) for x in own for g in ("{}", *GRANTS, *ABROAD)] + [(_set(t), _version(t)) for t in (*BODIES.get(f, ()), *_spdx(f))] for f, own in FAMILIES.items()}
+        flat = [(f, k, t, name) for f, told in self.templates.items() for k, (t, name) in enumerate(told)]
+        self.place, self.size, self.named = [x[:2] for x in flat], np.array([len(x[2]) for x in flat]), np.array([len(x[3]) for x in flat])
+        self.holders, self.namers = ({g: np.array(rows) for g, rows in told.items()} for told in (_holders([x[2] for x in flat]), _holders([x[3] for x in flat])))
+        # Identifiers of one word, offered beside another licence ("or MIT").
+        self.beside = {f: [_set(f"{w} {x}") - _set(w) - _set(x) for x in (f, *SPDX.get(f, ())) if x.isalnum() for w in ("or", "and")] for f in FAMILIES}
 
-    @staticmethod
-    def likeness(template: set[int], own: set[int]) -> float:
-        """The share of the template that is there; of a short one nothing, unless it is most of what is there."""
-        return len(template & own) / len(template) if len(template) >= SHORT or len(own) <= 2 * len(template) else 0.0
+    def likenesses(self, own: set[int]) -> dict[str, tuple[float, int, int]]:
+        """Of each family the most alike template (of several the longest): the share of it that is there, its n-grams
+        and its number. Of a short template nothing is, unless it is most of what is there; of one with a name nothing,
+        unless the name is there."""
+        count = lambda lists: np.bincount(np.concatenate([np.empty(0, np.int64), *(lists[g] for g in own if g in lists)]), minlength=len(self.size))
+        share = count(self.holders) / self.size
+        share[(count(self.namers) < 0.85 * self.named) | ((self.size < SHORT) & (len(own) > 2 * self.size))] = 0
+        best = dict.fromkeys(self.templates, (0.0, 0, 0))
+        for i in np.flatnonzero(share >= 0.5).tolist():
+            family, k = self.place[i]
+            best[family] = max(best[family], (float(share[i]), int(self.size[i]), k))
+        return best
 
     def probabilities(self, row: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.slots, slot), len(self.slots) - 1)
         hit = self.slots[at] == slot
-        total = np.tile(self.base, (n, 1))
-        np.add.at(total, row[hit], self.weights[at[hit]])
-        total = total / self.heat
+        total, row = np.tile(self.base, (n, 1)), row[hit]  # rows come in order
+        if len(row):
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            total[row[first]] += np.add.reduceat(self.weights[at[hit]], first, axis=0)
+        total /= self.heat
         total -= total.max(axis=1, keepdims=True)
         p = np.exp(total)
         return p / p.sum(axis=1, keepdims=True)
 
-    def judge(self, texts: list[bytes]) -> list[tuple[str, float, float]]:
-        """Class, probability and template likeness of each unit of a paragraph. Of the four likeliest
-        classes that is taken whose template the paragraph holds most of; it stands if it and the likeliest class are
-        likely enough together and enough of the template is there; else a notice that grants something in a known way is unknown."""
+    def judge(self, texts: list[bytes]) -> list[list[tuple[str, float, float]]]:
+        """Class, probability and template likeness of all notices in each unit of a paragraph; none of most units.
+
+        A unit that is likelier none than anything else grants nothing. Of the others every family is compared with all
+        its templates. The most alike stands if enough of a template is there and the unit is likely enough a notice; a
+        further family stands beside it if what tells its template from the first is there too, or if it is offered by
+        its identifier. A unit that is surely a notice and has ``ENOUGH`` words of permissions, or grants something in a
+        known way, and is like no template is unknown."""
         row, grams, words = _grams(texts)
         p = self.probabilities(row, _slots(grams), len(texts))
-        best = p.argmax(axis=1)
-        out = []
+        none = self.names.index(NONE)
+        out: list[list[tuple[str, float, float]]] = [[] for _ in texts]
         ends = np.searchsorted(row, np.arange(len(texts) + 1))
-        for i, k in enumerate(best):
-            name, likely = self.names[k], float(p[i, k])
-            if name == NONE or not words[i]:
-                out.append((NONE, likely if name == NONE else 0.0, 0.0))
+        for i in np.flatnonzero((p.argmax(axis=1) != none) & (words > 0) & (1 - p[:, none] >= min(self.least, self.sure))).tolist():
+            own, likely = set(grams[ends[i] : ends[i + 1]].tolist()), float(1 - p[i, none])
+            alike = self.likenesses(own)
+            order = sorted(alike, key=lambda f: (-alike[f][0], -alike[f][1], -p[i, self.names.index(f)]))
+            first = order[0]
+            if likely >= self.least and alike[first][0] >= self.alike:
+                out[i].append((first, likely, alike[first][0]))
+                seen = self.templates[first][alike[first][2]][0]
+                for f in order[1:]:
+                    template, name = self.templates[f][alike[f][2]]
+                    more = template - seen
+                    apart = alike[f][0] >= self.alike and name and name - seen and len(more & own) >= 0.9 * len(more)
+                    if apart or any(x <= own for x in self.beside[f] if x):
+                        out[i].append((f, likely, max(alike[f][0], self.alike)))
+                        seen = seen | template if apart else seen
                 continue
-            own = set(grams[ends[i] : ends[i + 1]].tolist())
-            alike = 0.0
-            for near in np.argsort(-p[i], kind="stable")[:4]:
-                here = max((self.likeness(t, own) for t in self.templates.get(self.names[near], ())), default=0.0)
-                if here > alike:
-                    name, likely, alike = self.names[near], float(p[i, near] + (likely if near != k else 0)), here
-            if name == UNKNOWN or likely < self.least or alike < self.alike:
-                alike = max(len(g & own) / len(g) if len(g) > 2 or len(own) <= 3 else 0.0 for g in self.grants)
-                name = UNKNOWN if alike >= self.alike else NONE
-            out.append((name, likely, alike))
+            granted = max(len(g & own) / len(g) if len(g) > 2 or len(own) <= 3 else 0.0 for g in self.grants)
+            if (likely >= self.least and granted >= self.alike) or (likely >= self.sure and len(self.terms & own) >= ENOUGH):
+                out[i].append((UNKNOWN, likely, granted))
         return out
 
 
@@ -221,51 +301,64 @@ def _examples() -> list[tuple[str, str]]:
             for grant in GRANTS:
                 text = grant.format(name).replace("the a ", "a ").replace("the The ", "the ")
                 out += [(family, text), (family, text.rstrip(".") + ", copyright 2021 the authors."), (family, text.upper())]
+        for name in names[:: 3 if family == UNKNOWN else 1]:
+            out += [(family, grant.format(name)) for grant in ABROAD]
+    out += [(UNKNOWN, " ".join((a, b, c))) for a in STRANGE_TERMS[0] for b in STRANGE_TERMS[1] for c in STRANGE_TERMS[2]]
+    families = [*FAMILIES]
+    for k, family in enumerate(families):
+        other = FAMILIES[families[(k + 3) % len(families)]][0]
+        out += [(family, both.format(*pair)) for both in BOTH for name in FAMILIES[family] for pair in ((name, other), (other, name))]
     for family in FAMILIES:
         for text in (*BODIES.get(family, ()), *_spdx(family)):
             out += [(family, x) for x in (text, text.upper(), f"Copyright 2021 the authors. {text}", f"{text} and so on", f"// {text}", f"This program is free: {text}")]
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordinary: int = 3000, rounds: int = 150) -> Scanner:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordinary: int = 3000, rounds: int = 80) -> Scanner:
     """Fit the classifier on notices and licence texts made from the fixed values, mentions that grant nothing, and at
     most ``ordinary`` sentences of ``docs`` (of the documents with the smallest hashes, of at most ``LONGEST``
     characters) whose paragraphs hold no word of a notice. A third of all examples is set apart: on it
-    the probabilities' temperature is chosen, and the least probability of a family so that no more than one in a
-    thousand other examples reaches it.
+    the probabilities' temperature is chosen, the least probability of a notice with a template so that one in a
+    hundred ordinary examples reaches it, and that of an unknown licence so that one in a thousand comes half as near to
+    certainty; ``error`` is the calibration error.
     """
     cue = r"(?i)licen[cs]|copyright|permission|redistribut|free software|\bGPL|\bBSD|\bMIT\b|creative commons|\bCC[ 0-]"
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and length(text) > 0")
     keyed = texts.withColumn("key", F.xxhash64("id", "text"))
-    least = keyed.select("key").distinct().orderBy("key").limit(max(1, ordinary // 10)).agg(F.max("key")).first()[0]
+    least = keyed.select("key").orderBy("key").limit(max(1, ordinary // 10)).agg(F.max("key")).first()[0]
     few = keyed.where(F.col("key") <= F.lit(least)).orderBy("key")
     runs = few.select(F.explode(F.split("text", r"\n\s*\n")).alias("run")).where(~F.col("run").rlike(cue))
     lines = runs.select(F.explode(F.split("run", r"\n|" + SENTENCE)).alias("line")).where("length(trim(line)) > 0")
     plain = [r[0] for r in lines.where(f"length(line) <= {LONGEST}").limit(ordinary).collect()]
-    said = [m.format(name) for m in MENTIONS for names in FAMILIES.values() for name in names]
-    examples = [*_examples(), *((NONE, p) for p in (*plain, *said)), (NONE, ""), (NONE, "the license")]
+    said = [m.format(name) for m in (*MENTIONS, *DENIALS) for names in FAMILIES.values() for name in names]
+    return _fitted((*_examples(), *((NONE, p) for p in (*plain, *said)), (NONE, ""), (NONE, "the license")), rounds)
+
+
+@lru_cache(2)
+def _fitted(examples: tuple[tuple[str, str], ...], rounds: int) -> Scanner:
+    """The scanner of these examples; the same ones are fitted once per process."""
     names = [NONE, UNKNOWN, *FAMILIES]
     label = np.array([names.index(f) for f, _ in examples])
     data = [t.encode("utf-8", "surrogatepass") for _, t in examples]
     row, grams, _ = _grams(data)
     slot = _slots(grams)
     apart = mix64(np.arange(len(data), dtype=U)) % U(3) == U(0)
-    seen = np.unique(slot[~apart[row]])
+    seen, times = np.unique(slot[~apart[row]], return_counts=True)
+    seen = seen[times > 1]  # an n-gram of one example tells nothing of others
     at = np.minimum(np.searchsorted(seen, slot), len(seen) - 1)
-    hit = seen[at] == slot
+    hit = (seen[at] == slot) & ~apart[row]
     row, at = row[hit], at[hit]
+    learn = np.flatnonzero(~apart)
+    row = np.searchsorted(learn, row)
     weights, base = np.zeros((len(seen), len(names))), np.zeros(len(names))
-    goal = np.eye(len(names))[label]
-    learn = ~apart
-    share = learn / np.bincount(label[learn], minlength=len(names))[label].clip(1) / len(names)
+    goal, n = np.eye(len(names))[label[learn]], len(learn)
+    share = 1 / np.bincount(label[learn], minlength=len(names))[label[learn]].clip(1) / len(names)
     order = np.argsort(at, kind="stable")
     starts = np.searchsorted(at[order], np.arange(len(seen)))
+    first, has = np.searchsorted(row, np.arange(n)), np.bincount(row, minlength=n) > 0
     size = np.zeros_like(weights)
-    for t in range(rounds):
-        total = np.tile(base, (len(data), 1))
-        ends = np.searchsorted(row, np.arange(len(data)))
-        sums = np.add.reduceat(weights[at], np.minimum(ends, len(at) - 1), axis=0)
-        total += np.where((np.bincount(row, minlength=len(data)) > 0)[:, None], sums, 0)
+    for _ in range(rounds):
+        total = base + np.where(has[:, None], np.add.reduceat(weights[at], np.minimum(first, len(at) - 1), axis=0), 0)
         p = np.exp(total - total.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         gap = (p - goal) * share[:, None]
@@ -279,9 +372,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordin
     heats = [0.5, 0.7, 1.0, 1.4, 2.0, 3.0]
     losses = [-np.log(totals(h)[np.arange(apart.sum()), label[apart]].clip(1e-12)).mean() for h in heats]
     p = totals(heats[int(np.argmin(losses))])
-    others = label[apart] < 2
-    wrong = np.sort(p[others][:, 2:].max(axis=1))[::-1] if others.any() else np.zeros(1)
-    scanner.least = float(max(0.5, wrong[min(len(wrong) - 1, len(wrong) // 1000)]))
+    ordinary = np.sort(1 - p[label[apart] == 0, 0])[::-1]
+    if len(ordinary):
+        scanner.least = float(max(0.5, ordinary[len(ordinary) // 100]))
+        scanner.sure = float(max(0.9, (1 + ordinary[len(ordinary) // 1000]) / 2))
+    # Calibration error: the mean difference of stated and true shares of notices over tenths of the probability.
+    tenth, notice = np.minimum((10 * (1 - p[:, 0])).astype(int), 9), label[apart] != 0
+    gaps = [abs((1 - p[tenth == k, 0]).mean() - notice[tenth == k].mean()) * (tenth == k).mean() for k in range(10) if (tenth == k).any()]
+    scanner.error = float(sum(gaps))
     return scanner
 
 
@@ -315,9 +413,8 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
                     counts.append(len(own))
                     units += [(i, k, *u) for k, paragraph in enumerate(own) for u in _units(paragraph, cut)]
                 found, spans = [[] for _ in counts], [[] for _ in counts]
-                for (i, k, low, high, _), (family, likely, alike) in zip(units, scanner.judge([u[4] for u in units]) if units else []):
-                    if family == NONE:
-                        continue
+                judged = scanner.judge([u[4] for u in units]) if units else []
+                for i, k, low, high, family, likely, alike in ((*u[:4], *notice) for u, notices in zip(units, judged) for notice in notices):
                     here = [j for j, (p, a, b) in enumerate(spans[i]) if p == k and a < high and low < b] if high - low > 1 else []
                     if any(family == UNKNOWN or found[i][j]["family"] == family for j in here):
                         continue

@@ -143,6 +143,33 @@ GPL = """    This program is free software: you can redistribute it and/or modif
 """
 
 
+#: Sentences that were once judged wrongly, and of licences that no example names.
+JUDGED = {
+    "This file is not licensed under the MIT License.": "none", "The tool is compatible with the Apache License, Version 2.0.": "none",
+    "This project is dual-licensed under the MIT License and the Apache License 2.0.": "Apache-2.0,MIT", "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "Apache-2.0,MIT",
+    "Licensed under either of Apache License, Version 2.0 or MIT": "Apache-2.0,MIT", "Dieses Paket ist lizenziert unter der MIT-Lizenz.": "MIT",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/": "unknown",
+    "You may convey a work based on the Program, or the modifications to produce it from the Program, in the form of source code under the terms of section 4, provided that you also meet all of these conditions:": "GPL-3.0",
+    "The GNU General Public License is a free, copyleft license for software and other kinds of works.": "GPL-3.0",
+    "You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the following conditions:": "Apache-2.0",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO\nTHE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.': "MIT",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "BSD",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely": "unknown",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.": "unknown",
+    "You may distribute this file under the GNU Lesser General Public License, version 3.": "LGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License": "AGPL-3.0",
+}
+
+
+def test_sentences_of_licences(docs):
+    rows = list(enumerate(JUDGED)) + [(100 + i, f"the ertion heed {i} licking mitten is of") for i in range(50)]
+    df = docs(rows)
+    scanner = licenses.train(docs(rows[-50:]))
+    got = {r.id: ",".join(r.families) or r.licence for r in licenses.scan(df, scanner).collect()}
+    wrong = {text: (got[i], want) for i, (text, want) in enumerate(JUDGED.items()) if got[i] != want}
+    assert not wrong and {got[100 + i] for i in range(50)} == {"none"}
+    assert 0 <= scanner.error < 0.02
+
+
 def test_licence_texts_and_near_misses(docs):
     misses = [
         "She met the mit license clerk, and they talked for an hour about the weather in spring.", "The BSD license was compared with the others in a long lecture.",
