@@ -7,7 +7,7 @@ an earlier one. For every place where an edit may be, the grams are counted that
 those beside it that a longer gram over the changed place could swallow. The largest such count bounds what two words one
 edit apart can fail to share, so each word enters only the lists of as many of its rarest grams and one more; lists are
 kept by word length and place of the gram. In a list, words that agree on all that is left or on all that is right of
-the gram are compared code point by code point.
+the gram, and on half of the other side, are compared code point by code point.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import drop, written
@@ -150,27 +151,29 @@ def _entries(dictionary, short: int, long: int):
     return run
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _part_hashes(codes: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The hash of the first ``size`` code points of every row, modulo 2^64; equal parts have equal hashes."""
-    power = np.cumprod(np.full(codes.shape[1], _BASE))
-    sums = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power, axis=1, out=sums[:, 1:])
-    return np.take_along_axis(sums, size[:, None], 1)[:, 0]
+class _Parts:
+    """Hashes, modulo 2^64, of how the rows of a matrix of code points begin; equal beginnings have equal hashes."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        power = np.cumprod(np.full(codes.shape[1], _BASE))
+        self.sums = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power, axis=1, out=self.sums[:, 1:])
+
+    def upto(self, size: np.ndarray) -> np.ndarray:
+        return np.take_along_axis(self.sums, size[:, None], 1)[:, 0]
 
 
 class _Lists:
-    """Whole lists, one after the other: ``kind`` 0 are words of the list's length, which come first; 1 and 2 words that
-    are one longer, with the gram at the same place (the edit is right of it) or one later (left of it)."""
+    """Whole lists, one after the other: ``kind`` 0 are words of the list's length; 1 and 2 words that are one longer,
+    with the gram at the same place (the edit is right of it) or one later (left of it)."""
 
     def __init__(self, rows: pa.Table, fresh: np.ndarray) -> None:
         take = lambda name: rows.column(name).to_numpy(zero_copy_only=False)
         self.kind, self.length, pos, self.block = (take(c).astype(np.int64) for c in ("kind", "len", "pos", "block"))
-        self.within, self.words, self.n = take("first") == take("second"), rows.column("word").to_pylist(), take("n")
-        start = np.flatnonzero(fresh)
-        self.end = np.repeat(np.append(start[1:], len(fresh)), np.diff(np.append(start, len(fresh))))
+        self.within, self.words, self.list = take("first") == take("second"), rows.column("word").to_pylist(), np.cumsum(fresh)
         true_size = self.length + (self.kind > 0)
         self.plain = self.length < WIDE
         wide = int(true_size[self.plain].max(initial=1)) + 1
@@ -180,21 +183,32 @@ class _Lists:
             self.codes = self.codes.astype(np.uint8)
         size = np.where(self.plain, true_size, 0)
         back = np.take_along_axis(self.codes, np.maximum(size[:, None] - 1 - np.arange(wide), 0), 1)
-        gram = np.array([len(g) for g in rows.column("gram").to_pylist()])
-        odd = np.arange(len(size), dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # equal to no other row's
-        self.left = np.where(self.kind == 2, odd, _part_hashes(self.codes, np.where(self.plain, pos, 0)))
-        self.right = np.where(self.kind == 1, odd, _part_hashes(back, np.where(self.plain, self.length - pos - gram, 0)))
+        end = pos + pc.utf8_length(rows.column("gram")).to_numpy().astype(np.int64)
+        left, right = pos // 2, end + (self.length - end) // 2
+        begins, ends = _Parts(self.codes), _Parts(back)
+        head = lambda at: begins.upto(np.where(self.plain, at, 0))
+        tail = lambda at: ends.upto(np.where(self.plain, self.length - at, 0))
+        # The edit is right of the gram, in the later or earlier half of what is there, or left of it, likewise: what then
+        # is the same in both words, before and behind that half.
+        self.same = ((1, head(right)), (1, head(end) * _MIX + tail(right)), (2, head(left) * _MIX + tail(pos)), (2, tail(left)))
 
     def near(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        at, step = np.flatnonzero(self.kind == 0), 0
-        while len(at):
-            step += 1
-            at = at[at + step < self.end[at]]
-            other = at + step
-            like = ((self.left[at] == self.left[other]) | (self.right[at] == self.right[other])) & (self.within[at] | (self.block[at] != self.block[other]))
-            a, b = at[like], other[like]
-            for i in range(0, len(a), 1 << 16):
-                yield self._confirmed(a[i : i + (1 << 16)], b[i : i + (1 << 16)])
+        for longer, key in self.same:
+            rows = np.flatnonzero((self.kind == 0) | (self.kind == longer))
+            if not len(rows):
+                continue
+            order = rows[np.lexsort((self.kind[rows], key[rows], self.list[rows]))]
+            differs = (self.list[order][1:] != self.list[order][:-1]) | (key[order][1:] != key[order][:-1])
+            start = np.flatnonzero(np.append(True, differs))
+            end = np.repeat(np.append(start[1:], len(order)), np.diff(np.append(start, len(order))))
+            at, step = np.flatnonzero(self.kind[order] == 0), 0
+            while len(at):
+                step += 1
+                at = at[at + step < end[at]]
+                for i in range(0, len(at), 1 << 16):
+                    a, b = order[at[i : i + (1 << 16)]], order[at[i : i + (1 << 16)] + step]
+                    met = self.within[a] | (self.block[a] != self.block[b])
+                    yield self._confirmed(a[met], b[met])
 
     def _confirmed(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         differ = self.codes[a] != self.codes[b]
@@ -212,12 +226,21 @@ def _near_in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held: list[pa.RecordBatch] = []
 
     def pairs(rows: pa.Table, fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lists = _Lists(rows, fresh)
-        word, n = np.array(lists.words, object), lists.n
-        for a, b in lists.near():
-            if len(a):
-                x, y = np.concatenate([a, b]), np.concatenate([b, a])
-                yield pa.RecordBatch.from_arrays([pa.array(word[x], pa.string()), pa.array(word[y], pa.string()), pa.array(n[y], pa.int64())], ["word", "near", "near_n"])
+        found = [*_Lists(rows, fresh).near()]
+        if not found:
+            return
+        a, b = (np.concatenate(x) for x in zip(*found))
+        word = rows.column("word").combine_chunks()
+        # Each pair once: the smaller row number of equal pairs stands for all of them.
+        code = word.dictionary_encode().indices.to_numpy().astype(np.int64)
+        low, high = np.minimum(code[a], code[b]), np.maximum(code[a], code[b])
+        one = np.unique(low * (int(code.max(initial=0)) + 1) + high, return_index=True)[1]
+        a, b = a[one], b[one]
+        less = pc.less(word.take(pa.array(a)), word.take(pa.array(b))).to_numpy(zero_copy_only=False)
+        x, y = np.where(less, a, b), np.where(less, b, a)
+        n = rows.column("n").combine_chunks()
+        columns = [c.take(pa.array(i)) for i in (x, y) for c in (word, n)]
+        yield pa.RecordBatch.from_arrays(columns, ["word", "n", "near", "near_n"])
 
     def fresh(rows: pa.Table) -> np.ndarray:
         out = np.zeros(rows.num_rows, bool)
@@ -273,7 +296,9 @@ def near_words(words: DataFrame, dictionary: dict[str, int], short: int = SHORT,
         dealt = entries.join(large, key, "left_anti").select(*entries.columns, *zero).union(split)
     group = [*key, "first", "second"]
     dealt = dealt.repartition(*group).sortWithinPartitions(*group, "kind")
-    return dealt.mapInArrow(_near_in_lists, "word string, near string, near_n long").distinct()
+    found = dealt.mapInArrow(_near_in_lists, "word string, n long, near string, near_n long").distinct()
+    both = F.array(F.struct("word", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+    return found.select(F.explode(both).alias("pair")).select("pair.*")
 
 
 def _roots(forms: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -74,6 +75,16 @@ def test_variants_are_those_of_all_pairs(spark, monkeypatch, kind, frequent, mos
     assert told(spelling.variants(words, frequent=frequent, most=most)) == by_hand(counts)
 
 
+def test_lists_without_words_of_their_length_are_passed_over():
+    layout = pa.schema([("word", pa.string()), ("n", pa.int64()), ("level", pa.int8()), ("gram", pa.string()), ("kind", pa.int8()), ("len", pa.int32()), ("pos", pa.int32()), ("first", pa.int32()), ("second", pa.int32()), ("block", pa.int32())])
+    rows = [("abcdefgh", 5, 0, "abc", 1, 7, 0, 0, 0, 0), ("abcdefgi", 5, 0, "abc", 1, 7, 0, 0, 0, 0)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(layout.names, r)) for r in rows], layout)
+    assert [*spelling._near_in_lists(iter([batch]))] == [] == [*spelling._near_in_lists(iter([batch.slice(0, 0)]))]
+    own = pa.RecordBatch.from_pylist([dict(zip(layout.names, ("abcdefg", 9, 0, "abc", 0, 7, 0, 0, 0, 0)))], layout)
+    found = pa.Table.from_batches([*spelling._near_in_lists(iter([own, batch]))]).to_pylist()
+    assert sorted((r["word"], r["near"], r["n"], r["near_n"]) for r in found) == [("abcdefg", "abcdefgh", 9, 5), ("abcdefg", "abcdefgi", 9, 5)]
+
+
 def test_chains_end_at_their_root_and_ties_take_the_smallest(spark):
     counts = {"aaaaaaa": 1, "aaaaaab": 10, "aaaaabb": 100, "aaaabbb": 1000, "aaabbbb": 10_000, "zzzzzzzz": 1, "zzzzzzz": 10, "zzzzzzzy": 10, "qqqqqqqqq": 5}
     found = {r.word: r for r in spelling.variants(spark.createDataFrame([*counts.items()], "word string, n long")).collect()}
