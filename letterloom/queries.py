@@ -663,7 +663,7 @@ def render_graph(spark, d):
     """Every view is rendered, written, and read back."""
     folder = new_folder(spark, "views")
     out = rebuild.render_graph(graph(spark, d), folder)
-    counts = [spark.read.json(f"{folder}/{name}").agg(F.lit(name).alias("view"), F.count("*").alias("rows")) for name in out]
+    counts = [sinks.read_view(spark, folder, name).agg(F.lit(name).alias("view"), F.count("*").alias("rows")) for name in out]
     return reduce(DataFrame.union, counts)
 
 

@@ -41,3 +41,41 @@ def read_chat_tables(spark: SparkSession, root: str, source_format: str = "parqu
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             found[name] = spark.read.format(source_format).options(**options).load(path.toString())
     return conform(spark, found)
+
+
+def _columns(spark: SparkSession, url: str, properties: dict[str, str]) -> dict[str, dict[str, str]]:
+    """Of every relation that the database has, by lower-cased names: its own name (under "") and those of its columns."""
+    told = spark._jvm.java.util.Properties()
+    for k, v in properties.items():
+        told.setProperty(k, v)
+    if "driver" in properties:
+        spark._jvm.org.apache.spark.util.Utils.classForName(properties["driver"], True, False)
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url, told)
+    try:
+        found, rows = {}, connection.getMetaData().getColumns(None, None, None, None)
+        while rows.next():
+            table, column = rows.getString("TABLE_NAME"), rows.getString("COLUMN_NAME")
+            if table.lower() in TABLES:
+                found.setdefault(table.lower(), {"": table})[column.lower()] = column
+        return found
+    finally:
+        connection.close()
+
+
+def read_chat_database(spark: SparkSession, url: str, partitions: int = 8, quote: str = '"', **properties: str) -> dict[str, DataFrame]:
+    """The relations of a database that JDBC reaches, each scanned in ``partitions`` ranges of its first column (rows
+    without it are in the first), with the columns that are needed and there. ``properties`` go to the driver."""
+    named = lambda n: f"{quote}{n}{quote}"
+    reader = lambda: spark.read.format("jdbc").option("url", url).options(**properties)
+    found = {}
+    for name, own in _columns(spark, url, properties).items():
+        wanted = [own[c.split()[0].lower()] for c in TABLES[name].split(", ") if c.split()[0].lower() in own]
+        if not wanted:
+            continue
+        key = wanted[0]
+        low, high = reader().option("query", f"SELECT MIN({named(key)}) AS low, MAX({named(key)}) AS high FROM {named(own[''])}").load().first()
+        scan = reader().option("dbtable", f"(SELECT {', '.join(map(named, wanted))} FROM {named(own[''])}) told")
+        if low is not None and high > low:
+            scan = scan.options(partitionColumn=key, lowerBound=int(low), upperBound=int(high) + 1, numPartitions=partitions)
+        found[name] = scan.load()
+    return conform(spark, found)

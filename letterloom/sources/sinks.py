@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import Versions, exists
+from .shared import Versions, exists, subfolders
 
 PARTITIONS = ("source_kind", "export_account")
 _NO_ACCOUNT = "_"
@@ -74,10 +74,64 @@ def in_order(name: str, df: DataFrame) -> DataFrame:
     return df.orderBy(*keys) if keys else df
 
 
-def write_views(views: dict[str, DataFrame], path: str) -> None:
-    """Each view table as JSON in its order; ``transcripts`` are rows of lines, a long thread in several files."""
-    for name, df in views.items():
-        in_order(name, df).write.mode("overwrite").json(f"{path}/{name}")
+#: By which column the rows of a view are dealt into buckets that are rewritten alone; other views are one bucket.
+VIEW_KEYS = {"person_threads": "identity_key", "group_threads": "group_key", "group_members": "group_key", "timelines": "identity_key", "media": "identity_key", "transcripts": "view_name"}
+
+
+def _digests(lines: DataFrame) -> dict[int, str]:
+    """What each bucket of JSON lines holds, whatever the order: their number and sums of two hashes."""
+    sums = [F.sum(h.cast("decimal(38,0)")).cast("string") for h in (F.xxhash64("value"), F.xxhash64("value", F.lit(1)))]
+    return {r[0]: r[1] for r in lines.groupBy("bucket").agg(F.concat_ws("_", F.count("*").cast("string"), *sums)).collect()}
+
+
+def write_views(views: dict[str, DataFrame], path: str, buckets: int = 64) -> dict[str, list[int]]:
+    """Write each view as JSON in its order, and return the buckets of each that were written.
+
+    A view's rows are dealt into buckets by the person, group or thread that they show, and a digest of every bucket is
+    kept. Of a view that is there already only the buckets whose digest has changed are written; those that have gone are
+    taken out; the rest stays as it is. One file then names what is current of all views, so that a writer that dies
+    leaves all old views. ``transcripts`` are rows of lines, a long thread in several files. A first rendering computes
+    a view once and takes the digests from what it has written; a later one computes it for the digests, and its
+    changed buckets again.
+    """
+    spark = next(iter(views.values())).sparkSession
+    versions = Versions(spark, path)
+    new, changes, wrote = None, {}, {}
+    try:
+        for name, df in views.items():
+            key = VIEW_KEYS.get(name)
+            dealt = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int") if key else F.lit(0))
+            old = {int(k.rpartition("/")[2]): v.partition(":")[2] for k, v in versions.parts.items() if k.startswith(f"{name}/")}
+            now = _digests(dealt.select("bucket", F.to_json(F.struct(*df.columns)).alias("value"))) if old else None
+            changed = None if now is None else sorted(b for b in now if now[b] != old.get(b))
+            if changed != []:
+                new = new or versions.new()
+                rows = dealt if changed is None else dealt.where(F.col("bucket").isin(changed))
+                keys = [F.asc_nulls_first(k) for k in ORDERS.get(name, ())]
+                rows = rows.repartitionByRange("bucket", *keys).sortWithinPartitions("bucket", *keys) if key else in_order(name, rows)
+                folder = f"{path}/{name}/version={new}"
+                rows.write.partitionBy("bucket").json(folder)
+                if now is None:
+                    now = _digests(spark.read.schema("value string, bucket int").text(folder)) if subfolders(spark, folder, "bucket=") else {}
+                    changed = sorted(now)
+                changes |= {f"{name}/{b}": f"{new}:{now[b]}" for b in changed}
+            changes |= {f"{name}/{b}": None for b in old if b not in now}
+            wrote[name] = changed
+        if changes:
+            versions.publish(changes)
+    finally:
+        if new:
+            versions.done(new)
+            versions.sweep([f"{path}/{name}" for name in views])
+    return wrote
+
+
+def read_view(spark: SparkSession, path: str, name: str, schema: str | None = None) -> DataFrame:
+    """The current rows of a view; one without rows has no columns unless ``schema`` is given."""
+    current = Versions(spark, path).parts
+    places = [f"{path}/{name}/version={v.partition(':')[0]}/bucket={k.rpartition('/')[2]}" for k, v in sorted(current.items()) if k.startswith(f"{name}/")]
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(places) if places else spark.createDataFrame([], schema or "struct<>")
 
 
 def append_run_log(summary: DataFrame, path: str) -> None:

@@ -123,6 +123,33 @@ def test_chat_people_are_as_many_as_members_and_senders(spark, monkeypatch):
     assert "Filter" in below and "hex(substring(attributedBody" in below
 
 
+def test_chat_relations_from_a_database(spark, tmp_path):
+    """The Derby that Spark ships: ranges of the key, columns and relations that are missing, rows without a key."""
+    url = f"jdbc:derby:{tmp_path}/chats"
+    connection = spark._jvm.java.sql.DriverManager.getConnection(f"{url};create=true")
+    said = connection.createStatement()
+    said.execute("CREATE TABLE chat (rowid BIGINT, guid VARCHAR(9), chat_identifier VARCHAR(9), display_name VARCHAR(9))")
+    said.execute("CREATE TABLE message (text VARCHAR(20), rowid BIGINT, guid VARCHAR(9), date BIGINT, is_from_me INT, handle_id BIGINT, extra INT)")
+    said.execute("CREATE TABLE chat_message_join (chat_id BIGINT, message_id BIGINT)")
+    said.execute("CREATE TABLE handle (rowid BIGINT, id VARCHAR(9))")
+    said.execute("INSERT INTO chat VALUES (1, 'c1', 'Ann', NULL)")
+    said.execute("INSERT INTO handle VALUES (1, 'Ann')")
+    for i in range(40):
+        said.execute(f"INSERT INTO message VALUES ('text {i}', {i}, 'm{i}', {700000000000000000 + i}, 0, 1, 5)")
+        said.execute(f"INSERT INTO chat_message_join VALUES (1, {i})")
+    said.execute("INSERT INTO message VALUES ('no key', NULL, 'x', 0, 0, 1, 5)")
+    connection.close()
+    tables = chat.read_chat_database(spark, url, partitions=4)
+    message = tables["message"]
+    assert message.count() == 41 and message.columns == [c.split()[0] for c in chat.TABLES["message"].split(", ")] and message.where("attributedBody is not null").count() == 0
+    assert message.rdd.getNumPartitions() == 4 and len({r[0] for r in message.select(F.spark_partition_id()).distinct().collect()}) == 4
+    plan = message.where("ROWID = 7").select("text")._jdf.queryExecution().executedPlan().toString()
+    assert "extra" not in plan.lower() and "guid" not in plan.split("ReadSchema")[1].lower()
+    assert tables["attachment"].count() == 0
+    out = imports.import_chat(tables)
+    assert out["messages"].count() == 40 and out["threads"].first().title == "Ann"
+
+
 def test_a_source_is_parsed_once_and_accounts_are_counted_on_paths(spark, tmp_path, monkeypatch):
     folder = "instagram-{}-2026-01-01-x/your_instagram_activity/messages/inbox/t/message_1.json"
     put(tmp_path, folder.format("ann"), told(["Ann", "Bob"], ("Ann", 1000, "hi", {})))
@@ -180,8 +207,8 @@ def test_views_and_log_are_written(spark, tmp_path):
     from letterloom.queries import graph
 
     out = rebuild.render_graph(graph(spark, SF), str(tmp_path / "views"))
-    assert spark.read.json(str(tmp_path / "views" / "people")).count() == out["people"].count()
-    lines = [r.line for f in sorted((tmp_path / "views" / "transcripts").glob("part-*")) for r in spark.read.json(str(f)).collect()]
+    assert sinks.read_view(spark, str(tmp_path / "views"), "people").count() == out["people"].count()
+    lines = [r.line for f in sorted((tmp_path / "views" / "transcripts").glob("version=*/bucket=*/part-*")) for r in spark.read.json(str(f)).collect()]
     assert lines[0].startswith("## 20") and len(lines) == out["transcripts"].count()
     for _ in range(2):
         sinks.append_run_log(spark.range(1), str(tmp_path / "log"))
@@ -190,6 +217,32 @@ def test_views_and_log_are_written(spark, tmp_path):
     assert counted == spark.read.parquet(f"{SF}/conversations.parquet").count()
 
 
+def test_only_views_that_changed_are_written(spark, tmp_path, monkeypatch):
+    path, top = str(tmp_path / "views"), tmp_path / "views"
+    rows = lambda *told: spark.createDataFrame([(f"p{p}", r, t) for p, r, t in told], "identity_key string, rank int, title string").repartition(3)
+    first = [(p, r, "é" if p % 2 else None) for p in range(40) for r in range(3)]
+    views = lambda told: {"timelines": rows(*told), "people": spark.range(3).select(F.col("id").alias("display_name"))}
+    files = lambda: {p: p.stat().st_mtime_ns for p in top.rglob("part-*")}
+    got = lambda: sorted(tuple(r) for r in sinks.read_view(spark, path, "timelines", "identity_key string, rank int, title string").collect())
+    want = lambda told: sorted((f"p{p}", r, t) for p, r, t in told)
+    wrote = sinks.write_views(views(first), path, 16)
+    assert len(wrote["timelines"]) > 8 and wrote["people"] == [0]
+    before, number = files(), Versions(spark, path).number
+    assert sinks.write_views(views(first[::-1]), path, 16) == {"timelines": [], "people": []}
+    assert files() == before and Versions(spark, path).number == number and not list((top / "_writing").glob("[!.]*"))
+    changed = [(p, r, "new" if (p, r) == (7, 1) else t) for p, r, t in first if p != 11]
+    monkeypatch.setattr(Versions, "publish", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError, match="killed"):
+        sinks.write_views(views(changed), path, 16)
+    monkeypatch.undo()
+    assert got() == want(first)
+    wrote = sinks.write_views(views(changed), path, 16)
+    assert 1 <= len(wrote["timelines"]) <= 2 and wrote["people"] == [] and got() == want(changed)
+    assert set(before) & set(files()) and [r["rank"] for r in sinks.read_view(spark, path, "timelines").where("identity_key = 'p7'").collect()] == [0, 1, 2]
+    sinks.write_views(views([]), path, 16)
+    assert got() == [] and sinks.read_view(spark, path, "people").count() == 3
+
+
 def test_sources_share_one_graph(spark, tmp_path):
     folder = "facebook-{}-2026-01-01-x/your_facebook_activity/messages/inbox/t/message_1.json"
     for account, friend in (("ann", "Bob"), ("cy", "Dee")):
