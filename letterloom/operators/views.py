@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.keys import group_key, thread_key
+from ..sources.shared import once
 from ..functions.text import snippet, strip_space
 from .rollups import THREAD, thread_counts
 
@@ -94,30 +95,46 @@ def person_media(media: DataFrame, messages: DataFrame, participants: DataFrame,
     return found.select("identity_key", rank.alias("rank"), "source_kind", "title", *shown)
 
 
-def transcript_lines(messages: DataFrame, media_counts: DataFrame | None = None) -> DataFrame:
+def numbered_by_ranges(rows: DataFrame, groups: list[str], order: list[str], day, ranges: int | None = None) -> DataFrame:
+    """``rows`` with ``number`` (from 1, in ``order`` within ``groups``) and ``opens``: whether its ``day`` differs from that
+    of the row before. Rows are dealt by sampled ranges of groups and order, written once in the shared folder, and
+    numbered within each range; a range adds what the ranges before hold of its group, and looks at the last day there. So
+    a group of any size, also one whose rows are alike in all but the last of ``order``, is many tasks.
+    """
+    spark = rows.sparkSession
+    number = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("day", day).repartitionByRange(number, *groups, *order).withColumn("range", F.spark_partition_id())
+    dealt = once(dealt, "ranges")
+    parts = dealt.groupBy(*groups, "range").agg(F.count("*").alias("n"), F.max_by(F.struct("day"), F.struct(*order)).alias("last"))
+    along = Window.partitionBy(*groups).orderBy("range")
+    before = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*groups, "range", before.alias("base"), F.lag("last").over(along).alias("left"))
+    own = Window.partitionBy(*groups, "range").orderBy(*order)
+    each = dealt.withColumn("r", F.row_number().over(own)).withColumn("earlier", F.lag(F.struct("day")).over(own)).join(parts, [*groups, "range"])
+    earlier = F.coalesce("earlier", "left")
+    opens = earlier.isNull() | ~earlier.getField("day").eqNullSafe(F.col("day"))
+    return each.withColumn("number", F.col("base") + F.col("r")).withColumn("opens", opens).drop("r", "earlier", "left", "base", "range", "day")
+
+
+def transcript_lines(messages: DataFrame, media_counts: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
     """Lines of every thread's transcript in order: a heading where the day changes, then time, sender and text, or what
     stands for it, then the number of attachments.
 
-    Rows are lines, never gathered. Messages are numbered within each hour of a thread, and hours by sums over the hours
-    before, so that a long thread is many window groups and not one.
+    Rows are lines, never gathered; they are numbered by ranges, so that a long thread is many tasks, whatever its times.
     """
     joined = messages
     if media_counts is not None:
         joined = messages.join(media_counts, [*THREAD, "source_message_key"], "left")
     n = F.coalesce("media_count", F.lit(0)) if media_counts is not None else F.lit(0)
-    joined = joined.withColumn("hour", F.coalesce(F.date_trunc("hour", "sent_at"), F.timestamp_seconds(F.lit(0))))
-    hours = joined.groupBy(*THREAD, "hour").agg(F.count("*").alias("in_hour"))
-    along = Window.partitionBy(*THREAD).orderBy("hour")
-    before = F.coalesce(F.sum("in_hour").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    hours = hours.withColumn("base", before).withColumn("opens", ~day("hour").eqNullSafe(day(F.lag("hour").over(along)))).drop("in_hour")
-    own = Window.partitionBy(*THREAD, "hour").orderBy("sent_at", "import_seq", "source_message_key")
-    numbered = joined.withColumn("r", F.row_number().over(own)).join(hours, [*THREAD, "hour"])
+    joined = joined.select(*THREAD, "sent_at", "import_seq", "source_message_key", "sender", "body_text", n.alias("attached"))
+    day = F.date_format(F.coalesce("sent_at", F.timestamp_seconds(F.lit(0))), "yyyy-MM-dd")
+    numbered = numbered_by_ranges(joined, THREAD, ["sent_at", "import_seq", "source_message_key"], day, ranges)
+    n = F.col("attached")
     text = F.coalesce(F.nullif(strip_space(F.col("body_text")), F.lit("")), F.lit(NO_TEXT))
     line = F.concat(F.date_format("sent_at", "HH:mm:ss"), F.lit(" "), F.col("sender"), F.lit(": "), text)
     attached = F.when(n > 0, F.concat(F.lit("["), n.cast("string"), F.when(n == 1, " media attachment]").otherwise(" media attachments]")))
-    heading = F.when(F.col("opens") & (F.col("r") == 1), F.concat(F.lit("## "), day("sent_at")))
-    marked = numbered.select(*THREAD, (F.col("base") + F.col("r")).alias("message_no"), F.array_compact(F.array(heading, line, attached)).alias("lines"))
+    heading = F.when(F.col("opens"), F.concat(F.lit("## "), F.date_format("sent_at", "yyyy-MM-dd")))
+    marked = numbered.select(*THREAD, F.col("number").alias("message_no"), F.array_compact(F.array(heading, line, attached)).alias("lines"))
     return marked.select(*THREAD, "message_no", F.posexplode("lines").alias("part_no", "line"))
 
 

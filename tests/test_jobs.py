@@ -351,6 +351,28 @@ def test_views_of_odd_bodies(spark):
     assert sorted(told[:2]) == [("direct", "y"), ("group", "y")] and told[2:] == [("group", "[no text]")] * 2 + [("group", ""), ("group", "x")]
 
 
+def test_a_thread_without_times_is_numbered_in_many_ranges(spark):
+    """Headings and numbers are those of one sorted list, however many ranges there are; none holds most of the thread."""
+    from datetime import datetime, timedelta
+
+    start = datetime(1970, 1, 1)
+    told = [("k", "long", f"m{i:04}", start, f"b{i}", "Ann", i) for i in range(600)] + [("k", f"t{i % 3}", f"n{i:03}", start + timedelta(hours=7 * i), None, "Bob", i) for i in range(90)]
+    m = spark.createDataFrame(told, "source_kind string, source_thread_key string, source_message_key string, sent_at timestamp, body_text string, sender string, import_seq int").repartition(7)
+    media = spark.createDataFrame([("k", "long", "m0003", 2)], "source_kind string, source_thread_key string, source_message_key string, media_count long")
+    want = []
+    for thread in sorted({r[1] for r in told}):
+        own, last = sorted((r for r in told if r[1] == thread), key=lambda r: (r[3], r[6], r[2])), None
+        for no, r in enumerate(own, 1):
+            lines = ([f"## {r[3]:%Y-%m-%d}"] if last != r[3].date() else []) + [f"{r[3]:%H:%M:%S} {r[5]}: {r[4] or '[no text]'}"] + (["[2 media attachments]"] if r[2] == "m0003" else [])
+            want += [(thread, no, k, line) for k, line in enumerate(lines)]
+            last = r[3].date()
+    for ranges in (1, 9):
+        got = views.transcript_lines(m, media, ranges).select("source_thread_key", "message_no", "part_no", "line").collect()
+        assert sorted(map(tuple, got)) == want
+    dealt = m.repartitionByRange(9, "source_kind", "source_thread_key", "sent_at", "import_seq", "source_message_key").where("source_thread_key = 'long'")
+    assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) < 200
+
+
 def test_views_are_ordered_with_missing_times_first(spark):
     rows = spark.createDataFrame([("p", "2026", "a"), ("p", None, "b"), ("p", "2025", "c")], "identity_key string, last_message_at string, title string").withColumn("source_kind", F.lit("k"))
     assert [r.title for r in sinks.in_order("person_threads", rows).collect()] == ["b", "c", "a"]
