@@ -33,8 +33,8 @@ def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recall_of_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row on ``op3_cross_polytope``: its queries and neighbours, whether each score is the exact one, and whether at
-    least 0.9 of the exact neighbours are found."""
+    """One row on ``op3_cross_polytope``: its queries and neighbours, whether each score is the exact one, whether at least
+    0.9 of the exact neighbours are found, and the sum of all exact neighbours' scores, which SQL computes too."""
     vectors = table(spark, sf_dir, "embeddings")
     found = written(op3_cross_polytope(spark, sf_dir), "found")
     exact = written(ann.exact_nearest(vectors, F.col("id") % 20 == 0, k=20), "exact")
@@ -42,12 +42,15 @@ def recall_of_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_score = found.select("query_id", "vec_id", F.col("score").alias("told")).join(last, "query_id")
     both = by_score.join(exact.select("query_id", "vec_id", "score"), ["query_id", "vec_id"], "left")
     good = F.count_if(F.col("told") >= F.col("last") - 1e-12)
-    return both.agg(
+    same = F.coalesce(F.abs(F.col("told") - F.col("score")) < 1e-12, F.lit(True))
+    row = both.agg(
         F.count_distinct("query_id").alias("queries"),
         F.count("*").alias("neighbours"),
-        F.every(F.coalesce(F.abs(F.col("told") - F.col("score")) < 1e-12, F.lit(True))).alias("scores_are_exact"),
+        F.coalesce(F.every(same), F.lit(True)).alias("scores_are_exact"),
         (good >= 0.9 * F.count("*")).alias("recall_is_enough"),
     )
+    total = exact.agg(F.coalesce(F.round(F.sum("score"), 6), F.lit(0.0)).alias("exact_score_sum"))
+    return row.crossJoin(F.broadcast(total))
 
 
 def vocabulary(name: str) -> str:

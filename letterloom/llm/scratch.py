@@ -7,25 +7,19 @@ The folder is the one that the cluster names in ``spark.checkpoint.dir``; only w
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import new_folder, shared_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The URI of the folder that the driver and all executors see."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-        found = "file://" + tempfile.mkdtemp(prefix="letterloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return shared_folder(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/letterloom/{name}-{uuid.uuid4().hex}"
+    return new_folder(spark, name)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -48,6 +48,10 @@ def test_empty_tables(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == (1 if name.startswith("op5") else 0)
 
 
+def test_recall_of_nothing(spark, empty):
+    assert tuple(__spark_entry__.queries()["recall_of_neighbours"](spark, empty).first()) == (0, 0, True, True, 0.0)
+
+
 #: What holds for every row of a result, however odd the tables.
 HOLDS = {
     "op1": lambda r: (r.vec_id is None) == (r.component_id is None) and r.n_links >= 0 and r.kept == (r.vec_id == r.component_id),
