@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.keys import message_fingerprint, message_key
+from ..sources.shared import once
+
+
+#: What tells a payload of a thread from others.
+PAYLOAD = ["source_kind", "source_thread_key", "fp"]
 
 
 def occurrence_ordinal(messages: DataFrame) -> DataFrame:
@@ -47,6 +52,31 @@ def merge_exports(messages: DataFrame) -> DataFrame:
     return kept.withColumn("source_message_key", message_key(F.col("ts_ms"), F.col("fp"), F.col("occurrence")))
 
 
+def merged_counts(merged: DataFrame) -> DataFrame:
+    """The index of merged messages: how often each payload is in each thread, as ``most``."""
+    return merged.groupBy(*PAYLOAD).agg(F.count("*").alias("most"))
+
+
+def merge_new(index: DataFrame, exports: DataFrame, small: int = 1 << 17) -> DataFrame:
+    """What ``exports`` add to the messages that ``index`` (as of ``merged_counts``) counts: the occurrences of a payload beyond those there
+    are. Together with the messages that were there these are the ones of a merge of all exports, in whatever order they
+    come; of equal payloads the first import stays named. ``exports`` has what ``merge_exports`` takes, and is read twice.
+
+    A cumulative export holds little that is new. It is first counted by payload, on the map side, and only keys and counts
+    are compared with the index; then only rows of payloads that occur more often than before are dealt out and numbered.
+    Their keys go to every task if they are at most ``small``; else rows and keys meet in a shuffle.
+    """
+    if "fp" not in exports.columns:
+        exports = exports.withColumn("fp", message_fingerprint(F.col("payload")))
+    counts = exports.groupBy(*PAYLOAD, "export_root").agg(F.count("*").alias("n")).groupBy(*PAYLOAD).agg(F.max("n").alias("n"))
+    grown = counts.join(index, PAYLOAD, "left").select(*PAYLOAD, F.coalesce("most", F.lit(0)).alias("most"), "n").where("n > most").drop("n")
+    grown = once(grown, "grown")
+    keys = F.broadcast(grown) if grown.count() <= small else grown
+    numbered = occurrence_ordinal(exports.join(keys, PAYLOAD).repartition("source_thread_key", "fp")).where("occurrence >= most").drop("most")
+    kept = latest_by_key(numbered, [*PAYLOAD, "occurrence"])
+    return kept.withColumn("source_message_key", message_key(F.col("ts_ms"), F.col("fp"), F.col("occurrence")))
+
+
 def union_sources(*tables: DataFrame) -> DataFrame:
     out = tables[0]
     for df in tables[1:]:

@@ -239,6 +239,23 @@ def merge_multiplicity(spark, d):
     return each.groupBy("thread").agg(F.sum("n").alias("messages"), F.max("n").alias("most"))
 
 
+@query("""WITH e AS (SELECT 'e1' AS x, source, lang, text FROM documents WHERE doc_id % 5 > 0 UNION ALL SELECT 'e2', source, lang, text FROM documents UNION ALL SELECT 'e2', source, lang, text FROM documents WHERE doc_id % 7 = 0),
+n AS (SELECT source, lang, text, count(*) FILTER (x = 'e1') AS a, count(*) FILTER (x = 'e2') AS b FROM e GROUP BY ALL)
+SELECT source AS thread, sum(a)::BIGINT AS before, sum(greatest(b - a, 0))::BIGINT AS added FROM n GROUP BY source""")
+def merge_increment(spark, d):
+    """Equal documents of a source are equal messages; a second, cumulative export adds what the first has less often."""
+    docs = table(spark, d, "documents")
+    told = lambda df, root: df.select(
+        F.lit("facebook").alias("source_kind"), F.col("source").alias("source_thread_key"), F.lit(root).alias("export_root"), F.lit(0).cast("long").alias("ts_ms"),
+        F.sha2(F.concat_ws("|", "lang", "text"), 256).alias("fp"), F.struct(F.lit(root).alias("x"), "doc_id").alias("import_seq"),
+    )
+    index = once(ops.merged_counts(ops.merge_exports(told(docs.where("doc_id % 5 > 0"), "e1"))), "index")
+    new = ops.merge_new(index, told(docs.union(docs.where("doc_id % 7 = 0")), "e2"))
+    before = index.groupBy(F.col("source_thread_key").alias("thread")).agg(F.sum("most").alias("before"))
+    added = new.groupBy(F.col("source_thread_key").alias("thread")).agg(F.count("*").alias("added"))
+    return before.join(added, "thread", "full").select("thread", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("added", F.lit(0)).alias("added"))
+
+
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
 def latest_by_key(spark, d):
     rows = table(spark, d, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("import_seq"))

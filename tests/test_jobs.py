@@ -73,6 +73,26 @@ def test_merge_keeps_the_largest_multiplicity_in_any_order(spark):
         assert sorted(r.source_message_key for r in merged.collect()) == sorted({f"v2:5:{f}:{o}" for f, o, _ in got})
 
 
+@pytest.mark.parametrize("small", [1 << 17, 0])
+def test_exports_one_by_one_are_all_exports_at_once(spark, small):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"e{e}", i, f"t{rng.randrange(3)}", f"p{rng.randrange(6)}") for e in range(4) for i in range(40)]
+    df = spark.createDataFrame(rows, "export_root string, pos int, source_thread_key string, fp string").repartition(5)
+    df = df.withColumn("source_kind", F.lit("k")).withColumn("ts_ms", F.lit(5).cast("long")).withColumn("import_seq", F.struct("export_root", "pos"))
+    told = lambda merged: sorted(r[0] + r[1] for r in merged.select("source_thread_key", "source_message_key").collect())
+    want = told(ops.merge_exports(df))
+    for order in ("0123", "3102"):
+        held = ops.merge_exports(df.where("false"))
+        for e in order:
+            new = ops.merge_new(ops.merged_counts(held), df.where(F.col("export_root") == f"e{e}"), small)
+            held = imports.once(held.unionByName(new), "held")
+        assert told(held) == want
+    again = ops.merge_new(ops.merged_counts(held), df, small)
+    assert again.count() == 0
+
+
 def chat_rows(spark, with_third=True):
     third = [(3, "m3", None, b"\x00NSString\x00from blob\x00", 700000002000000000, 0, 2)] if with_third else []
     make = spark.createDataFrame
