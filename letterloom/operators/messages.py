@@ -86,9 +86,11 @@ def union_sources(*tables: DataFrame) -> DataFrame:
 
 def chat_messages(tables: dict[str, DataFrame]) -> DataFrame:
     """Messages with their chat and sender's handle: a message in two chats is two rows, messages outside of chats and
-    chats without messages are none."""
+    chats without messages are none. What else the relation of handles tells of one (``handle_key``, ``handle_name``) comes
+    along, so that it is worked out per handle."""
     chat = tables["chat"].select(F.col("ROWID").alias("chat_id"), F.col("guid").alias("chat_guid"), "chat_identifier", "display_name")
-    handle = tables["handle"].select(F.col("ROWID").alias("handle_id"), F.col("id").alias("handle"))
+    more = [c for c in ("handle_key", "handle_name") if c in tables["handle"].columns]
+    handle = tables["handle"].select(F.col("ROWID").alias("handle_id"), F.col("id").alias("handle"), *more)
     message = tables["message"].withColumnRenamed("ROWID", "message_id")
     joined = tables["chat_message_join"].join(message, "message_id").join(chat, "chat_id").join(handle, "handle_id", "left")
     date = F.lpad((F.coalesce("date", F.lit(0)).cast("decimal(20,0)") + F.lit(10**18 * 9)).cast("string"), 20, "0")

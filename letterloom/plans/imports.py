@@ -111,9 +111,11 @@ def import_chat(tables: dict[str, DataFrame], me_handles: list[str] = (), me_nam
     the shared folder, as are people, and all tables follow from these. What a chat is called and who is in it is joined
     to chats, not to messages, so people are as many as chats have members and senders."""
     kind, me = F.lit("imessage"), [h.lower() for h in me_handles] or [""]
-    joined = ops.chat_messages(tables | {"message": payloads.with_bodies(tables["message"])})
+    handle = F.col("id")
+    known = tables["handle"].select("ROWID", "id", handle_key(handle).alias("handle_key"), F.coalesce(F.nullif(clean_text(handle), F.lit("")), F.lit("unknown")).alias("handle_name"))
+    joined = ops.chat_messages(tables | {"message": payloads.with_bodies(tables["message"]), "handle": known})
     mine = F.coalesce(F.col("is_from_me"), F.lit(0)) == 1
-    who = handle_key(F.col("handle"))
+    who = F.coalesce("handle_key", F.lit("unknown"))
     own = mine | who.isin(me)
     thread = F.coalesce("chat_guid", F.concat(F.lit("chat:"), F.col("chat_id").cast("string")))
     rows = joined.select(
@@ -122,7 +124,7 @@ def import_chat(tables: dict[str, DataFrame], me_handles: list[str] = (), me_nam
         F.when(own, "person:self").otherwise(F.concat(F.lit("person:imessage:"), who)).alias("sender_identity_key"),
         F.when(mine, "self").otherwise("imessage").alias("sender_account_source_kind"),
         F.when(mine, "self").otherwise(who).alias("sender_account_key"),
-        F.when(own, F.lit(me_name)).otherwise(F.coalesce(F.nullif(clean_text(F.col("handle")), F.lit("")), F.lit("unknown"))).alias("sender_name"),
+        F.when(own, F.lit(me_name)).otherwise(F.coalesce("handle_name", F.lit("unknown"))).alias("sender_name"),
         apple_date_to_ts(F.col("date")).alias("sent_at"), "body_text", F.lit("plain").alias("body_format"),
         payloads.provenance_json("chat_id", "message_id", "guid", "service").alias("raw_json"), "import_seq",
     )
