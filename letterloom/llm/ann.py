@@ -92,7 +92,8 @@ def nearest(
 
 
 def exact_nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """What ``nearest`` approximates: every query against all vectors, in pairs of blocks. Recall is measured by it."""
+    """What ``nearest`` approximates: every query against all vectors, in pairs of blocks. Recall is measured by it. Null
+    ids, odd vectors, ties, repeated rows and empty tables are taken as ``nearest`` takes them."""
     return nearest(vectors, queries, k, id_col, vec_col, tables=0)
 
 

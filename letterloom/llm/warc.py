@@ -231,7 +231,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def resolved(records: DataFrame) -> DataFrame:
     """``id``, ``record_type``, ``payload_bytes``, ``payload_digest`` and ``refers_to`` of every record of
     ``read_archives``; of a revisit, length and digest are those of the response that it refers to. A revisit without
-    such a response, or of another digest, is an error."""
+    such a response, or of another digest, is an error. Null ids are those of responses; no records give no rows."""
     narrow = written(records.select("id", "record_type", "payload_bytes", "payload_digest", "refers_to"), "records")
     revisit = F.col("record_type") == "revisit"
     known = narrow.where(~revisit).groupBy(F.col("id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("found"))
