@@ -30,10 +30,14 @@ def clean_text(c: Column) -> Column:
     return collapse_space(F.when(narrow & good, again).otherwise(text))
 
 
+#: Where characters that become several ones are marked: private ones, which no slug shows.
+_MARKS = 0xE000
+
+
 @cache
-def _folds() -> tuple[str, str, str, str]:
-    """How code points look without accents, as far as a slug can tell: characters that become another one, or nothing,
-    for ``translate``; the others as a map in one string, and the class of these. Made from the compatibility forms."""
+def _folds() -> tuple[str, str, tuple[str, ...]]:
+    """How code points look without accents, as far as a slug can tell, for ``translate``: characters that become another
+    one, or nothing, and marks for those that become the strings listed last. Made from the compatibility forms."""
     single, gone, longer = {}, [], {}
     for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
         char = chr(code)
@@ -42,24 +46,26 @@ def _folds() -> tuple[str, str, str, str]:
             gone.append(char)
         elif plain != char and any(c.isascii() and (c.isalnum() or c == "&") for c in plain):
             (single if len(plain) == 1 else longer)[char] = plain
-    told = "\x1e".join(f"{k}\x1f{v}" for k, v in longer.items())
-    return "".join(single) + "".join(gone), "".join(single.values()), told, "[" + "".join(f"\\x{{{ord(k):X}}}" for k in longer) + "]"
+    marks = "".join(chr(_MARKS + i) for i in range(len(longer)))
+    known = "".join(single) + marks + "".join(longer) + "".join(gone)
+    return known, "".join(single.values()) + " " * len(marks) + marks, tuple(longer.values())
 
 
 def without_accents(c: Column) -> Column:
-    """A text's letters and digits as they are without accents and in their plain forms; what no slug shows may stay."""
-    known, plain, longer, odd = _folds()
-    table = F.str_to_map(F.lit(longer), F.lit("\x1e"), F.lit("\x1f"))
-    each = F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
-    wide = F.when(c.rlike(odd), F.array_join(each, "")).otherwise(c)
-    return F.when(c.rlike(r"^[\x{00}-\x{7F}]*$"), c).otherwise(F.translate(wide, known, plain))
+    """A text's letters and digits as they are without accents and in their plain forms; what no slug shows may stay. Each
+    character is looked up once; a text is cut only before those that become several."""
+    known, plain, longer = _folds()
+    cut = F.split(F.translate(c, known, plain), f"(?=[\\x{{{_MARKS:X}}}-\\x{{{_MARKS + len(longer) - 1:X}}}])")
+    told = lambda x: F.get(F.array(*map(F.lit, longer)), F.ascii(x) - _MARKS)
+    wide = F.array_join(F.transform(cut, lambda x: F.coalesce(F.concat(told(x), F.substr(x, F.lit(2))), x)), "")
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(wide)
 
 
 def ascii_slug(c: Column) -> Column:
     """The slug of a text without accents, in the JVM."""
     low = F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("&"), F.lit(" and "))
     slug = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(slug == "", "untitled").otherwise(slug)
+    return F.regexp_replace(slug, "^$", "untitled")  # a condition on the slug would work it out twice
 
 
 def with_slug(df: DataFrame, text_col: str, out_col: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import string
+import time
 import unicodedata
 import plistlib
 from datetime import datetime
@@ -74,6 +75,16 @@ def test_bodies_from_payloads(spark):
     assert names == [["a", "b"]]
 
 
+def test_slugs_of_long_texts_take_a_look_per_character(spark):
+    """Accents and characters that become several ones, in a text of two million characters: work is per character, not
+    per character and entry of the table; and private characters are none that stand for others."""
+    df = spark.range(1).select(F.expr("concat(repeat('aé½b ', 400000), 'ﬃ', '\\uE000\\uE005', 'x')").alias("v"))
+    began = time.monotonic()
+    slug = text.with_slug(df, "v", "s").first().s
+    assert time.monotonic() - began < 15
+    assert slug == "ae1-2b-" * 400000 + "ffi-x"
+
+
 def test_accents_of_every_code_point(spark):
     """Each assigned code point between letters, and after one that it may combine with, as Python takes accents off."""
     every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)] if unicodedata.category(chr(c)) not in ("Cn", "Co")]
