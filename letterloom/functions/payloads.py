@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import plistlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -19,28 +19,31 @@ MEDIA_KINDS = {
 }
 
 
-def _text(payload: Column, path: str) -> Column:
-    return clean_text(F.try_variant_get(payload, path, "string"))
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that is worked out once, however often ``f`` names it; within branches and lambdas Spark shares
+    nothing."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def message_body(payload: Column) -> Column:
     """The cleaned content; else what was shared, text above link; else null."""
-    content, told, link = (_text(payload, p) for p in ("$.content", "$.share.share_text", "$.share.link"))
-    shared = F.concat_ws("\n", F.nullif(told, F.lit("")), F.nullif(link, F.lit("")))
-    return F.coalesce(F.nullif(content, F.lit("")), F.nullif(shared, F.lit("")))
+    found = F.array(*(F.try_variant_get(payload, p, "string") for p in ("$.content", "$.share.share_text", "$.share.link")))
+    some = lambda x, i: F.nullif(F.get(x, F.lit(i)), F.lit(""))
+    body = lambda x: F.coalesce(some(x, 0), F.nullif(F.concat_ws("\n", some(x, 1), some(x, 2)), F.lit("")))
+    return _bound(F.transform(found, clean_text), body)
 
 
 def participant_names(payload: Column) -> Column:
     """Cleaned names of a file's participants, objects or plain strings, distinct in their order."""
     people = F.coalesce(F.try_variant_get(payload, "$.participants", "array<variant>"), F.array().cast("array<variant>"))
-    name = lambda p: clean_text(F.coalesce(F.try_variant_get(p, "$.name", "string"), F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string"))))
-    return F.array_distinct(F.filter(F.transform(people, name), lambda n: n != ""))
+    told = lambda p: F.coalesce(F.try_variant_get(p, "$.name", "string"), F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")))
+    return F.array_distinct(F.filter(F.transform(F.transform(people, told), clean_text), lambda n: n != ""))
 
 
 def listed_title(names: Column) -> Column:
     """The first four names, and dots if there are more; null without names."""
-    more = F.when(F.size(names) > 4, "...").otherwise("")
-    return F.when(F.size(names) > 0, F.concat(F.array_join(F.slice(names, 1, 4), ", "), more))
+    more = lambda n: F.when(F.size(n) > 4, "...").otherwise("")
+    return _bound(names, lambda n: F.when(F.size(n) > 0, F.concat(F.array_join(F.slice(n, 1, 4), ", "), more(n))))
 
 
 def packet_title(title: Column, names: Column, folder: Column) -> Column:

@@ -27,7 +27,8 @@ def clean_text(c: Column) -> Column:
     narrow = text.rlike(r"^[\x{00}-\x{FF}]*$")
     again = F.when(narrow, F.encode(text, "ISO-8859-1")).cast("string")
     good = F.is_valid_utf8(again) & ~F.contains(again, F.lit("�"))
-    return collapse_space(F.when(narrow & good, again).otherwise(text))
+    ascii_only = F.octet_length(text) == F.char_length(text)  # nothing to read again
+    return collapse_space(F.when(ascii_only, text).when(narrow & good, again).otherwise(text))
 
 
 #: Where characters that become several ones are marked: private ones, which no slug shows.

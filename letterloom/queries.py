@@ -196,8 +196,8 @@ def payload_facts(spark, d):
     many = F.concat(few, F.array(*(person(F.lit(n)) for n in "BCD")))
     body = F.struct(F.when(e == 0, F.concat(F.lit("  "), "event_type")).alias("content"), share.alias("share"), F.when(F.col("event_id") % 5 == 0, many).otherwise(few).alias("participants"))
     p = F.parse_json(F.to_json(body))
-    names = payloads.participant_names(F.col("p"))
-    return rows.select("event_id", p.alias("p")).select(
+    names = F.col("names")
+    return rows.select("event_id", p.alias("p")).withColumn("names", payloads.participant_names(F.col("p"))).select(
         "event_id", payloads.message_body(F.col("p")).alias("body"), payloads.packet_title(F.lit(""), names, F.lit("folder")).alias("title"),
         payloads.packet_kind(names).alias("kind"), F.size(names).alias("people"),
     )

@@ -128,3 +128,12 @@ def test_import_order_is_by_path_parts(spark):
     paths = ["a-b/x", "a/x", "m/message_2.json", "m/message_10.json"]
     got = spark.createDataFrame([(p,) for p in paths], "p string").orderBy(F.split("p", "/")).collect()
     assert [r.p for r in got] == ["a/x", "a-b/x", "m/message_10.json", "m/message_2.json"]
+
+
+def test_payloads_are_read_once_per_fact(spark):
+    """However often a title or body names what it is made of, the payload is asked for it once."""
+    rows = spark.createDataFrame([('{"participants":["a",{"name":" b "}],"share":{"link":"l"}}',)], "v string").select(F.parse_json("v").alias("p"))
+    found = rows.select(payloads.message_body(F.col("p")).alias("body"), payloads.packet_title(F.lit(""), payloads.participant_names(F.col("p")), F.lit("folder")).alias("title"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(x) for x in ("$.content", "$.share.link", "$.participants")] == [1, 1, 1]
+    assert tuple(found.first()) == ("l", "a, b")
