@@ -106,3 +106,16 @@ def test_the_fit_finds_an_exact_packing():
     made = sum(np.bincount(patterns[:, k], fit, 101) for k in range(3))
     assert np.abs(made - count)[1:].max() < 1
     assert sum(n for _, n in packing.plan({int(v): int(count[v]) for v in np.flatnonzero(count)}, 100)) <= 82
+
+
+def test_workers_give_memory_back_after_each_batch(monkeypatch):
+    import pyarrow as pa
+
+    from letterloom.llm import kernels
+
+    asked = []
+    monkeypatch.setattr(kernels, "_trim", asked.append)
+    batch = pa.record_batch({"t": ["a" * 9, None, "b"]})
+    assert [x[2] for x in kernels.text_blocks(batch.column(0), 4)] == [["a" * 9], ["", "b"]]
+    assert sum(p.num_rows for p in kernels.parts_of(batch, 0, 4)) == 3
+    assert asked == [0, 0]
