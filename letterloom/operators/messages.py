@@ -11,6 +11,17 @@ from ..sources.shared import once
 #: What tells a payload of a thread from others.
 PAYLOAD = ["source_kind", "source_thread_key", "fp"]
 
+#: Rows that one task joins, sorts or tells apart.
+TASK_ROWS = 1 << 18
+
+
+def parts_for(*tables: DataFrame) -> int:
+    """How many parts the largest of ``tables`` is dealt out to, so that what a task holds does not grow with the table
+    (Spark's own number is fixed, or follows packed bytes, which narrow rows exceed many times in memory). Small tables
+    are dealt to as many tasks as may run at once."""
+    rows = max(t.count() for t in tables)
+    return max(-(-rows // TASK_ROWS), min(tables[0].sparkSession.sparkContext.defaultParallelism, 1 + rows // 10_000))
+
 
 def occurrence_ordinal(messages: DataFrame) -> DataFrame:
     """``occurrence``: how many equal payloads the same export has before this one in the same thread, in file order."""
@@ -84,15 +95,17 @@ def union_sources(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def chat_messages(tables: dict[str, DataFrame]) -> DataFrame:
+def chat_messages(tables: dict[str, DataFrame], parts: int | None = None) -> DataFrame:
     """Messages with their chat and sender's handle: a message in two chats is two rows, messages outside of chats and
     chats without messages are none. What else the relation of handles tells of one (``handle_key``, ``handle_name``) comes
-    along, so that it is worked out per handle."""
+    along, so that it is worked out per handle. ``parts`` (as of ``parts_for`` if not given) tasks join them."""
+    parts = parts or parts_for(tables["chat_message_join"], tables["message"])
     chat = tables["chat"].select(F.col("ROWID").alias("chat_id"), F.col("guid").alias("chat_guid"), "chat_identifier", "display_name")
     more = [c for c in ("handle_key", "handle_name") if c in tables["handle"].columns]
     handle = tables["handle"].select(F.col("ROWID").alias("handle_id"), F.col("id").alias("handle"), *more)
     message = tables["message"].withColumnRenamed("ROWID", "message_id")
-    joined = tables["chat_message_join"].join(message, "message_id").join(chat, "chat_id").join(handle, "handle_id", "left")
+    placed = tables["chat_message_join"].repartition(parts, "message_id").join(message.repartition(parts, "message_id"), "message_id")
+    joined = placed.join(chat, "chat_id").join(handle, "handle_id", "left")
     date = F.lpad((F.coalesce("date", F.lit(0)).cast("decimal(20,0)") + F.lit(10**18 * 9)).cast("string"), 20, "0")
     parts = F.array(F.lpad(F.col("chat_id").cast("string"), 20, "0"), date)
     seq = F.struct(F.lit(0).alias("source_seq"), parts.alias("path_parts"), F.col("message_id").cast("long").alias("pos"))
@@ -107,10 +120,13 @@ def chat_participants(tables: dict[str, DataFrame]) -> DataFrame:
     return listed.select("chat_id", F.filter(F.transform("found", lambda x: F.trim(x.handle)), lambda h: h != "").alias("handles"))
 
 
-def message_attachments(tables: dict[str, DataFrame]) -> DataFrame:
-    """``message_id`` with each attachment; its type is the MIME type or else the uniform type."""
+def message_attachments(tables: dict[str, DataFrame], parts: int | None = None) -> DataFrame:
+    """``message_id`` with each attachment; its type is the MIME type or else the uniform type. ``parts`` (as of
+    ``parts_for`` if not given) tasks join them."""
+    parts = parts or parts_for(tables["message_attachment_join"], tables["attachment"])
     attachment = tables["attachment"].withColumnRenamed("ROWID", "attachment_id")
-    return tables["message_attachment_join"].join(attachment, "attachment_id").select(
+    placed = tables["message_attachment_join"].repartition(parts, "attachment_id")
+    return placed.join(attachment.repartition(parts, "attachment_id"), "attachment_id").select(
         "message_id", "attachment_id", F.col("guid").alias("attachment_guid"), "filename",
         F.coalesce("mime_type", "uti").alias("mime_type"), "total_bytes",
     )

@@ -109,11 +109,13 @@ def _chat_people(rows: DataFrame, chats: DataFrame, me: list[str], me_name: str)
 def import_chat(tables: dict[str, DataFrame], me_handles: list[str] = (), me_name: str = "Me") -> dict[str, DataFrame]:
     """Canonical tables of a chat database's relations; the owner is ``person:self``. Joined messages are written once in
     the shared folder, as are people, and all tables follow from these. What a chat is called and who is in it is joined
-    to chats, not to messages, so people are as many as chats have members and senders."""
+    to chats, not to messages, so people are as many as chats have members and senders. Messages and media are dealt out
+    by their keys to parts of like size, and each is sorted once there."""
     kind, me = F.lit("imessage"), [h.lower() for h in me_handles] or [""]
     handle = F.col("id")
     known = tables["handle"].select("ROWID", "id", handle_key(handle).alias("handle_key"), F.coalesce(F.nullif(clean_text(handle), F.lit("")), F.lit("unknown")).alias("handle_name"))
-    joined = ops.chat_messages(tables | {"message": payloads.with_bodies(tables["message"]), "handle": known})
+    parts = ops.parts_for(tables["chat_message_join"], tables["message"])
+    joined = ops.chat_messages(tables | {"message": payloads.with_bodies(tables["message"]), "handle": known}, parts)
     mine = F.coalesce(F.col("is_from_me"), F.lit(0)) == 1
     who = F.coalesce("handle_key", F.lit("unknown"))
     own = mine | who.isin(me)
@@ -128,7 +130,8 @@ def import_chat(tables: dict[str, DataFrame], me_handles: list[str] = (), me_nam
         apple_date_to_ts(F.col("date")).alias("sent_at"), "body_text", F.lit("plain").alias("body_format"),
         payloads.provenance_json("chat_id", "message_id", "guid", "service").alias("raw_json"), "import_seq",
     )
-    rows = once(ops.latest_by_key(rows, ["source_kind", "source_thread_key", "source_message_key"]), "messages")
+    dealt = rows.repartition(parts, "source_thread_key", "source_message_key")
+    rows = once(ops.latest_by_key(dealt, ["source_kind", "source_thread_key", "source_message_key"]), "messages")
     handles = F.coalesce("handles", F.array().cast("array<string>"))
     named = tables["chat"].withColumnRenamed("ROWID", "chat_id").join(ops.chat_participants(tables), "chat_id", "left").select(
         "chat_id", handles.alias("handles"), payloads.chat_kind(F.col("display_name"), handles).alias("thread_kind"),
@@ -136,11 +139,13 @@ def import_chat(tables: dict[str, DataFrame], me_handles: list[str] = (), me_nam
     )
     heard = rows.groupBy(*rollups.THREAD, "export_account", "chat_id").agg(F.max("import_seq").alias("import_seq"))
     chats = once(heard.join(named, "chat_id"), "chats")
-    attached = ops.message_attachments(tables)
-    media = rows.select("message_id", *rollups.THREAD, "export_account", "source_message_key", "import_seq").join(attached, "message_id").select(
+    parts = max(parts, ops.parts_for(tables["message_attachment_join"], tables["attachment"]))
+    attached = ops.message_attachments(tables, parts).repartition(parts, "message_id")
+    sent = rows.select("message_id", *rollups.THREAD, "export_account", "source_message_key", "import_seq").repartition(parts, "message_id")
+    media = sent.join(attached, "message_id").select(
         F.concat_ws(":", kind, "source_message_key", F.coalesce("attachment_guid", F.col("attachment_id").cast("string"))).alias("object_key"),
         *rollups.THREAD, "export_account", "source_message_key", F.col("filename").alias("source_uri"), F.col("filename").alias("local_path"), "mime_type", "import_seq",
-    )
+    ).repartition(parts, "object_key")
     return derived({
         "people": once(_chat_people(rows, chats, me, me_name), "people"),
         "threads": _threads(chats.select(*rollups.THREAD, "export_account", "title", "thread_kind", "import_seq"), rows),

@@ -376,16 +376,19 @@ def graph_counts(spark, d):
 # Chat relations ----------------------------------------------------------------------------------------------------
 
 
-def chat_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Orders are messages of the chat of their customer's nation, sent by a supplier; line items are attachments."""
-    orders, items = table(spark, d, "orders"), table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+def chat_tables(spark: SparkSession, d: str, attached: bool = False) -> dict[str, DataFrame]:
+    """Orders are messages of the chat of their customer's nation, sent by a supplier; line items are attachments, which
+    are told apart and written once if they are ``attached``, as two relations are made of them. Dates begin anew after
+    nine million keys, as they are nanoseconds in 64 bits."""
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    items = once(lines.repartition(ops.parts_for(lines), "l_orderkey").distinct(), "items") if attached else lines.distinct()
     suppliers, nations = table(spark, d, "supplier"), table(spark, d, "nation")
     many = suppliers.agg(F.count("*").alias("many"))
     sent = orders.crossJoin(F.broadcast(many))
     return chat.conform(spark, {
         "chat": nations.select(F.col("n_nationkey").alias("ROWID"), F.concat(F.lit("chat"), "n_nationkey").alias("guid"), F.col("n_name").alias("chat_identifier"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("display_name")),
         "handle": suppliers.select(F.col("s_suppkey").alias("ROWID"), F.col("s_name").alias("id")),
-        "message": sent.select(F.col("o_orderkey").alias("ROWID"), F.concat(F.lit("m"), "o_orderkey").alias("guid"), F.col("o_orderpriority").alias("text"), (F.col("o_orderkey") * 1000000000000 + 1000000000000).alias("date"), (F.col("o_orderkey") % 4 == 0).cast("int").alias("is_from_me"), (F.col("o_orderkey") % F.col("many")).alias("handle_id")),
+        "message": sent.select(F.col("o_orderkey").alias("ROWID"), F.concat(F.lit("m"), "o_orderkey").alias("guid"), F.col("o_orderpriority").alias("text"), (F.col("o_orderkey") % 9000000 * 1000000000000 + 1000000000000).alias("date"), (F.col("o_orderkey") % 4 == 0).cast("int").alias("is_from_me"), (F.col("o_orderkey") % F.col("many")).alias("handle_id")),
         "chat_message_join": orders.join(table(spark, d, "customer"), F.expr("o_custkey = c_custkey")).select(F.col("c_nationkey").alias("chat_id"), F.col("o_orderkey").alias("message_id")),
         "chat_handle_join": suppliers.select(F.col("s_nationkey").alias("chat_id"), F.col("s_suppkey").alias("handle_id")),
         "attachment": items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ROWID"), F.concat(F.lit("a"), "l_orderkey", F.lit("_"), "l_linenumber").alias("guid"), F.lit("f").alias("filename"), F.when(F.col("l_linenumber") == 1, "image/png").alias("mime_type"), F.lit("public.data").alias("uti")),
@@ -433,7 +436,7 @@ def chat_participants(spark, d):
 
 @query("""SELECT l_orderkey AS message_id, count(*) AS n, sum((l_linenumber = 1)::INT)::BIGINT AS images FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY l_orderkey""")
 def message_attachments(spark, d):
-    found = ops.message_attachments(chat_tables(spark, d))
+    found = ops.message_attachments(chat_tables(spark, d, attached=True))
     return found.groupBy("message_id").agg(F.count("*").alias("n"), F.count_if(F.col("mime_type") == "image/png").alias("images"))
 
 
@@ -444,7 +447,7 @@ SELECT 'chat' || m.n AS source_thread_key, CASE WHEN m.n % 2 = 0 THEN n_name WHE
   CASE WHEN m.n % 2 = 0 OR coalesce(hs,0) > 1 THEN 'group' ELSE 'direct' END AS thread_kind, count(*) AS message_count, any_value(coalesce(media,0)) AS media
 FROM m JOIN nation ON n_nationkey = m.n LEFT JOIN h ON h.n = m.n LEFT JOIN a ON a.n = m.n GROUP BY m.n, n_name, hs, names""")
 def import_chat(spark, d):
-    out = imports.import_chat(chat_tables(spark, d))
+    out = imports.import_chat(chat_tables(spark, d, attached=True))
     media = out["media_objects"].groupBy(*rollups.THREAD).agg(F.count("*").alias("media"))
     found = out["threads"].join(rollups.thread_counts(out["messages"]), rollups.THREAD).join(media, rollups.THREAD, "left")
     return found.select("source_thread_key", "title", "thread_kind", "message_count", F.coalesce("media", F.lit(0)).alias("media"))

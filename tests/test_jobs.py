@@ -4,6 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from letterloom import queries
 from letterloom.functions import payloads
 from letterloom.operators import messages as ops, rollups, views
 from letterloom.plans import imports, rebuild
@@ -143,6 +144,35 @@ def test_chat_people_are_as_many_as_members_and_senders(spark, monkeypatch):
     assert "Filter" in below and "hex(substring(attributedBody" in below
 
 
+def test_chat_relations_are_dealt_out_by_their_rows(spark, monkeypatch):
+    """A task joins and sorts so many messages or attachments, whatever their number and that of Spark's partitions."""
+    make, written = spark.createDataFrame, {}
+    tables = chat.conform(spark, {
+        "chat": make([(1, "c1", None, "Team")], "ROWID long, guid string, chat_identifier string, display_name string"),
+        "message": make([(i, f"m{i}", "hi", 700000000000000000 + i, 1) for i in range(1200)], "ROWID long, guid string, text string, date long, is_from_me int"),
+        "chat_message_join": make([(1, i) for i in range(1200)], "chat_id long, message_id long"),
+        "attachment": make([(i, f"a{i}", "f.png") for i in range(2400)], "ROWID long, guid string, filename string"),
+        "message_attachment_join": make([(i // 2, i) for i in range(2400)], "message_id long, attachment_id long"),
+    })
+    plain = imports.once
+    monkeypatch.setattr(imports, "once", lambda df, name: written.setdefault(name, plain(df, name)))
+    monkeypatch.setattr("letterloom.operators.messages.TASK_ROWS", 200, raising=False)
+    out = imports.import_chat(tables)
+    in_task = lambda df: [r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(written["messages"].inputFiles()) == 6 and written["messages"].count() == 1200
+    held = in_task(out["media_objects"])
+    assert sum(held) == 2400 and len(held) == 12 and max(held) < 300
+
+
+def test_chat_mapping_takes_large_order_keys(spark, tmp_path):
+    """Dates of the mapping are nanoseconds, which keys of over nine millions would exceed."""
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("customer", None), ("supplier", None), ("nation", None)):
+        df = queries.table(spark, SF, name)
+        (df.withColumn(key, F.col(key) + 20_000_000) if key else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    seen = [sorted(map(tuple, queries.import_chat(spark, str(d)).collect())) for d in (SF, tmp_path)]
+    assert seen[0] == seen[1] and len(seen[0]) > 5
+
+
 def test_chat_relations_from_a_database(spark, tmp_path):
     """The Derby that Spark ships: ranges of the key, columns and relations that are missing, rows without a key."""
     url = f"jdbc:derby:{tmp_path}/chats"
