@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ BLOCK, REMEMBERED = 1 << 18, 1 << 17
 
 
 class _Words:
-    """Ids of words seen by this worker; forgotten when there are too many, which costs time only."""
+    """Ids of words seen by this worker; rare ones are forgotten when there are too many, which costs time only."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -32,33 +33,59 @@ class _Words:
         self.model = Tokenizer.from_file(path).model
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in visible]
-        self.letters = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        # A byte that no UTF-8 has parts the words; the letter of a line's end is none of the vocabulary's.
+        self.letters = np.zeros(256, "<u4")
+        self.letters[[*visible, *hidden, 0xFF]] = [*visible, *range(256, 256 + len(hidden)), ord("\n")]
         self.clear()
 
     def _encode(self, word: str) -> list[int]:
-        written = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        return [token.id for token in self.model.tokenize(written)]
+        return self._encoded([word])[0].tolist()
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words end to end and how many each word has; words are written in letters all at once."""
+        data = b"\xff".join([w.encode("utf-8", "surrogatepass") for w in words])
+        tokenize, ids, size = self.model.tokenize, [], []
+        for letters in self.letters[np.frombuffer(data, np.uint8)].tobytes().decode("utf-32-le").split("\n"):
+            tokens = tokenize(letters)
+            ids += [token.id for token in tokens]
+            size.append(len(tokens))
+        return np.array(ids, "<u4"), np.array(size, np.int64)
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.start, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+        self.again = np.empty(0, bool)
+
+    def forget(self) -> None:
+        """Forget words that came in no later block, as most of many do, or all if too many would stay."""
+        stay = np.flatnonzero(self.again)
+        if len(stay) > REMEMBERED // 2:
+            return self.clear()
+        names = list(self.place)
+        self.place = {names[i]: k for k, i in enumerate(stay.tolist())}
+        self.flat, self.size = gathered(self.flat, self.start[stay], self.size[stay]), self.size[stay]
+        self.start, self.again = np.cumsum(self.size) - self.size, np.zeros(len(stay), bool)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end and how many each text has."""
         cut = Pretokens(texts)
         at, like = cut.distinct()
         if len(self.place) > REMEMBERED:
-            self.clear()
-        words = [cut.word(i) for i in at.tolist()]
-        new = [w for w in words if w not in self.place]
-        if new:
-            found = [self._encode(w) for w in new]
-            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.forget()
+        words = cut.words(at)
+        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(place < 0)
+        self.again[place[place >= 0]] = True
+        if len(unknown):
+            new = [words[i] for i in unknown.tolist()]
+            flat, size = self._encoded(new)
+            place[unknown] = np.arange(len(self.place), len(self.place) + len(new))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), "<u4", size.sum())])
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        place = np.array([self.place[w] for w in words], np.int64)[like]
+            self.flat = np.concatenate([self.flat, flat])
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+            self.place.update(zip(new, place[unknown].tolist()))
+        place = place[like]
         sizes = self.size[place]
         per_text = np.diff(np.concatenate([[0], np.cumsum(sizes)])[cut.first])
         return gathered(self.flat, self.start[place], sizes), per_text

@@ -72,6 +72,10 @@ class Pretokens:
     def word(self, i: int) -> str:
         return self.joined[self.start[i] : self.end[i]]
 
+    def words(self, at: np.ndarray) -> list[str]:
+        joined = self.joined
+        return [joined[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist())]
+
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pre-tokens that stand for all equal ones, and which of these each pre-token equals. Hashes
         only propose; every pre-token is compared with its like character by character."""

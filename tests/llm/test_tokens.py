@@ -2,6 +2,7 @@ import base64
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -16,6 +17,7 @@ from llm.conftest import TWINS
 public = pytest.importorskip("public_tokenizers")
 import regex  # noqa: E402
 import tiktoken  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
 
 RANKS = public.path("byte_bpe_50k.tiktoken")
 TEXTS = [*TWINS, " ".join(TWINS), None, "", "don't   stop\n\n now's", "  \n ", "x" * 9000, "naïve 漢字 ١٢ '''s 'S", "<|endoftext|> hi", "The the the  the", "a\0b", "word " * 5000, "don't   stop\n\n now's"]
@@ -49,6 +51,25 @@ def test_words_of_equal_hash_stay_apart(monkeypatch):
     assert [cut.word(at[k]) for k in like] == want and len({cut.word(i) for i in at}) == len(at) < len(want)
 
 
+def test_words_that_come_again_stay_remembered(monkeypatch):
+    """Where many rare words pass, only these are encoded anew; all words are those of the library, line ends too."""
+    path = public.path("byte_bpe_50k.json")
+    library, words = Tokenizer.from_file(path), packing._Words(path)
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    asked, model = [], words.model
+    words.model = SimpleNamespace(tokenize=lambda w: (asked.append(w), model.tokenize(w))[1])
+    common = "".join(f" common{chr(97 + k)}" for k in range(10)) + "\n\n ÿþ\xff\0\x7f\xa0\xad \t\n漢"
+    for i in range(20):
+        text = common + "".join(f" rare{chr(97 + i)}{chr(97 + k)}" for k in range(12))
+        ids, sizes = words.ids([text, ""])
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and sizes.tolist() == [len(ids), 0]
+        assert len(words.place) <= 40 + 40
+    assert all(asked.count(w) == 1 for w in asked) and len(asked) > 20 * 12
+    for text in ("".join(f" x{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)) for _ in range(3)):  # more than may stay
+        ids, _ = words.ids([text])
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and len(words.place) <= 40 + 100
+
+
 @pytest.mark.parametrize("chunk", [1 << 24, 50])
 def test_encode_and_decode(docs, encoder, chunk):
     rows = list(enumerate(TEXTS)) + [(None, "no id"), (2, "repeated id")]
